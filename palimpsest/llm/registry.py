@@ -4,9 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from palimpsest.llm import packing
+    from palimpsest.llm import packing, simhash
 
-    return {"op1_best_fit_pack": packing.op1_best_fit_pack}
+    return {
+        "op1_best_fit_pack": packing.op1_best_fit_pack,
+        "op5_simhash_dedup": simhash.op5_simhash_dedup,
+    }
 
 
 def oracle_sql() -> dict:
