@@ -4,13 +4,17 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from palimpsest.llm import packing, simhash
+    from palimpsest.llm import packing, secrets, simhash, topk
 
     return {
         "op1_best_fit_pack": packing.op1_best_fit_pack,
+        "op2_exact_topk": topk.op2_exact_topk,
         "op5_simhash_dedup": simhash.op5_simhash_dedup,
+        "op8_secret_scan": secrets.op8_secret_scan,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    from palimpsest.llm import topk
+
+    return {"op2_exact_topk": topk.OP2_SQL}
