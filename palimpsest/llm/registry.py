@@ -4,17 +4,19 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from palimpsest.llm import packing, secrets, simhash, topk
+    from palimpsest.llm import lines, media, packing, secrets, simhash, topk
 
     return {
         "op1_best_fit_pack": packing.op1_best_fit_pack,
         "op2_exact_topk": topk.op2_exact_topk,
         "op5_simhash_dedup": simhash.op5_simhash_dedup,
         "op8_secret_scan": secrets.op8_secret_scan,
+        "op9_audio_features": media.op9_audio_features,
+        "op10_line_dedup": lines.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    from palimpsest.llm import topk
+    from palimpsest.llm import lines, topk
 
-    return {"op2_exact_topk": topk.OP2_SQL}
+    return {"op2_exact_topk": topk.OP2_SQL, "op10_line_dedup": lines.OP10_SQL}
