@@ -4,13 +4,14 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from palimpsest.llm import lines, media, packing, secrets, simhash, suffixes, topk
+    from palimpsest.llm import lines, media, packing, pieces, secrets, simhash, suffixes, topk
 
     return {
         "op1_best_fit_pack": packing.op1_best_fit_pack,
         "op2_exact_topk": topk.op2_exact_topk,
         "op5_simhash_dedup": simhash.op5_simhash_dedup,
         "op6_suffix_dedup": suffixes.op6_suffix_dedup,
+        "op7_sentencepiece_nbest": pieces.op7_sentencepiece_nbest,
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_audio_features": media.op9_audio_features,
         "op10_line_dedup": lines.op10_line_dedup,
