@@ -121,58 +121,84 @@ def tensors(mel: np.ndarray) -> np.ndarray:
     return out.reshape(n, *SHAPE)
 
 
-def seconds(frame: int) -> float:
+def seconds(frame):
+    """Where a frame begins."""
     return frame * HOP * DOWN / (RATE * UP)
 
 
-PART = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("mel", pa.list_(pa.int8(), SHAPE[0] * SHAPE[1]))])
 SPAN = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
 
 
-def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each text's UTF-8, padded, as a wave file; a null text is empty."""
-    src = own_columns(docs, id_col, text_col).select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
+ROWS, SIZE = 64, 1 << 22  # clips, and about bytes, handed on at once
+MADE = "payload binary, frames long, active array<struct<start_s:double,end_s:double>>, parts array<struct<start_s:double,end_s:double,mel:array<tinyint>>>"
+
+
+def _slices(sizes: list[int]):
+    """[first, end) of neighbours that together stay within ROWS and, if more than one, SIZE."""
+    i = 0
+    while i < len(sizes):
+        j, total = i + 1, sizes[i]
+        while j < len(sizes) and j - i < ROWS and total + sizes[j] <= SIZE:
+            total += sizes[j]
+            j += 1
+        yield i, j
+        i = j
+
+
+def _stored(batch: pa.RecordBatch):
+    for i, j in _slices([len(t.as_buffer()) for t in batch.column(1)]):
+        raw = [t.as_buffer().to_pybytes() for t in batch.column(1).slice(i, j - i)]
+        cols = [batch.column(0).slice(i, j - i), pa.array([len(r) for r in raw], pa.int64()), pa.array([wav(padded(r)) for r in raw], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "media"])
+
+
+def _featured(batch: pa.RecordBatch):
+    at = batch.schema.names.index("media")
+    for i, j in _slices([len(m.as_buffer()) for m in batch.column(at)]):
+        part = batch.slice(i, j - i)
+        payload, frames, active, cut, mels = [], [], [], [], []
+        for m in part.column(at):
+            _, samples = read_wav(m.as_buffer().to_pybytes())
+            mel = log_mel(resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128))
+            payload.append(samples)
+            frames.append(len(mel))
+            active.append([{"start_s": seconds(a), "end_s": seconds(z)} for a, z in active_spans(mel)])
+            mels.append(tensors(mel))
+            cut.append(len(mels[-1]))
+        first = np.concatenate([np.arange(n) * SHAPE[0] for n in cut])
+        last = np.minimum(first + SHAPE[0], np.repeat(frames, cut))
+        cells = np.concatenate(mels).reshape(-1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * (SHAPE[0] * SHAPE[1])), pa.array(cells))
+        spans = pa.StructArray.from_arrays([pa.array(seconds(first)), pa.array(seconds(last)), lists], ["start_s", "end_s", "mel"])
+        parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cut)]).astype(np.int32)), spans)
+        new = [pa.array(payload, pa.binary()), pa.array(frames, pa.int64()), pa.array(active, pa.list_(SPAN)), parts]
+        yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "payload", "frames", "active", "parts"])
 
-    def run(batches):
-        for b in batches:
-            raw = [t.as_buffer().to_pybytes() for t in b.column(1)]
-            cols = [b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([wav(padded(r)) for r in raw], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "media"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return own_columns(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _media_schema(src: DataFrame) -> str:
+    return f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary"
+
+
+def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media): each text's UTF-8, padded, as a wave file; a null text is empty."""
+    src = _source(docs, id_col, text_col)
+    return src.mapInArrow(lambda batches: (s for b in batches for s in _stored(b)), _media_schema(src))
 
 
 def audio_features(media: DataFrame) -> DataFrame:
     """``media`` with payload (read back), frames, active spans and tensors of log-mel with their spans of time."""
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
+    return media.mapInArrow(lambda batches: (s for b in batches for s in _featured(b)), f"{own}, {MADE}")
 
-    def run(batches):
-        for b in batches:
-            names = b.schema.names
-            got = {"payload": [], "frames": [], "active": [], "parts": []}
-            for m in b.column(names.index("media")):
-                _, samples = read_wav(m.as_buffer().to_pybytes())
-                x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-                mel = log_mel(resample(x))
-                end = len(mel)
-                got["payload"].append(samples)
-                got["frames"].append(end)
-                got["active"].append([{"start_s": seconds(a), "end_s": seconds(z)} for a, z in active_spans(mel)])
-                got["parts"].append(
-                    [
-                        {"start_s": seconds(i * SHAPE[0]), "end_s": seconds(min(end, (i + 1) * SHAPE[0])), "mel": t.reshape(-1)}
-                        for i, t in enumerate(tensors(mel))
-                    ]
-                )
-            flat = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("mel", pa.list_(pa.int8()))])
-            new = [pa.array(got["payload"], pa.binary()), pa.array(got["frames"], pa.int64())]
-            new += [pa.array(got["active"], pa.list_(SPAN)), pa.array(got["parts"], pa.list_(flat))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*names, *got])
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    span = "struct<start_s:double,end_s:double"
-    return media.mapInArrow(run, f"{own}, payload binary, frames long, active array<{span}>>, parts array<{span},mel:array<tinyint>>>")
+def audio_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """audio_features(store_audio(docs)) in one pass of one worker."""
+    src = _source(docs, id_col, text_col)
+    return src.mapInArrow(lambda batches: (f for b in batches for s in _stored(b) for f in _featured(s)), f"{_media_schema(src)}, {MADE}")
 
 
 def as_tensor_column(parts: pa.ChunkedArray) -> pa.ExtensionArray:
@@ -184,7 +210,7 @@ def as_tensor_column(parts: pa.ChunkedArray) -> pa.ExtensionArray:
 
 
 def op9_audio_features(spark, sf_dir: str) -> DataFrame:
-    made = audio_features(store_audio(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    made = audio_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     spans = F.array_join(F.transform("active", lambda s: F.concat_ws("-", s["start_s"].cast("decimal(18,4)"), s["end_s"].cast("decimal(18,4)"))), ",")
     bands = F.array_join(F.transform("parts", lambda p: F.sha2(F.array_join(p["mel"], ",").cast("binary"), 256).substr(1, 16)), "")
     told = F.concat_ws(";", F.col("frames"), F.size("parts"), F.sha2(bands.cast("binary"), 256).substr(1, 32), spans)

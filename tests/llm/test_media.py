@@ -64,6 +64,8 @@ def test_tensor_column(spark):
     parts = df.selectExpr("inline(parts)").toArrow()
     t = M.as_tensor_column(parts["mel"])
     assert t.type == pa.fixed_shape_tensor(pa.int8(), M.SHAPE) and t.to_numpy_ndarray().shape == (len(parts), *M.SHAPE)
+    whole = M.audio_table(spark.createDataFrame([(1, "abc " * 2000)], "doc_id long, text string"))
+    assert whole.collect() == df.collect()
     ends = parts["end_s"].to_pylist()
     assert parts["start_s"].to_pylist()[1:] == ends[:-1]
 
