@@ -4,11 +4,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from palimpsest.llm import lines, media, packing, pieces, secrets, simhash, suffixes, topk
+    from palimpsest.llm import lines, media, packing, pieces, quality, secrets, simhash, suffixes, topk, urls
 
     return {
         "op1_best_fit_pack": packing.op1_best_fit_pack,
         "op2_exact_topk": topk.op2_exact_topk,
+        "op3_quality_classifier": quality.op3_quality_classifier,
+        "op4_url_filter": urls.op4_url_filter,
         "op5_simhash_dedup": simhash.op5_simhash_dedup,
         "op6_suffix_dedup": suffixes.op6_suffix_dedup,
         "op7_sentencepiece_nbest": pieces.op7_sentencepiece_nbest,
@@ -19,6 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    from palimpsest.llm import lines, topk
+    from palimpsest.llm import lines, quality, topk, urls
 
-    return {"op2_exact_topk": topk.OP2_SQL, "op10_line_dedup": lines.OP10_SQL}
+    return {
+        "op2_exact_topk": topk.OP2_SQL,
+        "op3_quality_classifier": quality.OP3_SQL,
+        "op4_url_filter": urls.OP4_SQL,
+        "op10_line_dedup": lines.OP10_SQL,
+    }
