@@ -168,6 +168,29 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
+MASK = "[secret]"
+
+
+def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with every span found, overlapping ones as one, replaced by MASK; no row goes."""
+    kind = docs.schema[text_col].dataType.simpleString()
+
+    @F.pandas_udf(kind)
+    def masked(texts):
+        return texts.map(lambda t: None if t is None else mask(t))
+
+    return docs.select(*[masked(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
+def mask(text: str) -> str:
+    out, at = [], 0
+    for _, start, end in find_secrets(text):
+        if start >= at:
+            out += [text[at:start], MASK]
+        at = max(at, end)
+    return "".join([*out, text[at:]]) if out else text
+
+
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     told = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -1,4 +1,11 @@
-"""SimHash fingerprints and their bit-sliced comparison."""
+"""SimHash fingerprints and their bit-sliced comparison.
+
+simhash_classes links 64-bit fingerprints within a small radius, for which keys of
+equal bits miss no pair. A Jaccard similarity of 0.8 on shingles is a radius of a
+fifth of the bits, for which such keys say nothing; near_duplicate_classes therefore
+takes its blocks from shared pairs of least hashes, abandons what is far apart by the
+same bit-sliced counters over 128 bits, and settles the rest on the shingle sets.
+"""
 
 from __future__ import annotations
 
@@ -117,18 +124,19 @@ def sliced_hits(fp: np.ndarray, key: np.ndarray, shift: int, radius: int) -> np.
     abandoned once every position is so marked.
     """
     n = len(fp) - shift
+    width = 8 * (fp.shape[1] if fp.ndim > 1 else 1)  # bytes
     if n <= 0:
         return np.zeros(0, np.int64)
     same = key[:n] == key[shift:]
     if not same.any():
         return np.zeros(0, np.int64)
-    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, width), axis=1, bitorder="little").T
     a, b = np.packbits(bits[:, :n], axis=1), np.packbits(bits[:, shift:], axis=1)
     over = ~np.packbits(same)
     k = max(1, radius.bit_length())
     begin = (1 << k) - 1 - radius
     counter = [np.full_like(over, 0xFF if begin >> i & 1 else 0) for i in range(k)]
-    for plane in range(BITS):
+    for plane in range(8 * width):
         carry = a[plane] ^ b[plane]
         for i in range(k):
             counter[i], carry = counter[i] ^ carry, counter[i] & carry
@@ -231,6 +239,176 @@ def simhash_classes(docs: DataFrame, words: int = 3, radius: int = 3, seed: int
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+BANDS, PER_BAND = 12, 2  # at similarity 0.8 two texts share no band once in 200,000 times
+RADII = (2, 5, 8, 12, 16, 20, 26, 32)  # of 128 bits, the nearest links first; 0.8 is 19 on average, 32 three deviations more
+SURE = 8  # 0.8 is this near once in 400 times, and less is rarer still
+_ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key per band, of the least hashes under PER_BAND multipliers."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    low = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), ROWS):
+        np.minimum(low, np.multiply.outer(_ODD, hashes[i : i + ROWS]).min(axis=1), out=low)
+    pair = low.reshape(BANDS, PER_BAND)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for j in range(PER_BAND):
+        key = _mix(key ^ pair[:, j])
+    return key
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with _id and _null for the id and _row for the text: equal rows have equal ones."""
+    return docs.withColumns(
+        {
+            "_null": F.col(f"`{id_col}`").isNull(),
+            "_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0).cast("long")),
+            "_row": F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))),
+        }
+    )
+
+
+def sketches(keyed: DataFrame, words: int, text_col: str) -> DataFrame:
+    """(_null, _id, _row, sh, f0, f1, keys): sh names a text's set of shingles."""
+    src = keyed.select("_null", "_id", "_row", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+
+    def work(batches):
+        for b in batches:
+            sh, f0, f1, keys = [], [], [], []
+            for t in b.column(3):
+                h = np.unique(shingle_hashes(t.as_buffer().to_pybytes(), words))
+                m = _mix(h)
+                sh.append(_signed(int(m.sum(dtype=np.uint64) ^ np.uint64(len(h)))))
+                f0.append(_signed(simhash(h)))
+                f1.append(_signed(simhash(m)))
+                keys.append(band_keys(h).view(np.int64))
+            cols = [*b.columns[:3], pa.array(sh, pa.int64()), pa.array(f0, pa.int64()), pa.array(f1, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["_null", "_id", "_row", "sh", "f0", "f1", "keys"])
+
+    return src.mapInArrow(work, "_null boolean, _id long, _row long, sh long, f0 long, f1 long, keys array<long>")
+
+
+def block_tree(fp: np.ndarray, group: np.ndarray, radii: tuple[int, ...]) -> list[tuple[int, int, int]]:
+    """(i, j, radius): in each group, links that join whatever the radii join, the nearest first."""
+    parent = list(range(len(fp)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    _, group, size = np.unique(group, return_inverse=True, return_counts=True)
+    apart, out = size.copy(), []
+    for radius in radii:
+        shift = 1
+        while len(live := np.flatnonzero((size[group] > shift) & (apart[group] > 1))):
+            for i in sliced_hits(fp[live], group[live], shift, radius).tolist():
+                a, b = int(live[i]), int(live[i + shift])
+                x, y = find(a), find(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    apart[group[a]] -= 1
+                    out.append((a, b, radius))
+            shift += 1
+    return out
+
+
+def near_links(sets: DataFrame) -> DataFrame:
+    """(sh, f0, f1, keys) as (a, b, radius): trees of near fingerprints in the blocks of each key."""
+    rows = sets.select(F.explode("keys").alias("key"), "sh", "f0", "f1")
+    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    dealt = rows.join(many, "key").repartition("key").sortWithinPartitions("key", "sh")
+
+    def work(batches):
+        left = None
+        for b in batches:
+            part = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            part = part if left is None else np.concatenate([left, part], axis=1)
+            if not part.shape[1]:
+                continue
+            cut = int(np.searchsorted(part[0], part[0, -1]))
+            left = part[:, cut:]
+            yield from tree(part[:, :cut])
+        if left is not None:
+            yield from tree(left)
+
+    def tree(p):
+        if p.shape[1]:
+            got = np.asarray(block_tree(np.ascontiguousarray(p[2:].T).view(np.uint64), p[0], RADII), dtype=np.int64).reshape(-1, 3)
+            a, b = p[1][got[:, 0]], p[1][got[:, 1]]
+            cols = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(got[:, 2])]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "radius"])
+
+    return dealt.select("key", "sh", "f0", "f1").mapInArrow(work, "a long, b long, radius long").where("a <> b")
+
+
+def similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of links(a, b) whose sets(sh, hashes) have the Jaccard similarity."""
+    both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+
+    def work(batches):
+        for t in batches:
+            ok = []
+            for x, y in zip(t.column(2), t.column(3), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(common >= similarity * (len(p) + len(q) - common))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(work, "a long, b long")
+
+
+def shingle_sets(keyed: DataFrame, wanted: DataFrame, words: int, text_col: str) -> DataFrame:
+    """(sh, hashes): sorted 32-bit shingle hashes of the texts that wanted(sh, _null, _id, _row) names."""
+    texts = keyed.select("_null", "_id", "_row", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    src = texts.join(wanted, ["_null", "_id", "_row"]).select("sh", "text")
+
+    def work(batches):
+        for b in batches:
+            made = [np.unique(shingle_hashes(t.as_buffer().to_pybytes(), words).astype(np.uint32)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["sh", "hashes"])
+
+    return src.mapInArrow(work, "sh long, hashes binary").dropDuplicates(["sh"])
+
+
+def near_duplicate_classes(keyed: DataFrame, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+    """(_null, _id, _row, root) of keyed_texts: root names the class of texts that a chain of
+    similarities of at least ``similarity`` joins. Texts without words are one class."""
+    made = durable(sketches(keyed, words, text_col), "sketches")
+    who = F.min(F.struct("_null", "_id", "_row")).alias("who")
+    sets = durable(made.groupBy("sh").agg(who, F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("keys").alias("keys")), "shingle-sets")
+    links = durable(near_links(sets).groupBy("a", "b").agg(F.min("radius").alias("radius")), "near-links")
+    sure = links.where(F.col("radius") <= SURE).select("a", "b")
+    name = durable(connected_components(sure), "sure")
+    maybe = links.where(F.col("radius") > SURE).select("a", "b")
+    for c in ("a", "b"):  # links inside what is joined already need no check
+        maybe = maybe.join(name.toDF(c, f"r{c}"), c, "left")
+    maybe = durable(maybe.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "maybe-links")
+    ends = maybe.select(F.col("a").alias("sh")).union(maybe.select("b")).distinct()
+    wanted = sets.join(ends, "sh").select("sh", "who._null", "who._id", "who._row")
+    checked = similar(maybe, durable(shingle_sets(keyed, wanted, words, text_col), "checked-sets"), similarity)
+    root = durable(connected_components(sure.union(checked)), "near-classes")
+    return made.join(root.toDF("sh", "root"), "sh", "left").select("_null", "_id", "_row", F.coalesce("root", "sh").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class: that of the smallest id, nulls last. Repeated rows are one."""
+    keyed = keyed_texts(docs, id_col, text_col)
+    classes = near_duplicate_classes(keyed, words, similarity, text_col)
+    best = classes.groupBy("root").agg(F.min(F.struct("_null", "_id", "_row")).alias("w")).select("w._null", "w._id", "w._row")
+    one = keyed.join(best, ["_null", "_id", "_row"], "left_semi").dropDuplicates(["_null", "_id", "_row"])
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = simhash_classes(docs, words=3, radius=3, seed=42)
