@@ -3,14 +3,16 @@
 Forward Viterbi scores over the lattice are exact heuristics for an A-star search
 that walks backward from the end of the text, so every state it takes up lies on a
 path still among the best. The lattice falls apart wherever no piece spans two
-neighbouring characters; such chunks are searched once and remembered, and a
-document's best paths are put together from its chunks' best paths.
+neighbouring characters, so words are scored apart, many at once: forward and
+backward Viterbi scores give each its best path and the loss of its second best. A
+document's N best paths differ only in the N - 1 words of least loss; those are the
+ones that the search is run on.
 """
 
 from __future__ import annotations
 
 import heapq
-import struct
+import re
 import zlib
 
 import ahocorasick
@@ -26,6 +28,15 @@ SPACE = "▁"
 PENALTY = 10.0  # an unknown character scores this much less than the worst piece
 
 
+def _levels(order: np.ndarray, level: np.ndarray, node: np.ndarray):
+    """Arcs of one level at a time, with where each node's arcs begin and end among them."""
+    edge = np.flatnonzero(np.diff(level, prepend=level[0] - 1, append=level[-1] + 1))
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        n = node[a:b]
+        begin = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
+        yield order[a:b], begin, np.append(begin[1:], b - a)
+
+
 class PieceLattice:
     """Pieces and scores of a SentencePiece model with byte fallback. Spaces become SPACE, one is
     put in front, and nothing else is normalised."""
@@ -39,13 +50,14 @@ class PieceLattice:
             cls.shared[path, n_best] = cls(path, n_best)
         return cls.shared[path, n_best]
 
-    def __init__(self, path: str, n_best: int = 3, limit: int = 600_000):
+    def __init__(self, path: str, n_best: int = 3, limit: int = 500_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.n_best, self.limit = n_best, limit
         self.words: dict[bytes, tuple] = {}
         self.chunks: dict[str, list] = {}
         self.bytes_at, self.raw, usual = {}, [], []
-        self.find = ahocorasick.Automaton()
+        self.find, self.spot = ahocorasick.Automaton(), ahocorasick.Automaton()
+        self.size, self.score = np.zeros(sp.get_piece_size(), np.int64), np.zeros(sp.get_piece_size())
         self.single, self.inner = set(), set()
         for i in range(sp.get_piece_size()):
             p = sp.id_to_piece(i)
@@ -57,11 +69,17 @@ class PieceLattice:
             else:
                 self.raw.append(p.replace(SPACE, " ").encode())
                 self.find.add_word(p, (len(p), i, sp.get_score(i)))
+                self.spot.add_word(p, i)
+                self.size[i], self.score[i] = len(p), sp.get_score(i)
                 usual.append(sp.get_score(i))
                 self.inner.update(zip(p, p[1:], strict=False))
                 if len(p) == 1:
                     self.single.add(p)
         self.find.make_automaton()
+        self.spot.make_automaton()
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+        apart = [c for c in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~\n\r\t" if not any((x, c) in self.inner for x in letters)]
+        self.parted = re.compile(b"(?<=[A-Za-z])(?=[" + re.escape("".join(apart)).encode() + b"])") if apart else None
         self.unknown = min(x for x in usual if x > -1e8) - PENALTY
 
     def search(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
@@ -123,7 +141,7 @@ class PieceLattice:
     def _chunk(self, text: str) -> list:
         got = self.chunks.get(text)
         if got is None:
-            if len(self.chunks) > self.limit // 2:
+            if len(self.chunks) > self.limit // 10:
                 self.chunks.clear()
             got = self.chunks[text] = self.search(text)
         return got
@@ -135,47 +153,103 @@ class PieceLattice:
         cut = [i + 1 for i, pair in enumerate(zip(text, text[1:], strict=False)) if pair not in self.inner]
         return self._merge([self._chunk(text[a:b]) for a, b in zip([0, *cut], [*cut, len(text)], strict=True)])
 
-    def _paths(self, word: bytes) -> list:
-        return self.best_of(SPACE + word.decode().replace(" ", SPACE))
-
-    def _word(self, word: bytes) -> tuple:
-        """(ids as bytes, score, loss of the second best)."""
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > self.limit:
-                self.words.clear()
-            paths = self._paths(word)
-            loss = paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf
-            got = self.words[word] = (struct.pack(f"<{len(paths[0][1])}i", *paths[0][1]), paths[0][0], loss)
-        return got
+    def _text(self, word: bytes) -> str:
+        """A word has a space before it, unless it begins with a mark that it goes on from the last one."""
+        t = word.decode()
+        return t[1:] if t[:1] == "\0" else SPACE + t
+
+    def learn(self, words: list[bytes]) -> None:
+        """Best path, score and loss of the second best of new words, all at once."""
+        if len(self.words) > self.limit:
+            self.words.clear()
+        plain, texts = [], []
+        for w in words:
+            t = self._text(w)
+            if len(t) <= 48 and self.single.issuperset(t):
+                plain.append(w)
+                texts.append(t)
+            else:
+                paths = self.best_of(t)
+                loss = paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf
+                self.words[w] = (np.asarray(paths[0][1], "<i4").tobytes(), paths[0][0], loss)
+        if not plain:
+            return
+        found = np.array(list(self.spot.iter("\0".join(texts))), dtype=np.int64)
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(length + 1) - length - 1  # nodes: the places before each character, and a word's end
+        last = first + length
+        to, piece = found[:, 0] + 1, found[:, 1]
+        at, score = to - self.size[piece], self.score[piece]
+        word = np.searchsorted(first, to - 1, side="right") - 1
+        forward, backward = np.full(last[-1] + 1, -np.inf), np.full(last[-1] + 1, -np.inf)
+        forward[first], backward[last] = 0.0, 0.0
+        took = np.zeros(last[-1] + 1, np.int64)
+        order = np.lexsort((self.size[piece], to, to - first[word]))
+        for arcs, begin, end in _levels(order, (to - first[word])[order], to[order]):
+            worth = forward[at[arcs]] + score[arcs]
+            most = np.maximum.reduceat(worth, begin)
+            forward[to[arcs[begin]]] = most
+            place = np.where(worth == np.repeat(most, end - begin), np.arange(len(arcs)), -1)
+            took[to[arcs[begin]]] = arcs[np.maximum.reduceat(place, begin)]  # of equals the longest piece
+        order = np.lexsort((at, last[word] - at))
+        for arcs, begin, _ in _levels(order, (last[word] - at)[order], at[order]):
+            backward[at[arcs[begin]]] = np.maximum.reduceat(backward[to[arcs]] + score[arcs], begin)
+        best = forward[last]
+        through = forward[at] + score + backward[to]
+        steps, here, left = [], last.copy(), np.arange(len(texts))
+        while len(left):
+            arc = took[here]
+            through[arc] = -np.inf
+            steps.append((left, piece[arc]))
+            here = at[arc]
+            more = here > first[left]
+            here, left = here[more], left[more]
+        second = np.full(len(texts), -np.inf)
+        np.maximum.at(second, word, through)
+        who = np.concatenate([x for x, _ in steps])
+        ids = np.concatenate([x for _, x in steps]).astype("<i4")
+        turn = np.concatenate([np.full(len(x), -k) for k, (x, _) in enumerate(steps)])
+        ids = ids[np.lexsort((turn, who))].tobytes()
+        stop = 4 * np.cumsum(np.bincount(who, minlength=len(texts)))
+        for w, a, b, x, y in zip(plain, np.append(0, stop[:-1]).tolist(), stop.tolist(), best.tolist(), (best - second).tolist(), strict=True):
+            self.words[w] = (ids[a:b], x, y)
+
+    def split(self, data: bytes) -> list[bytes]:
+        """Words between which no piece stands; runs of spaces go with the word after them."""
+        if b"\0" not in data and self.parted:
+            data = self.parted.sub(b" \0", data)
+        words = data.split(b" ")
+        if b"" in words[:-1] or SPACE.encode() in data:
+            text, words, at = (SPACE.encode() + data.replace(b" ", SPACE.encode())).decode().replace(SPACE + "\0", "\0"), [], 0
+            for i in range(1, len(text)):
+                if text[i] == "\0" or (text[i] == SPACE and text[i - 1] != SPACE):
+                    words.append(text[at:i])
+                    at = i
+            words = [(w[1:] if w[0] == SPACE else w).encode() for w in [*words, text[at:]]]
+        return words
 
-    def encode(self, data: bytes) -> list[tuple[float, bytes]]:
+    def encode(self, data: bytes, words: list[bytes] | None = None) -> list[tuple[float, bytes]]:
         """(score, ids as little-endian 32-bit) of a document's best paths, best first."""
         if not data:
             return [(0.0, b"")]
-        words = data.split(b" ")
-        if b"" in words[:-1] or SPACE.encode() in data:  # runs of spaces go with the word after them
-            text = (SPACE.encode() + data.replace(b" ", SPACE.encode())).decode()
-            words, at = [], 0
-            for i in range(1, len(text)):
-                if text[i] == SPACE and text[i - 1] != SPACE:
-                    words.append(text[at:i][1:].encode())
-                    at = i
-            words.append(text[at:][1:].encode())
+        words = self.split(data) if words is None else words
         known = self.words
         try:
             found = [known[w] for w in words]
         except KeyError:
-            found = [self._word(w) for w in words]
+            self.learn([w for w in set(words) if w not in known])
+            if not known.keys() >= set(words):  # emptied to make room
+                self.learn([w for w in set(words) if w not in known])
+            found = [known[w] for w in words]
         best = [w[0] for w in found]
-        total = sum(w[1] for w in found)
+        total = sum([w[1] for w in found])
         loss = np.asarray([w[2] for w in found])
         k = min(self.n_best - 1, len(found))
         near = np.argpartition(loss, k - 1)[:k] if 0 < k < len(found) else np.arange(k)
         combos: list[tuple[float, tuple]] = [(0.0, ())]
         for i in sorted(near.tolist()):
             if np.isfinite(loss[i]):
-                paths = [(s, np.asarray(ids, "<i4").tobytes()) for s, ids in self._paths(words[i])]
+                paths = [(s, np.asarray(ids, "<i4").tobytes()) for s, ids in self.best_of(self._text(words[i]))]
                 more = [(d + paths[0][0] - s, (*c, (i, b))) for d, c in combos for s, b in paths]
                 combos = sorted(more, key=lambda x: x[0])[: self.n_best]
         out = []
@@ -183,8 +257,6 @@ class PieceLattice:
             for i, b in c:
                 best[i] = b
             out.append((total - d, b"".join(best)))
-            for i, _ in c:
-                best[i] = found[i][0]
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -213,8 +285,11 @@ def encode_nbest(
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 paths, back = [], []
-                for t in part.column(1):
-                    found = lattice.encode(t.as_buffer().to_pybytes())
+                data = [t.as_buffer().to_pybytes() for t in part.column(1)]
+                words = [lattice.split(x) for x in data]
+                lattice.learn([w for w in set().union(*words) if w not in lattice.words])
+                for x, w in zip(data, words, strict=True):
+                    found = lattice.encode(x, w)
                     rows = [{"score": s, "n_ids": len(i) // 4, "ids_crc32": zlib.crc32(i)} for s, i in found]
                     if with_ids:
                         for r, (_, i) in zip(rows, found, strict=True):
