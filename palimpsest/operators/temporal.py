@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from palimpsest.functions import text as T
+
 
 def supersede(df: DataFrame, slot: list[str], value: str, at: str, seq: str) -> DataFrame:
     """Closed form of exact-slot supersession for single-valued slots in time order.
@@ -52,3 +54,94 @@ def live_at(t: float | Column, valid="valid_at", invalid="invalid_at", expired:
 
 def as_of(facts: DataFrame, t: float) -> DataFrame:
     return facts.where(live_at(t))
+
+
+def strict_as_of(facts: DataFrame, t: float, known_at: float) -> DataFrame:
+    """Valid at t and, beyond the plain read, recorded and not expired by ``known_at``."""
+    return facts.where(live_at(t) & (F.col("created_at") <= known_at) & (F.col("expired_at").isNull() | (F.col("expired_at") > known_at)))
+
+
+def as_of_join(probes: DataFrame, facts: DataFrame, slot: list[str], at: str) -> DataFrame:
+    """Each probe beside the fact of its slot that is valid at its time; a shuffle on the slot only."""
+    f = facts.alias("f")
+    on = [probes[c] == F.col(f"f.{c}") for c in slot]
+    on += [F.col("f.valid_at") <= probes[at], probes[at] < F.coalesce(F.col("f.invalid_at"), F.lit(float("inf")))]
+    return probes.join(f, on, "left")
+
+
+def slot_heads(facts: DataFrame) -> DataFrame:
+    """One fact per single-valued slot: user-made first, then latest valid, created, largest id.
+    Facts of accumulating predicates pass through, in no window."""
+    single = T.single_valued(F.col("predicate"))
+    slot = [F.col("user_id"), F.lower("subject"), F.lower("predicate")]
+    order = [F.desc(F.col("source").eqNullSafe("user")), F.desc("valid_at"), F.desc("created_at"), F.desc("fact_id")]
+    one = facts.where(single).withColumn("_rn", F.row_number().over(W.partitionBy(*slot).orderBy(*order))).where("_rn = 1").drop("_rn")
+    return one.unionByName(facts.where(~single))
+
+
+def current_state(facts: DataFrame, limit: int = 18) -> DataFrame:
+    """Latest value per single-valued slot and all others; no priority of user-made ones, and the first of equals."""
+    single = T.single_valued(F.col("predicate"))
+    w = W.partitionBy(F.lower("subject"), F.lower("predicate")).orderBy(F.desc("valid_at"), "seq")
+    one = facts.where(single).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    both = one.unionByName(facts.where(~single))
+    return both.orderBy(F.lower("subject"), F.lower("predicate"), F.lower("object"), F.desc("valid_at")).limit(limit)
+
+
+def slot_history(facts: DataFrame, user: str, subject: str, predicate: str) -> DataFrame:
+    """Every fact of one slot, oldest first; the subject in any case, the predicate as it is."""
+    own = (F.col("user_id") == user) & (F.lower("subject") == subject.lower()) & (F.col("predicate") == predicate)
+    return facts.where(own).orderBy("valid_at", "seq")
+
+
+def replacements(facts: DataFrame) -> DataFrame:
+    """Superseded facts beside what replaced them: the latest of several replacements."""
+    n, o = facts.alias("n"), facts.alias("o")
+    newest = n.where(F.col("n.supersedes").isNotNull()).groupBy("n.supersedes").agg(
+        F.max_by(F.struct("n.*"), F.struct("n.valid_at", "n.created_at", "n.fact_id")).alias("newer")
+    )
+    return o.join(newest, F.col("o.fact_id") == F.col("supersedes")).select(F.struct("o.*").alias("older"), "newer")
+
+
+def chains(spark, facts_view: str, most: int = 100) -> DataFrame:
+    """(root, fact_id, depth): the facts that lie behind each other, from those that replace nothing.
+
+    A recursive query over (fact_id, supersedes); each fact lies in one chain, so its
+    rows are those of the table.
+    """
+    return spark.sql(f"""
+        WITH RECURSIVE chain(root, fact_id, depth) AS (
+          SELECT fact_id, fact_id, 0 FROM {facts_view} WHERE supersedes IS NULL
+          UNION ALL
+          SELECT c.root, f.fact_id, c.depth + 1 FROM chain c JOIN {facts_view} f ON f.supersedes = c.fact_id WHERE c.depth < {most})
+        SELECT * FROM chain""")
+
+
+def chain_roles(facts: DataFrame, t: float) -> DataFrame:
+    """current, replacement (live and replacing something), superseded (it has a replacement) or past."""
+    replaced = facts.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("fact_id")).distinct().withColumn("_r", F.lit(True))
+    live = live_at(t)
+    role = F.when(live & F.col("supersedes").isNotNull(), "replacement").when(live, "current").when(F.col("_r"), "superseded").otherwise("past")
+    return facts.join(replaced, "fact_id", "left").withColumn("role", role).drop("_r")
+
+
+def gaps(rows: DataFrame, key: list[str], at: str, seq: str) -> DataFrame:
+    """Seconds since the row before, per key."""
+    w = W.partitionBy(*key).orderBy(at, seq)
+    return rows.withColumn("gap_s", F.col(at) - F.lag(at).over(w))
+
+
+def quiet_sessions(rows: DataFrame, key: list[str], at: str, seq: str, quiet: float = 900.0) -> DataFrame:
+    """Rows with session_no: a new session begins after ``quiet`` seconds of silence."""
+    w = W.partitionBy(*key).orderBy(at, seq)
+    new = (F.col(at) - F.lag(at).over(w) >= quiet).cast("long")
+    return rows.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("session_no", F.sum("_new").over(w)).drop("_new")
+
+
+def duration_evidence(episodes: DataFrame, anchors: list[str], action: str = r"(?i)\b(start|began|begin|finish|complet|end)") -> DataFrame:
+    """First sentence of each episode that names an anchor and an action, by anchor and time."""
+    said = episodes.select("episode_id", "event_time", F.posexplode(T.sentences(F.col("content"))).alias("pos", "sentence"))
+    hit = said.where(F.col("sentence").rlike(action)).withColumn("anchor", F.explode(T.words(*anchors)))
+    hit = hit.where(F.contains(F.lower("sentence"), F.lower("anchor")))
+    first = W.partitionBy("anchor", "episode_id").orderBy("pos")
+    return hit.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select("anchor", "event_time", "episode_id", "sentence")
