@@ -53,7 +53,9 @@ class PieceLattice:
     def __init__(self, path: str, n_best: int = 3, limit: int = 500_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.n_best, self.limit = n_best, limit
-        self.words: dict[bytes, tuple] = {}
+        self.words: dict[bytes, int] = {}  # the row of each word in the next three
+        self.blobs: list[bytes] = []  # ids of its best path
+        self.scores, self.losses = np.zeros(0), np.zeros(0)
         self.chunks: dict[str, list] = {}
         self.bytes_at, self.raw, usual = {}, [], []
         self.find, self.spot = ahocorasick.Automaton(), ahocorasick.Automaton()
@@ -162,7 +164,8 @@ class PieceLattice:
         """Best path, score and loss of the second best of new words, all at once."""
         if len(self.words) > self.limit:
             self.words.clear()
-        plain, texts = [], []
+            self.blobs, self.scores, self.losses = [], np.zeros(0), np.zeros(0)
+        plain, texts, scores, losses = [], [], [], []
         for w in words:
             t = self._text(w)
             if len(t) <= 48 and self.single.issuperset(t):
@@ -170,8 +173,11 @@ class PieceLattice:
                 texts.append(t)
             else:
                 paths = self.best_of(t)
-                loss = paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf
-                self.words[w] = (np.asarray(paths[0][1], "<i4").tobytes(), paths[0][0], loss)
+                self.words[w] = len(self.blobs)
+                self.blobs.append(np.asarray(paths[0][1], "<i4").tobytes())
+                scores.append(paths[0][0])
+                losses.append(paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf)
+        self.scores, self.losses = np.append(self.scores, scores), np.append(self.losses, losses)
         if not plain:
             return
         found = np.array(list(self.spot.iter("\0".join(texts))), dtype=np.int64)
@@ -184,14 +190,14 @@ class PieceLattice:
         forward, backward = np.full(last[-1] + 1, -np.inf), np.full(last[-1] + 1, -np.inf)
         forward[first], backward[last] = 0.0, 0.0
         took = np.zeros(last[-1] + 1, np.int64)
-        order = np.lexsort((self.size[piece], to, to - first[word]))
+        order = np.argsort((to - first[word]) << 40 | to << 6 | self.size[piece])  # sizes are below 64
         for arcs, begin, end in _levels(order, (to - first[word])[order], to[order]):
             worth = forward[at[arcs]] + score[arcs]
             most = np.maximum.reduceat(worth, begin)
             forward[to[arcs[begin]]] = most
             place = np.where(worth == np.repeat(most, end - begin), np.arange(len(arcs)), -1)
             took[to[arcs[begin]]] = arcs[np.maximum.reduceat(place, begin)]  # of equals the longest piece
-        order = np.lexsort((at, last[word] - at))
+        order = np.argsort((last[word] - at) << 40 | at)
         for arcs, begin, _ in _levels(order, (last[word] - at)[order], at[order]):
             backward[at[arcs[begin]]] = np.maximum.reduceat(backward[to[arcs]] + score[arcs], begin)
         best = forward[last]
@@ -211,8 +217,9 @@ class PieceLattice:
         turn = np.concatenate([np.full(len(x), -k) for k, (x, _) in enumerate(steps)])
         ids = ids[np.lexsort((turn, who))].tobytes()
         stop = 4 * np.cumsum(np.bincount(who, minlength=len(texts)))
-        for w, a, b, x, y in zip(plain, np.append(0, stop[:-1]).tolist(), stop.tolist(), best.tolist(), (best - second).tolist(), strict=True):
-            self.words[w] = (ids[a:b], x, y)
+        self.scores, self.losses = np.append(self.scores, best), np.append(self.losses, best - second)
+        self.words.update(zip(plain, range(len(self.blobs), len(self.blobs) + len(plain)), strict=True))
+        self.blobs += [ids[a:b] for a, b in zip(np.append(0, stop[:-1]).tolist(), stop.tolist(), strict=True)]
 
     def split(self, data: bytes) -> list[bytes]:
         """Words between which no piece stands; runs of spaces go with the word after them."""
@@ -235,29 +242,25 @@ class PieceLattice:
         words = self.split(data) if words is None else words
         known = self.words
         try:
-            found = [known[w] for w in words]
+            found = list(map(known.__getitem__, words))
         except KeyError:
             self.learn([w for w in set(words) if w not in known])
             if not known.keys() >= set(words):  # emptied to make room
                 self.learn([w for w in set(words) if w not in known])
-            found = [known[w] for w in words]
-        best = [w[0] for w in found]
-        total = sum([w[1] for w in found])
-        loss = np.asarray([w[2] for w in found])
+            found = list(map(known.__getitem__, words))
+        at = np.asarray(found)
+        total, loss = float(self.scores[at].sum()), self.losses[at]
         k = min(self.n_best - 1, len(found))
         near = np.argpartition(loss, k - 1)[:k] if 0 < k < len(found) else np.arange(k)
+        near = sorted(i for i in near.tolist() if np.isfinite(loss[i]))
         combos: list[tuple[float, tuple]] = [(0.0, ())]
-        for i in sorted(near.tolist()):
-            if np.isfinite(loss[i]):
-                paths = [(s, np.asarray(ids, "<i4").tobytes()) for s, ids in self.best_of(self._text(words[i]))]
-                more = [(d + paths[0][0] - s, (*c, (i, b))) for d, c in combos for s, b in paths]
-                combos = sorted(more, key=lambda x: x[0])[: self.n_best]
-        out = []
-        for d, c in combos:
-            for i, b in c:
-                best[i] = b
-            out.append((total - d, b"".join(best)))
-        return out
+        for i in near:
+            paths = [(s, np.asarray(ids, "<i4").tobytes()) for s, ids in self.best_of(self._text(words[i]))]
+            more = [(d + paths[0][0] - s, (*c, b)) for d, c in combos for s, b in paths]
+            combos = sorted(more, key=lambda x: x[0])[: self.n_best]
+        blob = self.blobs.__getitem__
+        between = [b"".join(map(blob, found[a:b])) for a, b in zip([0, *[i + 1 for i in near]], [*near, len(found)], strict=True)]
+        return [(total - d, b"".join([x for pair in zip(between, (*c, b""), strict=True) for x in pair])) for d, c in combos]
 
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 text, without the space put in front."""
