@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -50,7 +51,7 @@ class PieceLattice:
             cls.shared[path, n_best] = cls(path, n_best)
         return cls.shared[path, n_best]
 
-    def __init__(self, path: str, n_best: int = 3, limit: int = 500_000):
+    def __init__(self, path: str, n_best: int = 3, limit: int = 900_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.n_best, self.limit = n_best, limit
         self.words: dict[bytes, int] = {}  # the row of each word in the next three
@@ -180,7 +181,7 @@ class PieceLattice:
         self.scores, self.losses = np.append(self.scores, scores), np.append(self.losses, losses)
         if not plain:
             return
-        found = np.array(list(self.spot.iter("\0".join(texts))), dtype=np.int64)
+        found = np.fromiter(chain.from_iterable(self.spot.iter("\0".join(texts))), np.int64).reshape(-1, 2)
         length = np.fromiter(map(len, texts), np.int64, len(texts))
         first = np.cumsum(length + 1) - length - 1  # nodes: the places before each character, and a word's end
         last = first + length
