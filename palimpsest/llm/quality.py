@@ -25,24 +25,29 @@ LIMIT = 30.0  # log odds that evidence may reach
 PRECISION = (1.0, 10000.0)
 
 
-def features(text: Column) -> list[Column]:
-    """Whole numbers from 0 to 32; a null text is empty, and an empty text has zeros."""
-    t = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(t, "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")
-    n, size = F.size(words), F.length(t)
-    less = lambda chars: size - F.length(F.translate(t, chars, ""))
+def with_features(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with _f0.. of whole numbers from 0 to 32; a null text is empty, and an empty one has zeros.
+
+    Words are split in a projection of their own, so that they are split once.
+    """
+    t, words, n = F.col("_t"), F.col("_words"), F.col("_n")
+    split = F.filter(F.split(t, "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")
+    own = docs.withColumn("_t", F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).withColumn("_words", split)
+    own = own.withColumns({"_n": F.size(words), "_size": F.length(t)})
+    less = lambda chars: F.col("_size") - F.length(F.translate(t, chars, ""))
 
     def ratio(scale: int, x: Column, y: Column) -> Column:
         return F.when(y > 0, F.least(F.lit(BINS - 1), F.floor(F.lit(scale) * x / y))).otherwise(F.lit(0)).cast("int")
 
-    magnitude = sum(((n >= 1 << k).cast("int") for k in range(20)), F.lit(0))
-    return [
-        magnitude,
+    echoes = F.size(F.filter(F.zip_with(words, F.slice(words, 2, n), lambda a, b: a == b), lambda same: same))
+    made = [
+        sum(((n >= 1 << k).cast("int") for k in range(20)), F.lit(0)),
         ratio(2, less(SYMBOLS), n),
-        ratio(32, less(UPPER), size),
+        ratio(32, less(UPPER), F.col("_size")),
         ratio(32, F.size(F.array_distinct(words)), n),
-        ratio(32, F.size(F.filter(F.zip_with(words, F.slice(words, 2, n), lambda a, b: a == b), lambda same: same)), n),
+        ratio(32, echoes, n),
     ]
+    return own.withColumns({f"_f{i}": c for i, c in enumerate(made)}).drop("_t", "_words", "_n", "_size")
 
 
 @dataclass
@@ -84,7 +89,8 @@ def fit_quality(
 
     The driver gets the counts of 5 features by 33 bins and two classes, and two sums.
     """
-    own = docs.select(F.col(f"`{id_col}`").alias("_id"), *_place(docs, site_col, path_col), *[c.alias(n) for n, c in zip(FEATURES, features(F.col(f"`{text_col}`")), strict=True)])
+    made = with_features(docs.select(F.col(f"`{id_col}`").alias("_id"), *_place(docs, site_col, path_col), F.col(f"`{text_col}`").alias("_text")), "_text")
+    own = made.select("_id", "_site", "_path", *[F.col(f"_f{i}").alias(n) for i, n in enumerate(FEATURES)])
     own = durable(own, "features")
     said = labels.toDF("_id", "_good").where("_id IS NOT NULL AND _good IS NOT NULL").groupBy("_id").agg(F.min("_good").cast("int").alias("good"))
     own = own.join(said, "_id", "left")
@@ -123,8 +129,8 @@ def classify_quality(docs: DataFrame, model: QualityModel, text_col: str = "text
     """
     keep = [c for c in docs.columns if c not in ("quality_score", "keep")]
     at = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumns(dict(zip(("_site", "_path"), _place(docs, site_col, path_col), strict=True)))
-    known = at.join(model.posteriors, ["_site", "_path"], "left")
-    odds = _evidence(model.weights, features(F.col(f"`{text_col}`"))) + _logit(F.coalesce("_theta", F.lit(model.mean)))
+    known = with_features(at, text_col).join(model.posteriors, ["_site", "_path"], "left")
+    odds = _evidence(model.weights, [F.col(f"_f{i}") for i in range(len(FEATURES))]) + _logit(F.coalesce("_theta", F.lit(model.mean)))
     scored = known.withColumn("_p", F.round(1 / (1 + F.exp(-odds)), 4))
     return scored.select(*[F.col(f"`{c}`") for c in keep], F.col("_p").alias("quality_score"), (F.col("_p") >= 0.5).alias("keep"))
 
