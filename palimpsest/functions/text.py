@@ -63,17 +63,27 @@ def mentions_value(query: Column, value: Column) -> Column:
     return (v != "") & (F.contains(F.lower(query), v) | ((F.size(s) > 0) & (F.size(F.array_except(s, stems(query))) == 0)))
 
 
+def seconds_of(name: str) -> Column:
+    """A timestamp column as epoch seconds; a zoneless one is UTC, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(`{name}` AS TIMESTAMP_NTZ))") / F.lit(1e6)
+
+
+def utc(t: Column) -> Column:
+    """Epoch seconds as a zoneless UTC timestamp."""
+    return F.timestamp_add("MICROSECOND", (t * 1e6).cast("long"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+
+
 def epoch_date(t: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd")
+    return F.date_format(utc(t), "yyyy-MM-dd")
 
 
 def epoch_datetime_east8(t: Column) -> Column:
-    return F.date_format(F.from_utc_timestamp(F.timestamp_seconds(t), "+08:00"), "yyyy-MM-dd HH:mm:ss")
+    return F.date_format(utc(t + 8 * 3600), "yyyy-MM-dd HH:mm:ss")
 
 
 def date_terms(t: Column) -> Column:
     """'2024-05-03 2024 05 may'."""
-    d = F.timestamp_seconds(t)
+    d = utc(t)
     return F.concat_ws(" ", epoch_date(t), F.date_format(d, "yyyy"), F.date_format(d, "MM"), F.element_at(words(*V.MONTHS), F.month(d)))
 
 
@@ -225,7 +235,7 @@ def to_epoch(value: Column) -> Column:
         n = F.when(n > 1e12, n / 1000).otherwise(n)
     iso = F.unix_micros(F.try_to_timestamp(F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), s))) / F.lit(1e6)
     part = lambda i: F.regexp_extract(s, r"(\d{4})[/-](\d{1,2})[/-](\d{1,2})", i).try_cast("int")
-    day = F.try_to_date(F.format_string("%04d-%02d-%02d", part(1), part(2), part(3)), F.lit("yyyy-MM-dd"))
+    day = F.try_to_date(F.format_string("%04d-%02d-%02d", part(1), part(2), part(3)), "yyyy-MM-dd")
     loose = F.unix_seconds(day.cast("timestamp")).cast("double")
     return F.coalesce(n, iso, loose)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import vocabulary as V
 from palimpsest.functions import text as T
+from palimpsest.session import cut_lineage
 
 HOP_DECAY = 0.65
 
@@ -204,7 +205,7 @@ def identity_roots(links: DataFrame, rounds: int = 20) -> DataFrame:
         spread = both.join(label.toDF("b", "n"), "b").groupBy("a").agg(F.min("n").alias("n"))
         nearer = label.join(spread, "a").select("a", F.least("m", "n").alias("m"))
         jump = nearer.join(nearer.toDF("m", "k"), "m", "left").select("a", F.least("m", F.coalesce("k", "m")).alias("m"))
-        jump = jump.checkpoint()
+        jump = cut_lineage(jump)
         if jump.exceptAll(label).isEmpty():
             break
         label = jump

@@ -140,9 +140,9 @@ def reflect(facts: DataFrame, episodes: DataFrame, t: float) -> DataFrame:
     """Notes on what changed: superseded facts, their live replacement and the summaries of its sessions."""
     live = (F.col("n.invalid_at").isNull() | (F.col("n.invalid_at") > t)) & (F.col("n.expired_at").isNull() | (F.col("n.expired_at") > t))
     both = facts.alias("o").join(facts.alias("n").where(live), F.col("n.supersedes") == F.col("o.fact_id"))
-    said = both.select(F.col("o.fact_id").alias("fact_id"), F.col("n.fact_id").alias("by"), F.explode_outer("n.provenance").alias("episode_id"))
+    said = both.select(F.col("o.fact_id").alias("fact_id"), F.col("n.fact_id").alias("replaced_by"), F.explode_outer("n.provenance").alias("episode_id"))
     notes = said.join(episodes.select("episode_id", "summary"), "episode_id", "left")
-    return notes.groupBy("fact_id", "by").agg(F.array_join(F.array_sort(F.collect_set("summary")), "\n").alias("note"))
+    return notes.groupBy("fact_id", "replaced_by").agg(F.array_join(F.array_sort(F.collect_set("summary")), "\n").alias("note"))
 
 
 def latest_log(log: DataFrame, key: str, at: str, most: int = 512) -> DataFrame:

@@ -38,7 +38,7 @@ def supersede(df: DataFrame, slot: list[str], value: str, at: str, seq: str) ->
 def facts_from_events(events: DataFrame) -> DataFrame:
     """events(user_id, event_type, value, ts, event_id) as facts of slot (user, type)."""
     rows = events.select(
-        "event_id", "user_id", "event_type", "value", (F.unix_micros("ts") / F.lit(1e6)).alias("valid_at")
+        "event_id", "user_id", "event_type", "value", T.seconds_of("ts").alias("valid_at")
     )
     return supersede(rows, ["user_id", "event_type"], "value", "valid_at", "event_id").withColumn(
         "expired_at", F.col("invalid_at")
@@ -97,10 +97,10 @@ def slot_history(facts: DataFrame, user: str, subject: str, predicate: str) -> D
 def replacements(facts: DataFrame) -> DataFrame:
     """Superseded facts beside what replaced them: the latest of several replacements."""
     n, o = facts.alias("n"), facts.alias("o")
-    newest = n.where(F.col("n.supersedes").isNotNull()).groupBy("n.supersedes").agg(
+    newest = n.where(F.col("n.supersedes").isNotNull()).groupBy(F.col("n.supersedes").alias("_old")).agg(
         F.max_by(F.struct("n.*"), F.struct("n.valid_at", "n.created_at", "n.fact_id")).alias("newer")
     )
-    return o.join(newest, F.col("o.fact_id") == F.col("supersedes")).select(F.struct("o.*").alias("older"), "newer")
+    return o.join(newest, F.col("o.fact_id") == F.col("_old")).select(F.struct("o.*").alias("older"), "newer")
 
 
 def chains(spark, facts_view: str, most: int = 100) -> DataFrame:
