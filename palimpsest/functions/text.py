@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,12 +51,12 @@ def overlap_terms(a: Column, b: Column) -> Column:
 
 
 def has_any(text: Column, marks: tuple[str, ...]) -> Column:
-    """Some mark is a substring."""
-    return F.exists(words(*marks), lambda m: F.contains(text, m))
+    """Some mark is a substring; a chain of searches that ends at the first hit."""
+    return reduce(or_, [F.contains(text, F.lit(m)) for m in marks])
 
 
 def starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:
-    return F.exists(words(*prefixes), lambda m: F.startswith(text, m))
+    return reduce(or_, [F.startswith(text, F.lit(m)) for m in prefixes])
 
 
 def mentions_value(query: Column, value: Column) -> Column:
@@ -106,16 +108,21 @@ def redact_secrets(text: Column) -> Column:
     return F.regexp_replace(text, "(?i)" + V.SECRET_ASSIGNMENT, "$1" + V.REDACTED)
 
 
-def category(predicate: Column, obj: Column, text: Column) -> Column:
-    hay = F.lower(F.concat_ws(" ", F.lower(predicate), obj, text))
+def haystack(predicate: Column, obj: Column, text: Column) -> Column:
+    """What the rules of category and sensitivity search; make it a column where both are asked for."""
+    return F.lower(F.concat_ws(" ", F.lower(predicate), obj, text))
+
+
+def category(predicate: Column, obj: Column, text: Column, hay: Column | None = None) -> Column:
+    hay = haystack(predicate, obj, text) if hay is None else hay
     out = F.lit(V.OTHER)
     for name, marks in reversed(V.CATEGORIES):
         out = F.when(has_any(hay, marks), F.lit(name)).otherwise(out)
     return out
 
 
-def sensitive(predicate: Column, obj: Column, text: Column) -> Column:
-    hay = F.lower(F.concat_ws(" ", F.lower(predicate), obj, text))
+def sensitive(predicate: Column, obj: Column, text: Column, hay: Column | None = None) -> Column:
+    hay = haystack(predicate, obj, text) if hay is None else hay
     return F.lower(predicate).isin(*V.SENSITIVE_PREDICATES) | has_any(hay, V.SENSITIVE_WORDS) | F.rlike(obj, F.lit(r"\b\d{6,}\b"))
 
 

@@ -76,7 +76,8 @@ def _any_sql(hay: str, marks) -> str:
 )
 def classify_sensitive(spark, sf_dir):
     args = (F.lit("note"), F.col("text"), F.col("source"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.category(*args).alias("category"), T.sensitive(*args).alias("sensitive"))
+    d = table(spark, sf_dir, "documents").withColumn("hay", T.haystack(*args))
+    return d.select("doc_id", T.category(*args, hay=F.col("hay")).alias("category"), T.sensitive(*args, hay=F.col("hay")).alias("sensitive"))
 
 
 @query(

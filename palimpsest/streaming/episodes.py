@@ -7,25 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators.extract import extract
+from palimpsest.operators.extract import extract, learn_names
 from palimpsest.operators.reconcile import FACT, reconcile
 
 
-def consolidate_batch(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """All facts after a batch of episodes: known ones and new ones folded together by (user, subject).
+State = tuple[DataFrame, DataFrame]  # facts, and (user_id, known_name)
+
+
+def consolidate_batch(batch: DataFrame, state: State) -> State:
+    """State after a batch of episodes: known facts and new ones folded together by (user, subject).
 
     Known facts come first in their order, so that folding in parts equals folding at once
     when batches arrive in time order.
     """
-    return reconcile(known.unionByName(extract(batch)))
+    facts, names = state
+    return reconcile(facts.unionByName(extract(batch, names))), learn_names(batch, names)
 
 
-def run_consolidation(episodes: DataFrame, read_facts: Callable[[], DataFrame], write_facts: Callable[[DataFrame, int], None], checkpoint: str):
+def run_consolidation(episodes: DataFrame, read_state: Callable[[], State], write_state: Callable[[State, int], None], checkpoint: str):
     """Each micro-batch consolidates what arrived; the checkpoint stands for the pending flag. A batch
-    that is run again starts from the facts before it, so writing by batch id makes it exactly-once."""
+    that is run again starts from the state before it, so writing by batch id makes it exactly-once."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        write_facts(consolidate_batch(batch, read_facts()), batch_id)
+        write_state(consolidate_batch(batch, read_state()), batch_id)
 
     return episodes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -97,5 +101,5 @@ def request_chunks(rows: DataFrame, most: int) -> DataFrame:
     return rows.groupBy("feed").applyInPandas(split, "feed string, id bigint, chunk int")
 
 
-def empty_facts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], FACT)
+def empty_state(spark: SparkSession) -> State:
+    return spark.createDataFrame([], FACT), spark.createDataFrame([], "user_id string, known_name string")
