@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.work import own_columns
+from palimpsest.llm.work import own_columns, read_spread
 
 RATE, UP, DOWN, TAPS = 12000, 2, 3, 8  # samples a second; resampling ratio; taps each side and phase
 FRAME, HOP, MELS = 256, 128, 16
@@ -210,7 +210,7 @@ def as_tensor_column(parts: pa.ChunkedArray) -> pa.ExtensionArray:
 
 
 def op9_audio_features(spark, sf_dir: str) -> DataFrame:
-    made = audio_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    made = audio_table(read_spread(spark, f"{sf_dir}/documents.parquet"))
     spans = F.array_join(F.transform("active", lambda s: F.concat_ws("-", s["start_s"].cast("decimal(18,4)"), s["end_s"].cast("decimal(18,4)"))), ",")
     bands = F.array_join(F.transform("parts", lambda p: F.sha2(F.array_join(p["mel"], ",").cast("binary"), 256).substr(1, 16)), "")
     told = F.concat_ws(";", F.col("frames"), F.size("parts"), F.sha2(bands.cast("binary"), 256).substr(1, 32), spans)

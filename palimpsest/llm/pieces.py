@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.work import own_columns
+from palimpsest.llm.work import own_columns, read_spread
 
 SPACE = "▁"
 PENALTY = 10.0  # an unknown character scores this much less than the worst piece
@@ -326,7 +326,7 @@ def decode_ids(table: DataFrame, model_path: str, ids_col: str = "ids", out_col:
 def op7_sentencepiece_nbest(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_spread(spark, f"{sf_dir}/documents.parquet")
     found = encode_nbest(docs, public_tokenizers.path("piece_bpe_32k.model"), 3, with_ids=False, check=True)
     best = F.col("paths")[0]
     others = F.transform(F.slice("paths", 2, 100), lambda p: F.concat_ws(":", p["n_ids"], p["score"].cast("decimal(38,3)"), p["ids_crc32"]))

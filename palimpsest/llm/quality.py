@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.work import durable
+from palimpsest.llm.work import durable, read_spread
 
 BINS = 33  # values of a feature: 0 to 32
 SYMBOLS = "|$%&*#!<>{}[]~^=_+@"
@@ -141,7 +141,7 @@ def good_labels(spark, sf_dir: str) -> DataFrame:
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Sites are sources, and the path below a site is the language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
+    docs = read_spread(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     model = fit_quality(docs, good_labels(spark, sf_dir))
     return classify_quality(docs, model).select("doc_id", "quality_score", "keep")
 

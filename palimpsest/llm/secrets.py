@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.work import own_columns
+from palimpsest.llm.work import own_columns, read_spread
 
 # fixed values: the base patterns and the least length of each
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -192,7 +192,7 @@ def mask(text: str) -> str:
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scan_secrets(read_spread(spark, f"{sf_dir}/documents.parquet"))
     told = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))

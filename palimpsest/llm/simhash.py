@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.graph import connected_components
-from palimpsest.llm.work import durable, own_columns
+from palimpsest.llm.work import durable, own_columns, read_spread
 
 BITS = 64
 HOT = 4096  # fingerprints under one key beyond which the key takes in more bits
@@ -410,7 +410,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
 
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_spread(spark, f"{sf_dir}/documents.parquet")
     found = simhash_classes(docs, words=3, radius=3, seed=42)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

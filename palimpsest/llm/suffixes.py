@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.work import durable, own_columns
+from palimpsest.llm.work import durable, own_columns, read_spread
 
 BLOCK = 1 << 20  # windows of a text handled at once; a run cut here is only a shorter run
 BATCH = 1 << 17  # windows in a suffix array
@@ -357,7 +357,7 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 100)
+    out = remove_repeats(read_spread(spark, f"{sf_dir}/documents.parquet"), 100)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")

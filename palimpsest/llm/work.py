@@ -30,6 +30,14 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """The table, dealt out anew where it has fewer splits than there are cores: work on a text costs far
+    more than its way to another task. A table of many splits is read as it lies."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns; others, whatever their names, do not reach the operator."""
     return df.select(*[df[f"`{n}`"] for n in names])
