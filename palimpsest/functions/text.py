@@ -268,8 +268,8 @@ def document_kind(head: Column, filename: Column, content_type: Column) -> Colum
 
 
 def extract_answer(text: Column) -> Column:
-    """What stands after the last 'ANSWER:', or the whole."""
-    last = F.regexp_extract(text, r"(?is)^.*answer:\s*(.*)$", 1)
+    """What stands on the line after the last 'ANSWER:', or the whole."""
+    last = F.trim(F.regexp_extract(text, r"(?is)^.*\banswer\s*:\s*([^\n]*)", 1))
     return F.trim(F.when(last != "", last).otherwise(text))
 
 
@@ -278,4 +278,21 @@ def answer_in_context(context: Column, gold: Column) -> Column:
     c, g = F.lower(context), F.lower(F.trim(gold))
     toks = F.filter(tokens(gold), lambda t: F.length(t) > 3)
     hits = F.filter(toks, lambda t: F.contains(c, t))
-    return F.contains(c, g) | ((F.size(toks) > 0) & (F.size(hits) / F.size(toks) >= 0.8))
+    return (g != "") & (F.contains(c, g) | ((F.size(toks) > 0) & (F.size(hits) / F.size(toks) >= 0.8)))
+
+
+def display(subject: Column, predicate: Column, obj: Column, text: Column) -> Column:
+    """A fact as its user would read it: by template where there is Chinese in it, else its text."""
+    p = F.lower(predicate)
+    han = F.rlike(F.concat_ws("", subject, obj, text), F.lit("[一-鿿]"))
+    shapes = F.create_map(*[F.lit(x) for kv in V.DISPLAY.items() for x in kv])
+    tails = F.create_map(*[F.lit(x) for kv in V.FAVOURITES.items() for x in kv])
+    tail = F.regexp_extract(p, "^favou?rite_(.*)$", 1)
+    body = (
+        F.when(F.element_at(shapes, p).isNotNull(), F.replace(F.element_at(shapes, p), F.lit("{o}"), obj))
+        .when(tail != "", F.concat(F.lit("最喜欢的"), F.coalesce(F.element_at(tails, tail), tail), F.lit("是 "), obj))
+        .when(F.startswith(p, F.lit("likes_")), F.concat(F.lit("喜欢 "), obj))
+        .otherwise(F.concat(F.replace(predicate, F.lit("_"), F.lit(" ")), F.lit(" "), obj))
+    )
+    chinese = F.when(F.lower(subject).isin(*V.DISPLAY_SELF), body).otherwise(F.concat(subject, body))
+    return F.when(han, chinese).otherwise(F.coalesce(F.nullif(text, F.lit("")), fact_text(subject, predicate, obj)))

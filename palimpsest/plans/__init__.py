@@ -1,3 +1,3 @@
 """Named query plans over the driver tables; importing a module registers its queries."""
 
-from palimpsest.plans import graph, imports, reports, temporal, text  # noqa: F401
+from palimpsest.plans import blocks, graph, imports, reports, temporal, text  # noqa: F401
