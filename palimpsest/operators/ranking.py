@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions import vectors as Vec
+from palimpsest.operators.ordering import spread_rank
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -40,7 +41,10 @@ def vector_top_k(rows: DataFrame, query: list[float], k: int, vec_col: str, id_c
     return src.select(F.col(id_col), F.round(Vec.cosine(F.col(vec_col), q), 9).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def rank_by(scores: DataFrame, score: str = "score", tie: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+def rank_by(scores: DataFrame, score: str = "score", tie: str = "id", by: tuple[str, ...] = (), spread: bool = False) -> DataFrame:
+    """Ranks from 1; with ``spread`` a group may be larger than a task holds."""
+    if spread:
+        return spread_rank(scores, [F.desc(score), F.asc(tie)], by)
     return scores.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), tie)))
 
 

@@ -8,6 +8,7 @@ from palimpsest.catalog import query
 from palimpsest.functions import text as T
 from palimpsest.operators import blocks as B
 from palimpsest.operators import models as M
+from palimpsest.operators.ordering import spread_rank
 from palimpsest.plans.common import AS_OF, FACTS_SQL, QUERY, event_facts, stems_sql, values_sql
 from palimpsest.plans.text import Q_LIST, bm25_topk
 from palimpsest.session import table
@@ -24,12 +25,10 @@ SELECT e0 AS episode_id, fact_id, CAST(score AS INTEGER) AS score FROM b ORDER B
 )
 def provenance_best(spark, sf_dir):
     """Documents as ranked facts, each told of by one turn of a conversation."""
-    from pyspark.sql import Window as W
-
     c = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("episode_id"), F.col("text").alias("content"), (F.col("conv_id") * 86400.0 + F.col("turn")).alias("event_time")
     )
-    no = c.select((F.row_number().over(W.orderBy("episode_id")) - 1).alias("e"), "episode_id")
+    no = spread_rank(c.select("episode_id"), [F.asc("episode_id")], out="e").withColumn("e", F.col("e") - 1)
     turns = c.count()
     f = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fact_id"), F.col("n_chars").alias("rank"), F.concat(F.lit("the "), "source").alias("text"), (F.col("doc_id") % turns).alias("e"))
     facts = f.join(no, "e").select("fact_id", "rank", "text", F.array("episode_id").alias("provenance"))

@@ -185,7 +185,7 @@ def _signals(spark, sf_dir):
     lex = R.bm25(d, QUERY, "doc_id").where("score > 0").select(F.lit("lex").alias("signal"), "id", "score")
     rec = d.select(F.lit("rec").alias("signal"), F.col("doc_id").alias("id"), F.exp(-F.col("doc_id") / 1000.0).alias("score"))
     sal = d.select(F.lit("sal").alias("signal"), F.col("doc_id").alias("id"), (F.col("n_chars") / 1000.0).alias("score"))
-    return R.rank_by(lex.unionByName(rec).unionByName(sal), by=("signal",))
+    return R.rank_by(lex.unionByName(rec).unionByName(sal), by=("signal",), spread=True)
 
 
 FUSED_SQL = "f AS (SELECT id, round(sum(CASE signal WHEN 'lex' THEN 0.6 WHEN 'rec' THEN 0.3 ELSE 0.25 END / (60 + rank)), 12) AS fused FROM r GROUP BY id)"

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.operators.ordering import spread_rank
 
 COLUMNS = ["session_id", "title", "pos", "speaker", "content", "event_time", "source"]
 
@@ -192,8 +193,7 @@ def import_episodes(messages: DataFrame, user: str, landed: DataFrame | None = N
     every = single.unionByName(each).withColumn("fingerprint", T.fingerprint(F.lit(user), F.col("session_id"), F.col("pos").cast("string"), F.col("body")))
     if landed is not None:
         every = every.join(landed.select("fingerprint"), "fingerprint", "left_anti")
-    order = W.orderBy("session_id")
-    days = every.select("session_id").distinct().withColumn("day", F.row_number().over(order) - 1)
+    days = spread_rank(every.select("session_id").distinct(), [F.asc("session_id")], out="day").withColumn("day", F.col("day") - 1)
     at = F.coalesce("start_time", F.lit(base) + F.col("day") * T.DAY + F.col("pos"))
     return every.join(days, "session_id").select(
         F.concat(F.lit("ep_"), F.left("fingerprint", F.lit(12))).alias("episode_id"), F.lit(user).alias("user_id"), "session_id", F.col("body").alias("content"), at.alias("event_time"), "fingerprint"
