@@ -37,14 +37,15 @@ def _occurrences(keyed: DataFrame, site_col: str) -> DataFrame:
 
 
 def boilerplate_lines(seen: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(h) of the lines on at least ``min_sites`` distinct sites, from occurrences (h, site)."""
-    sketch = seen.groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
-    about = durable(sketch.select("h", F.hll_sketch_estimate("sketch").alias("about")), "line-sites")
+    """(h, first) of the lines on at least ``min_sites`` distinct sites, from occurrences (h, site, at);
+    first is the least ``at``. Sketches and first places of a hot line combine before the shuffle."""
+    sketch = seen.groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("at").alias("first"))
+    about = durable(sketch.select("h", "first", F.hll_sketch_estimate("sketch").alias("about")), "line-sites")
     margin = max(1.0, NEAR * min_sites)
-    sure = about.where(F.col("about") > min_sites + margin).select("h")
-    near = about.where(F.col("about").between(min_sites - margin, min_sites + margin)).select("h")
+    sure = about.where(F.col("about") > min_sites + margin).select("h", "first")
+    near = about.where(F.col("about").between(min_sites - margin, min_sites + margin)).select("h", "first")
     exact = seen.join(near, "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    return sure.union(exact.where(F.col("n") >= min_sites).select("h"))
+    return sure.union(near.join(exact.where(F.col("n") >= min_sites), "h").select("h", "first"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -61,12 +62,11 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     often = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("a"), F.max("site").alias("z"))
     often = often.where(F.col("n") >= min_sites)
     often = (often.where("a <> z") if min_sites > 1 else often).select("h")
-    seen = durable(seen.join(often, "h"), "often-seen-lines")
+    kept = seen.join(often, "h").select("h", "site", F.struct("_null", "_id", "_row", "pos").alias("at"))
+    seen = durable(kept, "often-seen-lines")
     common = durable(boilerplate_lines(seen, min_sites), "boilerplate")
-    at = seen.join(common, "h").select("h", F.struct("_null", "_id", "_row", "pos").alias("at")).distinct()
-    first = at.groupBy("h").agg(F.min("at").alias("first"))
-    gone = at.join(first, "h").where(F.col("at") != F.col("first"))
-    gone = gone.groupBy("at._id", "at._null", "at._row").agg(F.sort_array(F.collect_list("at.pos")).alias("_gone"))
+    gone = seen.join(common, "h").where(F.col("at") != F.col("first"))
+    gone = gone.groupBy("at._id", "at._null", "at._row").agg(F.sort_array(F.collect_set("at.pos")).alias("_gone"))
     whole = keyed.join(gone, ["_id", "_null", "_row"], "left")
     edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_lines")))
     kept = F.expr("flatten(transform(sequence(0, size(_edges) - 2), i -> slice(_lines, _edges[i] + 2, _edges[i + 1] - _edges[i] - 1)))")
