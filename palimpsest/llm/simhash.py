@@ -380,6 +380,102 @@ def shingle_sets(keyed: DataFrame, wanted: DataFrame, words: int, text_col: str)
     return src.mapInArrow(work, "sh long, hashes binary").dropDuplicates(["sh"])
 
 
+def key_blocks(batches):
+    """Tables of one key each, from batches whose first column is that key, in order."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy(zero_copy_only=False)
+        at = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist()
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            if held and key[i] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+            last = key[i]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _other_classes(fp: np.ndarray, label: np.ndarray, radius: int):
+    """(i, js): for rows outside the largest class, those of other labels within ``radius`` bits; each pair
+    once. Changes to ``label`` between two steps count."""
+    big = label == np.bincount(label).argmax()
+    for i in np.flatnonzero(~big).tolist():
+        other = label != label[i]
+        other[:i] &= big[:i]  # the others before have met i
+        j = np.flatnonzero(other)
+        j = j[np.bitwise_count(fp[j] ^ fp[i]).sum(axis=1, dtype=np.int64) <= radius]
+        if len(j):
+            yield i, j
+
+
+def settle(fp: np.ndarray, sets: list[np.ndarray], label: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """(i, j): links of a block at ``similarity`` that join its classes as all such pairs would: each pair
+    within ``radius`` is settled on its sets, unless links found before have joined its ends."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    start = np.r_[0, np.cumsum(size)]
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    label = np.unique(label, return_inverse=True)[1]
+    out = []
+    for i, j in _other_classes(fp, label, radius):
+        j = j[np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])]
+        own = ids[start[i] : start[i + 1]]
+        mark[own] = True
+        for part in np.split(j, np.flatnonzero(np.diff(np.cumsum(size[j]) // (16 * ROWS))) + 1):
+            part = part[label[part] != label[i]]
+            if not len(part):
+                continue
+            flat = mark[np.concatenate([ids[start[k] : start[k + 1]] for k in part.tolist()])]
+            common = np.add.reduceat(flat, np.r_[0, np.cumsum(size[part])[:-1]], dtype=np.int64)
+            for k in part[common >= similarity * (size[i] + size[part] - common)].tolist():
+                if label[k] != label[i]:
+                    label[label == label[k]] = label[i]
+                    out.append((i, k))
+        mark[own] = False
+    return out
+
+
+def settled_links(sets: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): what else joins near_links' blocks where they hold members of several ``classes``.
+
+    The trees skip a pair whose ends are joined by links that the sets may refuse; here no
+    pair is skipped but for links that the sets have confirmed.
+    """
+    rows = sets.select("sh", "f0", "f1", "keys").join(classes.toDF("sh", "root"), "sh", "left")
+    rows = rows.select(F.explode("keys").alias("key"), "sh", "f0", "f1", F.coalesce("root", "sh").alias("label"))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    dealt = rows.join(mixed, "key").repartition("key").sortWithinPartitions("key", "sh")
+
+    def columns(t):
+        key, sh, f0, f1, label = (t.column(i).to_numpy() for i in range(5))
+        return key, sh, np.stack([f0, f1], axis=1).view(np.uint64), label
+
+    def near(batches):
+        for t in key_blocks(batches):
+            _, _, fp, label = columns(t)
+            keep = np.zeros(len(fp), bool)
+            for i, j in _other_classes(fp, np.unique(label, return_inverse=True)[1], RADII[-1]):
+                keep[i] = True
+                keep[j] = True
+            if keep.any():
+                yield from t.filter(pa.array(keep)).to_batches()
+
+    def settle_all(batches):
+        for t in key_blocks(batches):
+            _, sh, fp, label = columns(t)
+            made = [np.frombuffer(v.as_buffer(), np.uint32) for v in t.column(5)]
+            got = np.asarray(settle(fp, made, label, RADII[-1], similarity), dtype=np.int64).reshape(-1, 2)
+            if len(got):
+                yield pa.RecordBatch.from_arrays([pa.array(sh[got[:, 0]]), pa.array(sh[got[:, 1]])], ["a", "b"])
+
+    open_rows = durable(dealt.select("key", "sh", "f0", "f1", "label").mapInArrow(near, "key long, sh long, f0 long, f1 long, label long"), "open-rows")
+    full = open_rows.join(texts, "sh").select("key", "sh", "f0", "f1", "label", "hashes")
+    return full.repartition("key").sortWithinPartitions("key", "sh").mapInArrow(settle_all, "a long, b long")
+
+
 def near_duplicate_classes(keyed: DataFrame, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """(_null, _id, _row, root) of keyed_texts: root names the class of texts that a chain of
     similarities of at least ``similarity`` joins. Texts without words are one class."""
@@ -393,10 +489,12 @@ def near_duplicate_classes(keyed: DataFrame, words: int = 5, similarity: float =
     for c in ("a", "b"):  # links inside what is joined already need no check
         maybe = maybe.join(name.toDF(c, f"r{c}"), c, "left")
     maybe = durable(maybe.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "maybe-links")
-    ends = maybe.select(F.col("a").alias("sh")).union(maybe.select("b")).distinct()
+    ends = links.select(F.col("a").alias("sh")).union(links.select("b")).distinct()
     wanted = sets.join(ends, "sh").select("sh", "who._null", "who._id", "who._row")
-    checked = similar(maybe, durable(shingle_sets(keyed, wanted, words, text_col), "checked-sets"), similarity)
-    root = durable(connected_components(sure.union(checked)), "near-classes")
+    texts = durable(shingle_sets(keyed, wanted, words, text_col), "checked-sets")
+    joined = durable(sure.union(similar(maybe, texts, similarity)), "joined")
+    more = settled_links(sets, texts, durable(connected_components(joined), "first-classes"), similarity)
+    root = durable(connected_components(joined.union(more)), "near-classes")
     return made.join(root.toDF("sh", "root"), "sh", "left").select("_null", "_id", "_row", F.coalesce("root", "sh").alias("root"))
 
 

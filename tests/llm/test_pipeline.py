@@ -66,6 +66,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == slow_near(rows)
 
 
+def test_near_duplicates_of_many_variants(spark):
+    """Variants of one unseen base around the threshold: the nearest by bits are often below it."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 3000, 300)]
+    rows = [(i, " ".join(edited(rng, base, int(rng.integers(4, 13))))) for i in range(300)]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == slow_near(rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert simhash.drop_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
