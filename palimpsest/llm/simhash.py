@@ -240,8 +240,7 @@ def simhash_classes(docs: DataFrame, words: int = 3, radius: int = 3, seed: int
 
 
 BANDS, PER_BAND = 12, 2  # at similarity 0.8 two texts share no band once in 200,000 times
-RADII = (2, 5, 8, 12, 16, 20, 26, 32)  # of 128 bits, the nearest links first; 0.8 is 19 on average, 32 three deviations more
-SURE = 8  # 0.8 is this near once in 400 times, and less is rarer still
+RADII = (2, 5, 8, 12, 16, 20, 26, 32, 40, 48)  # of 128 bits, the nearest links first; 0.8 is beyond 48 twice in 10**7 times (4 against 5 shingles) or less
 _ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -296,8 +295,8 @@ def sketches(keyed: DataFrame, words: int, text_col: str) -> DataFrame:
     return src.mapInArrow(work, "_null boolean, _id long, _row long, sh long, f0 long, f1 long, keys array<long>")
 
 
-def block_tree(fp: np.ndarray, group: np.ndarray, radii: tuple[int, ...]) -> list[tuple[int, int, int]]:
-    """(i, j, radius): in each group, links that join whatever the radii join, the nearest first."""
+def block_tree(fp: np.ndarray, group: np.ndarray, radii: tuple[int, ...]) -> list[tuple[int, int]]:
+    """(i, j): in each group, links that join whatever the radii join, the nearest first."""
     parent = list(range(len(fp)))
 
     def find(i: int) -> int:
@@ -317,13 +316,13 @@ def block_tree(fp: np.ndarray, group: np.ndarray, radii: tuple[int, ...]) -> lis
                 if x != y:
                     parent[max(x, y)] = min(x, y)
                     apart[group[a]] -= 1
-                    out.append((a, b, radius))
+                    out.append((a, b))
             shift += 1
     return out
 
 
 def near_links(sets: DataFrame) -> DataFrame:
-    """(sh, f0, f1, keys) as (a, b, radius): trees of near fingerprints in the blocks of each key."""
+    """(sh, f0, f1, keys) as (a, b): trees of near fingerprints in the blocks of each key."""
     rows = sets.select(F.explode("keys").alias("key"), "sh", "f0", "f1")
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     dealt = rows.join(many, "key").repartition("key").sortWithinPartitions("key", "sh")
@@ -343,12 +342,11 @@ def near_links(sets: DataFrame) -> DataFrame:
 
     def tree(p):
         if p.shape[1]:
-            got = np.asarray(block_tree(np.ascontiguousarray(p[2:].T).view(np.uint64), p[0], RADII), dtype=np.int64).reshape(-1, 3)
+            got = np.asarray(block_tree(np.ascontiguousarray(p[2:].T).view(np.uint64), p[0], RADII), dtype=np.int64).reshape(-1, 2)
             a, b = p[1][got[:, 0]], p[1][got[:, 1]]
-            cols = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(got[:, 2])]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "radius"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return dealt.select("key", "sh", "f0", "f1").mapInArrow(work, "a long, b long, radius long").where("a <> b")
+    return dealt.select("key", "sh", "f0", "f1").mapInArrow(work, "a long, b long").where("a <> b")
 
 
 def similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -482,17 +480,11 @@ def near_duplicate_classes(keyed: DataFrame, words: int = 5, similarity: float =
     made = durable(sketches(keyed, words, text_col), "sketches")
     who = F.min(F.struct("_null", "_id", "_row")).alias("who")
     sets = durable(made.groupBy("sh").agg(who, F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("keys").alias("keys")), "shingle-sets")
-    links = durable(near_links(sets).groupBy("a", "b").agg(F.min("radius").alias("radius")), "near-links")
-    sure = links.where(F.col("radius") <= SURE).select("a", "b")
-    name = durable(connected_components(sure), "sure")
-    maybe = links.where(F.col("radius") > SURE).select("a", "b")
-    for c in ("a", "b"):  # links inside what is joined already need no check
-        maybe = maybe.join(name.toDF(c, f"r{c}"), c, "left")
-    maybe = durable(maybe.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "maybe-links")
+    links = durable(near_links(sets).distinct(), "near-links")
     ends = links.select(F.col("a").alias("sh")).union(links.select("b")).distinct()
     wanted = sets.join(ends, "sh").select("sh", "who._null", "who._id", "who._row")
     texts = durable(shingle_sets(keyed, wanted, words, text_col), "checked-sets")
-    joined = durable(sure.union(similar(maybe, texts, similarity)), "joined")
+    joined = durable(similar(links, texts, similarity), "joined")
     more = settled_links(sets, texts, durable(connected_components(joined), "first-classes"), similarity)
     root = durable(connected_components(joined.union(more)), "near-classes")
     return made.join(root.toDF("sh", "root"), "sh", "left").select("_null", "_id", "_row", F.coalesce("root", "sh").alias("root"))

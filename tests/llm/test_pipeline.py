@@ -75,6 +75,19 @@ def test_near_duplicates_of_many_variants(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == slow_near(rows)
 
 
+def test_near_bits_alone_join_and_part_nothing(spark):
+    """Many variants under the threshold, some near in bits; and pairs of 4 and 5 shingles, some far in bits."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 3000, 300)]
+    texts = [" ".join(edited(rng, base, 4)) for _ in range(400)]
+    for i in range(300):
+        words = [f"p{i}.{j}" for j in range(9)]
+        texts += [" ".join(words), " ".join(words[:8])]
+    rows = list(enumerate(texts))
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == slow_near(rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert simhash.drop_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
