@@ -25,6 +25,7 @@ KINDS = (*BASE, "der", "ssh", "jwt")  # the order of kinds at one start
 WORDS = ("passw", "secret", "token", "api")
 B64 = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{32,}+(?:\r?\n|$))*+[A-Za-z0-9+/]{0,}+={0,2}")
 B64_START = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}")
+LINE = re.compile(r"[^\r\n]+")
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,}+")
 DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
@@ -119,6 +120,79 @@ def _decoded(run: str) -> bytes | None:
         return None
 
 
+def _der_ends(head: bytes) -> list[int]:
+    """The length that the header of an element gives, or none."""
+    if len(head) < 2 or head[0] != 0x30:
+        return []
+    k = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if head[1] == 0x80 or k > 4 or len(head) < 2 + k:
+        return []
+    return [2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])]
+
+
+def _ssh_ends(body: str, i: int) -> list[int]:
+    """Lengths at which a key that begins at body[i] can end, the longest first: those of whole fields, of one key only."""
+    total = (len(body) - i) * 3 // 4
+
+    def read(at: int, n: int) -> bytes:
+        g = at // 3
+        part = body[i + 4 * g : i + 4 * ((at + n + 2) // 3)]
+        return (_decoded(part[: len(part) - (len(part) % 4 == 1)]) or b"")[at - 3 * g : at - 3 * g + n]
+
+    def field(at: int) -> int:
+        return at + 4 + int.from_bytes(read(at, 4), "big")
+
+    if read(0, 15) == b"openssh-key-v1\0":
+        at = field(field(field(15)))  # cipher, derivation, its options
+        keys = int.from_bytes(read(at, 4), "big") if at + 4 <= total else 0
+        at += 4
+        for _ in range(keys + 1):  # public keys, and the private part
+            if at >= total:
+                return [total]
+            at = field(at)
+        return [at, total] if at < total else [total]  # a cut or odd container is all there is
+    at, ends = 0, []
+    while at + 4 <= total:
+        end = field(at)
+        if end > total or read(at + 4, 16).startswith(SSH_NAMES) != (at == 0):
+            break
+        at = end
+        ends.append(at)
+    return ends[:0:-1]  # at least two fields
+
+
+def _confirmed(run: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the keys in a run of lines: each fills some lines of it, from a line start to a line end."""
+    lines = [m.span() for m in LINE.finditer(run)]
+    body = run.replace("\r", "").replace("\n", "").rstrip("=")
+    size = [0]
+    for a, b in lines:
+        size.append(min(size[-1] + b - a, len(body)))
+    place = {n: k for k, n in enumerate(size)}  # of a line that ends there
+    out, i = [], 0
+    while i < len(lines):
+        at, after = lines[i][0], i + 1
+        first = run[at : at + 4]
+        if first[:1] == "M":
+            ends = _der_ends(_decoded(body[size[i] : size[i] + 12]) or b"")
+        elif first == "AAAA" or first == "b3Bl":
+            ends = _ssh_ends(body, size[i])
+        else:
+            ends = ()
+        for n in ends:
+            k = place.get(size[i] + (4 * n + 2) // 3)
+            if k is None or k <= i:
+                continue
+            data = _decoded(body[size[i] : size[k]])
+            kind = data and ("der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None)
+            if kind:
+                out.append((kind, at, lines[k - 1][1]))
+                after = k
+                break
+        i = after
+    return out
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then in the order of KINDS."""
     out = []
@@ -133,14 +207,8 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     at = 0
     while m := B64_START.search(text, at):
         run = B64.match(text, m.start())[0].rstrip("\r\n")
-        first = run.split("\n", 1)[0].rstrip("\r")
         at = m.start() + max(len(run), 32)
-        for part in dict.fromkeys((run, first)):  # a wrapped body, or the one line
-            data = _decoded(part)
-            kind = data and ("der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None)
-            if kind:
-                out.append((kind, m.start(), m.start() + len(part)))
-                break
+        out += [(kind, m.start() + a, m.start() + b) for kind, a, b in _confirmed(run)]
     for m in HEX_RUN.finditer(text):
         if len(m[0]) % 2 == 0:
             data = bytes.fromhex(m[0])

@@ -49,6 +49,25 @@ def test_structures():
     assert kinds("A" * 500) == [] and kinds("a1" * 100) == []
 
 
+def test_keys_on_following_lines():
+    unpadded = lambda b: base64.b64encode(b).decode().rstrip("=")
+    found = lambda t: [(k, t[a:b]) for k, a, b in S.find_secrets(t) if k not in S.BASE]
+    wrap = lambda x: "\n".join(x[i : i + 64] for i in range(0, len(x), 64))
+    one, two, ssh = unpadded(SPKI), unpadded(PKCS8), unpadded(SSH)
+    container = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big")
+    container = unpadded(container + b"".join(len(x).to_bytes(4, "big") + x for x in (SSH, bytes(45))))
+    for keys in ([one] * 3, [one, two, one], [ssh, one, ssh], [ssh] * 3, [container, two, ssh]):
+        kinds_of = ["ssh" if k in (ssh, container) else "der" for k in keys]
+        for sep in ("\n", "\r\n"):
+            assert found(sep.join(keys)) == list(zip(kinds_of, keys, strict=True))
+            assert found(sep.join(["0a" * 32, *keys, "word"])) == list(zip(kinds_of, keys, strict=True))
+    full = der(0x30, INT(0) + der(4, bytes(135)))  # 144 bytes: three whole lines of 64
+    body = wrap(unpadded(full))
+    assert len(body) == 3 * 64 + 2  # and two line ends
+    assert found(f"{body}\nword") == [("der", body)] and found(f"{'Q' * 64}\n{body}\n{body}\nM") == [("der", body)] * 2
+    assert S.mask(f"{one}\n{two}\nword") == f"{S.MASK}\n{S.MASK}\nword"
+
+
 def test_long_runs_are_linear():
     for t in ("a" * 300_000, "A/" * 150_000, "ab." * 100_000, "token " * 50_000, "x" * 31 + " " + "f" * 300_000, ("Q" * 64 + "\n") * 4000):
         S.find_secrets(t)
