@@ -103,18 +103,10 @@ def replacements(facts: DataFrame) -> DataFrame:
     return o.join(newest, F.col("o.fact_id") == F.col("_old")).select(F.struct("o.*").alias("older"), "newer")
 
 
-def chains(spark, facts_view: str, most: int = 100) -> DataFrame:
-    """(root, fact_id, depth): the facts that lie behind each other, from those that replace nothing.
-
-    A recursive query over (fact_id, supersedes); each fact lies in one chain, so its
-    rows are those of the table.
-    """
-    return spark.sql(f"""
-        WITH RECURSIVE chain(root, fact_id, depth) AS (
-          SELECT fact_id, fact_id, 0 FROM {facts_view} WHERE supersedes IS NULL
-          UNION ALL
-          SELECT c.root, f.fact_id, c.depth + 1 FROM chain c JOIN {facts_view} f ON f.supersedes = c.fact_id WHERE c.depth < {most})
-        SELECT * FROM chain""")
+def slot_chains(facts: DataFrame, slot: list[str], at: str = "valid_at", seq: str = "seq") -> DataFrame:
+    """(root, fact_id, depth) of facts that ``supersede`` linked: each slot is one chain in order, of any length."""
+    w = W.partitionBy(*slot).orderBy(at, seq)
+    return facts.select(F.first("fact_id").over(w).alias("root"), "fact_id", (F.row_number().over(w) - 1).alias("depth"))
 
 
 def chain_roles(facts: DataFrame, t: float) -> DataFrame:

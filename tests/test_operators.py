@@ -171,3 +171,12 @@ def test_spread_rank(spark):
         want = [(s, i) for _, s, i in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))]
         assert [(r["s"], r["i"]) for r in sorted((r for r in out if r["g"] == g), key=lambda r: r["rank"])] == want
     assert spread_rank(spark.createDataFrame([], "s int"), [F.asc("s")]).collect() == []
+
+
+def test_chain_of_any_length(spark, tmp_path):
+    from palimpsest.plans.temporal import supersession_chain
+
+    rows = "id AS event_id, 7 AS user_id, 'a' AS event_type, CAST(id AS DOUBLE) AS value, timestamp_seconds(id) AS ts"
+    spark.range(250).selectExpr(*rows.split(", ")).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r["depth"], r["fact_id"], r["root"]) for r in supersession_chain(spark, str(tmp_path)).collect())
+    assert got == [(i, i, 0) for i in range(250)]
