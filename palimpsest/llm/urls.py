@@ -45,12 +45,15 @@ RULES = (
 
 @dataclass(frozen=True)
 class Mining:
-    """min_share of labelled urls that a token set must occur in, with at least min_rows of them."""
+    """min_share of labelled urls that a token set must occur in, with at least min_rows of them.
+
+    most_tokens bounds nothing that can be mined: a larger frequent set has 2**63 frequent subsets.
+    """
 
     min_share: float = 0.002
     min_rows: int = 5
     min_confidence: float = 0.6
-    most_tokens: int = 3
+    most_tokens: int = 62
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

@@ -72,6 +72,17 @@ def test_equals_brute_force(spark, seed):
     assert got == want and any(len(r) == 2 for r in rules)
 
 
+def test_rule_of_four_tokens(spark):
+    """Bad is one of 16 sections: no three of its tokens have the confidence."""
+    kinds = list(itertools.product("ab", "cd", "ef", "gh"))
+    pages = [(i, "http://{}.{}.net/{}/{}".format(*kinds[i % 16])) for i in range(160)]
+    labels = [(i, i % 16 == 0) for i in range(128)]
+    want, rules = slow(pages, labels, U.Mining())
+    out = U.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, bad boolean"))
+    assert sorted((tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in out.collect()), key=str) == want
+    assert min(map(len, rules)) == 4 and [w[0] for w in want if w[4] == "block"] == sorted(range(0, 160, 16), key=lambda i: str((i,)))
+
+
 def test_nothing_to_learn_from(spark):
     p = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
     none = spark.createDataFrame([], "doc_id long, bad boolean")
