@@ -22,6 +22,7 @@ from palimpsest.llm.work import durable, own_columns, read_spread
 BITS = 64
 HOT = 4096  # fingerprints under one key beyond which the key takes in more bits
 ROWS = 65536  # rows compared at once
+SLACK = 1e-6  # of a count, for products of a similarity
 
 
 def shingle_hashes(data: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -240,7 +241,11 @@ def simhash_classes(docs: DataFrame, words: int = 3, radius: int = 3, seed: int
 
 
 BANDS, PER_BAND = 12, 2  # at similarity 0.8 two texts share no band once in 200,000 times
-RADII = (2, 5, 8, 12, 16, 20, 26, 32, 40, 48)  # of 128 bits, the nearest links first; 0.8 is beyond 48 twice in 10**7 times (4 against 5 shingles) or less
+RADII = (8, 16, 24, 48)  # of 128 bits, the nearest links first; 0.8 is beyond 48 twice in 10**7 times (4 against 5 shingles) or less
+WIDE = 64  # texts of a block from which on it is compared by itself
+STEP = 256  # texts compared at once with all of such a block
+PART = 2048  # texts in one task's share of a block
+SHINGLES = 1 << 22  # about as many in that share
 _ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -276,12 +281,12 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketches(keyed: DataFrame, words: int, text_col: str) -> DataFrame:
-    """(_null, _id, _row, sh, f0, f1, keys): sh names a text's set of shingles."""
+    """(_null, _id, _row, sh, f0, f1, keys, size): sh names a text's set of ``size`` shingles."""
     src = keyed.select("_null", "_id", "_row", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def work(batches):
         for b in batches:
-            sh, f0, f1, keys = [], [], [], []
+            sh, f0, f1, keys, size = [], [], [], [], []
             for t in b.column(3):
                 h = np.unique(shingle_hashes(t.as_buffer().to_pybytes(), words))
                 m = _mix(h)
@@ -289,10 +294,62 @@ def sketches(keyed: DataFrame, words: int, text_col: str) -> DataFrame:
                 f0.append(_signed(simhash(h)))
                 f1.append(_signed(simhash(m)))
                 keys.append(band_keys(h).view(np.int64))
-            cols = [*b.columns[:3], pa.array(sh, pa.int64()), pa.array(f0, pa.int64()), pa.array(f1, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["_null", "_id", "_row", "sh", "f0", "f1", "keys"])
+                size.append(len(h))
+            cols = [*b.columns[:3], pa.array(sh, pa.int64()), pa.array(f0, pa.int64()), pa.array(f1, pa.int64())]
+            cols += [pa.array(keys, pa.list_(pa.int64())), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["_null", "_id", "_row", "sh", "f0", "f1", "keys", "size"])
 
-    return src.mapInArrow(work, "_null boolean, _id long, _row long, sh long, f0 long, f1 long, keys array<long>")
+    return src.mapInArrow(work, "_null boolean, _id long, _row long, sh long, f0 long, f1 long, keys array<long>, size long")
+
+
+def bit_planes(fp: np.ndarray) -> np.ndarray:
+    """A row for each bit, with that bit of 64 fingerprints in each word."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little").T
+    packed = np.zeros((len(bits), -(-len(fp) // 64) * 8), np.uint8)
+    packed[:, : -(-len(fp) // 8)] = np.packbits(bits, axis=1)
+    return packed.view(np.uint64)
+
+
+def near_matrix(some: np.ndarray, planes: np.ndarray, n: int, radius: int) -> np.ndarray:
+    """near[i, j]: some[i] and the j-th of ``planes`` differ in at most ``radius`` bits.
+
+    The carry-save counters of sliced_hits, for every row of ``some`` against 64 others a
+    word; abandoned once all of them are over the radius.
+    """
+    bits = np.unpackbits(np.ascontiguousarray(some).view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little").T
+    flip = np.uint64(0) - bits.astype(np.uint64)
+    k = max(1, radius.bit_length())
+    begin = (1 << k) - 1 - radius
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    over = np.zeros((len(some), planes.shape[1]), np.uint64)
+    counter = [np.full_like(over, full if begin >> i & 1 else 0) for i in range(k)]
+    for i, plane in enumerate(planes):
+        carry = plane[None, :] ^ flip[i][:, None]
+        for c in counter:
+            both = c & carry
+            c ^= carry
+            carry = both
+        over |= carry
+        if i % 16 == 15 and (over == full).all():
+            break
+    return np.unpackbits((~over).view(np.uint8), axis=1, count=n).astype(bool)
+
+
+def dense_tree(fp: np.ndarray, radii: tuple[int, ...]) -> list[tuple[int, int]]:
+    """block_tree of one group, by near_matrix."""
+    label, planes, out = np.arange(len(fp)), bit_planes(fp), []
+    for radius in radii:
+        for lo in range(0, len(fp), STEP):
+            near = near_matrix(fp[lo : lo + STEP], planes, len(fp), radius)
+            for i, row in enumerate(near, lo):
+                js = np.flatnonzero(row & (label != label[i]))
+                while len(js):
+                    out.append((i, int(js[0])))
+                    label[label == label[js[0]]] = label[i]
+                    js = js[label[js] != label[i]]
+        if (label == label[0]).all():
+            break
+    return out
 
 
 def block_tree(fp: np.ndarray, group: np.ndarray, radii: tuple[int, ...]) -> list[tuple[int, int]]:
@@ -307,6 +364,10 @@ def block_tree(fp: np.ndarray, group: np.ndarray, radii: tuple[int, ...]) -> lis
 
     _, group, size = np.unique(group, return_inverse=True, return_counts=True)
     apart, out = size.copy(), []
+    for g in np.flatnonzero(size >= WIDE).tolist():
+        own = np.flatnonzero(group == g)
+        out += [(int(own[i]), int(own[j])) for i, j in dense_tree(fp[own], radii)]
+        apart[g] = 1
     for radius in radii:
         shift = 1
         while len(live := np.flatnonzero((size[group] > shift) & (apart[group] > 1))):
@@ -322,31 +383,43 @@ def block_tree(fp: np.ndarray, group: np.ndarray, radii: tuple[int, ...]) -> lis
 
 
 def near_links(sets: DataFrame) -> DataFrame:
-    """(sh, f0, f1, keys) as (a, b): trees of near fingerprints in the blocks of each key."""
+    """(sh, f0, f1, keys) as (a, b): trees of near fingerprints in the blocks of each key.
+
+    A block of over PART texts is dealt into parts with a tree each. There each text also
+    has a link to itself: what it is near to may lie in another part.
+    """
     rows = sets.select(F.explode("keys").alias("key"), "sh", "f0", "f1")
-    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    dealt = rows.join(many, "key").repartition("key").sortWithinPartitions("key", "sh")
+    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = many.select("key", F.ceil(F.col("n") / PART).alias("parts"))
+    dealt = rows.join(many, "key").withColumn("part", F.pmod(F.xxhash64("sh"), F.col("parts")))
+    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "sh")
 
     def work(batches):
         left = None
         for b in batches:
-            part = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
-            part = part if left is None else np.concatenate([left, part], axis=1)
-            if not part.shape[1]:
+            rows = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
+            rows = rows if left is None else np.concatenate([left, rows], axis=1)
+            if not rows.shape[1]:
                 continue
-            cut = int(np.searchsorted(part[0], part[0, -1]))
-            left = part[:, cut:]
-            yield from tree(part[:, :cut])
+            cut = int(begins(rows)[-1])
+            left = rows[:, cut:]
+            yield from tree(rows[:, :cut])
         if left is not None:
             yield from tree(left)
 
-    def tree(p):
-        if p.shape[1]:
-            got = np.asarray(block_tree(np.ascontiguousarray(p[2:].T).view(np.uint64), p[0], RADII), dtype=np.int64).reshape(-1, 2)
-            a, b = p[1][got[:, 0]], p[1][got[:, 1]]
+    def begins(rows):
+        return np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])
+
+    def tree(rows):
+        n = rows.shape[1]
+        if n:
+            group = np.repeat(np.arange(len(at := begins(rows))), np.diff(np.r_[at, n]))
+            got = np.asarray(block_tree(np.ascontiguousarray(rows[4:].T).view(np.uint64), group, RADII), dtype=np.int64).reshape(-1, 2)
+            sh, alone = rows[3], rows[3][rows[2] > 1]
+            a, b = np.r_[sh[got[:, 0]], alone], np.r_[sh[got[:, 1]], alone]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return dealt.select("key", "sh", "f0", "f1").mapInArrow(work, "a long, b long").where("a <> b")
+    return dealt.select("key", "part", "parts", "sh", "f0", "f1").mapInArrow(work, "a long, b long")
 
 
 def similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -357,121 +430,172 @@ def similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for t in batches:
             ok = []
             for x, y in zip(t.column(2), t.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 common = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(common >= similarity * (len(p) + len(q) - common))
+                ok.append(common >= similarity * (len(p) + len(q) - common) - SLACK)
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(work, "a long, b long")
 
 
 def shingle_sets(keyed: DataFrame, wanted: DataFrame, words: int, text_col: str) -> DataFrame:
-    """(sh, hashes): sorted 32-bit shingle hashes of the texts that wanted(sh, _null, _id, _row) names."""
+    """(sh, hashes): sorted shingle hashes of the texts that wanted(sh, _null, _id, _row) names."""
     texts = keyed.select("_null", "_id", "_row", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     src = texts.join(wanted, ["_null", "_id", "_row"]).select("sh", "text")
 
     def work(batches):
         for b in batches:
-            made = [np.unique(shingle_hashes(t.as_buffer().to_pybytes(), words).astype(np.uint32)).tobytes() for t in b.column(1)]
+            made = [np.unique(shingle_hashes(t.as_buffer().to_pybytes(), words)).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["sh", "hashes"])
 
     return src.mapInArrow(work, "sh long, hashes binary").dropDuplicates(["sh"])
 
 
-def key_blocks(batches):
-    """Tables of one key each, from batches whose first column is that key, in order."""
+BLOCK = "key long, x long, y long, side boolean, sh long, band int, f0 long, f1 long, label long, keys array<long>"
+
+
+def whole_blocks(batches, width: int):
+    """Tables of one block each, from sorted batches whose first ``width`` columns name it."""
     held, last = [], None
     for b in batches:
         if not b.num_rows:
             continue
-        key = b.column(0).to_numpy(zero_copy_only=False)
-        at = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist()
+        key = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
+        at = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, b.num_rows].tolist()
         for i, j in zip(at[:-1], at[1:], strict=True):
-            if held and key[i] != last:
+            if held and (key[:, i] != last).any():
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(b.slice(i, j - i))
-            last = key[i]
+            last = key[:, i]
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _other_classes(fp: np.ndarray, label: np.ndarray, radius: int):
-    """(i, js): for rows outside the largest class, those of other labels within ``radius`` bits; each pair
-    once. Changes to ``label`` between two steps count."""
-    big = label == np.bincount(label).argmax()
-    for i in np.flatnonzero(~big).tolist():
-        other = label != label[i]
-        other[:i] &= big[:i]  # the others before have met i
-        j = np.flatnonzero(other)
-        j = j[np.bitwise_count(fp[j] ^ fp[i]).sum(axis=1, dtype=np.int64) <= radius]
-        if len(j):
-            yield i, j
-
-
-def settle(fp: np.ndarray, sets: list[np.ndarray], label: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """(i, j): links of a block at ``similarity`` that join its classes as all such pairs would: each pair
-    within ``radius`` is settled on its sets, unless links found before have joined its ends."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    start = np.r_[0, np.cumsum(size)]
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mark = np.zeros(int(ids.max()) + 1, bool)
-    label = np.unique(label, return_inverse=True)[1]
-    out = []
-    for i, j in _other_classes(fp, label, radius):
-        j = j[np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])]
-        own = ids[start[i] : start[i + 1]]
-        mark[own] = True
-        for part in np.split(j, np.flatnonzero(np.diff(np.cumsum(size[j]) // (16 * ROWS))) + 1):
-            part = part[label[part] != label[i]]
-            if not len(part):
-                continue
-            flat = mark[np.concatenate([ids[start[k] : start[k + 1]] for k in part.tolist()])]
-            common = np.add.reduceat(flat, np.r_[0, np.cumsum(size[part])[:-1]], dtype=np.int64)
-            for k in part[common >= similarity * (size[i] + size[part] - common)].tolist():
-                if label[k] != label[i]:
-                    label[label == label[k]] = label[i]
-                    out.append((i, k))
-        mark[own] = False
-    return out
+class Block:
+    """Texts of one key, or of two of its parts, in columns of BLOCK."""
+
+    def __init__(self, t: pa.Table):
+        self.side, self.sh, self.band = t["side"].to_numpy(), t["sh"].to_numpy(), t["band"][0].as_py()
+        self.fp = np.stack([t["f0"].to_numpy(), t["f1"].to_numpy()], axis=1).view(np.uint64)
+        self.label = np.unique(t["label"].to_numpy(), return_inverse=True)[1]
+        self.keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(len(self.sh), -1)
+
+    def open_pairs(self, radius: int):
+        """(i, js): pairs within ``radius`` bits whose ends differ in label, each once. If there are two
+        sides the pairs go across; those that share an earlier band are left to its block. Changes
+        to ``label`` between two steps count."""
+        n, label, across = len(self.sh), self.label, bool(self.side.any())
+        big = label == np.bincount(label).argmax()
+        planes, rows = bit_planes(self.fp), np.flatnonzero(~big)
+        for lo in range(0, len(rows), STEP):
+            some = rows[lo : lo + STEP]
+            for i, near in zip(some.tolist(), near_matrix(self.fp[some], planes, n, radius), strict=True):
+                other = near & (label != label[i])
+                other[:i] &= big[:i]  # the others before have met i
+                if across:
+                    other &= self.side != self.side[i]
+                js = np.flatnonzero(other)
+                js = js[~(self.keys[js, : self.band] == self.keys[i, : self.band]).any(axis=1)]
+                if len(js):
+                    yield i, js
+
+    def settle(self, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+        """(i, j): links at ``similarity`` that join the labels as all open pairs would: each is settled on
+        its sets, unless links found before have joined its ends."""
+        label, out = self.label, []
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        start = np.cumsum(size) - size
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        mark = np.zeros(int(ids.max()) + 1, bool)
+        for i, js in self.open_pairs(radius):
+            js = js[np.minimum(size[i], size[js]) >= similarity * np.maximum(size[i], size[js]) - SLACK]
+            own = ids[start[i] : start[i] + size[i]]
+            mark[own] = True
+            for part in np.split(js, np.flatnonzero(np.diff(np.cumsum(size[js]) // (16 * ROWS))) + 1):
+                part = part[label[part] != label[i]]
+                if not len(part):
+                    continue
+                at = np.cumsum(size[part]) - size[part]
+                flat = np.arange(int(size[part].sum())) + np.repeat(start[part] - at, size[part])
+                common = np.add.reduceat(mark[ids[flat]], at, dtype=np.int64)
+                for j in part[common >= similarity * (size[i] + size[part] - common) - SLACK].tolist():
+                    if label[j] != label[i]:
+                        label[label == label[j]] = label[i]
+                        out.append((i, j))
+            mark[own] = False
+        return out
+
+
+def open_rows(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of BLOCK that have open pairs, by the keys whose texts are of several ``classes``.
+
+    A key of p parts makes p * (p + 1) / 2 blocks: each part alone and beside every other.
+    """
+    rows = sets.select("sh", "f0", "f1", "keys", "size").join(classes.toDF("sh", "root"), "sh", "left")
+    rows = rows.select(F.posexplode("keys").alias("band", "key"), "sh", "f0", "f1", "keys", "size", F.coalesce("root", "sh").alias("label"))
+    seen = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("s") / SHINGLES))
+    mixed = seen.where("low < high").select("key", parts.alias("parts"))
+    dealt = rows.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("sh"), F.col("parts")))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    blocks = dealt.select(
+        "key", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"), (F.col("part") > F.col("o")).alias("side"), "sh", "band", "f0", "f1", "label", "keys"
+    )
+
+    def near(batches):
+        for t in whole_blocks(batches, 3):
+            keep = np.zeros(t.num_rows, bool)
+            for i, js in Block(t).open_pairs(RADII[-1]):
+                keep[i] = True
+                keep[js] = True
+            if keep.any():
+                yield from t.filter(pa.array(keep)).to_batches()
+
+    return blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "sh").mapInArrow(near, BLOCK)
+
+
+def may_link(own: DataFrame, similarity: float) -> DataFrame:
+    """The ``sh`` of own(sh, hashes) of which enough shingles stand in other sets too: a set of n with more
+    than (1 - similarity) * n of its own is similar to none."""
+
+    def each(batches):
+        for b in batches:
+            for sh, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = np.frombuffer(v.as_buffer(), np.int64)
+                for i in range(0, len(h), ROWS):
+                    part = h[i : i + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), sh)), pa.array(part)], ["sh", "h"])
+
+    alone = own.select("sh", "hashes").mapInArrow(each, "sh long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("sh").alias("sh"))
+    alone = alone.where("n = 1").groupBy("sh").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = own.select("sh", (F.octet_length("hashes") / 8).alias("size")).join(alone, "sh", "left")
+    return sizes.where(F.coalesce("alone", F.lit(0)) <= (1 - similarity) * F.col("size") + SLACK).select("sh")
 
 
 def settled_links(sets: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """(a, b): what else joins near_links' blocks where they hold members of several ``classes``.
 
     The trees skip a pair whose ends are joined by links that the sets may refuse; here no
-    pair is skipped but for links that the sets have confirmed.
+    pair is skipped but for links that the sets have confirmed. Texts with too many
+    shingles of their own leave first, in grouped counts, so that a large group of
+    differently edited copies is not compared pair by pair.
     """
-    rows = sets.select("sh", "f0", "f1", "keys").join(classes.toDF("sh", "root"), "sh", "left")
-    rows = rows.select(F.explode("keys").alias("key"), "sh", "f0", "f1", F.coalesce("root", "sh").alias("label"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    dealt = rows.join(mixed, "key").repartition("key").sortWithinPartitions("key", "sh")
-
-    def columns(t):
-        key, sh, f0, f1, label = (t.column(i).to_numpy() for i in range(5))
-        return key, sh, np.stack([f0, f1], axis=1).view(np.uint64), label
-
-    def near(batches):
-        for t in key_blocks(batches):
-            _, _, fp, label = columns(t)
-            keep = np.zeros(len(fp), bool)
-            for i, j in _other_classes(fp, np.unique(label, return_inverse=True)[1], RADII[-1]):
-                keep[i] = True
-                keep[j] = True
-            if keep.any():
-                yield from t.filter(pa.array(keep)).to_batches()
+    rows = durable(open_rows(sets, classes), "open-rows")
+    own = durable(texts.join(rows.select("sh").distinct(), "sh").select("sh", "hashes"), "open-sets")
+    full = rows.join(own.join(may_link(own, similarity), "sh"), "sh")
+    names = [c.split()[0] for c in BLOCK.split(", ")]
 
     def settle_all(batches):
-        for t in key_blocks(batches):
-            _, sh, fp, label = columns(t)
-            made = [np.frombuffer(v.as_buffer(), np.uint32) for v in t.column(5)]
-            got = np.asarray(settle(fp, made, label, RADII[-1], similarity), dtype=np.int64).reshape(-1, 2)
+        for t in whole_blocks(batches, 3):
+            block = Block(t)
+            made = [np.frombuffer(v.as_buffer(), np.uint64) for v in t["hashes"]]
+            got = np.asarray(block.settle(made, RADII[-1], similarity), dtype=np.int64).reshape(-1, 2)
             if len(got):
-                yield pa.RecordBatch.from_arrays([pa.array(sh[got[:, 0]]), pa.array(sh[got[:, 1]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(block.sh[got[:, 0]]), pa.array(block.sh[got[:, 1]])], ["a", "b"])
 
-    open_rows = durable(dealt.select("key", "sh", "f0", "f1", "label").mapInArrow(near, "key long, sh long, f0 long, f1 long, label long"), "open-rows")
-    full = open_rows.join(texts, "sh").select("key", "sh", "f0", "f1", "label", "hashes")
-    return full.repartition("key").sortWithinPartitions("key", "sh").mapInArrow(settle_all, "a long, b long")
+    dealt = full.select(*names, "hashes").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "sh")
+    return dealt.mapInArrow(settle_all, "a long, b long")
 
 
 def near_duplicate_classes(keyed: DataFrame, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
@@ -479,12 +603,12 @@ def near_duplicate_classes(keyed: DataFrame, words: int = 5, similarity: float =
     similarities of at least ``similarity`` joins. Texts without words are one class."""
     made = durable(sketches(keyed, words, text_col), "sketches")
     who = F.min(F.struct("_null", "_id", "_row")).alias("who")
-    sets = durable(made.groupBy("sh").agg(who, F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("keys").alias("keys")), "shingle-sets")
+    sets = durable(made.groupBy("sh").agg(who, F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("keys").alias("keys"), F.first("size").alias("size")), "shingle-sets")
     links = durable(near_links(sets).distinct(), "near-links")
     ends = links.select(F.col("a").alias("sh")).union(links.select("b")).distinct()
     wanted = sets.join(ends, "sh").select("sh", "who._null", "who._id", "who._row")
     texts = durable(shingle_sets(keyed, wanted, words, text_col), "checked-sets")
-    joined = durable(similar(links, texts, similarity), "joined")
+    joined = durable(similar(links.where("a <> b"), texts, similarity), "joined")
     more = settled_links(sets, texts, durable(connected_components(joined), "first-classes"), similarity)
     root = durable(connected_components(joined.union(more)), "near-classes")
     return made.join(root.toDF("sh", "root"), "sh", "left").select("_null", "_id", "_row", F.coalesce("root", "sh").alias("root"))

@@ -75,6 +75,27 @@ def test_near_duplicates_of_many_variants(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == slow_near(rows)
 
 
+def test_near_duplicates_in_parts(spark, monkeypatch):
+    """Blocks of over PART texts, or SHINGLES, are compared part by part: same classes."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 3000, 150)]
+    rows = [(i, " ".join(edited(rng, base, int(rng.integers(1, 20))))) for i in range(350)]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), slow_near(rows)
+    for part, shingles in ((60, 1 << 22), (2048, 9000)):
+        monkeypatch.setattr(simhash, "PART", part)
+        monkeypatch.setattr(simhash, "SHINGLES", shingles)
+        assert sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect()), key=str) == want
+
+
+def test_near_matrix():
+    rng = np.random.default_rng(2)
+    fp = rng.integers(0, 1 << 63, (150, 2), dtype=np.uint64)
+    fp[75:] = fp[:75] ^ (np.uint64(1) << rng.integers(0, 8, (75, 2)).astype(np.uint64))
+    far = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
+    for radius in (0, 1, 2, 3, 24, 48, 63):
+        assert (simhash.near_matrix(fp, simhash.bit_planes(fp), len(fp), radius) == (far <= radius)).all()
+
+
 def test_near_bits_alone_join_and_part_nothing(spark):
     """Many variants under the threshold, some near in bits; and pairs of 4 and 5 shingles, some far in bits."""
     rng = np.random.default_rng(5)
