@@ -139,7 +139,8 @@ def tokenize_pieces(
 
 @dataclass
 class Capacity:
-    """What one sequence holds. A limit that can never bind takes no part in the fit."""
+    """What one sequence holds. Every limit given takes part in the fit, with its residual in the state of a
+    sequence and in the score, also where it cannot bind."""
 
     tokens: int = 2048
     documents: int | None = None
@@ -148,13 +149,9 @@ class Capacity:
     score: str = "residual_norm"  # or "dot_product"
 
     def limits(self) -> list[tuple[int, float, int]]:
-        """(dimension, weight, capacity) of those that can bind."""
-        out = [(0, self.weights[0], self.tokens)]
-        if self.documents is not None and self.documents < self.tokens:
-            out.append((1, self.weights[1], self.documents))
-        if self.attention is not None and self.attention < self.tokens**2:
-            out.append((2, self.weights[2], self.attention))
-        return out
+        """(dimension, weight, capacity) of those given."""
+        given = zip(self.weights, (self.tokens, self.documents, self.attention), strict=True)
+        return [(i, w, c) for i, (w, c) in enumerate(given) if c is not None]
 
 
 @dataclass
@@ -288,7 +285,7 @@ def _plain(df: DataFrame, name: str) -> bool:
 
 
 def op1_best_fit_pack(spark, sf_dir: str) -> DataFrame:
-    """documents in sequences of at most 2048 tokens; the other two limits cannot bind here."""
+    """documents in sequences of at most 2048 tokens, as many documents and the square as attention cost."""
     import public_tokenizers
 
     docs = read_spread(spark, f"{sf_dir}/documents.parquet")

@@ -26,7 +26,7 @@ def slow_plan(lengths, cap):
 
 
 @pytest.mark.parametrize("score", ["residual_norm", "dot_product"])
-@pytest.mark.parametrize("limits", [(None, None), (3, None), (4, 900)])
+@pytest.mark.parametrize("limits", [(None, None), (3, None), (4, 900), (40, 1600)])
 def test_plan_equals_item_by_item(score, limits):
     rng = np.random.default_rng(5)
     for _ in range(6):
