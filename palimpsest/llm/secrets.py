@@ -110,6 +110,19 @@ def is_signed_token(text: str) -> bool:
     return h is not None and isinstance(h.get("alg"), str) and _json_object(claims) is not None
 
 
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of tokens. A dotted word before one (config.auth_header.<token>) is no part of it: where a
+    candidate fails, the next begins at its second part."""
+    out, at = [], 0
+    while m := DOTTED.search(text, at):
+        if is_signed_token(m[0]):
+            out.append(m.span())
+            at = m.end()
+        else:
+            at = text.index(".", m.start()) + 1
+    return out
+
+
 def _decoded(run: str) -> bytes | None:
     body = run.replace("\r", "").replace("\n", "").rstrip("=")
     if len(body) % 4 == 1:
@@ -203,7 +216,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         out += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "." in text:
-        out += [("jwt", *m.span()) for m in DOTTED.finditer(text) if is_signed_token(m[0])]
+        out += [("jwt", *span) for span in signed_tokens(text)]
     at = 0
     while m := B64_START.search(text, at):
         run = B64.match(text, m.start())[0].rstrip("\r\n")

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import random
 import re
 
 from palimpsest.llm import secrets as S
@@ -29,6 +30,42 @@ def slow_base(text):
     return sorted(out, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
 
 
+def slow_added(text):
+    """Every stretch between word ends as a token or a hex key, and between line ends as a base64 key: the first that fits stays."""
+    out, taken = [], 0
+    parts = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9_-]+", text)]
+    for a, _ in parts:
+        m = re.compile(r"([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)").match(text, a)
+        if m and a >= taken:
+            try:
+                head, claims = (json.loads(base64.urlsafe_b64decode(x + "==")) for x in m.groups()[:2])
+            except ValueError:
+                continue
+            if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(claims, dict):
+                out.append(("jwt", *m.span()))
+                taken = m.end()
+    blob = lambda d: "der" if S.is_der_key(d) else "ssh" if S.is_ssh_key(d) else None
+    for m in re.finditer(r"[0-9A-Fa-f]+", text):
+        if len(m[0]) >= 32 and len(m[0]) % 2 == 0 and (kind := blob(bytes.fromhex(m[0]))):
+            out.append((kind, *m.span()))
+    for m in re.finditer(r"[A-Za-z0-9+/]{32,}={0,2}", text):  # keys of one line
+        body = m[0].rstrip("=")
+        if len(body) % 4 != 1 and (kind := blob(base64.b64decode(body + "=" * (-len(body) % 4)))):
+            out.append((kind, *m.span()))
+    return sorted(set(out), key=lambda s: (s[1], S.KINDS.index(s[0])))
+
+
+def test_added_spans_equal_slow_version():
+    unpadded = base64.b64encode(SPKI).decode().rstrip("=")
+    words = ["authorization.", "config.auth_header.", "eyJhbGciOi.", ".", "..", " ", "x", "a_b-c", "\n ", f" {PKCS8.hex()} ", f" {unpadded} ", " " + "ab" * 20, JWT, JWT, url({"alg": "none"})]
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice(words) for _ in range(rng.randint(1, 9)))
+        assert [s for s in S.find_secrets(text) if s[0] not in S.BASE] == slow_added(text), text
+    for before in ("authorization.", "config.auth_header.", "a.b.c.d.e."):
+        assert [s[1:] for s in S.find_secrets(before + JWT) if s[0] == "jwt"] == [(len(before), len(before + JWT))]
+
+
 def kinds(text):
     return [k for k, _, _ in S.find_secrets(text) if k not in S.BASE]
 
