@@ -2,15 +2,18 @@
 
 Features: a polyphase resampler (2/3 of the rate), overlapped log-mel frames, and
 segments of activity found with two thresholds. Frames are cut into tensors of one
-fixed shape, each with the span of time that it covers. Every step works on one clip
-alone and in blocks of one shape, so equal clips have equal features.
+fixed shape, each with the span of time that it covers; a clip's tensors are stored as
+one Arrow stream of a fixed-shape tensor column beside its time spans. Every step works
+on one clip alone and in blocks of one shape, so equal clips have equal features.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,7 +133,26 @@ SPAN = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
 
 
 ROWS, SIZE = 64, 1 << 22  # clips, and about bytes, handed on at once
-MADE = "payload binary, frames long, active array<struct<start_s:double,end_s:double>>, parts array<struct<start_s:double,end_s:double,mel:array<tinyint>>>"
+MADE = "payload binary, frames long, active array<struct<start_s:double,end_s:double>>, tensors binary"
+KIND = pa.fixed_shape_tensor(pa.int8(), SHAPE)
+TENSORS = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("mel", KIND)])
+
+
+def store_tensors(start: np.ndarray, end: np.ndarray, cells: np.ndarray) -> bytes:
+    """An Arrow stream with a row for each tensor of ``cells``, (n, *SHAPE) int8, and the span that it covers."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(cells.reshape(-1)), SHAPE[0] * SHAPE[1])
+    rows = pa.RecordBatch.from_arrays([pa.array(start), pa.array(end), pa.ExtensionArray.from_storage(KIND, flat)], schema=TENSORS)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, TENSORS) as w:
+        w.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def read_tensors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What store_tensors was given, as the stream says: (start_s, end_s, (n, *shape))."""
+    rows = pa.ipc.open_stream(data).read_all().combine_chunks()
+    start, end = (rows[c].to_numpy() for c in ("start_s", "end_s"))
+    return start, end, rows["mel"].chunk(0).to_numpy_ndarray() if len(rows) else np.zeros((0, *rows.schema.field("mel").type.shape), np.int8)
 
 
 def _slices(sizes: list[int]):
@@ -156,23 +178,17 @@ def _featured(batch: pa.RecordBatch):
     at = batch.schema.names.index("media")
     for i, j in _slices([len(m.as_buffer()) for m in batch.column(at)]):
         part = batch.slice(i, j - i)
-        payload, frames, active, cut, mels = [], [], [], [], []
+        payload, frames, active, made = [], [], [], []
         for m in part.column(at):
             _, samples = read_wav(m.as_buffer().to_pybytes())
             mel = log_mel(resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128))
             payload.append(samples)
             frames.append(len(mel))
             active.append([{"start_s": seconds(a), "end_s": seconds(z)} for a, z in active_spans(mel)])
-            mels.append(tensors(mel))
-            cut.append(len(mels[-1]))
-        first = np.concatenate([np.arange(n) * SHAPE[0] for n in cut])
-        last = np.minimum(first + SHAPE[0], np.repeat(frames, cut))
-        cells = np.concatenate(mels).reshape(-1)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * (SHAPE[0] * SHAPE[1])), pa.array(cells))
-        spans = pa.StructArray.from_arrays([pa.array(seconds(first)), pa.array(seconds(last)), lists], ["start_s", "end_s", "mel"])
-        parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cut)]).astype(np.int32)), spans)
-        new = [pa.array(payload, pa.binary()), pa.array(frames, pa.int64()), pa.array(active, pa.list_(SPAN)), parts]
-        yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "payload", "frames", "active", "parts"])
+            first = np.arange(0, len(mel), SHAPE[0])
+            made.append(store_tensors(seconds(first), seconds(np.minimum(first + SHAPE[0], len(mel))), tensors(mel)))
+        new = [pa.array(payload, pa.binary()), pa.array(frames, pa.int64()), pa.array(active, pa.list_(SPAN)), pa.array(made, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "payload", "frames", "active", "tensors"])
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -190,7 +206,8 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def audio_features(media: DataFrame) -> DataFrame:
-    """``media`` with payload (read back), frames, active spans and tensors of log-mel with their spans of time."""
+    """``media`` with payload (read back), frames, active spans, and tensors: the stored stream of log-mel
+    tensors with their spans of time, for read_tensors."""
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
     return media.mapInArrow(lambda batches: (s for b in batches for s in _featured(b)), f"{own}, {MADE}")
 
@@ -201,19 +218,29 @@ def audio_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return src.mapInArrow(lambda batches: (f for b in batches for s in _stored(b) for f in _featured(s)), f"{_media_schema(src)}, {MADE}")
 
 
-def as_tensor_column(parts: pa.ChunkedArray) -> pa.ExtensionArray:
-    """The ``mel`` lists of flattened parts as an Arrow fixed-shape tensor array."""
-    flat = pa.concat_arrays(parts.chunks) if isinstance(parts, pa.ChunkedArray) else parts
-    values = flat.flatten().cast(pa.int8())
-    kind = pa.fixed_shape_tensor(pa.int8(), SHAPE)
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values, SHAPE[0] * SHAPE[1]))
+def _digest(data: bytes) -> tuple[int, str]:
+    """(number of tensors, hash of their cells and spans), read from the stored stream."""
+    start, end, cells = read_tensors(data)
+    told = hashlib.sha256(cells.tobytes())
+    told.update(np.stack([start, end]).astype("<f8").tobytes())
+    return len(cells), told.hexdigest()[:32]
+
+
+def tensor_digests(tensors) -> F.Column:
+    """struct(n, sha) of a column of stored tensors."""
+
+    @F.pandas_udf("n long, sha string")
+    def told(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_digest(x) for x in data], columns=["n", "sha"])
+
+    return told(tensors)
 
 
 def op9_audio_features(spark, sf_dir: str) -> DataFrame:
-    made = audio_table(read_spread(spark, f"{sf_dir}/documents.parquet"))
+    """feature: frames;tensors;digest of the stored tensors, read back;active spans in seconds."""
+    made = audio_table(read_spread(spark, f"{sf_dir}/documents.parquet")).withColumn("_t", tensor_digests("tensors"))
     spans = F.array_join(F.transform("active", lambda s: F.concat_ws("-", s["start_s"].cast("decimal(18,4)"), s["end_s"].cast("decimal(18,4)"))), ",")
-    bands = F.array_join(F.transform("parts", lambda p: F.sha2(F.array_join(p["mel"], ",").cast("binary"), 256).substr(1, 16)), "")
-    told = F.concat_ws(";", F.col("frames"), F.size("parts"), F.sha2(bands.cast("binary"), 256).substr(1, 32), spans)
+    told = F.concat_ws(";", F.col("frames"), F.col("_t.n"), F.col("_t.sha"), spans)
     return made.select(
         "doc_id",
         "n_bytes",
@@ -225,4 +252,3 @@ def op9_audio_features(spark, sf_dir: str) -> DataFrame:
         told.alias("feature"),
     )
 
-
