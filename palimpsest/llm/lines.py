@@ -1,6 +1,6 @@
 """Line dedup by distinct-site spread. Only DataFrame functions.
 
-A line's key is the hash of its text without outer spaces; blank lines have none.
+A line's key is two 64-bit hashes of its text without outer spaces; blank lines have none.
 Lines that enough rows hold get a HyperLogLog sketch of their sites; where the
 estimate is near the threshold the sites are counted exactly. Of a boilerplate line
 the first occurrence (smallest id, then place) stays and the others go.
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.work import durable
 
 MIN_SITES = 10
+LINE = ["h", "g"]  # the hashes of a line
 LG_K = 12  # a sketch of 2**12 buckets: a standard error of 1.6 percent
 NEAR = 0.06  # of the threshold on each side, almost four standard errors; one site at least
 
@@ -33,19 +34,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _occurrences(keyed: DataFrame, site_col: str) -> DataFrame:
     at = keyed.select("_id", "_null", "_row", F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("")).alias("site"), F.posexplode("_lines").alias("pos", "line"))
-    return at.select("_id", "_null", "_row", "pos", "site", F.trim("line").alias("line")).where("line <> ''").withColumn("h", F.xxhash64("line")).drop("line")
+    at = at.select("_id", "_null", "_row", "pos", "site", F.trim("line").alias("line")).where("line <> ''")
+    return at.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")}).drop("line")
 
 
 def boilerplate_lines(seen: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(h, first) of the lines on at least ``min_sites`` distinct sites, from occurrences (h, site, at);
+    """(h, g, first) of the lines on at least ``min_sites`` distinct sites, from occurrences (h, g, site, at);
     first is the least ``at``. Sketches and first places of a hot line combine before the shuffle."""
-    sketch = seen.groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("at").alias("first"))
-    about = durable(sketch.select("h", "first", F.hll_sketch_estimate("sketch").alias("about")), "line-sites")
+    sketch = seen.groupBy(*LINE).agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("at").alias("first"))
+    about = durable(sketch.select(*LINE, "first", F.hll_sketch_estimate("sketch").alias("about")), "line-sites")
     margin = max(1.0, NEAR * min_sites)
-    sure = about.where(F.col("about") > min_sites + margin).select("h", "first")
-    near = about.where(F.col("about").between(min_sites - margin, min_sites + margin)).select("h", "first")
-    exact = seen.join(near, "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    return sure.union(near.join(exact.where(F.col("n") >= min_sites), "h").select("h", "first"))
+    sure = about.where(F.col("about") > min_sites + margin).select(*LINE, "first")
+    near = about.where(F.col("about").between(min_sites - margin, min_sites + margin)).select(*LINE, "first")
+    exact = seen.join(near, LINE, "left_semi").select(*LINE, "site").distinct().groupBy(*LINE).agg(F.count(F.lit(1)).alias("n"))
+    return sure.union(near.join(exact.where(F.col("n") >= min_sites), LINE).select(*LINE, "first"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -59,13 +61,15 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     keyed = _keyed(docs.select(*[F.col(f"`{c}`") for c in keep]), id_col, text_col)
     seen = _occurrences(keyed, site_col)
     # distinct sites cannot outnumber rows: most lines end here, in one pre-aggregated count
-    often = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("a"), F.max("site").alias("z"))
+    site = F.xxhash64("site")
+    often = seen.groupBy(*LINE).agg(F.count(F.lit(1)).alias("n"), F.min(site).alias("a"), F.max(site).alias("z"))
     often = often.where(F.col("n") >= min_sites)
-    often = (often.where("a <> z") if min_sites > 1 else often).select("h")
-    kept = seen.join(often, "h").select("h", "site", F.struct("_null", "_id", "_row", "pos").alias("at"))
+    # written, so that both sides of the join are plain: it is broadcast by its size, or else a hot line's rows are split
+    often = durable((often.where("a <> z") if min_sites > 1 else often).select(*LINE), "often-seen")
+    kept = seen.join(often, LINE).select(*LINE, "site", F.struct("_null", "_id", "_row", "pos").alias("at"))
     seen = durable(kept, "often-seen-lines")
     common = durable(boilerplate_lines(seen, min_sites), "boilerplate")
-    gone = seen.join(common, "h").where(F.col("at") != F.col("first"))
+    gone = seen.join(common, LINE).where(F.col("at") != F.col("first"))
     gone = gone.groupBy("at._id", "at._null", "at._row").agg(F.sort_array(F.collect_set("at.pos")).alias("_gone"))
     whole = keyed.join(gone, ["_id", "_null", "_row"], "left")
     edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_lines")))

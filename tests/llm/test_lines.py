@@ -48,7 +48,7 @@ def test_oracle(spark):
 
 def test_sketch_and_exact_count_meet(spark):
     rows = [(h, f"s{i}") for h, n in ((1, 5000), (2, 1000), (3, 1060), (4, 999), (5, 940)) for i in range(n)]
-    seen = spark.createDataFrame([(*r, i) for i, r in enumerate(rows * 2)], "h long, site string, at long")
+    seen = spark.createDataFrame([(h, -h, s, i) for i, (h, s) in enumerate(rows * 2)], "h long, g long, site string, at long")
     assert {r["h"] for r in L.boilerplate_lines(seen, 1000).collect()} == {1, 2, 3}
 
 
