@@ -96,7 +96,7 @@ def mine_rules(labelled: DataFrame, mining: Mining) -> DataFrame:
         return labelled.sparkSession.createDataFrame([], empty)
     share = min(1.0, max(mining.min_share, mining.min_rows / total))
     model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=mining.min_confidence).fit(baskets)
-    sets = model.freqItemsets
+    sets = durable(model.freqItemsets, "frequent-sets")
     found = sets.where(F.array_contains("items", BAD) & F.size("items").between(2, mining.most_tokens + 1))
     found = found.select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("support"))
     base = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
@@ -161,7 +161,7 @@ def _rule_sql(rules: tuple[Rule, ...], what: str) -> str:
 
 
 OP4_SQL = f"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
@@ -175,12 +175,11 @@ l AS (SELECT doc_id, max(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY d
 b AS (SELECT row_number() OVER () AS i, tokens, bad FROM k JOIN l ON page_id = doc_id WHERE bad IS NOT NULL),
 m AS (SELECT greatest(5, ceil(0.002 * count(*))) AS least FROM b),
 t AS (SELECT i, bad, unnest(tokens) AS a FROM b),
-s1 AS (SELECT [a] AS rule, count(*) AS n, count(*) FILTER (WHERE bad) AS y FROM t GROUP BY a),
-f AS (SELECT i, bad, a FROM t JOIN (SELECT rule[1] AS a FROM s1, m WHERE n >= least) USING (a)),
-s2 AS (SELECT [x.a, y.a] AS rule, count(*) AS n, count(*) FILTER (WHERE x.bad) AS y FROM f x JOIN f y ON x.i = y.i AND x.a < y.a GROUP BY x.a, y.a),
-s3 AS (SELECT [x.a, y.a, z.a] AS rule, count(*) AS n, count(*) FILTER (WHERE x.bad) AS y
-       FROM f x JOIN f y ON x.i = y.i AND x.a < y.a JOIN f z ON x.i = z.i AND y.a < z.a GROUP BY x.a, y.a, z.a),
-r AS (SELECT rule FROM (FROM s1 UNION ALL FROM s2 UNION ALL FROM s3), m WHERE y >= least AND y / n >= 0.6),
+f AS (SELECT i, bad, a FROM t JOIN (SELECT a FROM t, m GROUP BY a, least HAVING count(*) >= least) USING (a)),
+s AS (SELECT i, bad, [a] AS rule, a FROM f UNION ALL
+      SELECT s.i, s.bad, list_append(s.rule, f.a), f.a FROM s JOIN f ON s.i = f.i AND s.a < f.a),
+c AS (SELECT rule, count(*) AS n, count(*) FILTER (WHERE bad) AS y FROM s GROUP BY rule),
+r AS (SELECT rule FROM c, m WHERE y >= least AND y / n >= 0.6),
 h AS (SELECT DISTINCT page_id, tokens FROM k JOIN r ON list_has_all(tokens, rule))
 SELECT page_id, host, path, {_rule_sql(RULES, "text")} AS rule,
        coalesce({_rule_sql(RULES, "verdict")}, CASE WHEN page_id IN (SELECT page_id FROM h) THEN 'block' ELSE 'allow' END) AS verdict
