@@ -25,8 +25,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps. Labels are those of the table; null texts count as empty."""
-    model = quality.fit_quality(docs, quality.good_labels(spark, sf_dir))
-    return quality.classify_quality(docs, model).where("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.keep_good(docs, quality.good_labels(spark, sf_dir))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
