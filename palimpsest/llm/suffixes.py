@@ -4,16 +4,18 @@ Every window of ``length`` bytes has a key: the least hash among its short grams
 Equal windows have equal keys, so windows are dealt out by key, consecutive windows
 of one key travelling as a run. Runs equal as a whole collapse by their hash, and a
 key with a single run needs no text. What remains are the ends of repeats. Their
-texts go to the key's task in the order of the corpus, in batches: each batch gets
+texts are dealt by key, and those of a key with very many runs by the hash of each
+window. A task takes its share in the order of the corpus, in batches: each batch gets
 a suffix array cut at ``length`` bytes, is merge-scanned against the sorted levels of
-earlier batches, and joins them; levels of equal size merge, so a key of n windows
-has log n levels.
+all earlier batches, and joins them; levels of about equal size merge, so a share of n
+windows has log n levels. There are as many shares as keep each within WINDOWS.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.work import durable, own_columns, read_spread
 
 BLOCK = 1 << 20  # windows of a text handled at once; a run cut here is only a shorter run
-BATCH = 1 << 17  # windows in a suffix array
+BATCH = 1 << 16  # windows in a suffix array
+WINDOWS = 1 << 19  # windows in a task's share
+HOT = 4096  # different runs of a key beyond which its windows are dealt one by one
 LAST = (1 << 63) - 1  # where a null id sorts
 
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 256, dtype=np.uint64)
@@ -188,7 +192,7 @@ def compare_runs(found: DataFrame) -> DataFrame:
 
 
 class SuffixFamily:
-    """Sorted levels of the distinct windows of one key."""
+    """Sorted levels of the distinct windows seen so far, each less than half as long as the one before it."""
 
     def __init__(self):
         self.levels: list[np.ndarray] = []
@@ -205,10 +209,18 @@ class SuffixFamily:
         if len(windows):
             self.levels.append(windows)
         while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-            a, b = self.levels.pop(), self.levels.pop()
-            both = np.concatenate([b, a])
-            both.sort(kind="stable")
-            self.levels.append(both)
+            new, old = self.levels.pop(), self.levels.pop()
+            self.levels.append(merge(old, new))
+
+
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One sorted array of two that share no element."""
+    out = np.empty(len(a) + len(b), a.dtype)
+    at = np.searchsorted(a, b) + np.arange(len(b))
+    rest = np.ones(len(out), bool)
+    rest[at] = False
+    out[at], out[rest] = b, a
+    return out
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,12 +231,12 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     return order, cut[order]
 
 
-def _pieces(kh, at, n, texts, length):
-    """Windows of whole runs, BATCH at a time: (run of each window, offset in it, text, start in text)."""
+def _pieces(n, texts, length, most):
+    """Windows of whole runs, about ``most`` at a time: (run of each window, offset in it, text, start in text)."""
     i = 0
     while i < len(n):
         j, total = i, 0
-        while j < len(n) and (j == i or total + n[j] <= BATCH):
+        while j < len(n) and (j == i or total + n[j] <= most):
             total += int(n[j])
             j += 1
         text = np.frombuffer(b"".join(texts[i:j]), np.uint8)
@@ -236,38 +248,37 @@ def _pieces(kh, at, n, texts, length):
         i = j
 
 
-def match_runs(fragments: DataFrame, length: int) -> DataFrame:
-    """(kh, d, ord, at, n, text) as (d, ord, start, end): spans of windows that came earlier."""
-    dealt = fragments.repartition("kh").sortWithinPartitions("kh", "d", "ord", "at")
-
-    def work(batches):
-        key, family = None, SuffixFamily()
-        for b in batches:
-            if not b.num_rows:
-                continue
-            kh, d, o, at, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            texts = [t.as_buffer().to_pybytes() for t in b.column(5)]
-            for run, off, text, start in _pieces(kh, at, n, texts, length):
-                order, cut = suffix_array(text, start, length)
-                new = np.concatenate([[True], cut[1:] != cut[:-1]])
-                of = kh[run[order]]
-                firsts = np.flatnonzero(new & (of == key)) if key is not None else np.zeros(0, np.int64)
-                old = np.zeros(len(cut), bool)
-                if len(firsts):
-                    old[firsts] = family.holds(cut[firsts])
-                again = np.empty(len(cut), bool)
-                again[order] = ~new | old
-                tail = kh[run[-1]]
-                if tail != key:
-                    key, family = tail, SuffixFamily()
-                family.add(cut[new & ~old & (of == key)])
-                edge = np.flatnonzero(again & ~np.concatenate([[False], again[:-1] & (run[1:] == run[:-1])]))
-                stop = np.flatnonzero(again & ~np.concatenate([again[1:] & (run[1:] == run[:-1]), [False]]))
-                r, first = run[edge], at[run[edge]] + off[edge]
-                cols = [pa.array(d[r]), pa.array(o[r].astype(np.int32)), pa.array(first), pa.array(first + (stop - edge) + length)]
-                yield pa.RecordBatch.from_arrays(cols, ["d", "ord", "start", "end"])
-
-    return dealt.select("kh", "d", "ord", "at", "n", "text").mapInArrow(work, "d long, ord int, start long, end long")
+def merge_scan(batches, length: int, family: SuffixFamily, most: int):
+    """Batches of (d, ord, at, n, text) in the order of the corpus as (d, ord, start, end): spans of windows that
+    came earlier, in the batch or in the family, which takes in the others."""
+    for b in batches:
+        d, o, at, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        texts = [t.as_buffer().to_pybytes() for t in b.column(4)]
+        for run, off, text, start in _pieces(n, texts, length, most):
+            order, cut = suffix_array(text, start, length)
+            new = np.concatenate([[True], cut[1:] != cut[:-1]])
+            firsts = np.flatnonzero(new)
+            old = family.holds(cut[firsts])
+            family.add(cut[firsts[~old]])
+            seen = ~new
+            seen[firsts] = old
+            again = np.empty(len(cut), bool)
+            again[order] = seen
+            edge = np.flatnonzero(again & ~np.concatenate([[False], again[:-1] & (run[1:] == run[:-1])]))
+            stop = np.flatnonzero(again & ~np.concatenate([again[1:] & (run[1:] == run[:-1]), [False]]))
+            r, first = run[edge], at[run[edge]] + off[edge]
+            cols = [pa.array(d[r]), pa.array(o[r].astype(np.int32)), pa.array(first), pa.array(first + (stop - edge) + length)]
+            yield pa.RecordBatch.from_arrays(cols, ["d", "ord", "start", "end"])
+
+
+def match_runs(fragments: DataFrame, length: int, shares: int) -> DataFrame:
+    """(share, d, ord, at, n, text) as (d, ord, start, end): spans of windows that came earlier.
+
+    Equal windows have equal ``share``, so they meet in one of the ``shares`` tasks.
+    """
+    dealt = fragments.repartition(shares, "share").sortWithinPartitions("d", "ord", "at")
+    rows, most = dealt.select("d", "ord", "at", "n", "text"), BATCH
+    return rows.mapInArrow(lambda batches: merge_scan(batches, length, SuffixFamily(), most), "d long, ord int, start long, end long")
 
 
 def _compressed(texts: DataFrame) -> DataFrame:
@@ -283,21 +294,36 @@ def _compressed(texts: DataFrame) -> DataFrame:
 
 
 def fragments_of(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the runs (kh, d, ord, at, n), cut from their texts."""
-    lists = wanted.groupBy("d", "ord").agg(*[F.collect_list(c).alias(c) for c in ("kh", "at", "n")])
-    both = _compressed(texts).join(lists, ["d", "ord"]).select("d", "ord", "z", "kh", "at", "n")
+    """The bytes of the runs (kh, d, ord, at, n, hot), cut from their texts: whole and shared by key, or, if hot,
+    window by window and shared by each window's hash."""
+    lists = wanted.groupBy("d", "ord").agg(*[F.collect_list(c).alias(c) for c in ("kh", "at", "n", "hot")])
+    both = _compressed(texts).join(lists, ["d", "ord"]).select("d", "ord", "z", "kh", "at", "n", "hot")
 
     def work(batches):
         dc = zstandard.ZstdDecompressor()
         for b in batches:
             for i in range(b.num_rows):
                 data = dc.decompress(b.column(2)[i].as_buffer().to_pybytes())
-                kh, at, n = (b.column(c)[i].values.to_numpy() for c in (3, 4, 5))
-                part = [data[s : s + k + length - 1] for s, k in zip(at.tolist(), n.tolist(), strict=True)]
-                cols = [pa.array(kh), pa.array(np.full(len(kh), b.column(0)[i].as_py())), pa.array(np.full(len(kh), b.column(1)[i].as_py(), np.int32))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(at), pa.array(n), pa.array(part, pa.binary())], ["kh", "d", "ord", "at", "n", "text"])
+                kh, at, n, hot = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5, 6))
+                one, many = np.flatnonzero(hot), np.flatnonzero(~hot)
+                start = np.concatenate([at[many], *[at[k] + np.arange(n[k]) for k in one]])
+                size = np.concatenate([n[many], np.ones(len(start) - len(many), np.int64)])
+                part = [data[s : s + k + length - 1] for s, k in zip(start.tolist(), size.tolist(), strict=True)]
+                own = np.asarray([xxhash.xxh3_64_intdigest(p) for p in part[len(many) :]], np.uint64).view(np.int64)
+                cols = [pa.array(np.concatenate([kh[many], own])), pa.array(np.full(len(part), b.column(0)[i].as_py())), pa.array(np.full(len(part), b.column(1)[i].as_py(), np.int32))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(start), pa.array(size), pa.array(part, pa.binary())], ["share", "d", "ord", "at", "n", "text"])
+
+    return both.mapInArrow(work, "share long, d long, ord int, at long, n long, text binary")
+
 
-    return both.mapInArrow(work, "kh long, d long, ord int, at long, n long, text binary")
+def end_spans(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """Spans of the windows of the runs ``wanted`` (kh, d, ord, at, n) that came earlier."""
+    hot = wanted.groupBy("kh").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("kh", F.lit(True).alias("hot"))
+    hot = durable(hot, "hot-keys")
+    total = wanted.agg(F.sum("n").alias("n")).first()["n"] or 0
+    shares = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // WINDOWS))
+    marked = wanted.join(hot, "kh", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    return match_runs(fragments_of(texts, marked, length), length, shares)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,7 +339,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     kept = durable(compare_runs(found), "runs")
     stop = (F.col("at") + F.col("n") + F.lit(length - 1)).alias("end")
     known = kept.where("known").select("d", "ord", F.col("at").alias("start"), stop)
-    ends = match_runs(fragments_of(texts, kept.where(~F.col("known")).drop("known"), length), length)
+    ends = end_spans(texts, kept.where(~F.col("known")).drop("known"), length)
     spans = durable(known.unionByName(ends), "repeats")
     lists = spans.groupBy("d", "ord").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     both = _compressed(texts).join(lists, ["d", "ord"], "left").select("d", "ord", "z", "s")

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import suffixes as S
@@ -42,9 +43,10 @@ def corpus(rng):
     return out
 
 
-@pytest.mark.parametrize("batch", [1 << 17, 64])
-def test_equals_brute_force(spark, monkeypatch, batch):
-    monkeypatch.setattr(S, "BATCH", batch)
+@pytest.mark.parametrize(("batch", "hot", "windows"), [(1 << 16, 4096, 1 << 19), (64, 4096, 300), (50, 2, 1 << 19)])
+def test_equals_brute_force(spark, monkeypatch, batch, hot, windows):
+    for name, value in (("BATCH", batch), ("HOT", hot), ("WINDOWS", windows)):
+        monkeypatch.setattr(S, name, value)
     rows = corpus(np.random.default_rng(batch))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for length in (10, 25):
@@ -58,6 +60,35 @@ def test_blocks_do_not_matter(spark, monkeypatch):
     assert all(int(f[3].sum()) == max(0, len(t.encode()) - 11) for f, (_, t) in zip(found, rows, strict=True))
 
 
+def test_one_family_serves_all_batches():
+    """The path of the query: whole texts in batches of some windows; the levels of all stay and merge."""
+    rng = np.random.default_rng(6)
+    rows = list(enumerate(t for _, t in corpus(rng) if len(t.encode()) >= 20))
+    fam, levels, spans = S.SuffixFamily(), [], []
+    data = [t.encode() for _, t in rows]
+    for i in range(0, len(rows), 7):
+        part = data[i : i + 7]
+        cols = [pa.array(np.arange(i, i + len(part))), pa.array(np.zeros(len(part), np.int32)), pa.array(np.zeros(len(part), np.int64))]
+        cols += [pa.array([len(t) - 19 for t in part], pa.int64()), pa.array(part, pa.binary())]
+        for out in S.merge_scan([pa.RecordBatch.from_arrays(cols, ["d", "ord", "at", "n", "text"])], 20, fam, 40):
+            spans += [tuple(r.values()) for r in out.to_pylist()]
+            sizes = list(map(len, fam.levels))
+            assert all(a > 2 * b for a, b in zip(sizes[:-1], sizes[1:], strict=True))
+            assert all((x[:-1] < x[1:]).all() for x in fam.levels)
+            levels.append(len(sizes))
+    assert max(levels) >= 3 and len(levels) > 20
+    want = {d: [(s, e) for s, e in spans_of] for (d, _), spans_of in zip(rows, (w[2] for w in slow_in_order(rows, 20)), strict=True)}
+    got = {d: [] for d, _ in rows}
+    for d, _, s, e in spans:
+        got[d].append((s, e))
+    assert {d: S.merge_spans(*map(np.asarray, zip(*v, strict=True))) if v else [] for d, v in got.items()} == want
+
+
+def slow_in_order(rows, length):
+    by = {r[0]: r for r in slow(rows, length)}
+    return [by[str(d)] for d, _ in rows]
+
+
 def test_odd_rows(spark):
     a = "the quick brown fox jumps over the lazy dog"
     rows = [(1, a), (1, a), (1, a + "!"), (None, a), (None, None), (2, None), (3, ""), (4, "short"), (5, a[5:30])]
