@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.graph import connected_components
-from palimpsest.llm.work import durable, own_columns, read_spread
+from palimpsest.llm.work import dealt, durable, own_columns, read_spread
 
 BITS = 64
 HOT = 4096  # fingerprints under one key beyond which the key takes in more bits
@@ -184,7 +184,7 @@ def bucket_stars(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarr
 
 def link_edges(keys: DataFrame, radius: int) -> DataFrame:
     """(part, key, fp) as (a, b): for each key, stars that join whatever lies within ``radius``."""
-    dealt = keys.repartition("part", "key").sortWithinPartitions("part", "key", "fp")
+    rows = keys.repartition("part", "key").sortWithinPartitions("part", "key", "fp")
 
     def run(batches):
         left = None
@@ -215,7 +215,7 @@ def link_edges(keys: DataFrame, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             at = to
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def fingerprint_classes(fps: DataFrame, radius: int = 3) -> DataFrame:
@@ -244,7 +244,7 @@ BANDS, PER_BAND = 12, 2  # at similarity 0.8 two texts share no band once in 200
 RADII = (8, 16, 24, 48)  # of 128 bits, the nearest links first; 0.8 is beyond 48 twice in 10**7 times (4 against 5 shingles) or less
 WIDE = 64  # texts of a block from which on it is compared by itself
 STEP = 256  # texts compared at once with all of such a block
-PART = 2048  # texts in one task's share of a block
+PART = 1024  # texts in one task's share of a block
 SHINGLES = 1 << 22  # about as many in that share
 _ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -391,8 +391,8 @@ def near_links(sets: DataFrame) -> DataFrame:
     rows = sets.select(F.explode("keys").alias("key"), "sh", "f0", "f1")
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     many = many.select("key", F.ceil(F.col("n") / PART).alias("parts"))
-    dealt = rows.join(many, "key").withColumn("part", F.pmod(F.xxhash64("sh"), F.col("parts")))
-    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "sh")
+    rows = rows.join(many, "key").withColumn("part", F.pmod(F.xxhash64("sh"), F.col("parts")))
+    rows = dealt(rows, "key", "part").sortWithinPartitions("key", "part", "sh")
 
     def work(batches):
         left = None
@@ -419,7 +419,7 @@ def near_links(sets: DataFrame) -> DataFrame:
             a, b = np.r_[sh[got[:, 0]], alone], np.r_[sh[got[:, 1]], alone]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return dealt.select("key", "part", "parts", "sh", "f0", "f1").mapInArrow(work, "a long, b long")
+    return rows.select("key", "part", "parts", "sh", "f0", "f1").mapInArrow(work, "a long, b long")
 
 
 def similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -537,9 +537,9 @@ def open_rows(sets: DataFrame, classes: DataFrame) -> DataFrame:
     seen = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
     parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("s") / SHINGLES))
     mixed = seen.where("low < high").select("key", parts.alias("parts"))
-    dealt = rows.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("sh"), F.col("parts")))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    blocks = dealt.select(
+    rows = rows.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("sh"), F.col("parts")))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    blocks = rows.select(
         "key", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"), (F.col("part") > F.col("o")).alias("side"), "sh", "band", "f0", "f1", "label", "keys"
     )
 
@@ -552,7 +552,7 @@ def open_rows(sets: DataFrame, classes: DataFrame) -> DataFrame:
             if keep.any():
                 yield from t.filter(pa.array(keep)).to_batches()
 
-    return blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "sh").mapInArrow(near, BLOCK)
+    return dealt(blocks, "key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "sh").mapInArrow(near, BLOCK)
 
 
 def may_link(own: DataFrame, similarity: float) -> DataFrame:
@@ -594,8 +594,8 @@ def settled_links(sets: DataFrame, texts: DataFrame, classes: DataFrame, similar
             if len(got):
                 yield pa.RecordBatch.from_arrays([pa.array(block.sh[got[:, 0]]), pa.array(block.sh[got[:, 1]])], ["a", "b"])
 
-    dealt = full.select(*names, "hashes").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "sh")
-    return dealt.mapInArrow(settle_all, "a long, b long")
+    full = dealt(full.select(*names, "hashes"), "key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "sh")
+    return full.mapInArrow(settle_all, "a long, b long")
 
 
 def near_duplicate_classes(keyed: DataFrame, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:

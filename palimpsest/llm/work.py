@@ -38,6 +38,11 @@ def read_spread(spark: SparkSession, path: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by ``keys`` to as many tasks as the session shuffles to: what follows costs far more than its bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns; others, whatever their names, do not reach the operator."""
     return df.select(*[df[f"`{n}`"] for n in names])
