@@ -177,6 +177,38 @@ def ephemeral(content: Column) -> Column:
     return has_any(F.lower(content), V.EPHEMERAL_MARKS)
 
 
+def predicate_aliases(predicate: Column) -> Column:
+    """Other words for a predicate, or nothing."""
+    found = F.lit("")
+    for names, more in V.PREDICATE_ALIASES:
+        found = F.when(F.lower(predicate).isin(*names), F.lit(more)).otherwise(found)
+    return found
+
+
+def looks_abstaining(answer: Column, more: bool = False) -> Column:
+    return has_any(F.lower(answer), V.ABSTENTION_MARKS + (V.MORE_ABSTENTION_MARKS if more else ()))
+
+
+def asks_count(question: Column) -> Column:
+    return has_any(F.lower(question), V.COUNT_QUESTIONS)
+
+
+def asks_advice(question: Column) -> Column:
+    return has_any(F.lower(question), V.ADVICE_QUESTIONS)
+
+
+def chosen_letter(raw: Column) -> Column:
+    """0 to 3 for the first of A to D in a model's reply, in any case; -1 if there is none."""
+    letter = F.regexp_extract(F.upper(raw), "[ABCD]", 0)
+    return F.when(letter == "", -1).otherwise(F.ascii(letter) - 65)
+
+
+def says_yes(raw: Column) -> Column:
+    """A judge's verdict: it begins with y, or yes stands within its first five characters."""
+    v = F.lower(F.trim(raw))
+    return F.startswith(v, F.lit("y")) | F.contains(F.left(v, F.lit(5)), F.lit("yes"))
+
+
 def type_weight(predicate: Column, preference: float = 1.25, identity: float = 1.15) -> Column:
     p = F.lower(predicate)
     return (

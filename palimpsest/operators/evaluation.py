@@ -28,6 +28,117 @@ def accuracy(results: DataFrame) -> DataFrame:
     ).where("system IS NOT NULL")
 
 
+def categories(results: DataFrame) -> DataFrame:
+    """Questions whose id ends in _abs are a category of their own."""
+    return results.withColumn("cat", F.when(F.endswith("qid", F.lit("_abs")), "abstention").otherwise(F.col("cat")))
+
+
+def latencies(results: DataFrame) -> DataFrame:
+    """Per system the nearest-rank p50 and p95 of the scored answers' seconds."""
+    disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY lat)")
+    return results.where("ok IS NOT NULL").groupBy("system").agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"))
+
+
+def system_metrics(results: DataFrame) -> DataFrame:
+    """Per system: errors, and of the others scored questions, accuracy in percent and mean tokens."""
+    fine = F.col("err").isNull() & F.col("ok").isNotNull()
+    n = F.count_if(fine)
+    return results.groupBy("system").agg(
+        n.alias("n"), F.count_if(F.col("err").isNotNull()).alias("errors"),
+        F.coalesce(F.round(100.0 * F.count_if(fine & F.col("ok")) / F.nullif(n, F.lit(0)), 9), F.lit(0.0)).alias("accuracy"),
+        F.coalesce(F.round(F.avg(F.when(fine, F.coalesce("tok", F.lit(0)))), 9), F.lit(0.0)).alias("avg_tokens"),
+    )
+
+
+def lost_in_the_middle(results: DataFrame, lean: str, full: str) -> DataFrame:
+    """How the full context errs: abstentions among its errors, and where the lean one is right; results has pred."""
+    from palimpsest.functions.text import looks_abstaining
+
+    x = results.where(F.col("system") == lean).select("qid", F.coalesce("ok", F.lit(False)).alias("a"))
+    y = results.where(F.col("system") == full).select("qid", F.coalesce("ok", F.lit(False)).alias("b"), looks_abstaining(F.col("pred"), more=True).alias("quiet"))
+    both = x.join(y, "qid")
+    only = F.col("a") & ~F.col("b")
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("b")).alias("errors"), F.count_if(~F.col("b") & F.col("quiet")).alias("errors_abstained"),
+        F.count_if(only).alias("only_lean"), F.count_if(only & F.col("quiet")).alias("only_lean_abstained"), F.count_if(only & ~F.col("quiet")).alias("only_lean_wrong_value"),
+    )
+
+
+def backbone_gaps(results: DataFrame, lean: str, full: str) -> DataFrame:
+    """results with backbone: accuracy of both systems in percent, the gap, and how many times the tokens the full one takes."""
+    per = system_metrics(results.withColumn("system", F.struct("backbone", "system")))
+    side = lambda s, a, t: per.where(F.col("system.system") == s).select(F.col("system.backbone").alias("backbone"), F.col("accuracy").alias(a), F.col("avg_tokens").alias(t))
+    both = side(lean, "lean", "_l").join(side(full, "full", "_f"), "backbone")
+    ratio = F.when(F.col("_l") > 0, F.round(F.col("_f") / F.col("_l"), 6)).otherwise(0.0)
+    return both.select("backbone", "lean", "full", F.round(F.col("lean") - F.col("full"), 9).alias("gap"), ratio.alias("token_ratio"))
+
+
+def ablation(results: DataFrame, base: str) -> DataFrame:
+    """Each variant against the base on the questions of both: hits, the difference in points, gains and losses, and
+    whether the difference lies within the noise of the changed questions (two standard deviations of a fair coin)."""
+    b = results.where(F.col("system") == base).select("qid", F.coalesce("ok", F.lit(False)).alias("_b"))
+    both = results.where(F.col("system") != base).join(b, "qid").withColumn("_o", F.coalesce("ok", F.lit(False)))
+    out = both.groupBy("system").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_o").alias("hits"), F.count_if("_b").alias("base_hits"),
+        F.count_if(F.col("_o") & ~F.col("_b")).alias("gained"), F.count_if(~F.col("_o") & F.col("_b")).alias("lost"),
+    )
+    gap = F.col("gained") - F.col("lost")
+    return out.withColumns({"delta": F.round(100.0 * gap / F.col("n"), 6), "noise": F.pow(gap, 2) <= 4 * (F.col("gained") + F.col("lost"))})
+
+
+def best_weights(recalls: DataFrame) -> DataFrame:
+    """The row of weight_grid with the best recall, ties to the smaller id."""
+    return recalls.orderBy(F.desc("recall"), "grid_id").limit(1)
+
+
+def relevant_facts(facts: DataFrame, episodes: DataFrame, gold: DataFrame) -> DataFrame:
+    """(qid, fact_id): facts some episode of which lies in a session that gold(qid, session_id) names."""
+    told = facts.select("fact_id", F.explode("provenance").alias("episode_id")).join(episodes.select("episode_id", "session_id"), "episode_id")
+    return told.join(gold, "session_id").select("qid", "fact_id").distinct()
+
+
+def service_metrics(log: DataFrame, window: int = 512) -> DataFrame:
+    """log(op, at, seconds): per operation all calls, and percentiles of the last ``window``, in milliseconds."""
+    w = W.partitionBy("op").orderBy(F.desc("at"))
+    last = log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= window)
+    tail = lambda q, name: percentiles(last, "seconds", q, ["op"]).select("op", F.round(F.col("nearest_up") * 1000, 2).alias(name))
+    sums = last.groupBy("op").agg(F.round(F.avg("seconds") * 1000, 2).alias("avg_ms"), F.round(F.max("seconds") * 1000, 2).alias("max_ms"), F.count(F.lit(1)).alias("window"))
+    return log.groupBy("op").agg(F.count(F.lit(1)).alias("n")).join(sums, "op").join(tail(0.5, "p50_ms"), "op").join(tail(0.95, "p95_ms"), "op")
+
+
+# fixed values: what the first rung asks of coverage and of the median lag in seconds
+TARGET_COVERAGE, TARGET_LAG_S = 0.90, 60.0
+
+
+def coverage_report(sessions: DataFrame, weekly: DataFrame, outcomes: DataFrame, per_tick: int = 25, tick_s: float = 900.0) -> DataFrame:
+    """One row on whether a memory is fed and used.
+
+    sessions(session_id, source, finished, closed, facts, lag_s), weekly(week, recall) with the current week,
+    outcomes(live, superseded) of one row. Rates are 0 where there is nothing to divide by; L1 asks for
+    coverage and a low median lag, L2 for recalls this week that are no fewer than in the one before.
+    """
+    done = sessions.where("finished")
+    rate = lambda a, b: F.when(b > 0, F.round(a / b, 4)).otherwise(0.0)
+    n, closed, full = F.count(F.lit(1)), F.count_if("closed"), F.count_if(F.col("closed") & (F.col("facts") > 0))
+    disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY lag_s)")
+    one = done.agg(
+        n.alias("finished"), closed.alias("closed"), rate(closed, n).alias("coverage"), full.alias("distilled"), rate(full, closed).alias("yield"),
+        (n - closed).alias("backlog"), F.round(F.ceil((n - closed) / per_tick) * tick_s / 3600, 1).alias("drain_eta_h"), disc(0.5).alias("lag_p50_s"), disc(0.95).alias("lag_p95_s"),
+    )
+    last = weekly.agg(F.max_by(F.struct("recall"), "week").alias("now"), F.max("week").alias("week"))
+    before = weekly.join(F.broadcast(last.select(F.col("week").alias("_w"))), F.col("week") < F.col("_w")).agg(F.max_by("recall", "week").alias("was"))  # one row
+    used = last.select(F.col("now.recall").alias("recall_week")).crossJoin(F.broadcast(before))  # of one row each
+    out = one.crossJoin(F.broadcast(used)).crossJoin(F.broadcast(outcomes.limit(1)))
+    met = lambda c: F.when(F.coalesce(c, F.lit(False)), "met").otherwise("not_met")
+    retold = rate(F.col("superseded"), F.col("live") + F.col("superseded"))
+    return out.select(
+        *one.columns, "recall_week", retold.alias("supersession_rate"), met((F.col("live") > 0) & (F.col("finished") > 0)).alias("L0"),
+        met((F.col("coverage") >= TARGET_COVERAGE) & (F.col("lag_p50_s") < TARGET_LAG_S)).alias("L1"),
+        met((F.col("recall_week") > 0) & (F.col("was").isNull() | (F.col("recall_week") >= F.col("was")))).alias("L2"),
+        F.when(retold == 0, "not_met").otherwise("not_measurable").alias("L3"),
+    )
+
+
 def accuracy_pivot(results: DataFrame, systems: list[str]) -> DataFrame:
     return results.groupBy("cat").pivot("system", systems).agg(F.round(F.avg(F.col("ok").cast("double")), 6))
 
@@ -95,14 +206,19 @@ def recall_at_k(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, q: float, by: list[str]) -> DataFrame:
-    """Three rules: nearest rank rounded half to even, rounded half up, and by ceiling."""
-    v = F.array_sort(F.collect_list(value))
-    n = F.size("v")
-    at = lambda i: F.element_at("v", F.greatest(F.lit(1), F.least(n, i + 1)).cast("int"))
-    got = rows.groupBy(*by).agg(v.alias("v"))
-    return got.select(
-        *by, at(F.rint(q * (n - 1))).alias("nearest_even"), at(F.floor(q * (n - 1) + 0.5)).alias("nearest_up"), at(F.ceil(q * n) - 1).alias("ceiling")
-    )
+    """Three rules: nearest rank rounded half to even, rounded half up, and by ceiling.
+
+    Equal values are counted first; a running count over the distinct ones finds the places.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    w = W.partitionBy(*by)
+    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    seen = counts.withColumns({"_n": F.sum("_c").over(w), "_to": upto})
+    n = F.col("_n")
+    places = {"nearest_even": F.rint(q * (n - 1)), "nearest_up": F.floor(q * (n - 1) + 0.5), "ceiling": F.ceil(q * n) - 1}
+    at = lambda i: F.greatest(F.lit(0), F.least(n - 1, i.cast("long")))
+    hit = lambda i: (at(i) < F.col("_to")) & (at(i) >= F.col("_to") - F.col("_c"))
+    return seen.groupBy(*by).agg(*[F.max(F.when(hit(i), F.col(value))).alias(name) for name, i in places.items()])
 
 
 def validate(results: DataFrame, expected: int | None = None) -> DataFrame:

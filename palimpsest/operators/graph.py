@@ -196,7 +196,7 @@ def export_graph(facts: DataFrame, t: float, live_only: bool = False) -> DataFra
     return e.where("live").drop("_some") if live_only else e.drop("_some")
 
 
-def identity_roots(links: DataFrame, rounds: int = 20) -> DataFrame:
+def identity_roots(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(handle, canonical): linked handles share their smallest one. Labels spread by min and are
     shortcut through their own label, so a chain halves each round."""
     both = links.toDF("a", "b").unionByName(links.select(links.columns[1], links.columns[0]).toDF("a", "b")).distinct()
@@ -209,4 +209,6 @@ def identity_roots(links: DataFrame, rounds: int = 20) -> DataFrame:
         if jump.exceptAll(label).isEmpty():
             break
         label = jump
+    else:
+        raise RuntimeError(f"identities did not settle in {rounds} rounds")
     return label.toDF("handle", "canonical")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.operators.ordering import spread_rank
 
 
 def decay_sweep(facts: DataFrame, t: float, per_day: float = 0.02, floor: float = 0.3) -> DataFrame:
@@ -28,12 +29,13 @@ def reinforce(facts: DataFrame, log: DataFrame, boost: float = 0.5) -> DataFrame
 
 def evict_cold(facts: DataFrame, most_hot: int) -> DataFrame:
     """``facts`` with tier: of the non-durable, the least salient and longest unread are cold, as many
-    as exceed ``most_hot``. The coldest are found by a top-k, not by ranking the store in one task."""
-    hot = facts.count()
-    out = max(0, hot - most_hot)
+    as exceed ``most_hot``. Their ranks are counted over ranges, so that no task ranks the store."""
+    out = max(0, facts.count() - most_hot)
     if not out:
         return facts.withColumn("tier", F.lit("hot"))
-    cold = facts.where(~T.durable(F.col("predicate"))).orderBy("salience", "last_access", "fact_id").limit(out).select("fact_id").withColumn("_c", F.lit(True))
+    fading = facts.where(~T.durable(F.col("predicate"))).select("fact_id", "salience", "last_access")
+    ranked = spread_rank(fading, [F.asc("salience"), F.asc("last_access"), F.asc("fact_id")])
+    cold = ranked.where(F.col("rank") <= out).select("fact_id").withColumn("_c", F.lit(True))
     return facts.join(cold, "fact_id", "left").withColumn("tier", F.when(F.col("_c"), "cold").otherwise("hot")).drop("_c")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest import vocabulary as V
@@ -54,5 +55,7 @@ def evidence(facts: DataFrame) -> DataFrame:
 
 def persona(facts: DataFrame, most: int = 12) -> DataFrame:
     """(user_id, persona): the texts of a user's facts, user-made first, then by salience, ``most`` of them."""
-    rows = F.array_sort(F.collect_list(F.struct((F.col("source") != "user").alias("e"), (-F.col("salience")).alias("s"), "seq", "text")))
-    return facts.groupBy("user_id").agg(F.array_join(F.transform(F.slice(rows, 1, most), lambda r: r["text"]), "\n").alias("persona"))
+    w = W.partitionBy("user_id").orderBy(F.col("source") != "user", F.desc("salience"), "seq")
+    top = facts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
+    rows = F.array_sort(F.collect_list(F.struct("_rn", "text")))
+    return top.groupBy("user_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("persona"))

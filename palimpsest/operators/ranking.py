@@ -76,6 +76,24 @@ def promote(promoted: DataFrame, retrieved: DataFrame, k: int) -> DataFrame:
     return best.orderBy("m.tier", "m.rank").limit(k).select("id", "m.tier", "m.rank")
 
 
+def without(rows: DataFrame, shown: DataFrame, id_col: str = "id") -> DataFrame:
+    """``rows`` whose id is not among those shown already."""
+    return rows.join(shown.select(id_col).distinct(), id_col, "left_anti")
+
+
+def fill(first: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """``first`` as of origin model, and what it lacks of ``more`` by ``keys`` as of origin rule."""
+    rest = more.join(first.select(*keys).distinct(), keys, "left_anti")
+    return first.withColumn("origin", F.lit("model")).unionByName(rest.withColumn("origin", F.lit("rule")))
+
+
+def candidate_pool(rows: DataFrame, query: list[float], linked: DataFrame, pool: int = 200, vec_col: str = "embedding", id_col: str = "id") -> DataFrame:
+    """A bounded set of candidates: the ``pool`` nearest by vector, and what the graph links to the query though it is
+    not among them."""
+    near = vector_top_k(rows, query, pool, vec_col, id_col).select(id_col, F.lit("vector").alias("origin"))
+    return near.unionByName(without(linked.select(id_col).distinct(), near, id_col).withColumn("origin", F.lit("graph")))
+
+
 def near_pairs(rows: DataFrame, by: str, id_col: str, vec_col: str, lo: float, hi: float) -> DataFrame:
     """Pairs of one group whose cosine lies within [lo, hi]; each pair once, smaller id first."""
     base = rows.select(F.col(by).alias("g"), F.col(id_col).alias("id"), F.col(vec_col).alias("v")).withColumn("size", Vec.norm(F.col("v")))
