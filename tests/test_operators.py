@@ -13,7 +13,7 @@ from palimpsest.operators import evaluation as Ev
 from palimpsest.operators import graph as G
 from palimpsest.operators import lifecycle as Life
 from palimpsest.operators import temporal as Time
-from palimpsest.operators.extract import Reader, specific
+from palimpsest.operators.extract import extract, learn_names
 from palimpsest.operators.reconcile import FACT, Fold, reconcile, single_valued
 from palimpsest.sources import conversations as Conv
 from palimpsest.sources import store as Store
@@ -83,15 +83,59 @@ def test_hash_embedding_and_cosine(spark):
     assert [round(r[0], 9) for r in df.select(Vec.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 0.0]
 
 
-def test_reader_rules():
-    r = Reader("u")
-    assert r.read("I'm allergic to peanuts. I am vegetarian") == [("u", "allergic_to", "peanuts"), ("u", "diet", "vegetarian")]
-    assert r.read("I'm moving to Berlin for a job at Acme") == [("u", "lives_in", "Berlin"), ("u", "works_at", "Acme")]
-    assert r.read("Project rule: always run tests") == [("project", "rule", "always run tests")]
-    assert r.read("I like these ideas") == [] and not specific("it") and specific("green tea")
-    assert r.read("I don't like loud bars because of noise") == [("u", "dislikes", "loud bars")]
-    assert r.read("I am Wei") == [] and r.name == "Wei"
-    assert r.read("I love the idea of slow travel") == [("u", "loves", "slow travel")]
+SAID = [
+    ("I'm allergic to peanuts. I am vegetarian", [("u", "allergic_to", "peanuts"), ("u", "diet", "vegetarian")]),
+    ("I'm moving to Berlin for a job at Acme", [("u", "lives_in", "Berlin"), ("u", "works_at", "Acme")]),
+    ("Project rule: always run tests", [("project", "rule", "always run tests")]),
+    ("Cursor should use tabs too", [("Cursor", "agent_instruction", "should use tabs")]),
+    ("I like these ideas", []), ("I like it", []), ("I really like green tea", [("u", "likes", "green tea")]),
+    ("I don't like loud bars because of noise", [("u", "dislikes", "loud bars")]),
+    ("I love the idea of slow travel", [("u", "loves", "slow travel")]),
+    ("I like jazz, hate rain and prefer the window seat", [("u", "likes", "jazz"), ("u", "hates", "rain"), ("u", "prefers", "window seat")]),
+    ("hate rain, like sun", []), ("assistant: I like tea, enjoy cake", [("u", "likes", "tea")]),
+    ("I no longer enjoy golf", [("u", "dislikes", "golf")]), ("I'm no longer into chess", [("u", "dislikes", "chess")]), ("We stopped liking oysters", [("u", "dislikes", "oysters")]),
+    ("I'm not into opera", [("u", "dislikes", "opera")]), ("I am a fan of the Beatles now", [("u", "likes", "Beatles")]),
+    ("My coworker Ann works for Initech", [("u", "colleague", "Ann"), ("Ann", "works_at", "Initech")]), ("my friend is Bo", [("u", "colleague", "Bo")]),
+    ("My wife Eve is a nurse at Mercy", [("u", "wife", "Eve"), ("Eve", "occupation", "nurse")]), ("my brother Tom", [("u", "brother", "Tom")]),
+    ("Tom relocated to Oslo last year", [("Tom", "lives_in", "Oslo")]), ("My favourite ice cream is mint", [("u", "favorite_ice_cream", "mint")]),
+    ("I work as a designer for Acme", [("u", "occupation", "designer")]), ("Eve is great", []), ("Eve is a pilot", [("Eve", "occupation", "pilot")]),
+    ("Bo works at Initrode though", [("Bo", "works_at", "Initrode")]), ("Bo lives in the Hague", [("Bo", "lives_in", "Hague")]), ("", []), (None, []),
+    ("To revoke the PAT: open settings", [("revoke the PAT", "procedure", "open settings")]), ("How to rotate a key: ask, wait", [("key", "procedure", "ask, wait")]),
+    ("The deploy runbook source: build and ship", [("deploy", "procedure", "build and ship")]),
+]
+
+
+def _triples(spark, said, **switches):
+    rows = [(f"e{i:02}", f"u{i}" if len(said) > 1 else "u", t, float(i), float(i), i) for i, t in enumerate(said)]
+    df = extract(spark.createDataFrame(rows, "episode_id string, user_id string, content string, event_time double, ingested_at double, seq long"), **switches)
+    out = [[] for _ in said]
+    for r in df.orderBy("seq").collect():
+        i = int(r["provenance"][0][1:])
+        out[i].append(tuple("u" if x == f"u{i}" else x for x in (r["subject"], r["predicate"], r["object"])))
+    return out
+
+
+def test_every_rule(spark):
+    assert _triples(spark, [t for t, _ in SAID]) == [want for _, want in SAID]
+
+
+def test_rule_switches(spark):
+    said = ["I like these ideas", "I no longer like jazz", "I like jazz", "To rotate the key: ask"]
+    assert _triples(spark, said, only_specific=False)[0] == [("u", "likes", "these ideas")]
+    assert _triples(spark, said, reversals=False)[1] == [] and _triples(spark, said, procedures=False)[3] == []
+    assert _triples(spark, said, preferences=False)[1:3] == [[], []]
+
+
+def test_names_hold_from_where_they_are_said(spark):
+    kind = "episode_id string, user_id string, content string, event_time double, ingested_at double, seq long"
+    said = [("a", "u", "I live in Rome. I am Wei. I work at Acme", 1.0, 1.0, 1), ("b", "u", "I live in Bonn", 2.0, 2.0, 2), ("c", "u", "my name is Lin. I live in Kiel", 3.0, 3.0, 3), ("d", "v", "I'm happy. I live in Ulm", 1.0, 1.0, 4)]
+    eps = spark.createDataFrame(said, kind)
+    got = [(r["subject"], r["object"]) for r in extract(eps).orderBy("seq").collect()]
+    assert got == [("u", "Rome"), ("Wei", "Acme"), ("Wei", "Bonn"), ("Lin", "Kiel"), ("v", "Ulm")]
+    names = learn_names(eps)
+    assert names.collect() == [("u", "Lin")]
+    more = spark.createDataFrame([("e", "u", "I live in Wien", 9.0, 9.0, 9)], kind)
+    assert [r["subject"] for r in extract(more, names).collect()] == ["Lin"] and learn_names(more, names).collect() == [("u", "Lin")]
 
 
 def test_packer_keeps_what_the_question_needs():
