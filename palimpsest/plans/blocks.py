@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest import vocabulary as V
 from palimpsest.catalog import query
 from palimpsest.functions import text as T
 from palimpsest.operators import blocks as B
 from palimpsest.operators import models as M
 from palimpsest.operators.ordering import spread_rank
 from palimpsest.plans.common import AS_OF, FACTS_SQL, QUERY, event_facts, stems_sql, values_sql
-from palimpsest.plans.text import Q_LIST, bm25_topk
+from palimpsest.plans.text import Q_LIST, bm25_sql, bm25_topk
 from palimpsest.session import table
 
 
@@ -78,15 +79,27 @@ def final_answers(spark, sf_dir):
     return spark.createDataFrame(rows, "id bigint, t string").select("id", T.extract_answer(F.col("t")).alias("answer"))
 
 
-@query("answer_types", values_sql(["question", "kind", "fits"], [("what's the project ID?", "id", "PROJ-1024"), ("which email address?", "email", "a@b.co"), ("how many cats?", "number", "3 cats")]))
+def _shape_sql(kind: str) -> str:
+    x = "lower(o)" if kind == "date" else "o"
+    pattern = V.ANSWER_SHAPES[kind].replace("'", "''")
+    return f"regexp_matches({x}, '{pattern}')" + (" AND length(trim(o)) <= 40 AND NOT contains(trim(o), ' ')" if kind == "id" else "")
+
+
+ASKED = (("what's the project ID?", "id"), ("which email address?", "email"), ("how many cats?", "number"))
+
+
+@query(
+    "answer_types",
+    "WITH w AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '-' || n_chars WHEN 1 THEN source || '@' || lang || '.example.org' WHEN 2 THEN n_chars || ' cats' ELSE 'Wei' END AS o FROM documents) "
+    + " UNION ALL ".join("SELECT doc_id, '{}' AS question, '{}' AS kind FROM w WHERE {}".format(q.replace("'", "''"), k, _shape_sql(k)) for q, k in ASKED),
+)
 def answer_types(spark, sf_dir):
-    out = None
-    objs = spark.createDataFrame([(x,) for x in ("PROJ-1024", "a@b.co", "3 cats", "Wei")], "o string")
-    for q, want in (("what's the project ID?", "PROJ-1024"), ("which email address?", "a@b.co"), ("how many cats?", "3 cats")):
-        kind = T.answer_type(q)
-        fit = objs.where(T.of_answer_type(F.col("o"), kind) & (F.col("o") == want)).select(F.lit(q).alias("question"), F.lit(kind).alias("kind"), F.col("o").alias("fits"))
-        out = fit if out is None else out.unionByName(fit)
-    return out
+    """What fits each of three questions, of objects made from the columns of documents."""
+    no = F.col("doc_id") % 4
+    obj = F.when(no == 0, F.concat_ws("-", "source", "n_chars")).when(no == 1, F.concat("source", F.lit("@"), "lang", F.lit(".example.org"))).when(no == 2, F.concat("n_chars", F.lit(" cats"))).otherwise("Wei")
+    objs = table(spark, sf_dir, "documents").select("doc_id", obj.alias("o"))
+    parts = [objs.where(T.of_answer_type(F.col("o"), T.answer_type(q))).select("doc_id", F.lit(q).alias("question"), F.lit(T.answer_type(q)).alias("kind")) for q, _ in ASKED]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("cached_answers", "SELECT text AS prompt, CAST(length(text) AS VARCHAR) AS answer FROM benchmark")
@@ -95,7 +108,7 @@ def cached_answers(spark, sf_dir):
     return M.complete(p, lambda x: str(len(x)))[0].select("prompt", "answer")
 
 
-@query("rerank_topk")
+@query("rerank_topk", f"WITH {bm25_sql()}, k AS (SELECT id FROM lex ORDER BY score DESC, id LIMIT 20) SELECT id, CAST(row_number() OVER (ORDER BY length(text), id) AS INTEGER) AS rank FROM k JOIN documents ON doc_id = id ORDER BY rank LIMIT 5")
 def rerank_topk(spark, sf_dir):
     """BM25 candidates re-scored by a model that likes short texts."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")

@@ -341,3 +341,18 @@ def budget_pack(spark, sf_dir):
 def hash_embedding(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", Vec.embedder(64)("text").alias("v"))
     return c.select("conv_id", "turn", F.round(Vec.norm(F.col("v")), 9).alias("norm"), F.size("v").alias("dim"))
+
+
+@query(
+    "read_any_format",
+    "SELECT 'imported_' || conv_id AS session_id, role AS speaker, trim(regexp_replace('m' || turn || ' ' || coalesce(text, ''), '[^A-Za-z0-9 ]', ' ', 'g')) AS content FROM conversations",
+)
+def read_any_format(spark, sf_dir):
+    """Conversations as files, by turns a JSON array and a transcript; each is read by what it looks like."""
+    said = F.trim(F.regexp_replace(F.concat(F.lit("m"), "turn", F.lit(" "), F.coalesce("text", F.lit(""))), "[^A-Za-z0-9 ]", " "))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", said.alias("content")).alias("t"))
+    files = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    array = F.to_json(F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))))
+    script = F.array_join(F.transform("ts", lambda t: F.concat(t["role"], F.lit(": "), t["content"])), "\n")
+    f = files.select(F.col("conv_id").cast("string").alias("id"), F.when(F.col("conv_id") % 2 == 0, array).otherwise(script).alias("text"))
+    return Conv.read_any(f).select("session_id", "speaker", "content")

@@ -5,6 +5,7 @@ Messages: session_id, title, pos, speaker, content, event_time (seconds or null)
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,7 +71,7 @@ def chat_array(files: DataFrame, session_id: str = "imported") -> DataFrame:
 def _messages(rows: DataFrame, source: str) -> DataFrame:
     r = rows.withColumn("r", F.from_json("m", MAP)).where("r IS NOT NULL")
     out = r.select(
-        "session_id", F.lit("").alias("title"), "pos", _speaker(first_key(F.col("r"), ROLE_KEYS)).alias("speaker"),
+        *[c for c in ("id",) if c in rows.columns], "session_id", F.lit("").alias("title"), "pos", _speaker(first_key(F.col("r"), ROLE_KEYS)).alias("speaker"),
         F.trim(content_text(first_key(F.col("r"), CONTENT_KEYS))).alias("content"), T.to_epoch(first_key(F.col("r"), TIME_KEYS)).alias("event_time"),
         F.lit(source).alias("source"),
     )
@@ -80,31 +81,39 @@ def _messages(rows: DataFrame, source: str) -> DataFrame:
 def records(lines: DataFrame, session_id: str = "imported") -> DataFrame:
     """lines(seq, json): one record a row, in sessions by their own session key; malformed rows are skipped."""
     r = lines.withColumn("r", F.from_json("json", MAP)).where("r IS NOT NULL")
-    named = r.select(F.coalesce(first_key(F.col("r"), SESSION_KEYS), F.lit(session_id)).alias("session_id"), F.col("seq").alias("pos"), F.col("json").alias("m"))
+    named = r.select(*[c for c in ("id",) if c in lines.columns], F.coalesce(first_key(F.col("r"), SESSION_KEYS), F.lit(session_id)).alias("session_id"), F.col("seq").alias("pos"), F.col("json").alias("m"))
     return _messages(named, "records")
 
 
+def _thread(nodes: Column, parents: Column, head: Column) -> Column:
+    """The nodes from a head up to its root; a node that comes again ends the walk."""
+
+    def walk(up: dict, x: str | None) -> list[str]:
+        path: dict[str, None] = {}
+        while x in up and x not in path:
+            path[x] = None
+            x = up[x]
+        return list(path)
+
+    @F.pandas_udf("array<string>")
+    def thread(n: pd.Series, p: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([[] if a is None else walk(dict(zip(a, b, strict=True)), c) for a, b, c in zip(n, p, h, strict=True)])
+
+    return thread(nodes, parents, head)
+
+
 def chat_export(conversations: DataFrame) -> DataFrame:
     """conversations(i, json) of message trees: the path from the current node up to the root, oldest
     first; every message by time where there is none. Hidden, system and blank messages go.
 
-    The walk is a recursive query per conversation, safe against cycles by its path.
+    A conversation is one row, and so is its walk, however long.
     """
-    spark = conversations.sparkSession
     conv = conversations.select("i", F.from_json("json", MAP).alias("c"))
     conv = conv.select("i", "c", F.coalesce(F.col("c.conversation_id"), F.col("c.id"), F.concat(F.lit("chatgpt_"), F.col("i"))).alias("session_id"))
-    nodes = conv.select("i", F.explode(F.from_json("c.mapping", MAP)).alias("node", "body")).select("i", "node", F.from_json("body", MAP).alias("b"))
-    nodes = nodes.select("i", "node", F.col("b.parent").alias("parent"), F.from_json("b.message", MAP).alias("m"))
-    nodes.createOrReplaceTempView("_chat_nodes")
-    conv.select("i", F.col("c.current_node").alias("node")).createOrReplaceTempView("_chat_heads")
-    path = spark.sql("""
-        WITH RECURSIVE up(i, node, depth, seen) AS (
-          SELECT h.i, h.node, 0, array(h.node) FROM _chat_heads h JOIN _chat_nodes n ON n.i = h.i AND n.node = h.node
-          UNION ALL
-          SELECT u.i, p.node, u.depth + 1, array_append(u.seen, p.node)
-          FROM up u JOIN _chat_nodes n ON n.i = u.i AND n.node = u.node JOIN _chat_nodes p ON p.i = n.i AND p.node = n.parent
-          WHERE NOT array_contains(u.seen, p.node))
-        SELECT i, node, depth FROM up""")
+    tree = conv.select("i", F.from_json("c.mapping", MAP).alias("t"), F.col("c.current_node").alias("head"))
+    parents = F.transform(F.map_values("t"), lambda b: F.from_json(b, MAP)["parent"])
+    path = tree.select("i", F.posexplode(_thread(F.map_keys("t"), parents, F.col("head"))).alias("depth", "node"))
+    nodes = tree.select("i", F.explode("t").alias("node", "body")).select("i", "node", F.from_json(F.from_json("body", MAP)["message"], MAP).alias("m"))
     walked = path.select("i").distinct()
     chosen = nodes.join(path, ["i", "node"]).select("i", "m", (-F.col("depth")).cast("double").alias("o"))
     loose = nodes.join(walked, "i", "left_anti").select("i", "m", F.coalesce(F.col("m.create_time").try_cast("double"), F.lit(0.0)).alias("o"))
@@ -131,7 +140,7 @@ def transcript(lines: DataFrame, session_id: str = "imported") -> DataFrame:
     )
     speaker = F.when(F.col("who") == "", "user").otherwise(F.col("who"))
     return g.select(
-        F.lit(session_id).alias("session_id"), F.lit("").alias("title"), F.col("turn").alias("pos"), speaker.alias("speaker"), "content",
+        "id", F.lit(session_id).alias("session_id"), F.lit("").alias("title"), F.col("turn").alias("pos"), speaker.alias("speaker"), "content",
         F.lit(None).cast("double").alias("event_time"), F.lit("transcript").alias("source"),
     )
 
@@ -208,3 +217,34 @@ def parse(data: DataFrame, format: str, **kw) -> DataFrame:
     if format not in READERS:
         raise ValueError(f"unknown format {format!r}; one of {sorted(READERS)}")
     return READERS[format](data, **kw)
+
+
+def read_any(files: DataFrame, session_id: str = "imported") -> DataFrame:
+    """files(id, text) of any known format, each read by what it looks like; sessions without a name are told apart by
+    the file they came from."""
+    f = sniff(files)
+    of = lambda *kinds: f.where(F.col("format").isin(*kinds))
+    name = F.concat(F.lit(f"{session_id}_"), F.col("id"))
+    lines = lambda df: df.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    chats = of("chatgpt").select("id", F.col("text").alias("json"))
+    wrapped = F.coalesce(F.from_json("json", MAP)["conversations"], F.when(F.startswith(F.ltrim("json"), F.lit("[")), F.col("json")), F.concat(F.lit("["), F.col("json"), F.lit("]")))
+    many = chats.select("id", F.posexplode(F.from_json(wrapped, "array<string>")).alias("n", "json"))
+    many = many.select((F.xxhash64("id", "n")).alias("i"), "json")
+    arrays = of("messages").select("id", F.col("text").alias("json"))
+    listed = of("records").select("id", F.posexplode(F.from_json("text", "array<string>")).alias("seq", "json"))
+    rows = lines(of("jsonl")).where(F.trim("line") != "").select("id", F.col("line_no").alias("seq"), F.col("line").alias("json"))
+    logs = lines(of("agent_session")).select(name.alias("session_id"), "line_no", "line")
+    parts = [chat_export(many), agent_log(logs)]
+    parts += [_by_file(chat_array(arrays, "\x00"), session_id), _by_file(transcript(lines(of("transcript")), "\x00"), session_id)]
+    parts += [_by_file(records(listed.unionByName(rows), "\x00"), session_id)]
+    out = parts[0].select(*COLUMNS)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*COLUMNS))
+    return out
+
+
+def _by_file(messages: DataFrame, session_id: str) -> DataFrame:
+    """Sessions that a reader could not name, by their file's id."""
+    named = F.regexp_replace("session_id", "^\x00", "")
+    nameless = F.startswith("session_id", F.lit("\x00"))
+    return messages.withColumn("session_id", F.when(nameless, F.concat(F.lit(f"{session_id}_"), F.col("id"), named)).otherwise(F.col("session_id")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +21,45 @@ def find_sessions(spark: SparkSession, root: str, since: str | None = None, min_
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
-    """(path, kind, text): text of plain documents; PDF, DOCX and images keep a null text for an extractor to fill."""
+    """(path, kind, text): text of plain and DOCX documents; PDF and images keep a null text for an extractor to fill."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     kind = T.document_kind(F.hex(F.substring("content", 1, 8)), F.col("path"), F.lit(None).cast("string"))
-    text = F.when(F.col("kind") == "text", F.trim(F.expr("try_validate_utf8(cast(content as string))")))
+    plain = F.trim(F.expr("try_validate_utf8(cast(content as string))"))
+    text = F.when(F.col("kind") == "text", plain).when(F.col("kind") == "docx", docx_text(F.when(F.col("kind") == "docx", F.col("content"))))
     return files.select("path", "content", kind.alias("kind")).select("path", "kind", text.alias("text"))
 
 
+def docx_text(content):
+    """Paragraphs of a DOCX file, which is a zip with one XML part for its text; null for what is none."""
+    import io
+    import re
+    import zipfile
+    from html import unescape
+
+    def one(data) -> str | None:
+        if data is None:
+            return None
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                xml = z.read("word/document.xml").decode("utf-8", "replace")
+        except (zipfile.BadZipFile, KeyError):
+            return None
+        paragraphs = ("".join(re.findall(r"<w:t(?: [^>]*)?>([^<]*)</w:t>", p)) for p in re.split(r"</w:p>", xml))
+        return unescape("\n".join(p for p in paragraphs if p.strip()))
+
+    @F.pandas_udf("string")
+    def texts(data: pd.Series) -> pd.Series:
+        return data.map(one, na_action="ignore")
+
+    return texts(content)
+
+
+def write_results(results: DataFrame, summary: DataFrame, path: str) -> None:
+    """A benchmark's rows as JSON lines, and its summary row beside them."""
+    results.write.mode("overwrite").json(f"{path}/rows")
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
 def caption(images: DataFrame, model=None) -> DataFrame:
     """images(path, content) with a caption: the model's, or a placeholder."""
     if model is None:

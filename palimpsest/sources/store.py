@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.operators.health import save_guard
+from palimpsest.operators.ordering import spread_rank
 
 SCHEMA_VERSION = 1
 TABLES = ("episodes", "facts", "entities", "relations", "working", "conflicts")
@@ -39,19 +41,71 @@ def read_manifest(spark: SparkSession, root: str) -> dict | None:
     return json.loads("\n".join(r[0] for r in spark.read.text(f"{root}/manifest.json", wholetext=True).collect()))
 
 
-def save(spark: SparkSession, root: str, tables: dict[str, DataFrame], embedder: str = "hashing", dim: int = 256, state: dict | None = None) -> dict:
-    """Tables first, manifest last; a torn save leaves the old version current."""
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """What tells a reader whether the store has changed since it was opened."""
+    return (read_manifest(spark, root) or {}).get("version")
+
+
+def save(
+    spark: SparkSession, root: str, tables: dict[str, DataFrame], embedder: str = "hashing", dim: int = 256, state: dict | None = None, expected: str | None = None
+) -> dict:
+    """Tables first, manifest last; a torn save leaves the old version current. With ``expected``, the save is
+    refused if another writer has saved since that version was read."""
     version = uuid.uuid4().hex[:12]
     counts = {}
     for name, df in tables.items():
         part = ["user_id"] if "user_id" in df.columns else []
         df.write.partitionBy(*part).parquet(f"{root}/{version}/{name}")
-        counts[name] = spark.read.parquet(f"{root}/{version}/{name}").count() if df.columns else 0
+        counts[name] = spark.read.schema(df.schema).parquet(f"{root}/{version}/{name}").count()
+    if expected is not None and current_version(spark, root) != expected:
+        raise ValueError("another writer has saved since this version was read")
     manifest = {"schema_version": SCHEMA_VERSION, "embedder_id": embedder, "embedding_dim": dim, "version": version, "counts": counts, "state": state or {}}
+    manifest["schemas"] = {name: df.schema.json() for name, df in tables.items()}
     _write_text(spark, f"{root}/manifest.json", json.dumps(manifest))
     return manifest
 
 
+def committed_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(no, line): the first ``n`` lines of a log whose tail may be torn. A log that is shorter, or malformed within
+    them, is refused; what stands behind them does not count."""
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    first = spread_rank(rows, [F.asc("_at")], out="no").where(F.col("no") <= n).select("no", "line")
+    found = first.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.from_json("line", "map<string,string>").isNull()).alias("bad")).first()
+    if found["n"] < n:
+        raise ValueError(f"the log has {found['n']} lines, not the {n} that its manifest names")
+    if found["bad"]:
+        raise ValueError(f"{found['bad']} of the committed lines are malformed")
+    return first
+
+
+def convert(spark: SparkSession, logs: dict[str, tuple[str, int]], root: str, schemas: dict[str, str], dry_run: bool = False) -> dict[str, int]:
+    """Line logs {name: (path, committed lines)} as a store of this form; a dry run only counts."""
+    read = {name: committed_lines(spark, path, n).select(F.from_json("line", schemas[name]).alias("r")).select("r.*") for name, (path, n) in logs.items()}
+    if not dry_run:
+        return save(spark, root, read)["counts"]
+    return {name: df.count() for name, df in read.items()}
+
+
+class Documents:
+    """A table by id: put, get, scan and delete. Conditions are Column expressions, so they reach the scan."""
+
+    def __init__(self, table: DataFrame, id_col: str = "id"):
+        self.table, self.id_col = table, id_col
+
+    def put(self, rows: DataFrame) -> Documents:
+        rest = self.table.join(rows.select(self.id_col), self.id_col, "left_anti").select(*self.table.columns)
+        return Documents(rest.unionByName(rows.select(*self.table.columns)), self.id_col)
+
+    def get(self, key) -> DataFrame:
+        return self.table.where(F.col(self.id_col) == key)
+
+    def scan(self, where=None) -> DataFrame:
+        return self.table if where is None else self.table.where(where)
+
+    def delete(self, keys: DataFrame) -> Documents:
+        return Documents(self.table.join(keys.select(self.id_col), self.id_col, "left_anti").select(*self.table.columns), self.id_col)
+
+
 def load(spark: SparkSession, root: str, embedder: str = "hashing", dim: int = 256) -> dict[str, DataFrame]:
     """The current version; refused if it is newer, of another embedding space, or short of rows."""
     m = read_manifest(spark, root)
@@ -60,7 +114,8 @@ def load(spark: SparkSession, root: str, embedder: str = "hashing", dim: int = 2
     save_guard(m, SCHEMA_VERSION, embedder, dim)
     out = {}
     for name, n in m["counts"].items():
-        out[name] = spark.read.parquet(f"{root}/{m['version']}/{name}")
+        kind = T.StructType.fromJson(json.loads(m["schemas"][name]))
+        out[name] = spark.read.schema(kind).parquet(f"{root}/{m['version']}/{name}")  # an empty table has no file
         if out[name].count() != n:
             raise ValueError(f"{name} has not the {n} rows that the manifest names")
     return out
