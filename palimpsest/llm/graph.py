@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.work import durable
+from palimpsest.llm.work import discard, durable
 
 
 def _mark(df: DataFrame) -> tuple:
@@ -32,8 +32,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = durable(large.distinct(), "large-star")  # a > b holds: b <= u < v
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = durable(small.union(low.toDF("a", "b")).distinct(), "small-star")
+        old, e = e, durable(small.union(low.toDF("a", "b")).distinct(), "small-star")
         before, mark = mark, _mark(e)
+        discard(old, large)
         if mark == before:
             break
     else:

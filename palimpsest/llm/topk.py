@@ -5,7 +5,9 @@ of its partial scores in them. Phase one gathers from every block of rows the be
 partial scores of each list, with the totals of those rows; the k-th best total
 gathered is a safe cutoff. Phase two sends the cutoff t back to the blocks: a row
 whose total reaches t has a partial score of at least t / lists somewhere, so only
-such entries are collected. Phase three adds up just those and ranks what reaches t.
+such entries are collected, and a list that no row of a block can bring there, by the
+lengths of its vectors, is not multiplied at all. Phase three resolves just those
+entries exactly and ranks what reaches t.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from palimpsest.llm.work import durable, own_columns
 ROWS = 8192  # candidates in a block
 QUERIES = 8192  # queries in a block
 STEP = 256  # queries scored at once inside a block
+PAIRS = 65536  # entries resolved at once
 FLOOR = -(1 << 63)
 
 
@@ -73,8 +76,9 @@ def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a.astype(kind), b.astype(kind)
 
 
-def _scored(batches, lists: int):
-    """For each STEP of queries of each pair: query ids, cuts, row ids, partial scores."""
+def _blocks_of(batches, lists: int):
+    """For each STEP of queries of each pair: query ids, cuts, row ids, their vectors, and for each list its dimensions
+    and the rows' part of it, in a type in which products are exact."""
     for batch in batches:
         for r in batch.to_pylist():
             dim = r["dim"]
@@ -82,18 +86,40 @@ def _scored(batches, lists: int):
             cut = np.frombuffer(r["cuts"], "<i8")
             q = np.frombuffer(r["q_vectors"], "<i8").reshape(len(qi), dim)
             x = np.frombuffer(r["r_vectors"], "<i8").reshape(len(ri), dim)
-            q, x = _exact(q, x)
-            parts = [np.ascontiguousarray(x[:, g].T) for g in _groups(dim, lists)]
+            _, typed = _exact(q, x)
+            parts = [(g, np.ascontiguousarray(typed[:, g].T)) for g in _groups(dim, lists)]
             for i in range(0, len(qi), STEP):
                 some = slice(i, i + STEP)
-                yield qi[some], cut[some], ri, [q[some, g] @ p for g, p in zip(_groups(dim, lists), parts, strict=True)]
+                yield qi[some], cut[some], ri, q[some], x, parts
+
+
+def _scored(batches, lists: int):
+    """For each STEP of queries of each pair: query ids, row ids, partial scores."""
+    for qi, _, ri, q, _, parts in _blocks_of(batches, lists):
+        yield qi, ri, [q[:, g].astype(p.dtype) @ p for g, p in parts]
+
+
+def _enough(q: np.ndarray, x: np.ndarray, cut: np.ndarray, parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the entries that reach cut / lists in some list."""
+    t = np.where(cut == FLOOR, -np.inf, cut.astype(np.float64) / len(parts))
+    t -= 1e-9 * np.maximum(1, np.abs(np.where(np.isfinite(t), t, 0)))  # rounding may only admit more
+    found = []
+    for g, p in parts:
+        longest = np.sqrt((p.astype(np.float64) ** 2).sum(axis=0).max(initial=0))
+        own = np.sqrt((q[:, g].astype(np.float64) ** 2).sum(axis=1))
+        can = np.flatnonzero(own * longest * (1 + 1e-9) >= t)
+        if len(can):
+            a, b = np.nonzero(q[can][:, g].astype(p.dtype) @ p >= t[can][:, None])
+            found.append(can[a] * len(x) + b)
+    code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return np.divmod(code, max(1, len(x)))
 
 
 def local_lists(pairs: DataFrame, k: int, lists: int) -> DataFrame:
     """Phase one: (query_id, score) of the rows that lead some list of some block."""
 
     def run(batches):
-        for qi, _, ri, parts in _scored(batches, lists):
+        for qi, ri, parts in _scored(batches, lists):
             n = min(k + 1, len(ri))  # one more, as the query itself may be among them
             lead = [np.argpartition(-p, n - 1, axis=1)[:, :n] if n < len(ri) else np.tile(np.arange(len(ri)), (len(qi), 1)) for p in parts]
             at = np.sort(np.concatenate(lead, axis=1), axis=1)
@@ -113,15 +139,9 @@ def sufficient(pairs: DataFrame, k: int, lists: int) -> DataFrame:
     the best k of a block by score and then by smaller id."""
 
     def run(batches):
-        for qi, cut, ri, parts in _scored(batches, lists):
-            m = len(parts)
-            t = np.where(cut == FLOOR, -np.inf, cut.astype(np.float64) / m)[:, None]
-            slack = 1e-9 * np.maximum(1, np.abs(np.where(np.isfinite(t), t, 0)))  # rounding may only admit more
-            enough = parts[0] >= t - slack
-            for p in parts[1:]:
-                enough |= p >= t - slack
-            a, b = np.nonzero(enough)
-            score = sum(p[a, b].astype(np.int64) for p in parts)
+        for qi, cut, ri, q, x, parts in _blocks_of(batches, lists):
+            a, b = _enough(q, x, cut, parts)
+            score = np.concatenate([np.zeros(0, np.int64), *[np.einsum("ij,ij->i", q[a[i : i + PAIRS]], x[b[i : i + PAIRS]]) for i in range(0, len(a), PAIRS)]])
             ok = (score >= cut[a]) & (ri[b] != qi[a])
             a, b, score = a[ok], b[ok], score[ok]
             order = np.lexsort((ri[b], -score, a))

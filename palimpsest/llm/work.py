@@ -20,14 +20,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back; removed when the driver ends."""
+    """df written once as Parquet in the shared folder and read back; removed by discard, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what durable wrote; nothing that is still to be computed may read it."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(df.durable_path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_spread(spark: SparkSession, path: str) -> DataFrame:

@@ -51,3 +51,24 @@ def test_oracle(spark):
     con = duckdb.connect()
     con.sql(f"create view embeddings as from '{d}/embeddings.parquet'")
     assert sorted(con.sql(K.OP2_SQL).fetchall()) == sorted(tuple(r) for r in K.op2_exact_topk(spark, d).collect())
+
+
+def test_clashing_columns(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(0, 1, 4).tolist()) for i in range(60)]
+    extra = "vec_id long, embedding array<double>, v string, dim int, block int, cut long, score long, query_id long, rank int"
+    spark.createDataFrame([(*r, "x", 1, 2, 3, 4, 5, 6) for r in rows], extra).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(tuple(r) for r in K.op2_exact_topk(spark, str(tmp_path)).collect()) == slow(rows)
+
+
+def test_lists_that_cannot_reach_the_cutoff_are_passed_over():
+    rng = np.random.default_rng(4)
+    q, x = rng.integers(-50, 50, (30, 6)), rng.integers(-50, 50, (200, 6))
+    x[:, 3:] //= 25  # short vectors in the second list
+    parts = [(g, np.ascontiguousarray(x[:, g].T.astype(np.float64))) for g in (slice(0, 3), slice(3, 6))]
+    total = q @ x.T
+    for cut in (np.sort(total, axis=1)[:, -5], np.full(30, K.FLOOR), np.full(30, 10**6)):
+        a, b = K._enough(q, x, cut, parts)
+        got = set(zip(a.tolist(), b.tolist(), strict=True))
+        assert {(i, j) for i in range(30) for j in range(200) if total[i, j] >= cut[i]} <= got
+        assert cut[0] < 10**6 or not got
