@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.work import durable
+from palimpsest.llm.work import durable, settled
 
 MIN_SITES = 10
 LINE = ["h", "g"]  # the hashes of a line
@@ -59,18 +59,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = _keyed(docs.select(*[F.col(f"`{c}`") for c in keep]), id_col, text_col)
-    seen = _occurrences(keyed, site_col)
-    # distinct sites cannot outnumber rows: most lines end here, in one pre-aggregated count
-    site = F.xxhash64("site")
-    often = seen.groupBy(*LINE).agg(F.count(F.lit(1)).alias("n"), F.min(site).alias("a"), F.max(site).alias("z"))
-    often = often.where(F.col("n") >= min_sites)
-    # written, so that both sides of the join are plain: it is broadcast by its size, or else a hot line's rows are split
-    often = durable((often.where("a <> z") if min_sites > 1 else often).select(*LINE), "often-seen")
-    kept = seen.join(often, LINE).select(*LINE, "site", F.struct("_null", "_id", "_row", "pos").alias("at"))
-    seen = durable(kept, "often-seen-lines")
-    common = durable(boilerplate_lines(seen, min_sites), "boilerplate")
-    gone = seen.join(common, LINE).where(F.col("at") != F.col("first"))
-    gone = gone.groupBy("at._id", "at._null", "at._row").agg(F.sort_array(F.collect_set("at.pos")).alias("_gone"))
+    gone = settled(lambda: _later_places(_occurrences(keyed, site_col), min_sites), "boilerplate-places")
     whole = keyed.join(gone, ["_id", "_null", "_row"], "left")
     edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_lines")))
     kept = F.expr("flatten(transform(sequence(0, size(_edges) - 2), i -> slice(_lines, _edges[i] + 2, _edges[i + 1] - _edges[i] - 1)))")
@@ -83,6 +72,21 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     )
 
 
+def _later_places(seen: DataFrame, min_sites: int) -> DataFrame:
+    """(_id, _null, _row, _gone): the places of boilerplate lines in each text, but for their first occurrences."""
+    # distinct sites cannot outnumber rows: most lines end here, in one pre-aggregated count
+    site = F.xxhash64("site")
+    often = seen.groupBy(*LINE).agg(F.count(F.lit(1)).alias("n"), F.min(site).alias("a"), F.max(site).alias("z"))
+    often = often.where(F.col("n") >= min_sites)
+    # written, so that both sides of the join are plain: it is broadcast by its size, or else a hot line's rows are split
+    often = durable((often.where("a <> z") if min_sites > 1 else often).select(*LINE), "often-seen")
+    kept = seen.join(often, LINE).select(*LINE, "site", F.struct("_null", "_id", "_row", "pos").alias("at"))
+    seen = durable(kept, "often-seen-lines")
+    common = durable(boilerplate_lines(seen, min_sites), "boilerplate")
+    gone = seen.join(common, LINE).where(F.col("at") != F.col("first"))
+    return gone.groupBy("at._id", "at._null", "at._row").agg(F.sort_array(F.collect_set("at.pos")).alias("_gone"))
+
+
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     out = dedup_lines(docs)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.work import durable, read_spread
+from palimpsest.llm.work import durable, read_spread, settled
 
 BINS = 33  # values of a feature: 0 to 32
 SYMBOLS = "|$%&*#!<>{}[]~^=_+@"
@@ -213,8 +213,12 @@ def keep_good(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang"
 ) -> DataFrame:
     """The rows of ``docs`` that a model fitted on them keeps. Only the keys of the rejected rows meet the texts."""
-    model = fit_quality(docs, labels, id_col, text_col, site_col, path_col)
-    bad = durable(score_fitted(model).where("NOT keep").select(*ROW).distinct(), "rejected")
+
+    def rejected() -> DataFrame:
+        model = fit_quality(docs, labels, id_col, text_col, site_col, path_col)
+        return score_fitted(model).where("NOT keep").select(*ROW).distinct()
+
+    bad = settled(rejected, "rejected")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[c.alias(n) for n, c in _row_keys(id_col, text_col, site_col, path_col).items()])
     return whole.join(bad, ROW, "left_anti").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
 
@@ -226,7 +230,7 @@ def good_labels(spark, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Sites are sources, and the path below a site is the language."""
     docs = read_spread(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    scored = score_fitted(fit_quality(docs, good_labels(spark, sf_dir)))
+    scored = settled(lambda: score_fitted(fit_quality(docs, good_labels(spark, sf_dir))), "scores")
     return scored.select(F.when(~F.col("_none"), F.col("_id")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "quality_score", "keep")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.graph import connected_components
-from palimpsest.llm.work import dealt, durable, own_columns, read_spread
+from palimpsest.llm.work import dealt, durable, own_columns, read_spread, settled
 
 BITS = 64
 HOT = 4096  # fingerprints under one key beyond which the key takes in more bits
@@ -244,8 +244,9 @@ BANDS, PER_BAND = 12, 2  # at similarity 0.8 two texts share no band once in 200
 RADII = (8, 16, 24, 48)  # of 128 bits, the nearest links first; 0.8 is beyond 48 twice in 10**7 times (4 against 5 shingles) or less
 WIDE = 64  # texts of a block from which on it is compared by itself
 STEP = 256  # texts compared at once with all of such a block
-PART = 1024  # texts in one task's share of a block
-SHINGLES = 1 << 22  # about as many in that share
+PART = 1024  # texts in one task's share of a block, where it gets a tree
+SIDE = 384  # texts of it that are settled against as many others
+SHINGLES = 1 << 22  # about as many shingles have those
 _ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -535,7 +536,7 @@ def open_rows(sets: DataFrame, classes: DataFrame) -> DataFrame:
     rows = sets.select("sh", "f0", "f1", "keys", "size").join(classes.toDF("sh", "root"), "sh", "left")
     rows = rows.select(F.posexplode("keys").alias("band", "key"), "sh", "f0", "f1", "keys", "size", F.coalesce("root", "sh").alias("label"))
     seen = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
-    parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("s") / SHINGLES))
+    parts = F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("s") / SHINGLES))
     mixed = seen.where("low < high").select("key", parts.alias("parts"))
     rows = rows.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("sh"), F.col("parts")))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -617,8 +618,9 @@ def near_duplicate_classes(keyed: DataFrame, words: int = 5, similarity: float =
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class: that of the smallest id, nulls last. Repeated rows are one."""
     keyed = keyed_texts(docs, id_col, text_col)
-    classes = near_duplicate_classes(keyed, words, similarity, text_col)
-    best = classes.groupBy("root").agg(F.min(F.struct("_null", "_id", "_row")).alias("w")).select("w._null", "w._id", "w._row")
+    first = F.min(F.struct("_null", "_id", "_row")).alias("w")
+    named = lambda: near_duplicate_classes(keyed, words, similarity, text_col).groupBy("root").agg(first).select("w._null", "w._id", "w._row")
+    best = settled(named, "representatives")
     one = keyed.join(best, ["_null", "_id", "_row"], "left_semi").dropDuplicates(["_null", "_id", "_row"])
     return one.select(*[F.col(f"`{c}`") for c in docs.columns])
 

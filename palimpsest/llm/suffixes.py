@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.work import durable, own_columns, read_spread
+from palimpsest.llm.work import durable, own_columns, read_spread, settled
 
 BLOCK = 1 << 20  # windows of a text handled at once; a run cut here is only a shorter run
 BATCH = 1 << 16  # windows in a suffix array
@@ -335,12 +335,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     id and text are one document, given back once for each row.
     """
     texts = _documents(docs, id_col, text_col)
-    found = runs(texts, length)
-    kept = durable(compare_runs(found), "runs")
-    stop = (F.col("at") + F.col("n") + F.lit(length - 1)).alias("end")
-    known = kept.where("known").select("d", "ord", F.col("at").alias("start"), stop)
-    ends = end_spans(texts, kept.where(~F.col("known")).drop("known"), length)
-    spans = durable(known.unionByName(ends), "repeats")
+
+    def repeats() -> DataFrame:
+        kept = durable(compare_runs(runs(texts, length)), "runs")
+        stop = (F.col("at") + F.col("n") + F.lit(length - 1)).alias("end")
+        known = kept.where("known").select("d", "ord", F.col("at").alias("start"), stop)
+        return known.unionByName(end_spans(texts, kept.where(~F.col("known")).drop("known"), length))
+
+    spans = settled(repeats, "repeats")
     lists = spans.groupBy("d", "ord").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     both = _compressed(texts).join(lists, ["d", "ord"], "left").select("d", "ord", "z", "s")
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[DataFrame]] = []  # what was written within each settled() that is still at work
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset, a local session gets its own."""
@@ -29,6 +32,21 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.durable_path = path
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """durable(make(), name), without the tables that were written on the way."""
+    _scopes.append([])
+    try:
+        made = make()
+        tables = _scopes[-1]
+    finally:
+        _scopes.pop()
+    out = durable(made, name)
+    discard(*tables)
     return out
 
 

@@ -83,6 +83,7 @@ def test_near_duplicates_in_parts(spark, monkeypatch):
     df, want = spark.createDataFrame(rows, "doc_id long, text string"), slow_near(rows)
     for part, shingles in ((60, 1 << 22), (2048, 9000)):
         monkeypatch.setattr(simhash, "PART", part)
+        monkeypatch.setattr(simhash, "SIDE", part)
         monkeypatch.setattr(simhash, "SHINGLES", shingles)
         assert sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect()), key=str) == want
 
