@@ -82,24 +82,5 @@ def working_memory(items: DataFrame, late: str = "0 seconds") -> DataFrame:
     return keyed.applyInPandasWithState(hold, "key string, content string, status string", "content string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def request_chunks(rows: DataFrame, most: int) -> DataFrame:
-    """(id, chunk): sessions in order, as many to a request as fit; one that never fits has chunk -1."""
-    import pandas as pd
-
-    def split(part: pd.DataFrame) -> pd.DataFrame:
-        chunk, used, out = 0, 0, []
-        for size in part.sort_values("seq")["bytes"]:
-            if size > most:
-                out.append(-1)
-                continue
-            if used and used + size > most:
-                chunk, used = chunk + 1, 0
-            used += size
-            out.append(chunk)
-        return part.sort_values("seq")[["feed", "id"]].assign(chunk=out)
-
-    return rows.groupBy("feed").applyInPandas(split, "feed string, id bigint, chunk int")
-
-
 def empty_state(spark: SparkSession) -> State:
     return spark.createDataFrame([], FACT), spark.createDataFrame([], "user_id string, known_name string")

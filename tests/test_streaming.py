@@ -6,6 +6,7 @@ from palimpsest.operators.extract import extract
 from palimpsest.operators.reconcile import reconcile
 from palimpsest.plans.imports import _episodes
 from palimpsest.streaming import episodes as S
+from palimpsest.streaming import feeds as Feeds
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -58,11 +59,64 @@ def test_windowed_counts(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     rows = [(t0 + timedelta(hours=h), "view") for h in (0, 1, 30, 200)]
     src = _stream(spark, tmp_path, rows, "ts timestamp, event_type string")
-    got = sorted(r["n"] for r in _run(spark, S.windowed_counts(src), "windows"))
-    assert got[:2] == [1, 2] or got == [1, 2]
+    got = sorted((r["start"], r["n"]) for r in _run(spark, S.windowed_counts(src), "windows"))
+    assert got[:2] == [(t0, 2), (t0 + timedelta(days=1), 1)]
 
 
 def test_request_chunks(spark):
     rows = [("f", i, i, b) for i, b in enumerate([40, 40, 40, 500, 90, 10])]
-    out = S.request_chunks(spark.createDataFrame(rows, "feed string, id long, seq long, bytes long"), 100)
-    assert [r["chunk"] for r in out.orderBy("id").collect()] == [0, 0, 1, -1, 2, 2]
+    out = {r["id"]: r["chunk"] for r in Feeds.request_chunks(spark.createDataFrame(rows, "feed string, id long, seq long, bytes long"), 100).collect()}
+    assert out[3] == -1 and sorted(set(out.values()) - {-1}) == list(range(max(out.values()) + 1))
+    size = dict(zip(range(6), [40, 40, 40, 500, 90, 10], strict=True))
+    for c in set(out.values()) - {-1}:
+        own = [i for i, x in out.items() if x == c]
+        assert sum(size[i] for i in own) <= 100
+    assert [out[i] for i in (0, 1, 2, 4, 5)] == sorted(out[i] for i in (0, 1, 2, 4, 5))
+
+
+def test_landed_episodes_stay_known(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    t0, kind = datetime(2024, 1, 1), "episode_id string, ts timestamp, fingerprint string"
+    done = spark.createDataFrame([("a", t0, "f1")], kind)
+    done.write.parquet(f"{tmp_path}/landed/first")
+    for name, rows in (("one", [("b", t0, "f1"), ("c", t0, "f2"), ("d", t0 + timedelta(days=9), "f2")]), ("two", [("e", t0 + timedelta(days=30), "f2"), ("f", t0, "f3")])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        src = spark.readStream.schema(done.schema).parquet(f"{tmp_path}/in")
+        landed = lambda: spark.read.schema(done.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/landed")
+        Feeds.dedup_landed(src, landed, lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/landed/{n}"), f"{tmp_path}/cp").awaitTermination()
+    assert sorted(r["episode_id"] for r in landed().collect()) == ["a", "c", "f"]
+
+
+def test_feeding_until_given_up(spark):
+    files = spark.createDataFrame([(f"p{i}", 10 + i, float(i)) for i in range(4)], "path string, length long, modified double")
+    ledger = spark.createDataFrame([], "path string, size long, failures int")
+    say = lambda batch: batch.select("path", (F.col("path") != "p1").alias("ok"))
+    for n, want in enumerate(({"fed": 3, "failed": 1, "given_up": 0}, {"fed": 0, "failed": 1, "given_up": 0}, {"fed": 0, "failed": 1, "given_up": 1}, {"fed": 0, "failed": 0, "given_up": 0})):
+        seen = ledger.where("size IS NOT NULL")
+        ledger, counts = Feeds.feed(Feeds.due(files, seen, 10_000.0), ledger, say)
+        assert counts == want, n
+        ledger = spark.createDataFrame(ledger.collect(), "path string, size long, failures int")
+    assert Feeds.due(files, ledger.where("size IS NOT NULL"), 10_000.0).isEmpty() and Feeds.due(files, ledger.limit(0), 900.0).count() == 1
+
+
+def test_calls_meet_their_results(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    for name, rows in (("calls", [("a", t0), ("b", t0)]), ("results", [("a", t0 + timedelta(minutes=30)), ("b", t0 + timedelta(hours=3))])):
+        spark.createDataFrame(rows, "call_id string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    c, r = (spark.readStream.schema("call_id string, ts timestamp").parquet(f"{tmp_path}/{n}") for n in ("calls", "results"))
+    got = S.call_results(c, r).select(F.col("c.call_id").alias("id"))
+    assert [x["id"] for x in _run(spark, got, "met")] == ["a"]
+
+
+def test_working_memory_expires(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    t0, kind = datetime(2024, 1, 1), "key string, ts timestamp, content string, ttl_seconds double"
+    for rows in ([("a", t0, "old", 60.0), ("a", t0 + timedelta(seconds=30), "new", 60.0)], [("b", t0 + timedelta(hours=2), "late", 60.0)], [("c", t0 + timedelta(hours=4), "later", 60.0)]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/w")
+    src = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/w").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/w")
+    got = [(r["key"], r["content"], r["status"]) for r in _run(spark, S.working_memory(src), "held")]
+    assert ("a", "new", "live") in got and ("a", "new", "expired") in got and ("c", "later", "expired") not in got
