@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from palimpsest.functions import vectors as Vec
 from palimpsest.operators.ordering import spread_rank
 
 
+BLOCK = 1024  # vectors of a group on one side of a task
+
+
 def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(id, score) of the documents that hold a query term.
 
@@ -95,12 +101,40 @@ def candidate_pool(rows: DataFrame, query: list[float], linked: DataFrame, pool:
 
 
 def near_pairs(rows: DataFrame, by: str, id_col: str, vec_col: str, lo: float, hi: float) -> DataFrame:
-    """Pairs of one group whose cosine lies within [lo, hi]; each pair once, smaller id first."""
-    base = rows.select(F.col(by).alias("g"), F.col(id_col).alias("id"), F.col(vec_col).alias("v")).withColumn("size", Vec.norm(F.col("v")))
-    a, b = base.alias("a"), base.alias("b")
-    both = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")))
-    c = F.round(Vec.dot(F.col("a.v"), F.col("b.v")) / (F.col("a.size") * F.col("b.size")), 9)
-    return both.select(F.col("a.g").alias(by), F.col("a.id").alias("a"), F.col("b.id").alias("b"), c.alias("similarity")).where(F.col("similarity").between(lo, hi))
+    """Pairs of one group whose cosine lies within [lo, hi]; each pair once, smaller id first.
+
+    A group is dealt into parts of about BLOCK vectors, and every two of its parts meet in one task
+    of bounded size, as matrices: a large group spreads over tasks, and only what lies within the
+    bounds leaves them. The work stays the square of a group.
+    """
+    base = rows.select(F.col(by).alias("g"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    base = base.where("g IS NOT NULL AND id IS NOT NULL AND v IS NOT NULL")
+    parts = base.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    dealt = base.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    meet = dealt.select("g", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"), (F.col("part") > F.col("o")).alias("side"), "id", "v")
+    kind = base.schema["g"].dataType.simpleString()
+
+    def within(t: pa.Table) -> pa.Table:
+        side, ids = t["side"].to_numpy(), t["id"].to_numpy()
+        width = pc.list_value_length(t["v"]).to_numpy()
+        out = []
+        for d in np.unique(width[width > 0]).tolist():
+            at = np.flatnonzero(width == d)
+            v = t["v"].take(pa.array(at)).combine_chunks().flatten().to_numpy().reshape(len(at), d)
+            size = np.sqrt((v * v).sum(axis=1))
+            v, at = v[size > 0] / size[size > 0, None], at[size > 0]
+            left, right = (np.flatnonzero(side[at] == s) for s in (False, True)) if side.any() else (np.arange(len(at)),) * 2
+            near = np.round(v[left] @ v[right].T, 9)
+            i, j = np.nonzero((near >= lo) & (near <= hi))
+            a, b = ids[at[left[i]]], ids[at[right[j]]]
+            ok = a < b if not side.any() else a != b
+            out.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], near[i, j][ok]))
+        a, b, s = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, (np.int64, np.int64, float)[k]) for k in range(3))
+        return pa.table({"g": pa.array([t["g"][0].as_py()] * len(a), t["g"].type), "a": a, "b": b, "similarity": s})
+
+    got = meet.groupBy("g", "x", "y").applyInArrow(within, f"g {kind}, a long, b long, similarity double")
+    return got.withColumnRenamed("g", by)
 
 
 def page(rows: DataFrame, order: list, offset: int = 0, limit: int | None = None, most: int = 500) -> tuple[DataFrame, dict]:

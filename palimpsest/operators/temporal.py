@@ -71,20 +71,18 @@ def as_of_join(probes: DataFrame, facts: DataFrame, slot: list[str], at: str) ->
 
 def slot_heads(facts: DataFrame) -> DataFrame:
     """One fact per single-valued slot: user-made first, then latest valid, created, largest id.
-    Facts of accumulating predicates pass through, in no window."""
-    single = T.single_valued(F.col("predicate"))
-    slot = [F.col("user_id"), F.lower("subject"), F.lower("predicate")]
+    A fact of an accumulating predicate is a slot of its own, so one window serves all and the facts are made once."""
+    own = F.when(~T.single_valued(F.col("predicate")), F.col("fact_id"))
+    slot = [F.col("user_id"), F.lower("subject"), F.lower("predicate"), own]
     order = [F.desc(F.col("source").eqNullSafe("user")), F.desc("valid_at"), F.desc("created_at"), F.desc("fact_id")]
-    one = facts.where(single).withColumn("_rn", F.row_number().over(W.partitionBy(*slot).orderBy(*order))).where("_rn = 1").drop("_rn")
-    return one.unionByName(facts.where(~single))
+    return facts.withColumn("_rn", F.row_number().over(W.partitionBy(*slot).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
 def current_state(facts: DataFrame, limit: int = 18) -> DataFrame:
     """Latest value per single-valued slot and all others; no priority of user-made ones, and the first of equals."""
-    single = T.single_valued(F.col("predicate"))
-    w = W.partitionBy(F.lower("subject"), F.lower("predicate")).orderBy(F.desc("valid_at"), "seq")
-    one = facts.where(single).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    both = one.unionByName(facts.where(~single))
+    own = F.when(~T.single_valued(F.col("predicate")), F.col("fact_id"))
+    w = W.partitionBy(F.lower("subject"), F.lower("predicate"), own).orderBy(F.desc("valid_at"), "seq")
+    both = facts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     return both.orderBy(F.lower("subject"), F.lower("predicate"), F.lower("object"), F.desc("valid_at")).limit(limit)
 
 

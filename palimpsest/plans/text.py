@@ -166,10 +166,10 @@ def _first_vector(e) -> list[float]:
 
 @query(
     "near_pairs_theta",
-    "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT * FROM p WHERE similarity BETWEEN 0.62 AND 0.94",
+    "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT * FROM p WHERE similarity BETWEEN 0.25 AND 0.94",
 )
 def near_pairs_theta(spark, sf_dir):
-    return R.near_pairs(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.62, 0.94)
+    return R.near_pairs(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.25, 0.94)
 
 
 RANKED_SQL = f"""{bm25_sql()},

@@ -12,6 +12,7 @@ from palimpsest.operators import context as Context
 from palimpsest.operators import evaluation as Ev
 from palimpsest.operators import graph as G
 from palimpsest.operators import lifecycle as Life
+from palimpsest.operators import ranking as R
 from palimpsest.operators import temporal as Time
 from palimpsest.operators.extract import extract, learn_names
 from palimpsest.operators.reconcile import FACT, Fold, reconcile, single_valued
@@ -224,3 +225,19 @@ def test_chain_of_any_length(spark, tmp_path):
     spark.range(250).selectExpr(*rows.split(", ")).write.parquet(f"{tmp_path}/events.parquet")
     got = sorted((r["depth"], r["fact_id"], r["root"]) for r in supersession_chain(spark, str(tmp_path)).collect())
     assert got == [(i, i, 0) for i in range(250)]
+
+
+def test_near_pairs_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(i % 3 > 0), rng.normal(size=4).tolist()) for i in range(90)] + [(100, 0, [0.0] * 4), (101, 0, None), (102, 0, [1.0]), (103, None, [1.0] * 4), (104, 1, [])]
+    df = spark.createDataFrame(rows, "id long, g int, v array<double>")
+    want = set()
+    for i, g, v in rows:
+        for j, h, w in rows:
+            if i < j and g == h and g is not None and v and w and len(v) == len(w) and any(v) and any(w):
+                c = round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 9)
+                want |= {(g, i, j)} if 0.5 <= c <= 0.95 else set()
+    for block in (1024, 7):
+        monkeypatch.setattr(R, "BLOCK", block)
+        got = [(r["g"], r["a"], r["b"]) for r in R.near_pairs(df, "g", "id", "v", 0.5, 0.95).collect()]
+        assert sorted(got) == sorted(want)
