@@ -242,3 +242,43 @@ def paging(spark, sf_dir):
 )
 def answer_in_context(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.answer_in_context(F.col("text"), F.lit("the")).alias("hit"))
+
+
+def _asked(spark, sf_dir):
+    """Benchmark passages as questions, documents as facts of the user that their source is."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("user_id"), F.left("text", F.lit(60)).alias("query"))
+    d = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("user_id"), F.col("doc_id").alias("fact_id"), F.left("text", F.lit(300)).alias("text"), (F.col("doc_id") * 86400.0).alias("valid_at"), F.col("n_chars").alias("salience")
+    )
+    return q, d
+
+
+@query(
+    "question_facts",
+    f"""WITH q AS (SELECT item_id AS qid, 'src' || item_id % 20 AS u, list_distinct({stems_sql('left(text, 60)')}) AS qs FROM benchmark),
+d AS (SELECT source AS u, doc_id AS id, {stems_sql('left(text, 300)')} AS t, n_chars FROM documents),
+c AS (SELECT u, count(*) AS n, greatest(1.0, avg(len(t))) AS avgdl FROM d GROUP BY u),
+x AS (SELECT u, id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT u, id, dl, term, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT u, term, count(*) AS df FROM tf GROUP BY ALL),
+p AS (SELECT u, id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS part FROM tf JOIN df USING (u, term) JOIN c USING (u)),
+a AS (SELECT qid, u, unnest(qs) AS term FROM q), h AS (SELECT qid, id, round(sum(part), 9) AS score FROM a JOIN p USING (u, term) GROUP BY qid, id),
+l AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS lex FROM h),
+s AS (SELECT u, id, 0.3 / (60 + row_number() OVER (PARTITION BY u ORDER BY id DESC)) + 0.25 / (60 + row_number() OVER (PARTITION BY u ORDER BY n_chars DESC, id)) AS s FROM d),
+f AS (SELECT q.qid, s.id, round(s + coalesce(0.6 / (60 + lex), 0), 12) AS fused FROM q JOIN s USING (u) LEFT JOIN l ON l.qid = q.qid AND l.id = s.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, id) AS rank FROM f)
+SELECT qid, id AS fact_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 15""",
+)
+def question_facts(spark, sf_dir):
+    from palimpsest.operators import context as Context
+
+    return Context.question_facts(*_asked(spark, sf_dir)).select("qid", "fact_id", "rank")
+
+
+@query("question_contexts")
+def question_contexts(spark, sf_dir):
+    """The contexts of all questions at once; documents are the episodes behind the facts."""
+    from palimpsest.operators import context as Context
+
+    q, d = _asked(spark, sf_dir)
+    episodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("episode_id"), F.col("text").alias("content"))
+    out = Context.question_contexts(q, d.withColumn("provenance", F.array("fact_id")), episodes, 2000)
+    return out.select("qid", F.length("context").alias("size"), F.md5(F.col("context").cast("binary")).alias("digest"))

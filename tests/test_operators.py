@@ -241,3 +241,31 @@ def test_near_pairs_in_parts(spark, monkeypatch):
         monkeypatch.setattr(R, "BLOCK", block)
         got = [(r["g"], r["a"], r["b"]) for r in R.near_pairs(df, "g", "id", "v", 0.5, 0.95).collect()]
         assert sorted(got) == sorted(want)
+
+
+def test_question_contexts_equal_one_by_one(spark):
+    facts = [("u", i, t, float(i), i % 3, [f"e{i}"]) for i, t in enumerate(["Wei works at Acme", "Bo likes tea", "tea is green", "Wei likes jazz", "x"])] + [("v", 9, "tea in Rome", 1.0, 1, ["e1"])]
+    f = spark.createDataFrame(facts, "user_id string, fact_id long, text string, valid_at double, salience long, provenance array<string>")
+    eps = [("e0", "Hello. Wei works at Acme now."), ("e1", "Bo likes tea a lot. Bye."), ("e2", "I said tea is green."), ("e9", "no")]
+    asked = [(1, "u", "Where does Wei work?"), (2, "u", "who likes tea"), (3, "v", "tea"), (4, "nobody", "tea"), (5, "u", "")]
+    q = spark.createDataFrame(asked, "qid long, user_id string, query string")
+    best = {}
+    for r in Context.question_facts(q, f, 3).orderBy("qid", "rank").collect():
+        best.setdefault(r["qid"], []).append(r["fact_id"])
+    assert set(best[1][:2]) == {0, 3} and set(best[2][:2]) <= {1, 2, 3} and best[3] == [9] and 4 not in best and len(best[5]) == 3
+    got = {r["qid"]: r["context"] for r in Context.question_contexts(q, f, spark.createDataFrame(eps, "episode_id string, content string"), 400, 3, 2).collect()}
+    by, said = {r[1]: r for r in facts}, dict(eps)
+    for qid, _, query in asked:
+        if qid == 4:
+            assert qid not in got
+            continue
+        lines = [f"- [1970-01-01] {by[i][2]}" for i in best[qid]]
+        order = sorted({e: n for n, i in reversed(list(enumerate(best[qid]))) for e in by[i][5]}.items(), key=lambda x: (x[1], x[0]))[:2]
+        snippets = []
+        for e, _ in order:
+            if e in said:
+                parts = [s for s in said[e].replace(". ", ".\n").split("\n") if s]
+                score = [len(set(T.py_stems(s)) & set(T.py_stems(query))) for s in parts]
+                snippets.append("- " + parts[score.index(max(score))])
+        blocks = ["FACTS:\n" + "\n".join(lines)] + (["PROVENANCE RAW:\n" + "\n".join(snippets)] if snippets else [])
+        assert got[qid] == Context.pack(blocks, 400, Context.plan_evidence(query)), qid
