@@ -145,3 +145,29 @@ def lean_context(facts: DataFrame, episodes: DataFrame, query: str, user: str, t
         chunks = provenance(w, episodes, query, max(n_chunks, need.n_chunks)).collect()
         add("PROVENANCE RAW:", "\n".join(f"- {r['snippet']}" for r in chunks))
     return Context.pack(blocks, budget, need)
+
+
+def writable(table: DataFrame, home: str, spaces: list[str]) -> DataFrame:
+    """Rows of a principal's home and of the spaces they may write."""
+    return table.where(F.col("user_id").isin(home, *spaces))
+
+
+def allowed(requests: DataFrame, principals: DataFrame) -> DataFrame:
+    """requests(principal, space, mode) with ``ok``: home is always allowed, other spaces by the principal's lists, and
+    what may be written may be read."""
+    p = principals.select("principal", "home", "readable", "writable")
+    may_write = F.array_contains("writable", F.col("space"))
+    may_read = F.array_contains("readable", F.col("space")) | may_write
+    ok = (F.col("space") == F.col("home")) | F.when(F.col("mode") == "write", may_write).otherwise(may_read)
+    return requests.join(p, "principal", "left").withColumn("ok", F.coalesce(ok, F.lit(False))).select(*requests.columns, "ok")
+
+
+def haystack(messages: DataFrame, by: str, most: int = 600_000, newest_first: bool = False) -> DataFrame:
+    """(by, text): the sessions of each question as one text, by date and then session, cut to ``most`` characters.
+    messages: (by, session_id, event_time, pos, role, content)."""
+    line = F.concat(F.lit("["), F.col("role"), F.lit("] "), F.coalesce("content", F.lit("")))
+    turns = messages.groupBy(by, "session_id").agg(F.min("event_time").alias("at"), F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))).alias("ls"))
+    body = F.array_join(F.transform("ls", lambda x: x["l"]), "\n")
+    at = -F.col("at") if newest_first else F.col("at")
+    told = turns.select(by, F.struct(at.alias("at"), "session_id", body.alias("b")).alias("s"))
+    return told.groupBy(by).agg(F.array_sort(F.collect_list("s")).alias("ss")).select(by, F.left(F.array_join(F.transform("ss", lambda s: s["b"]), "\n"), F.lit(most)).alias("text"))

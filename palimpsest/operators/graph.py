@@ -212,3 +212,29 @@ def identity_roots(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"identities did not settle in {rounds} rounds")
     return label.toDF("handle", "canonical")
+
+
+def canonical(facts: DataFrame, roots: DataFrame) -> DataFrame:
+    """``facts`` under the canonical handle of their user; roots(handle, canonical) as identity_roots gives them."""
+    named = roots.select(F.col("handle").alias("user_id"), "canonical")
+    return facts.join(named, "user_id", "left").withColumn("user_id", F.coalesce("canonical", "user_id")).select(*facts.columns)
+
+
+def touching(facts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Facts whose subject or object is one of nodes(node)."""
+    keys = nodes.select("node").distinct().withColumn("_t", F.lit(True))
+    both = facts.join(keys.toDF("_s", "_ts"), F.lower("subject") == F.col("_s"), "left").join(keys.toDF("_o", "_to"), F.lower("object") == F.col("_o"), "left")
+    return both.where("_ts OR _to").select(*facts.columns)
+
+
+def invalidate_edges(e: DataFrame, gone: DataFrame, t: float) -> DataFrame:
+    """Edges with those of gone(fact_id) closed at t, unless they were before."""
+    hit = gone.select("fact_id").distinct().withColumn("_g", F.lit(True))
+    return e.join(hit, "fact_id", "left").withColumn("invalid_at", F.when(F.col("_g"), F.coalesce("invalid_at", F.lit(t))).otherwise(F.col("invalid_at"))).select(*e.columns)
+
+
+def prune(ents: DataFrame, e: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and edges without the edges of gone(fact_id), and without the entities that nothing touches then."""
+    rest = e.join(gone.select("fact_id").distinct(), "fact_id", "left_anti").select(*e.columns)
+    ends = rest.select("user_id", F.col("src").alias("key")).union(rest.select("user_id", "dst")).distinct()
+    return ents.join(ends, ["user_id", "key"], "left_semi").select(*ents.columns), rest
