@@ -128,3 +128,46 @@ def evidence_rows(texts: DataFrame, query: str, limit: int = 36) -> DataFrame:
     scored = texts.withColumn("score", F.size(F.array_intersect(T.stems(F.col("text")), q)) + F.coalesce("bonus", F.lit(0)))
     one = scored.withColumn("_k", F.left("text", F.lit(140))).groupBy("date", "_k").agg(F.max_by(F.struct("id", "text", "score"), F.struct("score", -F.col("id"))).alias("r"))
     return one.select("r.id", "date", "r.text", "r.score").orderBy(F.desc("score"), "date", "id").limit(limit)
+
+
+def evidence_snippets(said: DataFrame, query: str, limit: int = 60) -> DataFrame:
+    """(source_id, date, text): the snippets of said(date, text, bonus) that a model should see for a counting question:
+    distinct words in common with the query, 4 for each kind of action, 1 for a user's line, and the bonus of its kind."""
+    asked = F.array(*[F.lit(t) for t in sorted({t for t in re.findall("[a-z0-9]+", query.lower()) if len(t) > 2})]).cast("array<string>")
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    rows = said.withColumn("text", text).withColumn("_low", F.lower("text"))
+    score = F.size(F.array_intersect(F.regexp_extract_all("_low", F.lit("[a-z0-9]+"), F.lit(0)), asked)) + F.col("bonus")
+    for _, pattern in ACTIONS:
+        score = score + F.when(F.rlike("_low", F.lit(pattern)), 4).otherwise(0)
+    score = score + F.when(F.contains("_low", F.lit("user:")), 1).otherwise(0)
+    cut = rows.select(score.alias("score"), "date", F.left("text", F.lit(500)).alias("text"))
+    best = cut.orderBy(F.desc("score"), "date", "text").limit(limit)  # so few that one task numbers them
+    ranked = best.withColumn("_n", F.row_number().over(W.orderBy(F.desc("score"), "date", "text")) - 1)
+    return ranked.select(F.concat(F.lit("E"), "_n").alias("source_id"), "date", "text")
+
+
+def model_candidates(snippets: DataFrame, query: str, model, actions: tuple[str, ...]) -> DataFrame:
+    """(item, action, date, include, confidence, value, unit, seq): what ``model(prompt)`` finds in the snippets. Rows that
+    name no snippet, item or known action do not count; confidence lies within 0 and 1."""
+    from palimpsest.operators.models import salvage
+
+    rows = snippets.orderBy(F.length("source_id"), "source_id").collect()  # as few as a prompt holds
+    spark, kind = snippets.sparkSession, "item string, action string, date double, include boolean, confidence double, value double, unit string, seq int"
+    if not rows:
+        return spark.createDataFrame([], kind)
+    lines = "\n".join(f"{r['source_id']} | {r['date']} | {r['text']}" for r in rows)
+    at = {r["source_id"]: float(r["date"]) for r in rows}
+
+    def number(x, otherwise):
+        try:
+            return float(x) if str(x).strip() else otherwise
+        except (TypeError, ValueError):
+            return otherwise
+
+    out = []
+    for i, x in enumerate(salvage(model(f"JSON list of source_id, item, action, include, confidence, value, unit for: {query}\n{lines}"))):
+        item, action = str(x.get("item") or "").strip().lower(), str(x.get("action") or "").strip().lower()
+        if x.get("source_id") in at and item and action in actions:
+            sure = max(0.0, min(1.0, number(x.get("confidence", 0.8), 0.8)))
+            out.append((item, action, at[x["source_id"]], bool(x.get("include", True)), sure, number(x.get("value"), None), str(x.get("unit") or ""), i))
+    return best_candidates(spark.createDataFrame(out, kind), ["item", "action"])

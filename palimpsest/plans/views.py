@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from palimpsest import vocabulary as V
 from palimpsest.catalog import query
 from palimpsest.functions import text as T
+from palimpsest.operators.aggregates import ACTIONS
+from palimpsest.operators import aggregates as Agg
 from palimpsest.operators import blocks as B
 from palimpsest.operators import graph as G
 from palimpsest.operators import health as Health
+from palimpsest.operators import lifecycle as Life
 from palimpsest.operators import temporal as Time
 from palimpsest.plans.common import AS_OF, FACTS_SQL, QUERY, event_facts, stems_sql
 from palimpsest.session import table
@@ -152,3 +155,44 @@ def exported_graph(spark, sf_dir):
     """A dead edge stays only where its user has no live one of the kind."""
     f = event_facts(spark, sf_dir).withColumn("object", F.col("predicate"))
     return G.export_graph(f, AS_OF).select("fact_id", "live")
+
+
+@query(
+    "evidence_snippets",
+    "WITH t AS (SELECT doc_id * 1.0::DOUBLE AS date, trim(regexp_replace(CASE WHEN doc_id % 6 = 0 THEN 'user: I bought ' WHEN doc_id % 6 = 1 THEN 'we ordered ' ELSE '' END || left(text, 200), '\\s+', ' ', 'g')) AS x, doc_id % 2 + 1 AS bonus FROM documents WHERE text IS NOT NULL), "
+    "s AS (SELECT date, left(x, 500) AS x, len(list_intersect(list_distinct(regexp_extract_all(lower(x), '[a-z0-9]+')), ['how', 'many', 'the', 'and', 'things', 'bought'])) + bonus"
+    + "".join(" + CASE WHEN regexp_matches(lower(x), '{}') THEN 4 ELSE 0 END".format(p.replace("'", "''")) for _, p in ACTIONS)
+    + " + CASE WHEN contains(lower(x), 'user:') THEN 1 ELSE 0 END AS score FROM t), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, date, x) - 1 AS n FROM s) SELECT 'E' || n AS source_id, date, md5(x) AS digest FROM r WHERE n < 60",
+)
+def evidence_snippets(spark, sf_dir):
+    no = F.col("doc_id") % 6
+    head = F.when(no == 0, "user: I bought ").when(no == 1, "we ordered ").otherwise("")
+    said = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("double").alias("date"), F.concat(head, F.left("text", F.lit(200))).alias("text"), (F.col("doc_id") % 2 + 1).alias("bonus"))
+    got = Agg.evidence_snippets(said, "how many of the things and bought")
+    return got.select("source_id", "date", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(
+    "user_edits",
+    f"""WITH {FACTS_SQL}, l AS (SELECT min(event_id) AS one, max(event_id) AS last FROM facts)
+SELECT event_id AS fact_id, CASE WHEN event_id = one THEN 'corrected' ELSE event_type END AS object, CASE WHEN event_id = one THEN 'user' ELSE 'extracted' END AS source,
+CASE WHEN event_id = one THEN NULL WHEN event_id = last THEN coalesce(invalid_at, {AS_OF}) ELSE invalid_at END AS invalid_at FROM facts, l WHERE event_id % 10 <> 7""",
+)
+def user_edits(spark, sf_dir):
+    """The first fact is corrected, the last loses a conflict, and each that ends in 7 is deleted."""
+    f = event_facts(spark, sf_dir)
+    f = f.withColumns({"object": F.col("predicate"), "text": F.col("predicate"), "category": F.lit(""), "sensitive": F.lit(False)})
+    r = f.agg(F.min("fact_id").alias("a"), F.max("fact_id").alias("b")).first()
+    f = Life.resolve_conflict(Life.edit_fact(f, r["a"], object="corrected"), r["b"], r["a"], "newer", AS_OF)
+    return Life.delete_facts(f, f.where("fact_id % 10 = 7")).select("fact_id", "object", "source", "invalid_at")
+
+
+@query(
+    "cleared_slot",
+    f"WITH {FACTS_SQL}, s AS (SELECT min(user_id) AS u FROM facts WHERE event_type = 'view' AND invalid_at IS NULL) SELECT event_id AS fact_id FROM facts, s WHERE NOT (user_id = u AND event_type = 'view' AND invalid_at IS NULL)",
+)
+def cleared_slot(spark, sf_dir):
+    """The live fact of one user's slot goes, as it is the one that was expected there."""
+    f = event_facts(spark, sf_dir)
+    u = f.where("predicate = 'view' AND invalid_at IS NULL").agg(F.min(F.col("user_id").cast("int"))).first()[0]
+    return Life.clear_slot(f, str(u), str(u), "view", 1, 4e9).select("fact_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions import vectors as Vec
+from palimpsest.operators import aggregates as Agg
 from palimpsest.operators import context as Context
 from palimpsest.operators import evaluation as Ev
 from palimpsest.operators import graph as G
@@ -269,3 +270,19 @@ def test_question_contexts_equal_one_by_one(spark):
                 snippets.append("- " + parts[score.index(max(score))])
         blocks = ["FACTS:\n" + "\n".join(lines)] + (["PROVENANCE RAW:\n" + "\n".join(snippets)] if snippets else [])
         assert got[qid] == Context.pack(blocks, 400, Context.plan_evidence(query)), qid
+
+
+def test_model_candidates(spark):
+    said = [(1.0, "user: I bought a red bike", 2), (2.0, "the weather is  fine", 1), (3.0, "I sold my bike", 2)]
+    s = Agg.evidence_snippets(spark.createDataFrame(said, "date double, text string, bonus int"), "How many bikes did I buy? bike", 2)
+    got = [(r["source_id"], r["date"], r["text"]) for r in s.orderBy("source_id").collect()]
+    assert got[0] == ("E0", 1.0, "user: I bought a red bike") and len(got) == 2
+    rows = [
+        {"source_id": "E0", "item": "Red Bike", "action": "buy", "confidence": 7}, {"source_id": "E0", "item": "red bike", "action": "buy", "confidence": "x"},
+        {"source_id": "E9", "item": "car", "action": "buy"}, {"source_id": "E0", "item": "", "action": "buy"}, {"source_id": "E0", "item": "helmet", "action": "paint"}, {"source_id": "E1", "item": "bike", "action": "buy", "include": False, "value": "12.5", "unit": "km"},
+    ]
+    import json
+
+    out = Agg.model_candidates(s, "?", lambda p: json.dumps(rows), ("buy",)).orderBy("item").collect()
+    assert [(r["item"], r["include"], r["confidence"], r["value"]) for r in out] == [("bike", False, 0.8, 12.5), ("red bike", True, 1.0, None)]
+    assert Agg.model_candidates(s, "?", lambda p: "sorry", ("buy",)).collect() == [] and Agg.model_candidates(s.limit(0), "?", None, ()).collect() == []
