@@ -60,7 +60,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = _keyed(docs.select(*[F.col(f"`{c}`") for c in keep]), id_col, text_col)
     gone = settled(lambda: _later_places(_occurrences(keyed, site_col), min_sites), "boilerplate-places")
-    whole = keyed.join(gone, ["_id", "_null", "_row"], "left")
+    whole = keyed.join(gone.hint("merge"), ["_id", "_null", "_row"], "left")  # grows with the corpus: the plan of a large one at any size
     edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_lines")))
     kept = F.expr("flatten(transform(sequence(0, size(_edges) - 2), i -> slice(_lines, _edges[i] + 2, _edges[i + 1] - _edges[i] - 1)))")
     text = F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))

@@ -220,7 +220,8 @@ def keep_good(
 
     bad = settled(rejected, "rejected")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[c.alias(n) for n, c in _row_keys(id_col, text_col, site_col, path_col).items()])
-    return whole.join(bad, ROW, "left_anti").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+    # the rejected grow with the corpus: the plan of a large one at any size
+    return whole.join(bad.hint("merge"), ROW, "left_anti").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def good_labels(spark, sf_dir: str) -> DataFrame:
