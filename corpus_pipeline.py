@@ -6,12 +6,14 @@ such a column, follows the text.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import lines, packing, quality, secrets, simhash
-from palimpsest.llm.work import durable
+from palimpsest.llm.work import discard, durable, settled
 
 ORACLE_SQL = None  # near duplicates and packing are beyond SQL
 
@@ -59,7 +61,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's rows are written once, and what the stage before wrote goes."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        docs = settled(partial(stage, spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return docs
