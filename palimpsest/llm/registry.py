@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from palimpsest.llm import lines, media, packing, pieces, quality, secrets, simhash, suffixes, topk, trie, urls
+    from palimpsest.llm import collocations, lines, media, packing, pieces, quality, secrets, simhash, suffixes, topk, trie, urls
 
     return {
         "op1_best_fit_pack": packing.op1_best_fit_pack,
@@ -17,17 +17,19 @@ def queries() -> dict:
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_audio_features": media.op9_audio_features,
         "op10_line_dedup": lines.op10_line_dedup,
+        "op11_phrase_collocations": collocations.op11_phrase_collocations,
         "op12_conversation_trie": trie.op12_conversation_trie,
     }
 
 
 def oracle_sql() -> dict:
-    from palimpsest.llm import lines, quality, topk, trie, urls
+    from palimpsest.llm import collocations, lines, quality, topk, trie, urls
 
     return {
         "op2_exact_topk": topk.OP2_SQL,
         "op3_quality_classifier": quality.OP3_SQL,
         "op4_url_filter": urls.OP4_SQL,
         "op10_line_dedup": lines.OP10_SQL,
+        "op11_phrase_collocations": collocations.OP11_SQL,
         "op12_conversation_trie": trie.OP12_SQL,
     }
