@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from palimpsest.llm import collocations, lines, media, packing, pieces, quality, secrets, simhash, suffixes, topk, trie, urls
+    from palimpsest.llm import collocations, jaccard, lines, media, packing, pieces, quality, secrets, simhash, suffixes, topk, trie, urls
 
     return {
         "op1_best_fit_pack": packing.op1_best_fit_pack,
@@ -19,11 +19,12 @@ def queries() -> dict:
         "op10_line_dedup": lines.op10_line_dedup,
         "op11_phrase_collocations": collocations.op11_phrase_collocations,
         "op12_conversation_trie": trie.op12_conversation_trie,
+        "op13_ngram_jaccard": jaccard.op13_ngram_jaccard,
     }
 
 
 def oracle_sql() -> dict:
-    from palimpsest.llm import collocations, lines, quality, topk, trie, urls
+    from palimpsest.llm import collocations, jaccard, lines, quality, topk, trie, urls
 
     return {
         "op2_exact_topk": topk.OP2_SQL,
@@ -32,4 +33,5 @@ def oracle_sql() -> dict:
         "op10_line_dedup": lines.OP10_SQL,
         "op11_phrase_collocations": collocations.OP11_SQL,
         "op12_conversation_trie": trie.OP12_SQL,
+        "op13_ngram_jaccard": jaccard.OP13_SQL,
     }
