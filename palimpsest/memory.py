@@ -39,7 +39,7 @@ def _fresh() -> dict:
     return {"summary": F.lit(None).cast("string"), "consolidated": F.lit(False), "ephemeral": F.lit(False), "source": F.lit("chat")}
 
 
-EXTRA = {"access_count": "int", "last_access": "double", "category": "string", "sensitive": "boolean", "text": "string"}
+VECTORS = {"facts": {"embedding": "text"}, "episodes": {"embedding": "content", "summary_embedding": "summary"}, "working": {"embedding": "content"}, "names": {}}
 
 
 class Memory:
@@ -53,6 +53,25 @@ class Memory:
         self.policy: dict[str, str] = {}
         self.track: list[str] = []
         self.mute: list[str] = []
+        self.embedder = None
+        self.arrivals = 0
+
+    def _append(self, name: str, new: DataFrame) -> None:
+        """Rows of one of the tables, with all columns that it has by now: what is new is hot, and has vectors
+        once the memory has been embedded."""
+        held = getattr(self, name)
+        if "tier" in held.columns and "tier" not in new.columns:
+            new = new.withColumn("tier", F.lit("hot"))
+        if self.embedder:
+            for out, text in VECTORS[name].items():
+                new = Models.embed(new.drop(out), self.embedder, text, out)
+        known = [c for c in new.columns if c in held.columns]
+        setattr(self, name, cut_lineage(held.unionByName(new.select(*known), allowMissingColumns=True)))
+
+    def _arrival(self) -> int:
+        """The number of the next arrival: the order of what comes at one time."""
+        self.arrivals += 1
+        return self.arrivals
 
     def _dressed(self, facts: DataFrame) -> DataFrame:
         """Facts with text, category and sensitivity filled in."""
@@ -68,8 +87,8 @@ class Memory:
     def import_messages(self, messages: DataFrame, user: str) -> None:
         """Sessions that are not known yet become pending episodes."""
         new = Conv.import_episodes(messages, user, self.episodes)
-        new = new.withColumns({"ingested_at": F.col("event_time"), "seq": F.xxhash64("fingerprint") % 1_000_000_000, **_fresh()})
-        self.episodes = self.episodes.unionByName(cut_lineage(new.select(*self.episodes.columns)))
+        new = new.withColumns({"ingested_at": F.col("event_time"), "seq": F.lit(self._arrival()).cast("long"), **_fresh()})
+        self._append("episodes", new)
 
     def import_files(self, files: DataFrame, user: str, session: str = "imported") -> None:
         """files(id, text) of any known format."""
@@ -92,19 +111,22 @@ class Memory:
         row = [(session, "", int(at), speaker, content, float(at), "records")]
         schema = "session_id string, title string, pos long, speaker string, content string, event_time double, source string"
         made = Conv.import_episodes(self.spark.createDataFrame(row, schema), user)
-        new = made.withColumns({"content": F.lit(content), "ingested_at": F.lit(float(at)), "seq": F.lit(int(at)), **_fresh()})
-        self.episodes = self.episodes.unionByName(new.select(*self.episodes.columns))
+        seq = F.lit(self._arrival()).cast("long")
+        own = F.concat(F.lit("ep_"), F.left(F.sha2(F.concat_ws("\x1f", "fingerprint", seq), 256), F.lit(12)))  # the same words again are another episode
+        new = made.withColumns({"content": F.lit(content), "ingested_at": F.lit(float(at)), "seq": seq, "episode_id": own, **_fresh()})
+        self._append("episodes", new)
 
     def remember(self, content: str, user: str, at: float, session: str = "default", scope: str = "auto", ttl: float | None = None) -> str:
         """An episode, and for a passing state a working item instead of durable facts. The scope it went to."""
-        key = hashlib.sha256("\x1f".join((user, session, content, repr(at))).encode()).hexdigest()
+        seq = self._arrival()
+        key = hashlib.sha256("\x1f".join((user, session, content, repr(at), str(seq))).encode()).hexdigest()
         row = self.spark.createDataFrame([(f"ep_{key[:12]}", user, session, content, float(at))], "episode_id string, user_id string, session_id string, content string, event_time double")
         episodes, items = Sessions.remember(row, scope, ttl)
         more = {**_fresh(), "consolidated": F.col("consolidated"), "ephemeral": F.col("ephemeral")}
-        new = episodes.withColumns({"ingested_at": F.lit(float(at)), "seq": F.lit(int(at)), "fingerprint": F.lit(key), **more})
-        self.episodes = self.episodes.unionByName(cut_lineage(new.select(*self.episodes.columns)))
+        new = episodes.withColumns({"ingested_at": F.lit(float(at)), "seq": F.lit(seq).cast("long"), "fingerprint": F.lit(key), **more})
+        self._append("episodes", new)
         items = cut_lineage(items)
-        self.working = self.working.unionByName(items)
+        self._append("working", items)
         return "long" if items.isEmpty() else "working"
 
     def working_memory(self, user: str, t: float, session: str | None = None, kind: str | None = None) -> DataFrame:
@@ -127,10 +149,16 @@ class Memory:
         known = keys(self.facts)
         rest = known.join(touched, ["user_id", "_key"], "left_anti").select(*self.facts.columns)
         near = cut_lineage(known.join(touched, ["user_id", "_key"], "left_semi").select(*self.facts.columns))
-        folded = reconcile(near.select(*base).unionByName(new.select(*base))).join(near.select("fact_id", *EXTRA), "fact_id", "left")
+        more = [c for c in self.facts.columns if c not in base]
+        folded = reconcile(near.select(*base).unionByName(new.select(*base))).join(near.select("fact_id", *more), "fact_id", "left")
         folded = folded.withColumn("text", F.coalesce("text", T.fact_text(F.col("subject"), F.col("predicate"), F.col("object"))))
         folded = folded.withColumns({"access_count": F.coalesce("access_count", F.lit(0)), "last_access": F.coalesce("last_access", "valid_at")})
+        if "tier" in more:
+            folded = folded.withColumn("tier", F.coalesce("tier", F.lit("hot")))
         folded = cut_lineage(Life.classify(folded).select(*self.facts.columns))
+        if self.embedder:
+            fresh = Models.embed(folded.where("embedding IS NULL").drop("embedding"), self.embedder, "text")
+            folded = folded.where("embedding IS NOT NULL").unionByName(fresh)
         self.facts = cut_lineage(rest.unionByName(folded))
 
     def consolidate(self, which=None) -> int:
@@ -145,7 +173,7 @@ class Memory:
 
     def add_fact(self, subject: str, predicate: str, obj: str, user: str, at: float) -> None:
         key = hashlib.sha256("\x1f".join((user, subject, predicate, obj, repr(at))).encode()).hexdigest()[:12]
-        row = [(f"fact_{key}", user, subject, predicate, obj, float(at), float(at), None, None, None, "user", 1.0, [], int(at))]
+        row = [(f"fact_{key}", user, subject, predicate, obj, float(at), float(at), None, None, None, "user", 1.0, [], self._arrival())]
         self._fold_in(self.spark.createDataFrame(row, FACT))
 
     def close_session(self, user: str, session: str, t: float, summarise: bool = True, clear_working: bool = True, model=None) -> dict:
@@ -159,7 +187,10 @@ class Memory:
         if summarise:
             blank = own & (F.coalesce("summary", F.lit("")) == "")
             out["summaries"] = self.episodes.where(blank).count()
-            made = Life.summarise(self.episodes.where(own)).unionByName(self.episodes.where(~own))
+            told = Life.summarise(self.episodes.where(own))
+            if self.embedder:
+                told = Models.embed(told.drop("summary_embedding"), self.embedder, "summary", "summary_embedding")
+            made = told.unionByName(self.episodes.where(~own))
             self.episodes = cut_lineage(made.select(*self.episodes.columns))
         if clear_working:
             out["working_cleared"] = self.clear_session(user, session)
@@ -175,9 +206,8 @@ class Memory:
                 "fact_id": key, "subject": F.col("session_id"), "predicate": F.col("kind"), "object": F.col("text"), "valid_at": F.lit(t), "created_at": F.lit(t), "invalid_at": F.lit(None).cast("double"),
                 "expired_at": F.lit(None).cast("double"), "supersedes": F.lit(None).cast("string"), "source": F.lit("extracted"), "salience": F.lit(1.0), "provenance": F.array().cast("array<string>"), "seq": F.lit(int(t)),
             }
-            facts = self._dressed(new.withColumns(base)).select(*self.facts.columns)
             out["outcomes"] = new.count()
-            self.facts = cut_lineage(self.facts.unionByName(facts))
+            self._append("facts", self._dressed(new.withColumns(base)))
         return out
 
     def set_policy(self, **prompts: str) -> None:
@@ -185,10 +215,14 @@ class Memory:
         self.policy = {k: v for k, v in {**self.policy, **prompts}.items() if v}
 
     def reembed(self, model) -> dict[str, int]:
-        """Vectors of facts, episodes, summaries and working memory anew, from their texts; entities are found by name."""
-        self.facts = cut_lineage(Models.embed(self.facts.drop("embedding"), model, "text"))
-        self.episodes = cut_lineage(Models.embed(Models.embed(self.episodes.drop("embedding", "summary_embedding"), model, "content"), model, "summary", "summary_embedding"))
-        self.working = cut_lineage(Models.embed(self.working.drop("embedding"), model, "content"))
+        """Vectors of facts, episodes, summaries and working memory anew, from their texts, and from now on of whatever
+        is added; entities are found by name."""
+        self.embedder = model
+        for name, vectors in VECTORS.items():
+            df = getattr(self, name).drop(*vectors)
+            for out, text in vectors.items():
+                df = Models.embed(df, model, text, out)
+            setattr(self, name, cut_lineage(df))
         told = self.episodes.where(F.coalesce("summary", F.lit("")) != "")
         return {"facts": self.facts.count(), "episodes": self.episodes.count(), "summaries": told.count(), "working": self.working.count()}
 
@@ -202,7 +236,9 @@ class Memory:
         self.facts = Life.delete_facts(self.facts, self.spark.createDataFrame([(fact_id,)], "fact_id string"))
 
     def forget(self, user: str) -> None:
-        self.facts, self.episodes = self.facts.where(F.col("user_id") != user), self.episodes.where(F.col("user_id") != user)
+        """Nothing of the user stays: facts, episodes with their summaries, working memory and the name."""
+        for name in VECTORS:
+            setattr(self, name, cut_lineage(getattr(self, name).where(~F.col("user_id").eqNullSafe(user))))
 
     def set_focus(self, track: list[str] | None = None, mute: list[str] | None = None) -> None:
         self.track, self.mute = track or [], mute or []
@@ -290,7 +326,7 @@ class Memory:
     def save(self, root: str) -> dict:
         """Refused if another writer has saved since this one opened the store."""
         tables = {"facts": self.facts, "episodes": self.episodes, "names": self.names, "working": self.working}
-        state = {"track": self.track, "mute": self.mute, "policy": self.policy}
+        state = {"track": self.track, "mute": self.mute, "policy": self.policy, "arrivals": self.arrivals}
         made = Store.save(self.spark, root, tables, state=state, expected=self.version)
         self.version = made["version"]
         return made
@@ -300,12 +336,15 @@ class Memory:
         return Store.current_version(self.spark, root) != self.version
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str) -> Memory:
+    def open(cls, spark: SparkSession, root: str, embedder=None) -> Memory:
+        """What was saved, with every column. Vectors are read back; ``embedder`` makes those of what is added."""
         m = cls(spark)
         for name, df in Store.load(spark, root).items():
-            setattr(m, name, df.select(*[c for c in getattr(m, name).columns if c in df.columns]))
+            setattr(m, name, getattr(m, name).unionByName(df, allowMissingColumns=True))  # every column that was saved
         state = (Store.read_manifest(spark, root) or {}).get("state", {})
         m.set_focus(state.get("track"), state.get("mute"))
         m.policy = state.get("policy", {})
+        m.arrivals = state.get("arrivals", 0)
+        m.embedder = embedder
         m.version = Store.current_version(spark, root)
         return m

@@ -215,7 +215,7 @@ def agent_log_turns(spark, sf_dir):
 def sniff_formats(spark, sf_dir):
     texts = [
         json.dumps(TREE), json.dumps([{"role": "user", "content": "x"}]), json.dumps([{"session_id": "s", "content": "x"}]), '{"content": "a"}\n{"content": "b"}', "Alice: hi",
-        '{"type": "user", "sessionId": "s"}\n{"type": "user", "sessionId": "s"}',
+        '{"type": "user", "isSidechain": false}\n{"type": "user", "isSidechain": false}',
     ]
     return Conv.sniff(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).select("id", "format")
 
@@ -345,14 +345,33 @@ def hash_embedding(spark, sf_dir):
 
 @query(
     "read_any_format",
-    "SELECT 'imported_' || conv_id AS session_id, role AS speaker, trim(regexp_replace('m' || turn || ' ' || coalesce(text, ''), '[^A-Za-z0-9 ]', ' ', 'g')) AS content FROM conversations",
+    """
+    SELECT CASE conv_id % 7 WHEN 4 THEN 's' || conv_id WHEN 5 THEN 'c' || conv_id ELSE 'imported_' || conv_id END AS session_id, role AS speaker, content
+    FROM (SELECT conv_id, role, trim(regexp_replace('m' || turn || ' ' || coalesce(text, ''), '[^A-Za-z0-9 ]', ' ', 'g')) AS content FROM conversations)
+    WHERE CASE conv_id % 7 WHEN 5 THEN role <> 'system' WHEN 6 THEN role IN ('user', 'assistant') AND length(content) >= 12 ELSE true END
+    """,
 )
 def read_any_format(spark, sf_dir):
-    """Conversations as files, by turns a JSON array and a transcript; each is read by what it looks like."""
+    """Conversations as files of seven shapes, every other one with a newline at its end; each is read by what it looks like."""
     said = F.trim(F.regexp_replace(F.concat(F.lit("m"), "turn", F.lit(" "), F.coalesce("text", F.lit(""))), "[^A-Za-z0-9 ]", " "))
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", said.alias("content")).alias("t"))
     files = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    array = F.to_json(F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))))
-    script = F.array_join(F.transform("ts", lambda t: F.concat(t["role"], F.lit(": "), t["content"])), "\n")
-    f = files.select(F.col("conv_id").cast("string").alias("id"), F.when(F.col("conv_id") % 2 == 0, array).otherwise(script).alias("text"))
+    plain = lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
+    ids = F.transform("ts", lambda t, i: F.concat(F.lit("n"), i))
+    node = lambda t, i: F.struct(
+        F.when(i > 0, F.concat(F.lit("n"), i - 1)).alias("parent"), F.struct(F.struct(t["role"].alias("role")).alias("author"), F.struct(F.array(t["content"]).alias("parts")).alias("content")).alias("message")
+    )
+    logged = lambda t: F.to_json(F.struct(t["role"].alias("type"), F.lit(False).alias("isSidechain"), F.struct(t["role"].alias("role"), t["content"].alias("content")).alias("message")))
+    shapes = [
+        F.to_json(F.transform("ts", plain)),
+        F.array_join(F.transform("ts", lambda t: F.concat(t["role"], F.lit(": "), t["content"])), "\n"),
+        F.to_json(F.struct(F.transform("ts", plain).alias("messages"))),
+        F.array_join(F.transform("ts", lambda t: F.to_json(plain(t))), "\n"),
+        F.to_json(F.transform("ts", lambda t: F.struct(F.concat(F.lit("s"), "conv_id").alias("session_id"), t["role"].alias("role"), t["content"].alias("content")))),
+        F.to_json(F.struct(F.concat(F.lit("c"), "conv_id").alias("conversation_id"), F.map_from_arrays(ids, F.transform("ts", node)).alias("mapping"), F.element_at(ids, -1).alias("current_node"))),
+        F.array_join(F.transform("ts", logged), "\n"),
+    ]
+    shape = F.element_at(F.array(*shapes), (F.col("conv_id") % len(shapes) + 1).cast("int"))
+    end = F.when(F.floor(F.col("conv_id") / len(shapes)) % 2 == 0, "\n").otherwise("")
+    f = files.select(F.col("conv_id").cast("string").alias("id"), F.concat(shape, end).alias("text"))
     return Conv.read_any(f).select("session_id", "speaker", "content")

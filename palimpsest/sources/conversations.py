@@ -165,19 +165,36 @@ def agent_log(lines: DataFrame, sidechains: bool = False, min_chars: int = 12) -
     )
 
 
+def _named(o, *keys: str):
+    """Some of ``keys`` is a field of the JSON object o, null values included."""
+    return F.coalesce(F.arrays_overlap(F.map_keys(o), T.words(*keys)), F.lit(False))
+
+
 def sniff(files: DataFrame) -> DataFrame:
-    """files(id, text) with the format that each looks like."""
-    t = F.ltrim("text")
-    head = F.from_json("text", MAP)
-    first = F.from_json(F.element_at(F.split(t, "\n"), 1), MAP)
-    log = first["sessionId"].isNotNull() | first["isSidechain"].isNotNull() | first["payload"].isNotNull()
+    """files(id, text) with the format that each looks like.
+
+    Lines that all begin an object are a log or records; blank lines, and so a last newline, do not count. One
+    object, or the first object of a list, tells by its fields. What is no JSON is a transcript.
+    """
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    lines = F.filter(F.transform(F.split(t, r"\r?\n|\r"), lambda x: F.regexp_replace(x, r"^\s+", "")), lambda x: x != "")
+    each = (F.size(lines) > 1) & F.forall(lines, lambda x: F.startswith(x, F.lit("{")))
+    log = F.array_join(F.slice(lines, 1, 60), "\n").rlike(r'"isSidechain"|"type": ?"response_item"')
+    listed = F.startswith(t, F.lit("["))
+    items = F.filter(F.from_json(F.when(listed, t), "array<string>"), lambda x: F.startswith(F.ltrim(x), F.lit("{")))
+    one = F.coalesce(F.from_json(F.when(listed, F.get(items, F.lit(0))).otherwise(t), MAP), F.from_json(F.lit("{}"), MAP))
+    said = _named(one, "role", "speaker", "author", "from") & _named(one, "content", "text", "message", "body")
+    tree = _named(one, "mapping") | (~listed & _named(one, "conversations"))
+    flat = ~said | _named(one, "session_id", "conversation_id", "thread_id") | ~listed
+    whole = F.when(listed, F.from_json(t, "array<string>").isNotNull()).otherwise(F.from_json(t, MAP).isNotNull())
     kind = (
-        F.when(F.startswith(t, F.lit("{")) & (F.size(F.split(F.trim("text"), "\n")) > 1) & first.isNotNull() & F.coalesce(log, F.lit(False)), "agent_session")
-        .when(F.startswith(t, F.lit("{")) & (F.size(F.split(F.trim("text"), "\n")) > 1) & first.isNotNull(), "jsonl")
-        .when(head["mapping"].isNotNull() | head["conversations"].isNotNull() | F.contains("text", F.lit('"mapping"')), "chatgpt")
-        .when(head["messages"].isNotNull() | (F.startswith(t, F.lit("[")) & F.contains("text", F.lit('"role"'))), "messages")
-        .when(F.startswith(t, F.lit("[")), "records")
-        .otherwise("transcript")
+        F.when(~F.coalesce(t.rlike(r"^[\[{]"), F.lit(False)), "transcript")
+        .when(each, F.when(log, "agent_session").otherwise("jsonl"))
+        .when(~whole, "transcript")
+        .when(tree, "chatgpt")
+        .when(_named(one, "messages"), "messages")
+        .when(flat, "records")
+        .otherwise("messages")
     )
     return files.withColumn("format", kind)
 
@@ -231,7 +248,9 @@ def read_any(files: DataFrame, session_id: str = "imported") -> DataFrame:
     many = chats.select("id", F.posexplode(F.from_json(wrapped, "array<string>")).alias("n", "json"))
     many = many.select((F.xxhash64("id", "n")).alias("i"), "json")
     arrays = of("messages").select("id", F.col("text").alias("json"))
-    listed = of("records").select("id", F.posexplode(F.from_json("text", "array<string>")).alias("seq", "json"))
+    bare = F.startswith(F.regexp_replace("text", r"^\s+", ""), F.lit("{"))  # one record without a list
+    records_of = F.when(bare, F.array("text")).otherwise(F.from_json("text", "array<string>"))
+    listed = of("records").select("id", F.posexplode(records_of).alias("seq", "json"))
     rows = lines(of("jsonl")).where(F.trim("line") != "").select("id", F.col("line_no").alias("seq"), F.col("line").alias("json"))
     logs = lines(of("agent_session")).select(name.alias("session_id"), "line_no", "line")
     parts = [chat_export(many), agent_log(logs)]

@@ -2,11 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import health as Health
 from palimpsest.operators import profile as Profile
 from palimpsest.operators import temporal as Time
+from palimpsest.sources import conversations as Conv
 from palimpsest.sources import files as Files
 
 
@@ -65,3 +67,27 @@ def test_small_views(spark):
     eps = spark.createDataFrame([("e1", 1.0, "I met Ann. I started yoga in May. Yoga ended."), ("e2", 2.0, "The yoga course finished."), ("e3", 3.0, "yoga is nice")], "episode_id string, event_time double, content string")
     got = {(r["anchor"], r["episode_id"]): r["sentence"] for r in Time.duration_evidence(eps, ["yoga", "golf"]).collect()}
     assert got == {("yoga", "e1"): "I started yoga in May.", ("yoga", "e2"): "The yoga course finished."}
+
+
+SHAPES = {
+    '{"messages": [{"role": "user", "content": "a b"}]}': ("messages", 1),
+    '[{"role": "user", "content": "a b"}, {"role": "assistant", "content": "c"}]': ("messages", 2),
+    '[{"session_id": "s1", "role": "user", "content": "a"}, {"session_id": "s2", "role": "user", "content": "b"}]': ("records", 2),
+    '[{"content": "a"}]': ("records", 1),
+    '{"role": "user", "content": "a bare record"}': ("records", 1),
+    '{"content": "a"}\n{"content": "b"}': ("jsonl", 2),
+    '{"mapping": {"a": {"parent": null, "message": {"author": {"role": "user"}, "content": {"parts": ["hello"]}}}}, "current_node": "a"}': ("chatgpt", 1),
+    '{"type": "user", "isSidechain": false, "message": {"role": "user", "content": "a long enough line"}}\n{"type": "assistant", "isSidechain": false, "message": {"role": "assistant", "content": "another long line"}}': ("agent_session", 2),
+    "Alice: hi\nBob: ho": ("transcript", 2),
+    "no speaker here": ("transcript", 1),
+    "{not json at all": ("transcript", 1),
+}
+
+
+@pytest.mark.parametrize("end", ["", "\n", "\n\n", "\r\n"])
+def test_no_file_is_lost(spark, end):
+    files = spark.createDataFrame([(str(i), ("  " if i % 2 and "ali" not in t.lower() else "") + t + end) for i, t in enumerate(SHAPES)], "id string, text string")
+    found = {r["id"]: r["format"] for r in Conv.sniff(files).collect()}
+    assert found == {str(i): kind for i, (kind, _) in enumerate(SHAPES.values())}
+    assert Conv.read_any(files).count() == sum(n for _, n in SHAPES.values())
+    assert {r[0] for r in Conv.read_any(files.where("id = '2'")).select("session_id").collect()} == {"s1", "s2"}

@@ -96,3 +96,60 @@ def test_episode_search(spark):
     e = spark.createDataFrame(rows, "episode_id string, content string, embedding array<double>, event_time double")
     got = Blocks.episode_search(e, "topic 3", [4.0, 1.0], 5, 50.0).collect()
     assert len(got) == 5 and [r["rank"] for r in got] and all(int(r["id"][1:]) <= 50 for r in got)
+
+
+def _embedder(texts):
+    return [[float(len(t or "")), 1.0] for t in texts]
+
+
+def _every_write(m, spark):
+    """Each way to write, and what must hold after it."""
+    before = m.episodes.count()
+    m.add("I work at Acme.", "u1", T + 1)
+    m.add("I work at Acme.", "u1", T + 1)
+    m.remember("I prefer tea.", "u1", T + 2, session="later")
+    m.remember("I am in a meeting right now.", "u1", T + 2, session="later", scope="working", ttl=60.0)
+    messages = [("imp", "", 0, "user", "I like hiking.", None, "chat")]
+    m.import_messages(spark.createDataFrame(messages, "session_id string, title string, pos long, speaker string, content string, event_time double, source string"), "u1")
+    assert m.episodes.count() == before + 5 == m.episodes.select("episode_id").distinct().count()
+    assert m.episodes.where(F.col("event_time") == T + 1).select("seq").distinct().count() == 2
+    m.add_fact("Wei", "lives_in", "Osaka", "u1", T + 3)
+    assert m.consolidate() >= 3
+    m.update_fact(m.facts.where("object = 'Osaka'").first()["fact_id"], object="Kobe")
+    said = '[{"kind": "decision", "statement": "We will move the store to another city.", "why": "rent"}]'
+    assert m.close_session("u1", "later", T + 4, model=lambda p: said)["outcomes"] == 1
+    m.decay(T + 5)
+    assert m.facts.where("object = 'Kobe'").count() == 1 and m.facts.where("text IS NULL OR category IS NULL").isEmpty()
+
+
+def test_every_write_works_after_evict_reembed_and_open(spark, tmp_path):
+    m = Memory(spark)
+    for text, day in SCRIPT[:4]:
+        m.add(text, "u1", BASE + day * DAY, session=f"s{day}")
+    m.add("My name is Ada.", "u2", BASE)
+    m.consolidate()
+    m.remember("I am on a train right now.", "u2", BASE, scope="working")
+    m.evict(1)
+    _every_write(m, spark)
+    assert m.facts.where("tier IS NULL").isEmpty() and m.facts.where("tier = 'hot' AND object = 'Kobe'").count() == 1
+    m.reembed(_embedder)
+    m.add("I work at Initech.", "u1", T + 9, session="new")
+    m.add_fact("Wei", "plays", "go", "u1", T + 9)
+    m.consolidate()
+    m.close_session("u1", "new", T + 10)
+    assert m.facts.where("embedding IS NULL").isEmpty() and m.episodes.where("embedding IS NULL").isEmpty()
+    root = f"file://{tmp_path}/kept"
+    m.save(root)
+    again = Memory.open(spark, root, _embedder)
+    for name in ("facts", "episodes", "working", "names"):
+        held, read = getattr(m, name), getattr(again, name)
+        cols = sorted(held.columns)
+        assert sorted(read.columns) == cols
+        assert sorted(map(str, read.select(*cols).collect())) == sorted(map(str, held.select(*cols).collect()))
+    again.add("I work at Hooli.", "u1", T + 20)
+    again.add_fact("Wei", "speaks", "Ainu", "u1", T + 20)
+    again.consolidate()
+    assert again.facts.where("embedding IS NULL OR tier IS NULL").isEmpty() and again.arrivals > m.arrivals
+    again.forget("u2")
+    for name in ("facts", "episodes", "working", "names"):
+        assert getattr(again, name).where("user_id = 'u2'").isEmpty() and not (name == "facts" and again.facts.isEmpty())
