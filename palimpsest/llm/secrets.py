@@ -25,7 +25,13 @@ KINDS = (*BASE, "der", "ssh", "jwt")  # the order of kinds at one start
 WORDS = ("passw", "secret", "token", "api")
 B64 = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{32,}+(?:\r?\n|$))*+[A-Za-z0-9+/]{0,}+={0,2}")
 B64_START = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}")
-LINE = re.compile(r"[^\r\n]+")
+PLAIN_BREAK = re.compile(r"[\r\n]+")
+# other ways to write a key: line ends escaped or followed by an indent, URL-safe letters, lines of 16 letters or more
+ANY_BREAK = re.compile(r"(?:\r?\n|\\r\\n|\\[nr])[\x20\t]*+")
+_BEGIN = r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt]))"
+FORM_START = re.compile(_BEGIN + r"[A-Za-z0-9+/_-]{16}")
+FORM = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}+(?:{ANY_BREAK.pattern}[A-Za-z0-9+/_-]{{16,}}+)*+(?:{ANY_BREAK.pattern}[A-Za-z0-9+/_-]++)?={{0,2}}")
+STANDARD = str.maketrans("-_", "+/")
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,}+")
 DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
@@ -124,7 +130,7 @@ def signed_tokens(text: str) -> list[tuple[int, int]]:
 
 
 def _decoded(run: str) -> bytes | None:
-    body = run.replace("\r", "").replace("\n", "").rstrip("=")
+    body = run.rstrip("=")
     if len(body) % 4 == 1:
         return None
     try:
@@ -174,10 +180,11 @@ def _ssh_ends(body: str, i: int) -> list[int]:
     return ends[:0:-1]  # at least two fields
 
 
-def _confirmed(run: str) -> list[tuple[str, int, int]]:
+def _confirmed(run: str, breaks: re.Pattern) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the keys in a run of lines: each fills some lines of it, from a line start to a line end."""
-    lines = [m.span() for m in LINE.finditer(run)]
-    body = run.replace("\r", "").replace("\n", "").rstrip("=")
+    cuts = [0, *[x for m in breaks.finditer(run) for x in m.span()], len(run)]
+    lines = [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b]
+    body = "".join(run[a:b] for a, b in lines).rstrip("=").translate(STANDARD)
     size = [0]
     for a, b in lines:
         size.append(min(size[-1] + b - a, len(body)))
@@ -206,6 +213,27 @@ def _confirmed(run: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _written_keys(text: str) -> dict[tuple[str, int], int]:
+    """(kind, start) and end of base64 keys, in plain lines and in the other ways to write one; the longest at each start."""
+    found: dict[tuple[str, int], int] = {}
+
+    def take(run: str, start: int, breaks: re.Pattern) -> None:
+        for kind, a, b in _confirmed(run, breaks):
+            found[kind, start + a] = max(start + b, found.get((kind, start + a), 0))
+
+    at = 0
+    while m := B64_START.search(text, at):
+        run = B64.match(text, m.start())[0].rstrip("\r\n")
+        at = m.start() + max(len(run), 32)
+        take(run, m.start(), PLAIN_BREAK)
+    at = 0
+    while m := FORM_START.search(text, at):
+        run = FORM.match(text, m.start())[0]
+        at = m.start() + len(run)
+        take(run, m.start(), ANY_BREAK)
+    return found
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then in the order of KINDS."""
     out = []
@@ -217,11 +245,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "." in text:
         out += [("jwt", *span) for span in signed_tokens(text)]
-    at = 0
-    while m := B64_START.search(text, at):
-        run = B64.match(text, m.start())[0].rstrip("\r\n")
-        at = m.start() + max(len(run), 32)
-        out += [(kind, m.start() + a, m.start() + b) for kind, a, b in _confirmed(run)]
+    out += [(kind, a, b) for (kind, a), b in _written_keys(text).items()]
     for m in HEX_RUN.finditer(text):
         if len(m[0]) % 2 == 0:
             data = bytes.fromhex(m[0])
