@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.catalog import query
 from palimpsest.functions import text as T
+from palimpsest.operators import chains as Chains
 from palimpsest.operators import lifecycle as Life
 from palimpsest.operators import temporal as Time
 from palimpsest.plans.common import AS_OF, FACTS_SQL, event_facts
@@ -171,3 +172,30 @@ def access_reinforcement(spark, sf_dir):
 def latest_log_window(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
     return Life.latest_log(e, "event_type", "at").select("event_type", "event_id")
+
+
+@query(
+    "chain_walk",
+    f"""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) / 1000000.0 AS t, CAST(floor(value) AS BIGINT) % 3 AS kind FROM events),
+links AS (
+  SELECT *, CASE WHEN kind = 0 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY t, event_id) ELSE lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) END AS supersedes
+  FROM e),
+seeds AS (SELECT user_id AS qid, max_by(event_id, (t, event_id)) AS event_id FROM e GROUP BY user_id, event_type),
+up AS (SELECT * FROM seeds UNION SELECT u.qid, l.supersedes FROM up u JOIN links l ON l.event_id = u.event_id WHERE l.supersedes IS NOT NULL),
+down AS (SELECT * FROM seeds UNION SELECT d.qid, l.event_id FROM down d JOIN links l ON l.supersedes = d.event_id),
+m AS (SELECT * FROM up UNION SELECT * FROM down),
+r AS (
+  SELECT qid, m.event_id AS fact_id, row_number() OVER (PARTITION BY qid ORDER BY event_type, t, m.event_id) AS place, count(*) OVER (PARTITION BY qid) AS n
+  FROM m JOIN e ON e.event_id = m.event_id WHERE t <= {AS_OF})
+SELECT qid, fact_id, CAST(place AS INTEGER) AS place FROM r WHERE n > 1 AND place <= 12""",
+)
+def chain_walk(spark, sf_dir):
+    """Each user's newest facts and their chains. A third of the facts replace what came before them in any slot of the user, so that chains fork and merge slots."""
+    from pyspark.sql import Window as W
+
+    e = table(spark, sf_dir, "events").withColumn("valid_at", T.seconds_of("ts"))
+    before = lambda *by: F.lag("event_id").over(W.partitionBy(*by).orderBy("valid_at", "event_id"))
+    link = F.when(F.floor("value") % 3 == 0, before("user_id")).otherwise(before("user_id", "event_type"))
+    facts = e.select(F.col("event_id").alias("fact_id"), "user_id", F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("predicate"), "valid_at", link.alias("supersedes"))
+    seeds = e.groupBy(F.col("user_id").alias("qid"), "event_type").agg(F.max_by("event_id", F.struct("valid_at", "event_id")).alias("fact_id")).select("qid", "fact_id")
+    return Chains.chain_walk(facts, seeds, AS_OF).select("qid", "fact_id", "place")
