@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.work import dealt, durable, own_columns, read_spread
 
 LEAST, INSIDE, FIRST = 10, 50, 2000  # occurrences, percent of them within a longer phrase, phrases a language
-HELD = (1 << 21) - 8  # words counted at once, so that three places among them fit 63 bits
-KNOWN = 1 << 20  # words whose hashes a task holds
+HELD = (1 << 20) - 8  # words counted at once; three places among them fit 63 bits
+KNOWN = 1 << 19  # words whose hashes a task holds
 SLOTS = 27  # the bitmap has 2**SLOTS bits
 SALTS = 64  # parts of a language that are ranked by themselves first
 STREAM = ["lang", "w1", "w2", "w3", "n", "f", "l1", "r1", "l2", "r2", "ext"]
