@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palimpsest import vocabulary as V
@@ -9,8 +11,9 @@ from palimpsest.catalog import query
 from palimpsest.functions import text as T
 from palimpsest.operators import evaluation as Ev
 from palimpsest.operators import ranking as R
+from palimpsest.operators import vector_index as Index
 from palimpsest.plans.reports import RANKS_SQL, RESULTS_SQL, _ranked, _results
-from palimpsest.session import table
+from palimpsest.session import scratch, table
 
 PRED_SQL = f"""{RESULTS_SQL}, rp AS (
   SELECT * REPLACE (CASE WHEN CAST(qid AS BIGINT) % 13 = 0 THEN qid || '_abs' ELSE qid END AS qid), CAST(qid AS BIGINT) AS no,
@@ -204,3 +207,16 @@ def vector_pool(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL AND vec_id IS NOT NULL")
     near = v.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 4).cast("array<double>").alias("e"))
     return R.candidate_pool(near, VEC, v.where("label = 3").select(F.col("vec_id").alias("id")), 200, "e", "id").select("id", "origin")
+
+
+@query("ivf_recall", "SELECT count(*) FILTER (vec_id % 20 = 0) AS questions, count(*) AS filed, true AS enough FROM embeddings")
+def ivf_recall(spark, sf_dir):
+    """Every vector filed in an inverted file; each question (ids divisible by 20) meets as many lists as other questions
+    needed for 0.95 of their 20 nearest, and finds 0.9 of its own or more."""
+    e = table(spark, sf_dir, "embeddings")
+    index = Index.VectorIndex.build(e, f"{scratch(spark)}/ivf-{uuid.uuid4().hex}", "vec_id", "embedding")
+    asked, others = e.where("vec_id % 20 = 0"), e.where("vec_id % 20 = 10")
+    probes, _ = index.probes_for(others, 20, 0.95, "vec_id")
+    got = Index.recall(index.search(asked, 20, probes, "vec_id", but_itself=True), Index.exact_search(e, asked, 20, "vec_id", but_itself=True))
+    filed = index.rows().agg(F.count_distinct("id").alias("filed"))
+    return got.crossJoin(filed).select("questions", "filed", (F.col("recall") >= 0.9).alias("enough"))

@@ -41,15 +41,20 @@ def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
     return build_session(master=f"local[{cpus}]", **{**base, **conf})
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names; a local session without one gets its own."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; a local session without one gets its own."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="palimpsest-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder."""
+    scratch(df.sparkSession)
     return df.checkpoint()
 
 
