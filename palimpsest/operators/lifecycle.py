@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators.ordering import spread_rank
+from palimpsest.operators.ranking import near_pairs
 
 
 def decay_sweep(facts: DataFrame, t: float, per_day: float = 0.02, floor: float = 0.3) -> DataFrame:
@@ -107,17 +108,20 @@ def classify(facts: DataFrame) -> DataFrame:
 
 
 def conflict_pairs(facts: DataFrame, lo: float = 0.62, hi: float = 0.94, seen: DataFrame | None = None) -> DataFrame:
-    """Pairs of one subject that may contradict: near vectors, or one object under two predicates.
-    ``seen`` has judged pairs (a, b), the smaller id first."""
-    from palimpsest.functions.vectors import cosine
-
-    a, b = facts.alias("a"), facts.alias("b")
-    both = a.join(b, (F.lower("a.subject") == F.lower("b.subject")) & (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.seq") < F.col("b.seq")))
-    one_object = F.lower(F.trim("a.object")) == F.lower(F.trim("b.object"))
-    other_predicate = F.col("a.predicate") != F.col("b.predicate")
-    near = F.coalesce(cosine(F.col("a.embedding"), F.col("b.embedding")).between(lo, hi), F.lit(False))
-    hit = both.where((one_object & other_predicate) | (~(one_object & ~other_predicate) & near))
-    pairs = hit.select(F.least("a.fact_id", "b.fact_id").alias("a"), F.greatest("a.fact_id", "b.fact_id").alias("b"))
+    """Pairs of one user and subject that may contradict: near vectors, or one object under two predicates.
+    ``seen`` has judged pairs (a, b), the smaller id first.
+
+    One object is an equality, so those pairs are a join of their own. Near vectors meet as matrices, in parts of a
+    subject of bounded size; no pair that is not near leaves them.
+    """
+    subject = F.concat_ws("\x1f", F.coalesce("user_id", F.lit("")), F.lower("subject"))
+    f = facts.select("fact_id", subject.alias("key"), F.lower(F.trim("object")).alias("o"), F.col("predicate").alias("p"), "embedding")
+    said = f.select("fact_id", "key", "o", "p")
+    one = said.toDF("a", "key", "o", "pa").join(said.toDF("b", "key", "o", "pb"), ["key", "o"]).where("a < b AND pa <> pb").select("a", "b")
+    near = near_pairs(f, "key", "fact_id", "embedding", lo, hi).select("a", "b")
+    what = said.select("fact_id", F.struct("o", "p").alias("said"))
+    near = near.join(what.toDF("a", "sa"), "a").join(what.toDF("b", "sb"), "b").where("sa <> sb").select("a", "b")
+    pairs = one.unionByName(near).distinct()
     return pairs.join(seen, ["a", "b"], "left_anti") if seen is not None else pairs
 
 

@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from palimpsest.functions import text as T
 from palimpsest.functions import vectors as Vec
@@ -107,16 +108,17 @@ def near_pairs(rows: DataFrame, by: str, id_col: str, vec_col: str, lo: float, h
     of bounded size, as matrices: a large group spreads over tasks, and only what lies within the
     bounds leaves them. The work stays the square of a group.
     """
-    base = rows.select(F.col(by).alias("g"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    base = rows.select(F.col(by).alias("g"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     base = base.where("g IS NOT NULL AND id IS NOT NULL AND v IS NOT NULL")
     parts = base.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     dealt = base.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     meet = dealt.select("g", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"), (F.col("part") > F.col("o")).alias("side"), "id", "v")
-    kind = base.schema["g"].dataType.simpleString()
+    base_id = base.schema["id"].dataType
+    kind, of_id, to_id = base.schema["g"].dataType.simpleString(), base_id.simpleString(), to_arrow_type(base_id)
 
     def within(t: pa.Table) -> pa.Table:
-        side, ids = t["side"].to_numpy(), t["id"].to_numpy()
+        side, ids = t["side"].to_numpy(), t["id"].to_numpy(zero_copy_only=False)
         width = pc.list_value_length(t["v"]).to_numpy()
         out = []
         for d in np.unique(width[width > 0]).tolist():
@@ -130,10 +132,10 @@ def near_pairs(rows: DataFrame, by: str, id_col: str, vec_col: str, lo: float, h
             a, b = ids[at[left[i]]], ids[at[right[j]]]
             ok = a < b if not side.any() else a != b
             out.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], near[i, j][ok]))
-        a, b, s = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, (np.int64, np.int64, float)[k]) for k in range(3))
-        return pa.table({"g": pa.array([t["g"][0].as_py()] * len(a), t["g"].type), "a": a, "b": b, "similarity": s})
+        a, b, s = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, (ids.dtype, ids.dtype, float)[k]) for k in range(3))
+        return pa.table({"g": pa.array([t["g"][0].as_py()] * len(a), t["g"].type), "a": pa.array(a, to_id), "b": pa.array(b, to_id), "similarity": s})
 
-    got = meet.groupBy("g", "x", "y").applyInArrow(within, f"g {kind}, a long, b long, similarity double")
+    got = meet.groupBy("g", "x", "y").applyInArrow(within, f"g {kind}, a {of_id}, b {of_id}, similarity double")
     return got.withColumnRenamed("g", by)
 
 

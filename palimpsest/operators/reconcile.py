@@ -7,6 +7,7 @@ facts keep their rows with their intervals closed.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
@@ -45,79 +46,135 @@ def _cosine(a, b) -> float:
     return sum(x * y for x, y in zip(a, b, strict=False)) / size if size else 0.0
 
 
+def _norm(x: str) -> str:
+    return x.strip().lower()
+
+
+def _end(f: dict) -> float:
+    """From when on a fact is not live any more."""
+    return min(math.inf if f[c] is None else f[c] for c in ("expired_at", "invalid_at"))
+
+
+class Shelf:
+    """Facts under one heading: those without an end, and the ended by their ends, so that neither a long history nor
+    a fact taken out of order needs a look at all of them."""
+
+    def __init__(self):
+        self.open: dict[int, dict] = {}
+        self.ended: list[tuple[float, int, dict]] = []
+
+    def put(self, no: int, f: dict) -> None:
+        self.open.pop(no, None)
+        if (end := _end(f)) == math.inf:
+            self.open[no] = f
+        else:
+            bisect.insort(self.ended, (end, no, f), key=lambda e: e[:2])
+
+    def live(self, t: float) -> list[tuple[int, dict]]:
+        """(number, fact) of those live at t, in the order of arrival."""
+        late = self.ended[bisect.bisect_right(self.ended, t, key=lambda e: e[0]) :]
+        found = {no: f for end, no, f in late if _end(f) == end} | self.open  # a fact may have been ended again
+        return sorted((no, f) for no, f in found.items() if f["valid_at"] <= t)
+
+
 class Fold:
-    """Known facts of one (user, subject) key, taken in one at a time."""
+    """Known facts of one (user, subject) key, taken in one at a time.
+
+    Each fact stands under the headings by which a rule looks for it: its slot, its slot and object, each content
+    word of its object in its slot, and its side of a preference with the object. So a new fact meets those that it
+    can touch and no others, and a key of n facts is not folded in n * n steps.
+    """
 
     def __init__(self, similar: float | None = None, judge=None, band: float = 0.12):
         self.similar, self.judge, self.band = similar, judge, band
-        self.facts: list[dict] = []
-
-    @staticmethod
-    def same(a: str, b: str) -> bool:
-        return a.strip().lower() == b.strip().lower()
-
-    def _live(self, new: dict) -> list[dict]:
-        t = new["created_at"]
-        return [
-            f for f in self.facts
-            if f["valid_at"] <= t and (f["expired_at"] is None or f["expired_at"] > t) and (f["invalid_at"] is None or f["invalid_at"] > t)
-        ]
+        self.facts: dict[int, dict] = {}  # by their numbers, in the order of arrival
+        self.shelves: dict[tuple, Shelf] = {}
+        self.headings: dict[int, list[tuple]] = {}
+        self.next = 0
+
+    def _headings(self, f: dict) -> list[tuple]:
+        slot = (f["subject"].lower(), f["predicate"].lower())
+        out = [("object", *slot, _norm(f["object"]))]
+        if single_valued(f["predicate"]):
+            out += [("slot", *slot), ("single",)]
+        if side := polarity(f["predicate"]):
+            out.append((side, _norm(f["object"])))
+        return out + [("word", *slot, w) for w in content_words(f["object"])]
+
+    def keep(self, f: dict) -> None:
+        """A fact that is known already."""
+        no, self.next = self.next, self.next + 1
+        self._file(no, f)
+
+    def _file(self, no: int, f: dict) -> None:
+        self.facts[no], self.headings[no] = f, self._headings(f)
+        for h in self.headings[no]:
+            self._shelf(h).put(no, f)
+
+    def _shelf(self, heading: tuple) -> Shelf:
+        return self.shelves.setdefault(heading, Shelf())
+
+    def _live(self, heading: tuple, t: float) -> list[tuple[int, dict]]:
+        return self._shelf(heading).live(t)
 
     def take(self, new: dict) -> bool:
         """Whether the fact is kept; what it replaces is retired either way."""
-        live = self._live(new)
-        slot = [f for f in live if f["subject"].lower() == new["subject"].lower() and f["predicate"].lower() == new["predicate"].lower()]
-        if any(self.same(f["object"], new["object"]) for f in slot):
+        t, slot = new["created_at"], (new["subject"].lower(), new["predicate"].lower())
+        if self._live(("object", *slot, _norm(new["object"])), t):
             return False
         single, by_user = single_valued(new["predicate"]), new["source"] == "user"
-        if single and not by_user and any(f["source"] == "user" for f in slot):
+        same_slot = self._live(("slot", *slot), t) if single else []
+        if single and not by_user and any(f["source"] == "user" for _, f in same_slot):
             return False
-        gone: list[dict] = []
-
-        def retire(old: dict) -> None:
-            old["invalid_at"] = new["valid_at"] if old["invalid_at"] is None else old["invalid_at"]
-            old["expired_at"] = new["created_at"]
-            gone.append(old)
-
-        def yields(old: dict) -> bool:
-            return (by_user or old["source"] != "user") and new["valid_at"] >= old["valid_at"] and not any(old is g for g in gone)
-
-        side = polarity(new["predicate"])
-        if side:
-            for old in live:
-                other = polarity(old["predicate"])
-                if other and other != side and self.same(old["subject"], new["subject"]) and self.same(old["object"], new["object"]) and yields(old):
-                    retire(old)
-        said = content_words(new["object"])
-        for old in slot if said else []:
+        gone: dict[int, dict] = {}
+
+        def offer(found) -> None:
+            """Retires those of the facts that yield to the new one."""
+            for no, old in found:
+                if no not in gone and (by_user or old["source"] != "user") and new["valid_at"] >= old["valid_at"]:
+                    old["invalid_at"] = new["valid_at"] if old["invalid_at"] is None else old["invalid_at"]
+                    old["expired_at"] = t
+                    gone[no] = old
+                    for h in self.headings[no]:
+                        self._shelf(h).put(no, old)
+
+        if side := polarity(new["predicate"]):
+            other = {"like": "dislike", "dislike": "like"}[side]
+            offer((no, f) for no, f in self._live((other, _norm(new["object"])), t) if _norm(f["subject"]) == _norm(new["subject"]))
+        kept = self._subsume(slot, content_words(new["object"]), t, offer)
+        if not kept:
+            return False  # what was retired above stays retired
+        offer(same_slot)
+        if single and self.similar is not None and new.get("embedding") is not None and not by_user:
+            offer(self._similar(new, slot, t, gone))
+        if gone:
+            new["supersedes"] = max(gone.values(), key=lambda f: f["valid_at"])["fact_id"]
+        self.keep(new)
+        return True
+
+    def _subsume(self, slot: tuple, said: frozenset, t: float, offer) -> bool:
+        """False if a fact of the slot says more; facts that say less yield. Facts count in the order of arrival."""
+        near = {no: f for w in said for no, f in self._live(("word", *slot, w), t)}
+        for no, old in sorted(near.items()):
             known = content_words(old["object"])
             if said < known:
-                return False  # what was retired above stays retired
-            if known and known < said and yields(old):
-                retire(old)
-        if single:
-            for old in slot:
-                if yields(old):
-                    retire(old)
-            if self.similar is not None and new.get("embedding") is not None and not by_user:
-                self._replace_similar(new, live, slot, yields, retire)
-        if gone:
-            new["supersedes"] = max(gone, key=lambda f: f["valid_at"])["fact_id"]
-        self.facts.append(new)
+                return False
+            if known < said:
+                offer([(no, old)])
         return True
 
-    def _replace_similar(self, new, live, slot, yields, retire) -> None:
-        """Another slot of the subject whose fact means the same attribute; never one said in the same breath."""
-        for old in live:
-            if any(old is s for s in slot) or not yields(old) or old.get("embedding") is None or not single_valued(old["predicate"]):
+    def _similar(self, new: dict, slot: tuple, t: float, gone: dict):
+        """Facts of other slots that mean the same attribute; never one said in the same breath."""
+        for no, old in self._live(("single",), t):
+            if (old["subject"].lower(), old["predicate"].lower()) == slot or no in gone or old.get("embedding") is None:
                 continue
-            if not self.same(old["subject"], new["subject"]) or self.same(old["object"], new["object"]):
+            if _norm(old["subject"]) != _norm(new["subject"]) or _norm(old["object"]) == _norm(new["object"]):
                 continue
-            if set(new["provenance"] or ()) & set(old["provenance"] or ()):
+            if new["valid_at"] < old["valid_at"] or old["source"] == "user" or set(new["provenance"] or ()) & set(old["provenance"] or ()):
                 continue
             near = _cosine(new["embedding"], old["embedding"])
             if near >= self.similar or (self.judge and near >= self.similar - self.band and self.judge(new, old)):
-                retire(old)
+                yield no, old
 
 
 def reconcile(facts: DataFrame, similar: float | None = None, judge=None) -> DataFrame:
@@ -134,7 +191,7 @@ def reconcile(facts: DataFrame, similar: float | None = None, judge=None) -> Dat
         for r in rows.sort_values(["valid_at", "created_at", "seq"], kind="stable").to_dict("records"):
             f = {k: None if isinstance(v, float) and math.isnan(v) else v for k, v in r.items() if k in names or k in extra}
             state.take(f)
-        return pd.DataFrame([{k: f.get(k) for k in names} for f in state.facts], columns=names)
+        return pd.DataFrame([{k: f.get(k) for k in names} for f in state.facts.values()], columns=names)
 
     src = facts.select(*names, *extra)
     return src.groupBy("user_id", F.lower(F.trim("subject")).alias("_key")).applyInPandas(lambda _, pdf: fold(pdf), FACT)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import query
 from palimpsest.functions import text as T
-from palimpsest.session import table
+from palimpsest.plans.common import FACTS_SQL
+from palimpsest.session import scratch, table
 from palimpsest.streaming import feeds as Feeds
+from palimpsest.streaming import folds as Folds
 
 NOW = 915148800.0  # 1999-01-01
 SEEN_SQL = "sn AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS size FROM orders WHERE o_orderkey % 3 <> 1)"
@@ -58,3 +62,24 @@ def feed_run(spark, sf_dir):
     after, _ = Feeds.feed(f, ledger, lambda batch: batch.select("path", (F.col("path") % 4 != 0).alias("ok")))
     batch = f.orderBy("modified", "path").limit(25).select("path")
     return after.join(batch, "path", "left_semi")
+
+
+@query(
+    "fold_incremental",
+    f"WITH {FACTS_SQL} SELECT CAST(event_id AS VARCHAR) AS fact_id, ts_s AS valid_at, invalid_at, invalid_at AS expired_at, CAST(supersedes AS VARCHAR) AS supersedes FROM facts",
+)
+def fold_incremental(spark, sf_dir):
+    """Events as facts that arrive in four batches by time, each folded into the state that the ones before have left."""
+    e = table(spark, sf_dir, "events").withColumn("valid_at", T.seconds_of("ts"))
+    none = F.lit(None)
+    facts = e.select(
+        F.col("event_id").cast("string").alias("fact_id"), F.col("user_id").cast("string").alias("user_id"), F.lit("user").alias("subject"), F.col("event_type").alias("predicate"),
+        F.concat(F.lit("v"), F.col("value").cast("string")).alias("object"), "valid_at", F.col("valid_at").alias("created_at"), none.cast("double").alias("invalid_at"), none.cast("double").alias("expired_at"),
+        none.cast("string").alias("supersedes"), F.lit("extracted").alias("source"), F.lit(1.0).alias("salience"), F.array().cast("array<string>").alias("provenance"), F.col("event_id").cast("long").alias("seq"),
+    )
+    span = facts.agg(F.min("valid_at").alias("a"), F.max("valid_at").alias("z")).first()
+    cuts = [float("-inf"), *[span["a"] + (span["z"] - span["a"]) * i / 4 for i in (1, 2, 3)], float("inf")] if span["a"] is not None else []
+    stream = Folds.FoldedFacts(spark, f"{scratch(spark)}/folds-{uuid.uuid4().hex}")
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        stream.add(facts.where((F.col("valid_at") > lo) & (F.col("valid_at") <= hi)))
+    return stream.facts().select("fact_id", "valid_at", "invalid_at", "expired_at", "supersedes")

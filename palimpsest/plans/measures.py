@@ -10,6 +10,7 @@ from palimpsest import vocabulary as V
 from palimpsest.catalog import query
 from palimpsest.functions import text as T
 from palimpsest.operators import evaluation as Ev
+from palimpsest.operators import lifecycle as Life
 from palimpsest.operators import ranking as R
 from palimpsest.operators import vector_index as Index
 from palimpsest.plans.reports import RANKS_SQL, RESULTS_SQL, _ranked, _results
@@ -220,3 +221,19 @@ def ivf_recall(spark, sf_dir):
     got = Index.recall(index.search(asked, 20, probes, "vec_id", but_itself=True), Index.exact_search(e, asked, 20, "vec_id", but_itself=True))
     filed = index.rows().agg(F.count_distinct("id").alias("filed"))
     return got.crossJoin(filed).select("questions", "filed", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query(
+    "conflict_candidates",
+    """WITH f AS (SELECT lpad(vec_id::VARCHAR, 12, '0') AS id, label, 'o' || vec_id % 40 AS o, 'p' || vec_id % 3 AS p, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL)
+SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.label = b.label AND a.id < b.id
+WHERE (a.o = b.o AND a.p <> b.p) OR ((a.o <> b.o OR a.p <> b.p) AND round(list_cosine_similarity(a.v, b.v), 9) BETWEEN 0.3 AND 0.94)""",
+)
+def conflict_candidates(spark, sf_dir):
+    """Vectors as facts on their labels, a few subjects that hold all of them: pairs with one object, and near ones."""
+    e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    facts = e.select(
+        F.lit("u").alias("user_id"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("fact_id"), F.col("label").cast("string").alias("subject"),
+        F.concat(F.lit("p"), F.col("vec_id") % 3).alias("predicate"), F.concat(F.lit("o"), F.col("vec_id") % 40).alias("object"), "embedding",
+    )
+    return Life.conflict_pairs(facts, 0.3, 0.94).select("a", "b")
