@@ -1,10 +1,15 @@
-"""Versioned Parquet store: each save is a new folder, and a manifest names the current one."""
+"""Versioned Parquet store: each save is a new folder, and the newest of numbered commits names the current one.
+
+A commit is a file that is created only if there is none of its number: of two writers that
+read one version exactly one makes the next, and readers see a version whole or not at all.
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,23 +27,41 @@ def _fs(spark: SparkSession, path: str):
     return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside and renamed over the old one in one step, so that readers see the old manifest or the new one."""
+def _create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """The file, whole, unless there is one already; whether it was made. A local file is written beside and linked,
+    others are created by their store, both in one step."""
     jvm, fs, p = _fs(spark, path)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(tmp, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    opts = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, p, opts)
+    local = fs.getScheme() == "file"
+    to = jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}") if local else p
+    try:
+        out = fs.create(to, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if local:
+            jvm.java.nio.file.Files.createLink(*[jvm.java.io.File(x.toUri().getPath()).toPath() for x in (p, to)])
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        if local:
+            fs.delete(to, False)
+    return True
+
+
+def _commits(spark: SparkSession, root: str) -> list[int]:
+    _, fs, p = _fs(spark, f"{root}/commits")
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != ".")
 
 
 def read_manifest(spark: SparkSession, root: str) -> dict | None:
-    _, fs, p = _fs(spark, f"{root}/manifest.json")
-    if not fs.exists(p):
+    """The newest commit, with its number."""
+    found = _commits(spark, root)
+    if not found:
         return None
-    return json.loads("\n".join(r[0] for r in spark.read.text(f"{root}/manifest.json", wholetext=True).collect()))
+    text = spark.read.text(f"{root}/commits/{found[-1]:012d}.json", wholetext=True).first()[0]
+    return {**json.loads(text), "commit": found[-1]}
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
@@ -49,20 +72,22 @@ def current_version(spark: SparkSession, root: str) -> str | None:
 def save(
     spark: SparkSession, root: str, tables: dict[str, DataFrame], embedder: str = "hashing", dim: int = 256, state: dict | None = None, expected: str | None = None
 ) -> dict:
-    """Tables first, manifest last; a torn save leaves the old version current. With ``expected``, the save is
-    refused if another writer has saved since that version was read."""
+    """Tables first, their commit last; a torn save leaves the old version current. With ``expected``, the save is
+    refused if another writer has saved since that version was read, however close in time; without, the last wins."""
     version = uuid.uuid4().hex[:12]
     counts = {}
     for name, df in tables.items():
         part = ["user_id"] if "user_id" in df.columns else []
         df.write.partitionBy(*part).parquet(f"{root}/{version}/{name}")
         counts[name] = spark.read.schema(df.schema).parquet(f"{root}/{version}/{name}").count()
-    if expected is not None and current_version(spark, root) != expected:
-        raise ValueError("another writer has saved since this version was read")
     manifest = {"schema_version": SCHEMA_VERSION, "embedder_id": embedder, "embedding_dim": dim, "version": version, "counts": counts, "state": state or {}}
     manifest["schemas"] = {name: df.schema.json() for name, df in tables.items()}
-    _write_text(spark, f"{root}/manifest.json", json.dumps(manifest))
-    return manifest
+    while True:
+        now = read_manifest(spark, root) or {"commit": 0, "version": None}
+        if expected is not None and now["version"] != expected:
+            raise ValueError("another writer has saved since this version was read")
+        if _create_new(spark, f"{root}/commits/{now['commit'] + 1:012d}.json", json.dumps(manifest)):
+            return manifest
 
 
 def committed_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
