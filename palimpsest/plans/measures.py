@@ -88,7 +88,7 @@ def _any(marks, x: str) -> str:
 
 
 def _said_sql() -> str:
-    return "SELECT doc_id, lower(CASE doc_id % 5 WHEN 0 THEN 'How many ' WHEN 1 THEN 'Can you Recommend ' WHEN 2 THEN 'There is No Information on ' ELSE '' END || left(text, 40)) AS x FROM documents WHERE text IS NOT NULL"
+    return "SELECT doc_id, lower(CASE doc_id % 5 WHEN 0 THEN 'How many ' WHEN 1 THEN 'Can you Recommend ' WHEN 2 THEN 'There is No Information on ' ELSE '' END || text) AS x FROM documents WHERE text IS NOT NULL"
 
 
 @query(
@@ -98,20 +98,20 @@ def _said_sql() -> str:
 def question_cues(spark, sf_dir):
     no = F.col("doc_id") % 5
     head = F.when(no == 0, "How many ").when(no == 1, "Can you Recommend ").when(no == 2, "There is No Information on ").otherwise("")
-    s = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(head, F.left("text", F.lit(40))).alias("x"))
+    s = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(head, F.col("text")).alias("x"))
     return s.select("doc_id", T.looks_abstaining(F.col("x")).alias("abstains"), T.asks_count(F.col("x")).alias("counts"), T.asks_advice(F.col("x")).alias("advice"))
 
 
 @query(
     "model_verdicts",
-    """WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ' Yes, ' WHEN 1 THEN 'Oh yes ' ELSE '' END || left(text, 12) AS raw FROM documents WHERE text IS NOT NULL),
+    """WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ' Yes, ' WHEN 1 THEN 'Oh yes ' ELSE '' END || text AS raw FROM documents WHERE text IS NOT NULL),
 c AS (SELECT *, regexp_extract(upper(raw), '[ABCD]') AS l, lower(trim(raw)) AS v FROM r)
 SELECT doc_id, CASE WHEN l = '' THEN -1 ELSE ascii(l) - 65 END AS choice, starts_with(v, 'y') OR contains(left(v, 5), 'yes') AS yes FROM c""",
 )
 def model_verdicts(spark, sf_dir):
     """The heads of documents as replies of a model: the letter chosen, and the judge's verdict."""
     no = F.col("doc_id") % 3
-    raw = F.concat(F.when(no == 0, " Yes, ").when(no == 1, "Oh yes ").otherwise(""), F.left("text", F.lit(12)))
+    raw = F.concat(F.when(no == 0, " Yes, ").when(no == 1, "Oh yes ").otherwise(""), F.col("text"))
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", T.chosen_letter(raw).alias("choice"), T.says_yes(raw).alias("yes"))
 
 
@@ -198,16 +198,17 @@ VEC = [0.5, -0.25, 0.75, 0.125]
 
 @query(
     "vector_pool",
-    """WITH v AS (SELECT vec_id, label, embedding[1:4] AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
-s AS (SELECT vec_id, round((0.5 * e[1]::DOUBLE - 0.25 * e[2]::DOUBLE + 0.75 * e[3]::DOUBLE + 0.125 * e[4]::DOUBLE) / (sqrt(0.890625::DOUBLE) * sqrt(e[1]::DOUBLE ** 2 + e[2]::DOUBLE ** 2 + e[3]::DOUBLE ** 2 + e[4]::DOUBLE ** 2)), 9) AS c FROM v),
+    """WITH v AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+s AS (SELECT vec_id, round(list_cosine_similarity(e::DOUBLE[], list_transform(range(len(e)), lambda i: [0.5, -0.25, 0.75, 0.125][i % 4 + 1]::DOUBLE)), 9) AS c FROM v),
 p AS (SELECT vec_id FROM s ORDER BY c DESC, vec_id LIMIT 200)
 SELECT vec_id AS id, 'vector' AS origin FROM p UNION ALL SELECT vec_id, 'graph' FROM v WHERE label = 3 AND vec_id NOT IN (SELECT vec_id FROM p)""",
 )
 def vector_pool(spark, sf_dir):
-    """The 200 nearest by the first four dimensions, and what the anchor, label 3, is linked to."""
+    """The 200 nearest to a vector that repeats four numbers, and what the anchor, label 3, is linked to."""
     v = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL AND vec_id IS NOT NULL")
-    near = v.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 4).cast("array<double>").alias("e"))
-    return R.candidate_pool(near, VEC, v.where("label = 3").select(F.col("vec_id").alias("id")), 200, "e", "id").select("id", "origin")
+    near = v.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    width = v.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return R.candidate_pool(near, [VEC[i % 4] for i in range(width)], v.where("label = 3").select(F.col("vec_id").alias("id")), 200, "e", "id").select("id", "origin")
 
 
 @query("ivf_recall", "SELECT count(*) FILTER (vec_id % 20 = 0) AS questions, count(*) AS filed, true AS enough FROM embeddings")

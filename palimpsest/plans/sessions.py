@@ -216,14 +216,14 @@ def working_memory_ops(spark, sf_dir):
 
 @query(
     "close_session_outcomes",
-    f"""WITH {FACTS_SQL}, n AS (SELECT item_id, CAST(item_id % 20 AS VARCHAR) AS session_id, left(trim(text), 200) AS statement FROM benchmark WHERE trim(text) <> ''),
+    f"""WITH {FACTS_SQL}, n AS (SELECT item_id, CAST(item_id % 20 AS VARCHAR) AS session_id, trim(text) AS statement FROM benchmark WHERE trim(text) <> ''),
 h AS (SELECT session_id, left(lower(statement), 120) AS k FROM n WHERE item_id % 3 = 0)
 SELECT item_id FROM n WHERE (session_id, left(lower(statement), 120)) NOT IN (SELECT (session_id, k) FROM h)""",
 )
 def close_session_outcomes(spark, sf_dir):
     """Passages as conclusions of a session; each third is known already, and closing again does not add it."""
     b = table(spark, sf_dir, "benchmark").where("trim(text) <> ''")
-    found = b.select("item_id", F.lit("u").alias("user_id"), (F.col("item_id") % 20).cast("string").alias("session_id"), F.lit("finding").alias("kind"), F.left(F.trim("text"), F.lit(200)).alias("text"))
+    found = b.select("item_id", F.lit("u").alias("user_id"), (F.col("item_id") % 20).cast("string").alias("session_id"), F.lit("finding").alias("kind"), F.trim("text").alias("text"))
     facts = found.where("item_id % 3 = 0").select(
         "user_id", F.col("session_id").alias("subject"), F.lit("finding").alias("predicate"), F.concat("text", F.lit(" （依据：log）")).alias("text"),
         F.lit(0.0).alias("valid_at"), F.lit(None).cast("double").alias("invalid_at"), F.lit(None).cast("double").alias("expired_at"),

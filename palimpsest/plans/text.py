@@ -246,17 +246,17 @@ def answer_in_context(spark, sf_dir):
 
 def _asked(spark, sf_dir):
     """Benchmark passages as questions, documents as facts of the user that their source is."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("user_id"), F.left("text", F.lit(60)).alias("query"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("user_id"), F.col("text").alias("query"))
     d = table(spark, sf_dir, "documents").select(
-        F.col("source").alias("user_id"), F.col("doc_id").alias("fact_id"), F.left("text", F.lit(300)).alias("text"), (F.col("doc_id") * 86400.0).alias("valid_at"), F.col("n_chars").alias("salience")
+        F.col("source").alias("user_id"), F.col("doc_id").alias("fact_id"), "text", (F.col("doc_id") * 86400.0).alias("valid_at"), F.col("n_chars").alias("salience")
     )
     return q, d
 
 
 @query(
     "question_facts",
-    f"""WITH q AS (SELECT item_id AS qid, 'src' || item_id % 20 AS u, list_distinct({stems_sql('left(text, 60)')}) AS qs FROM benchmark),
-d AS (SELECT source AS u, doc_id AS id, {stems_sql('left(text, 300)')} AS t, n_chars FROM documents),
+    f"""WITH q AS (SELECT item_id AS qid, 'src' || item_id % 20 AS u, list_distinct({stems_sql('text')}) AS qs FROM benchmark),
+d AS (SELECT source AS u, doc_id AS id, {stems_sql('text')} AS t, n_chars FROM documents),
 c AS (SELECT u, count(*) AS n, greatest(1.0, avg(len(t))) AS avgdl FROM d GROUP BY u),
 x AS (SELECT u, id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT u, id, dl, term, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT u, term, count(*) AS df FROM tf GROUP BY ALL),
 p AS (SELECT u, id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS part FROM tf JOIN df USING (u, term) JOIN c USING (u)),

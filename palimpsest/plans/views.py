@@ -52,13 +52,14 @@ def token_estimates(spark, sf_dir):
 
 @query(
     "value_mentions",
-    f"""WITH v AS (SELECT doc_id, left(text, 4) AS x FROM documents WHERE text IS NOT NULL), s AS (SELECT *, lower(trim(x)) AS v, {stems_sql('x')} AS s FROM v), q AS (SELECT {stems_sql("'" + QUERY + "'")} AS qs)
-SELECT doc_id FROM s, q WHERE v <> '' AND (contains(lower('{QUERY}'), v) OR (len(s) > 0 AND len(list_filter(s, lambda t: NOT list_contains(qs, t))) = 0))""",
+    f"""WITH v AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS x FROM documents WHERE text IS NOT NULL), s AS (SELECT *, lower(trim(x)) AS v, {stems_sql('x')} AS s FROM v), q AS (SELECT {stems_sql("'" + QUERY + "'")} AS qs)
+SELECT doc_id, x AS value FROM s, q WHERE v <> '' AND (contains(lower('{QUERY}'), v) OR (len(s) > 0 AND len(list_filter(s, lambda t: NOT list_contains(qs, t))) = 0))""",
 )
 def value_mentions(spark, sf_dir):
-    """Documents whose first letters the question holds, as text or as whole words."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.left("text", F.lit(4)).alias("x"))
-    return d.where(T.mentions_value(F.lit(QUERY), F.col("x"))).select("doc_id")
+    """The values of each document, its words, that the question holds, as text or as whole words."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    values = d.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("value"))
+    return values.where(T.mentions_value(F.lit(QUERY), F.col("value")))
 
 
 @query("redacted_view", f"WITH {FACTS_SQL} SELECT event_id AS fact_id, CASE WHEN event_type = 'purchase' THEN '[redacted]' ELSE event_type END AS object, CASE WHEN event_type = 'purchase' THEN '[redacted]' ELSE user_id || ' ' || event_id END AS text FROM facts")
@@ -159,7 +160,7 @@ def exported_graph(spark, sf_dir):
 
 @query(
     "evidence_snippets",
-    "WITH t AS (SELECT doc_id * 1.0::DOUBLE AS date, trim(regexp_replace(CASE WHEN doc_id % 6 = 0 THEN 'user: I bought ' WHEN doc_id % 6 = 1 THEN 'we ordered ' ELSE '' END || left(text, 200), '\\s+', ' ', 'g')) AS x, doc_id % 2 + 1 AS bonus FROM documents WHERE text IS NOT NULL), "
+    "WITH t AS (SELECT doc_id * 1.0::DOUBLE AS date, trim(regexp_replace(CASE WHEN doc_id % 6 = 0 THEN 'user: I bought ' WHEN doc_id % 6 = 1 THEN 'we ordered ' ELSE '' END || text, '\\s+', ' ', 'g')) AS x, doc_id % 2 + 1 AS bonus FROM documents WHERE text IS NOT NULL), "
     "s AS (SELECT date, left(x, 500) AS x, len(list_intersect(list_distinct(regexp_extract_all(lower(x), '[a-z0-9]+')), ['how', 'many', 'the', 'and', 'things', 'bought'])) + bonus"
     + "".join(" + CASE WHEN regexp_matches(lower(x), '{}') THEN 4 ELSE 0 END".format(p.replace("'", "''")) for _, p in ACTIONS)
     + " + CASE WHEN contains(lower(x), 'user:') THEN 1 ELSE 0 END AS score FROM t), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, date, x) - 1 AS n FROM s) SELECT 'E' || n AS source_id, date, md5(x) AS digest FROM r WHERE n < 60",
@@ -167,7 +168,7 @@ def exported_graph(spark, sf_dir):
 def evidence_snippets(spark, sf_dir):
     no = F.col("doc_id") % 6
     head = F.when(no == 0, "user: I bought ").when(no == 1, "we ordered ").otherwise("")
-    said = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("double").alias("date"), F.concat(head, F.left("text", F.lit(200))).alias("text"), (F.col("doc_id") % 2 + 1).alias("bonus"))
+    said = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("double").alias("date"), F.concat(head, F.col("text")).alias("text"), (F.col("doc_id") % 2 + 1).alias("bonus"))
     got = Agg.evidence_snippets(said, "how many of the things and bought")
     return got.select("source_id", "date", F.md5(F.col("text").cast("binary")).alias("digest"))
 
