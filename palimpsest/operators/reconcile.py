@@ -87,11 +87,15 @@ class Fold:
 
     def __init__(self, similar: float | None = None, judge=None, band: float = 0.12):
         self.similar, self.judge, self.band = similar, judge, band
-        self.facts: dict[int, dict] = {}  # by their numbers, in the order of arrival
+        self.by_no: dict[int, dict] = {}  # facts by their numbers, in the order of arrival
         self.shelves: dict[tuple, Shelf] = {}
         self.headings: dict[int, list[tuple]] = {}
         self.next = 0
 
+    @property
+    def facts(self) -> list[dict]:
+        return list(self.by_no.values())
+
     def _headings(self, f: dict) -> list[tuple]:
         slot = (f["subject"].lower(), f["predicate"].lower())
         out = [("object", *slot, _norm(f["object"]))]
@@ -107,7 +111,7 @@ class Fold:
         self._file(no, f)
 
     def _file(self, no: int, f: dict) -> None:
-        self.facts[no], self.headings[no] = f, self._headings(f)
+        self.by_no[no], self.headings[no] = f, self._headings(f)
         for h in self.headings[no]:
             self._shelf(h).put(no, f)
 
@@ -191,7 +195,7 @@ def reconcile(facts: DataFrame, similar: float | None = None, judge=None) -> Dat
         for r in rows.sort_values(["valid_at", "created_at", "seq"], kind="stable").to_dict("records"):
             f = {k: None if isinstance(v, float) and math.isnan(v) else v for k, v in r.items() if k in names or k in extra}
             state.take(f)
-        return pd.DataFrame([{k: f.get(k) for k in names} for f in state.facts.values()], columns=names)
+        return pd.DataFrame([{k: f.get(k) for k in names} for f in state.facts], columns=names)
 
     src = facts.select(*names, *extra)
     return src.groupBy("user_id", F.lower(F.trim("subject")).alias("_key")).applyInPandas(lambda _, pdf: fold(pdf), FACT)

@@ -35,16 +35,16 @@ class StateFold(Fold):
             self.shelves[heading] = Shelf()
             name = (json.dumps(heading),)
             for no in self.lists.getValue(name)[0] if self.lists.containsKey(name) else []:
-                if no not in self.facts:
+                if no not in self.by_no:
                     self.known[no] = self.held.getValue((no,))[0]
-                    self.facts[no] = json.loads(self.known[no])
-                    self.headings[no] = self._headings(self.facts[no])
-                self.shelves[heading].put(no, self.facts[no])
+                    self.by_no[no] = json.loads(self.known[no])
+                    self.headings[no] = self._headings(self.by_no[no])
+                self.shelves[heading].put(no, self.by_no[no])
         return self.shelves[heading]
 
     def settle(self) -> list[dict]:
         """Writes what has changed back to the state, without what has ended; those rows."""
-        changed = {no: f for no, f in self.facts.items() if self.known.get(no) != json.dumps(f)}
+        changed = {no: f for no, f in self.by_no.items() if self.known.get(no) != json.dumps(f)}
         touched = {h for no in changed for h in self.headings[no]}
         for no, f in changed.items():
             if _end(f) == float("inf"):
