@@ -88,6 +88,7 @@ def _later_places(seen: DataFrame, min_sites: int) -> DataFrame:
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document with its numbers of lines and of boilerplate lines removed; null texts are empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     out = dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))

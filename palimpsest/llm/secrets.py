@@ -297,6 +297,7 @@ def mask(text: str) -> str:
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """The secrets of all documents; null texts are empty and have none."""
     found = scan_secrets(read_spread(spark, f"{sf_dir}/documents.parquet"))
     told = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")

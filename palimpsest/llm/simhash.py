@@ -626,6 +626,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
 
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their classes; null texts are empty and have fingerprint zero, which links like any other."""
     docs = read_spread(spark, f"{sf_dir}/documents.parquet")
     found = simhash_classes(docs, words=3, radius=3, seed=42)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

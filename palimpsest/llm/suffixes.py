@@ -385,6 +385,7 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """What is left of each document without the 100-byte strings that stand earlier in the corpus; null texts are empty."""
     out = remove_repeats(read_spread(spark, f"{sf_dir}/documents.parquet"), 100)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select(

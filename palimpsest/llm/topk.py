@@ -177,6 +177,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 2)
 
 
 def op2_exact_topk(spark, sf_dir: str) -> DataFrame:
+    """Each query's 20 best rows of all embeddings. Rows with a null vector, or null or non-finite components, take no part; ties go to the smaller vec_id."""
     v = durable(whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "vectors")
     return exact_top_k(v, v.where("vec_id % 20 = 0"), 20)
 
