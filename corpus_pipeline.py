@@ -41,12 +41,13 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked."""
+    """All documents, with secrets masked; a null text stays null."""
     return _sized(secrets.mask_secrets(docs))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its sequence of at most 2048 tokens and its place there."""
+    """The pieces of all documents, each with its sequence of at most 2048 tokens and its place there.
+    A null text is an empty one: its closing id alone."""
     pieces = durable(packing.tokenize_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False), "pieces")
     return packing.best_fit_pack(pieces, packing.Capacity(tokens=2048, documents=2048, attention=2048 * 2048))
 
