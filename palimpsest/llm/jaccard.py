@@ -8,9 +8,11 @@ needs, so that similar sets share several. Sets that share too few leave, and of
 each leaves out as many of its most frequent ones as it can spare. The border between the
 two sides is where the subsets to be listed and the lists to be scanned are fewest.
 
-Each set first meets one other, the centre of most of its lists; only lists whose sets
-these links have not joined are then looked at pair by pair. Every link is settled on the
-whole sets, and none is left out: what the filters drop cannot reach the similarity.
+Each set first meets one other, the centre of most of its lists. What these links have not
+joined stays as far as enough of its n-grams stand in sets of another class too, and is then
+settled in families, blocks of bounded size in which every set scans the lists of all. Every
+link is settled on the whole sets, and none is left out: what the filters drop cannot reach
+the similarity.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from palimpsest.llm.work import dealt, durable, own_columns, read_spread, settle
 PERCENT, WORDS = 80, 5
 MOST = 16  # n-grams of the largest set that may be light
 SPARE = 20  # one more n-gram is listed for so many
-SIDE = 512  # sets of a list, or partners of a set, in one block
+SIDE = 384  # sets of a part of a family, or partners of a set, in one block
+SCAN = 1 << 21  # n-grams of a part of a family, and entries of inverted lists scanned at once
 SEEN = 1 << 20  # sets that a task remembers as seen
 
 
@@ -137,19 +140,46 @@ def light_links(sets: DataFrame, border: int, percent: int = PERCENT) -> DataFra
     return rows.join(star, ["q0", "q1"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def open_lists(listing: DataFrame, counts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, id, size, share): the inverted lists, of those sets that share enough of their n-grams; each spares
-    its most frequent ones. Of the n-grams that two similar sets share the rarest is spared by neither: all the
-    others come after it in one order for all sets, and they are too many. share: in thousandths of the listed."""
-    shared = listing.join(counts, "token")
-    need = common(F.col("size"), percent)
-    sets = shared.groupBy("id", "size").agg(F.sort_array(F.collect_set(F.struct("n", "token"))).alias("ts")).where(F.size("ts") >= need)
-    kept = F.slice("ts", F.lit(1), (F.size("ts") - need + 1).cast("int"))
+def sharing_sets(listing: DataFrame, counts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id, size, ts): the sets of listing(id, size, token) that have enough of the n-grams of counts(token, n), and
+    those (n, token), the rarest first."""
+    ts = F.sort_array(F.collect_set(F.struct("n", "token"))).alias("ts")
+    return listing.join(counts, "token").groupBy("id", "size").agg(ts).where(F.size("ts") >= common(F.col("size"), percent))
+
+
+def spared_lists(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(token, id, size, share): the inverted lists of several sets each. Each set spares its most frequent n-grams: of
+    those that two similar sets share the rarest is spared by neither, as all the others come after it in one order for
+    all sets, and they are too many. share: in thousandths of the listed."""
+    kept = F.slice("ts", F.lit(1), (F.size("ts") - common(F.col("size"), percent) + 1).cast("int"))
     share = F.floor(1000 * F.size("ts") / listed(F.col("size"), percent))
-    rows = sets.select("id", "size", share.alias("share"), F.explode(kept.token).alias("token"))
-    rows = durable(rows, "spared-lists")
-    several = durable(rows.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("token"), "several")
-    return rows.join(several, "token")
+    rows = durable(sets.select("id", "size", share.alias("share"), F.explode(kept.token).alias("token")), "spared-lists")
+    several = rows.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("token")
+    return rows.join(durable(several, "several"), "token")
+
+
+def across_labels(listing: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """sharing_sets of listing(id, size, token, root), of n-grams that sets of several roots have: no other can be
+    shared with a set that is not yet joined."""
+    seen = listing.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count(F.lit(1)).alias("n"))
+    counts = durable(seen.where("a < z").select("token", "n"), "tokens-across")
+    return durable(sharing_sets(listing, counts, percent), "sets-across")
+
+
+def shared_across(sets: DataFrame, label: DataFrame) -> DataFrame:
+    """(id, left): how many n-grams of the whole sets(id, hashes) stand in sets of another label(id, root) too."""
+
+    def each(batches):
+        for b in batches:
+            for who, root, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                h = np.frombuffer(v.as_buffer(), np.int64)
+                for i in range(0, len(h), 1 << 16):
+                    part = h[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), who)), pa.array(np.full(len(part), root)), pa.array(part)], ["id", "root", "token"])
+
+    rows = sets.join(label, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "hashes").mapInArrow(each, "id long, root long, token long")
+    across = rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("token")
+    return rows.join(durable(across, "whole-across"), "token").groupBy("id").agg(F.count(F.lit(1)).alias("left"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -208,45 +238,77 @@ def _sizes_fit(m: str, n: str, percent: int):
     return 100 * F.least(m, n) >= percent * F.greatest(m, n)
 
 
-def other_pairs(lists: DataFrame, label: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): all pairs of a list whose sizes can be similar and whose ``label`` (id, root) differ, each once.
-
-    Lists of one label have none. A list of p parts makes p * (p + 1) / 2 blocks: each part alone and beside every other.
-    """
-    rows = lists.join(label.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = durable(rows.select("token", "id", "size", "root"), "labelled-lists")
-    mixed = rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.ceil(F.count(F.lit(1)) / SIDE).alias("parts"))
-    mixed = durable(mixed.where("a < z").select("token", "parts"), "mixed-lists")
-    rows = rows.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    blocks = rows.select("token", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"), (F.col("part") > F.col("o")).alias("side"), "id", "size", "root")
+def overlaps(own: np.ndarray, posts: np.ndarray, begin: np.ndarray, many: np.ndarray, n: int) -> np.ndarray:
+    """How many of the n-grams ``own`` each of ``n`` sets has, by a scan of their inverted lists: posts[begin:begin + many]."""
+    out = np.zeros(n, np.int64)
+    for part in np.split(own, np.flatnonzero(np.diff(np.cumsum(many[own]) // SCAN)) + 1):
+        at = np.cumsum(many[part]) - many[part]
+        out += np.bincount(posts[np.arange(int(many[part].sum())) + np.repeat(begin[part] - at, many[part])], minlength=n)
+    return out
+
+
+def block_links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(i, j): links that join the labels as all similar pairs would; between the sides if there are two."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    posts = np.repeat(np.arange(len(sets)), size)[np.argsort(token, kind="stable")]
+    many = np.bincount(token)
+    begin, start = np.cumsum(many) - many, np.cumsum(size) - size
+    label, out, across = label.copy(), [], bool(side.any())
+    for i in range(len(sets)):
+        if across and side[i]:
+            continue
+        both = overlaps(token[start[i] : start[i] + size[i]], posts, begin, many, len(sets))
+        ok = (100 * both >= percent * (size[i] + size - both)) & (label != label[i])
+        for j in np.flatnonzero(ok & side if across else ok).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return out
+
+
+def family_links(lists: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links between the sets(id, hashes) of lists(token, id, size, root) that differ in root. Sets that lists join
+    are a family; one of p parts makes p * (p + 1) / 2 blocks, each part alone and beside every other, and in a block
+    every set scans the inverted lists of all."""
+    lists = durable(lists.select("token", "id", "size", "root"), "family-lists")
+    first = durable(lists.groupBy("token").agg(F.min("id").alias("b")), "first-of-lists")
+    star = lists.select("token", F.col("id").alias("a")).join(first, "token").where("a <> b").select("a", "b")
+    family = durable(connected_components(star).toDF("id", "family"), "families")
+    rows = durable(lists.select("id", "size", "root").distinct().join(family, "id"), "family-sets")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / SIDE), F.ceil(F.sum("size") / SCAN)).alias("parts")
+    mixed = rows.groupBy("family").agg(parts, F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("family", "parts")
+    rows = rows.join(durable(mixed, "mixed-families"), "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = rows.join(sets, "id").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    blocks = rows.select("family", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"), (F.col("part") > F.col("o")).alias("side"), "id", "root", "hashes")
 
     def run(batches):
         for t in whole_blocks(batches, 3):
-            side, who, size, root = (t[c].to_numpy() for c in ("side", "id", "size", "root"))
-            across, out = bool(side.any()), []
-            for i in range(len(who) - 1):
-                ok = root[i + 1 :] != root[i]
-                ok &= 100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])
-                if across:
-                    ok &= side[i + 1 :] != side[i]
-                js = who[i + 1 :][ok]
-                out.append(np.stack([np.minimum(who[i], js), np.maximum(who[i], js)]))
-            made = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            if made.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(made[0]), pa.array(made[1])], ["a", "b"])
-
-    blocks = dealt(blocks, "token", "x", "y").sortWithinPartitions("token", "x", "y")
-    return blocks.mapInArrow(run, "a long, b long").distinct()
+            made = [np.frombuffer(v.as_buffer(), np.uint64) for v in t["hashes"]]
+            got = np.asarray(block_links(made, t["root"].to_numpy(), t["side"].to_numpy(), percent), np.int64).reshape(-1, 2)
+            if len(got):
+                who = t["id"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(who[got[:, 0]]), pa.array(who[got[:, 1]])], ["a", "b"])
+
+    blocks = dealt(blocks, "family", "x", "y").sortWithinPartitions("family", "x", "y")
+    return blocks.mapInArrow(run, "a long, b long")
 
 
 def heavy_links(docs: DataFrame, listing: DataFrame, counts: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b): links that join the sets of the inverted lists as all similar pairs of them would."""
-    lists = durable(open_lists(listing, counts, percent), "lists")
+    some = durable(sharing_sets(listing, counts, percent), "sharing-sets")
+    lists = durable(spared_lists(some, percent), "lists")
     sets = durable(sets_of(docs, lists.select("id").distinct(), words, id_col, text_col), "whole-sets")
     first = durable(settled_pairs(durable(centre_pairs(lists, percent), "centre-pairs"), sets, percent), "first-links")
-    rest = durable(other_pairs(lists, durable(connected_components(first), "first-classes"), percent), "other-pairs")
-    return first.union(settled_pairs(rest, sets, percent))
+    label = durable(connected_components(first).toDF("id", "root"), "first-classes")
+    for _ in range(2):  # what leaves takes n-grams with it that others then share with none
+        listing = some.select("id", "size", F.explode("ts.token").alias("token")).join(label, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        some = across_labels(durable(listing, "labelled-listing"), percent)
+    left = shared_across(sets.join(some.select("id"), "id"), label)
+    able = some.join(durable(left, "left"), "id").where(100 * F.col("left") >= percent * F.col("size"))
+    able = durable(able.join(label, "id", "left").withColumn("root", F.coalesce("root", "id")), "able")
+    rest = spared_lists(able.select("id", "size", "ts"), percent).join(able.select("id", "root"), "id")
+    return first.union(family_links(rest, sets, percent))
 
 
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
