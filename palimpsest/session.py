@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # state with lists, maps and timers
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -14,7 +15,7 @@ TABLES = (
 
 
 def build_session(app: str = "palimpsest", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the plans here rely on: UTC, AQE and Arrow."""
+    """A session with the settings the plans here rely on: UTC, AQE, Arrow, and state in RocksDB."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -23,6 +24,7 @@ def build_session(app: str = "palimpsest", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": ROCKS,
         "spark.ui.enabled": "false",
     }
     for k, v in {**base, **conf}.items():

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from palimpsest.operators.extract import extract, learn_names
 from palimpsest.operators.reconcile import FACT, reconcile
@@ -52,34 +54,69 @@ def windowed_counts(events: DataFrame, size: str = "1 day", slide: str | None =
 
 
 def call_results(calls: DataFrame, results: DataFrame, within: str = "1 hour") -> DataFrame:
-    """Tool calls beside their results, which come within an interval."""
+    """Tool calls beside their results, which come within an interval. A call without one comes out with nulls, once the
+    watermark says that none can come any more."""
     c = calls.withWatermark("ts", within).alias("c")
     r = results.withWatermark("ts", within).alias("r")
     near = (F.col("r.ts") >= F.col("c.ts")) & (F.col("r.ts") <= F.col("c.ts") + F.expr(f"interval {within}"))
-    return c.join(r, (F.col("c.call_id") == F.col("r.call_id")) & near)
+    return c.join(r, (F.col("c.call_id") == F.col("r.call_id")) & near, "leftOuter")
+
+
+class _Items(StatefulProcessor):
+    """The items of one key, each with a timer of its own."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.items = handle.getMapState("items", "item_id string", "content string, until long")
+
+    def _drop(self, key, ids, status: str) -> list[tuple]:
+        out = [(key[0], i, self.items.getValue((i,))[0], status) for i in ids]
+        for i in ids:
+            self.items.removeKey((i,))
+        return out
+
+    def _due(self, now: int) -> list[str]:
+        return sorted(k[0] for k, v in self.items.iterator() if v[1] is not None and v[1] <= now)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the names that Spark calls
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["ts", "item_id"], kind="stable").to_dict("records"):
+            if r["op"] in ("clear", "consume"):
+                out += self._drop(key, self._due(int(r["ts"].timestamp() * 1000)), "expired")  # before its timer comes
+                ids = sorted(k[0] for k in self.items.keys())
+                out += self._drop(key, ids if r["op"] == "clear" else [i for i in ids if i == r["item_id"]], {"clear": "cleared", "consume": "consumed"}[r["op"]])
+            else:
+                until = None if pd.isna(r["ttl_seconds"]) else int(r["ts"].timestamp() * 1000 + r["ttl_seconds"] * 1000)
+                self.items.updateValue((r["item_id"],), (r["content"], until))
+                if until is not None:
+                    self.handle.registerTimer(until)
+                out.append((key[0], r["item_id"], r["content"], "live"))
+        yield pd.DataFrame(out, columns=HELD)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803  the names that Spark calls
+        yield pd.DataFrame(self._drop(key, self._due(expiredTimerInfo.getExpiryTimeInMs()), "expired"), columns=HELD)
+
+    def close(self) -> None:
+        pass
+
+
+HELD = ["key", "item_id", "content", "status"]
 
 
 def working_memory(items: DataFrame, late: str = "0 seconds") -> DataFrame:
-    """items(key, ts, content, ttl_seconds): what each key holds, forgotten after its time to live."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def hold(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            content = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"key": [key[0]], "content": [content], "status": ["expired"]})
-            return
-        last = None
-        for b in batches:
-            last = b.sort_values("ts").iloc[-1]
-        if last is not None:
-            state.update((last["content"],))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(last["ts"].timestamp() * 1000) + int(last["ttl_seconds"] * 1000)))
-            yield pd.DataFrame({"key": [key[0]], "content": [last["content"]], "status": ["live"]})
-
-    keyed = items.withWatermark("ts", late).groupBy("key")
-    return keyed.applyInPandasWithState(hold, "key string, content string, status string", "content string", "append", GroupStateTimeout.EventTimeTimeout)
+    """items(key, ts, content, ttl_seconds) as (key, item_id, content, status), a row a change: live, consumed, cleared
+    or expired.
+
+    A key holds any number of items. Each is forgotten at its own time, once the watermark has passed it; without a time to
+    live it stays. ``op`` consume takes an item away by its ``item_id``, and clear takes all of the key. Both
+    columns may be missing: an item is then known by its time and content. The session keeps its state in RocksDB.
+    """
+    own = F.sha2(F.concat_ws("\x1f", F.col("ts").cast("string"), "content"), 256)
+    more = {"item_id": own, "op": F.lit("add")}
+    items = items.withColumns({c: v for c, v in more.items() if c not in items.columns})
+    keyed = items.select("key", "ts", "content", "ttl_seconds", F.coalesce("item_id", own).alias("item_id"), F.coalesce("op", F.lit("add")).alias("op"))
+    keyed = keyed.withWatermark("ts", late).groupBy("key")
+    return keyed.transformWithStateInPandas(_Items(), "key string, item_id string, content string, status string", "Append", "EventTime")
 
 
 def empty_state(spark: SparkSession) -> State:

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from palimpsest.operators.reconcile import FACT, Fold, Shelf, _end
+from palimpsest.session import ROCKS
 from palimpsest.sources.store import _fs
 
 NAMES = [c.split()[0] for c in FACT.split(", ")]
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class StateFold(Fold):
@@ -69,7 +69,7 @@ class _Keep(StatefulProcessor):
         self.lists = handle.getMapState("headings", "heading string", "numbers array<long>")
         self.next = handle.getValueState("next", "no long")
 
-    def handleInputRows(self, key, rows, timer):  # noqa: N802  the name that Spark calls
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the names that Spark calls
         new = pd.concat(list(rows)).sort_values(["valid_at", "created_at", "seq"], kind="stable")
         fold = StateFold(self.facts, self.lists, self.next.get()[0] if self.next.exists() else 0, **self.rules)
         for r in json.loads(new[NAMES].to_json(orient="records", double_precision=15)):

@@ -120,3 +120,36 @@ def test_working_memory_expires(spark, tmp_path):
     src = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/w").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/w")
     got = [(r["key"], r["content"], r["status"]) for r in _run(spark, S.working_memory(src), "held")]
     assert ("a", "new", "live") in got and ("a", "new", "expired") in got and ("c", "later", "expired") not in got
+
+
+def test_calls_without_a_result_come_out(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    late = t0 + timedelta(hours=10)
+    for name, rows in (("calls", [("a", t0), ("b", t0), ("z", late)]), ("results", [("a", t0 + timedelta(minutes=30)), ("b", t0 + timedelta(hours=3)), ("y", late)])):
+        spark.createDataFrame(rows, "call_id string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    c, r = (spark.readStream.schema("call_id string, ts timestamp").parquet(f"{tmp_path}/{n}") for n in ("calls", "results"))
+    got = S.call_results(c, r).select(F.col("c.call_id").alias("id"), F.col("r.call_id").alias("result"))
+    assert sorted(map(tuple, _run(spark, got, "met_or_not")), key=str) == [("a", "a"), ("b", None)]
+
+
+def test_working_memory_holds_many_items(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    t0, kind = datetime(2024, 1, 1), "key string, ts timestamp, content string, ttl_seconds double, item_id string, op string"
+    at = lambda s: t0 + timedelta(seconds=s)
+    batches = [
+        [("a", at(0), "one", 60.0, "1", "add"), ("a", at(1), "two", 7200.0, "2", "add"), ("a", at(2), "three", None, "3", None), ("a", at(3), "four", 60.0, "4", "add"), ("b", at(3), "other", 60.0, "1", "add")],
+        [("a", at(10), None, None, "4", "consume"), ("a", at(11), None, None, "9", "consume"), ("c", at(600), "late", 60.0, "1", "add")],
+        [("a", at(700), None, None, None, "clear"), ("c", at(9000), "later", 60.0, "2", "add")],
+        [("d", at(20000), "last", 60.0, "1", "add")],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/w/{i}")
+    src = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/w")
+    got = [(r["key"], r["item_id"], r["status"]) for r in _run(spark, S.working_memory(src), "held_items")]
+    assert sorted(got) == sorted([
+        ("a", "1", "live"), ("a", "2", "live"), ("a", "3", "live"), ("a", "4", "live"), ("b", "1", "live"), ("a", "4", "consumed"), ("c", "1", "live"),
+        ("a", "1", "expired"), ("b", "1", "expired"), ("a", "2", "cleared"), ("a", "3", "cleared"), ("c", "2", "live"), ("c", "1", "expired"), ("d", "1", "live"), ("c", "2", "expired"),
+    ])
