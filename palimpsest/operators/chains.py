@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.session import cut_lineage
+from palimpsest.session import written
 
 
 def given_links(facts: DataFrame) -> DataFrame:
@@ -25,13 +25,13 @@ def given_links(facts: DataFrame) -> DataFrame:
 
 def _twice(jump: DataFrame) -> DataFrame:
     """Where twice as many steps lead."""
-    return cut_lineage(jump.join(jump.toDF("y", "z"), "y").select("x", F.col("z").alias("y")))
+    return written(jump.join(jump.toDF("y", "z"), "y").select("x", F.col("z").alias("y")))
 
 
 def on_circles(links: DataFrame) -> DataFrame:
     """(x) of the facts on circles: those that are still reached after any number of steps. What more and more steps
     reach only shrinks, and has settled once doubling takes nothing away."""
-    jump, n = cut_lineage(links), None
+    jump, n = written(links), None
     while True:
         reached = jump.select(F.col("y").alias("x")).distinct()
         now = reached.count()
@@ -42,11 +42,11 @@ def on_circles(links: DataFrame) -> DataFrame:
 
 def _reach(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """(qid, node): the seeds and all that links(x, y) lead to from them, each round twice as far."""
-    held, jump = cut_lineage(seeds.distinct()), cut_lineage(links)
+    held, jump = written(seeds.distinct()), written(links)
     n = held.count()
     while True:
         far = held.join(jump.toDF("node", "y"), "node").select("qid", F.col("y").alias("node"))
-        held = cut_lineage(held.unionByName(far).distinct())
+        held = written(held.unionByName(far).distinct())
         now = held.count()
         if now == n:
             return held
@@ -59,9 +59,9 @@ def chain_members(facts: DataFrame, seeds: DataFrame) -> DataFrame:
     Circles end a walk: backwards it goes once around, forwards it does not enter them. Seeds that are no facts
     have no walk.
     """
-    links = cut_lineage(given_links(facts))
+    links = written(given_links(facts))
     start = seeds.join(facts.select("fact_id").distinct(), "fact_id").select("qid", F.col("fact_id").alias("node"))
-    start = cut_lineage(start.distinct())
+    start = written(start.distinct())
     forward = links.join(on_circles(links), "x", "left_anti").select(F.col("y").alias("x"), F.col("x").alias("y"))
     # a fact has one forerunner at each distance, so a table of steps has at most a row a fact in either direction
     return _reach(start, links).unionByName(_reach(start, forward)).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import vocabulary as V
 from palimpsest.functions import text as T
-from palimpsest.session import cut_lineage
+from palimpsest.session import drop_written, written
 
 HOP_DECAY = 0.65
 
@@ -197,21 +197,33 @@ def export_graph(facts: DataFrame, t: float, live_only: bool = False) -> DataFra
 
 
 def identity_roots(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(handle, canonical): linked handles share their smallest one. Labels spread by min and are
-    shortcut through their own label, so a chain halves each round."""
-    both = links.toDF("a", "b").unionByName(links.select(links.columns[1], links.columns[0]).toDF("a", "b")).distinct()
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    """(handle, canonical): linked handles share their smallest one, by alternating large-star and small-star steps:
+    the larger neighbours of a handle are linked to its smallest one, then a handle and its smaller neighbours are.
+    Links never grow in number, and a chain settles in about log n rounds, in whatever order its handles are named."""
+    a, b = (F.col(c) for c in links.columns[:2])
+    ends = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a IS NOT NULL").distinct()
+    given = written(ends)
+    e, old = written(given.where("a <> b")), None
     for _ in range(rounds):
-        spread = both.join(label.toDF("b", "n"), "b").groupBy("a").agg(F.min("n").alias("n"))
-        nearer = label.join(spread, "a").select("a", F.least("m", "n").alias("m"))
-        jump = nearer.join(nearer.toDF("m", "k"), "m", "left").select("a", F.least("m", F.coalesce("k", "m")).alias("m"))
-        jump = cut_lineage(jump)
-        if jump.exceptAll(label).isEmpty():
+        mark = _links_mark(e)
+        if mark == old:
             break
-        label = jump
+        both = e.union(e.select("b", "a")).toDF("u", "v")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, e, old = e, written(small.union(low.toDF("a", "b")).distinct()), mark
+        drop_written(last, large)
     else:
         raise RuntimeError(f"identities did not settle in {rounds} rounds")
-    return label.toDF("handle", "canonical")
+    every = given.select("a").union(given.select("b")).distinct()
+    return every.join(e.withColumnRenamed("b", "m"), "a", "left").select(F.col("a").alias("handle"), F.coalesce("m", "a").alias("canonical"))
+
+
+def _links_mark(e: DataFrame) -> tuple:
+    """What tells whether the links are still the same."""
+    return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def canonical(facts: DataFrame, roots: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,5 +61,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read back; removed by drop_written, or when the driver ends. Rounds
+    that build on each other need this: a checkpoint hands on the estimated size of its plan, which joins multiply, so that
+    after some rounds the driver holds numbers of millions of digits. A file's size is what it is."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Removes what written wrote; nothing that is still to be computed may read it."""
+    for df in tables:
+        fs, where = _file_system(df.sparkSession, df.written_path)
+        fs.delete(where, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -286,3 +286,12 @@ def test_model_candidates(spark):
     out = Agg.model_candidates(s, "?", lambda p: json.dumps(rows), ("buy",)).orderBy("item").collect()
     assert [(r["item"], r["include"], r["confidence"], r["value"]) for r in out] == [("bike", False, 0.8, 12.5), ("red bike", True, 1.0, None)]
     assert Agg.model_candidates(s, "?", lambda p: "sorry", ("buy",)).collect() == [] and Agg.model_candidates(s.limit(0), "?", None, ()).collect() == []
+
+
+def test_identity_chain_in_an_order_of_its_own(spark):
+    """Numbers as text: long runs of ascending names, whose labels had to travel one step a round."""
+    links = spark.createDataFrame([(f"u{7 * i}", f"u{7 * i + 7}") for i in range(213)], "a string, b string")
+    got = G.identity_roots(links, rounds=20)
+    assert {(r["canonical"], r["n"]) for r in got.groupBy("canonical").agg(F.count("*").alias("n")).collect()} == {("u0", 214)}
+    size = str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert len(size) < 40, "estimates must not multiply from round to round"
