@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -202,7 +204,11 @@ def recall_at_k(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     need = gold.groupBy("qid").agg(F.collect_set("id").alias("need"))
     got = ranked.where(F.col("rank") <= k).groupBy("qid").agg(F.collect_set("id").alias("got"))
     both = need.join(got, "qid", "left").withColumn("n", F.size(F.array_intersect("need", F.coalesce("got", F.expr("cast(array() as array<bigint>)")))))
-    return both.select("qid", (F.col("n") > 0).cast("int").alias("hit"), (F.col("n") / F.size("need")).alias("recall"))
+    return both.select("qid", *hit_and_recall(F.col("n"), F.size("need")))
+
+
+def hit_and_recall(n: Column, need: Column) -> list[Column]:
+    return [(n > 0).cast("int").alias("hit"), (n / need).alias("recall")]
 
 
 def percentiles(rows: DataFrame, value: str, q: float, by: list[str]) -> DataFrame:
@@ -243,14 +249,29 @@ def failed_questions(results: DataFrame, system: str) -> DataFrame:
     return results.where((F.col("system") == system) & (F.col("ok") == False)).select("qid").distinct()  # noqa: E712
 
 
-def weight_grid(ranked: DataFrame, grid: DataFrame, gold: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
-    """Mean recall of each weighting; ``grid`` (grid_id, signal, weight) is small and joined by signal."""
+def fused_heads(ranked: DataFrame, grid: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
+    """(grid_id, qid, id, rank): the first k of each weighting; ``grid`` (grid_id, signal, weight) is small and joined by signal."""
     fused = ranked.join(F.broadcast(grid), "signal").groupBy("grid_id", "qid", "id").agg(F.sum(F.col("weight") / (rrf_k + F.col("rank"))).alias("s"))
-    top = fused.withColumn("rank", F.row_number().over(W.partitionBy("grid_id", "qid").orderBy(F.desc("s"), "id"))).where(F.col("rank") <= k)
-    need = gold.groupBy("qid").agg(F.count(F.lit(1)).alias("need"))
-    hits = top.join(gold, ["qid", "id"]).groupBy("grid_id", "qid").agg(F.count(F.lit(1)).alias("n")).join(need, "qid")
-    questions = gold.select("qid").distinct().agg(F.count(F.lit(1)).alias("q"))
-    return hits.groupBy("grid_id").agg(F.sum(F.col("n") / F.col("need")).alias("s")).crossJoin(F.broadcast(questions)).select("grid_id", F.round(F.col("s") / F.col("q"), 9).alias("recall"))
+    return fused.withColumn("rank", F.row_number().over(W.partitionBy("grid_id", "qid").orderBy(F.desc("s"), "id"))).where(F.col("rank") <= k).drop("s")
+
+
+def head_depth(weights: list[float], k: int, rrf_k: int = 60) -> int:
+    """How many of each signal's first rows hold the first k of the fusion: the k first of the heaviest signal have at
+    least its weight / (rrf_k + k), and what is in no head has less. Every signal ranks every row."""
+    return math.floor(sum(weights) * (rrf_k + k) / max(weights)) - rrf_k
+
+
+def mean_recall(hits: DataFrame, need: DataFrame) -> DataFrame:
+    """(grid_id, recall): hits(grid_id, qid, n) of need(qid, need), 0 for questions without hits."""
+    questions = need.agg(F.count(F.lit(1)).alias("q"))
+    each = hits.join(need, "qid").groupBy("grid_id").agg(F.sum(F.col("n") / F.col("need")).alias("s"))
+    return each.crossJoin(F.broadcast(questions)).select("grid_id", F.round(F.col("s") / F.col("q"), 9).alias("recall"))
+
+
+def weight_grid(ranked: DataFrame, grid: DataFrame, gold: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
+    """Mean recall of each weighting."""
+    hits = fused_heads(ranked, grid, k, rrf_k).join(gold, ["qid", "id"]).groupBy("grid_id", "qid").agg(F.count(F.lit(1)).alias("n"))
+    return mean_recall(hits, gold.groupBy("qid").agg(F.count(F.lit(1)).alias("need")))
 
 
 def weekly_counts(calls: DataFrame) -> DataFrame:

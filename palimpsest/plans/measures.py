@@ -13,7 +13,7 @@ from palimpsest.operators import evaluation as Ev
 from palimpsest.operators import lifecycle as Life
 from palimpsest.operators import ranking as R
 from palimpsest.operators import vector_index as Index
-from palimpsest.plans.reports import RANKS_SQL, RESULTS_SQL, _ranked, _results
+from palimpsest.plans.reports import RANKS_SQL, RESULTS_SQL, _results, _weighted
 from palimpsest.session import scratch, table
 
 PRED_SQL = f"""{RESULTS_SQL}, rp AS (
@@ -158,13 +158,7 @@ h AS (SELECT 0 AS grid_id, qid, count(*) AS got FROM rk JOIN gd USING (qid, id)
 SELECT CAST(grid_id AS INTEGER) AS grid_id, round(sum(got / need) / (SELECT count(*) FROM n), 9) AS recall FROM h JOIN n USING (qid) GROUP BY grid_id ORDER BY recall DESC, grid_id LIMIT 1""",
 )
 def best_weights(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    ranked, gold = _ranked(spark, sf_dir)
-    other = ranked.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("id")))
-    both = ranked.select(F.lit("x").alias("signal"), "*").unionByName(other.select(F.lit("y").alias("signal"), "*"))
-    grid = spark.createDataFrame([(0, "x", 1.0), (0, "y", 0.0), (1, "x", 0.0), (1, "y", 1.0)], "grid_id int, signal string, weight double")
-    return Ev.best_weights(Ev.weight_grid(both, grid, gold, 10))
+    return Ev.best_weights(_weighted(spark, sf_dir, [(0, "x", 1.0), (0, "y", 0.0), (1, "x", 0.0), (1, "y", 1.0)], 10))
 
 
 @query("relevant_facts", "SELECT DISTINCT o_custkey % 50 AS qid, l_partkey AS fact_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 50 < 5 AND o_custkey % 3 = 0")

@@ -295,3 +295,28 @@ def test_identity_chain_in_an_order_of_its_own(spark):
     assert {(r["canonical"], r["n"]) for r in got.groupBy("canonical").agg(F.count("*").alias("n")).collect()} == {("u0", 214)}
     size = str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     assert len(size) < 40, "estimates must not multiply from round to round"
+
+
+def test_questions_share_their_ranked_lists(spark, tmp_path):
+    """Lists of 300 questions over 4000 vectors: what the full lists give, from heads whose rows no question multiplies."""
+    from palimpsest.plans import reports
+
+    spark.range(300).select((F.col("id") * 13).alias("doc_id")).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(4000).select(F.col("id").alias("vec_id"), (F.xxhash64("id") % 7).cast("int").alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    of = {}
+    for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect():
+        of.setdefault(r["label"], []).append(r["vec_id"])
+    got = {r["qid"]: (r["hit"], r["recall"]) for r in reports.recall_at_k(spark, str(tmp_path)).collect()}
+    for q in range(0, 3900, 13):
+        order = sorted(of.get(q % 10, []), key=lambda i: ((i * 7919 + q * 104729) % 1009, i))
+        want = {i for i in order if (i + q) % 17 == 0}
+        n = len(want & set(order[:10]))
+        assert (got[q] == (int(n > 0), n / len(want))) if want else q not in got
+    places, starts, _, _ = reports._lists(spark, str(tmp_path))
+    assert reports._heads(places, starts, 10).count() <= starts.count() * 20
+    ranked = spark.range(2000).select(F.lit(1).alias("qid"), "id", F.lit("x").alias("signal"), ((F.col("id") * 7 + 3) % 2000 + 1).alias("rank"))
+    ranked = ranked.unionByName(ranked.withColumns({"signal": F.lit("y"), "rank": (F.col("id") * 1999 + 11) % 2000 + 1}))
+    for w in ((0.5, 0.5), (0.8, 0.3), (1.0, 0.0)):
+        grid = spark.createDataFrame([(0, "x", w[0]), (0, "y", w[1])], "grid_id int, signal string, weight double")
+        near = ranked.where(F.col("rank") <= Ev.head_depth(list(w), 10)).select("id").distinct()
+        assert Ev.fused_heads(ranked.join(near, "id"), grid, 10).exceptAll(Ev.fused_heads(ranked, grid, 10)).isEmpty()
