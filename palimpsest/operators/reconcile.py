@@ -10,24 +10,32 @@ from __future__ import annotations
 import bisect
 import math
 import re
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from palimpsest import vocabulary as V
 
+OUT = 8192  # folded facts that leave a task at once
 FACT = (
     "fact_id string, user_id string, subject string, predicate string, object string, valid_at double, created_at double, "
     "invalid_at double, expired_at double, supersedes string, source string, salience double, provenance array<string>, seq long"
 )
 
 
+@lru_cache(4096)
 def single_valued(predicate: str) -> bool:
     p = predicate.lower()
     return p not in V.MULTI_VALUED and not any(p.startswith(m + "_") for m in V.MULTI_VALUED)
 
 
+@lru_cache(4096)
 def polarity(predicate: str) -> str | None:
     p = predicate.lower()
     if p in V.LIKE_PREDICATES or p.startswith(V.LIKE_PREFIXES):
@@ -35,6 +43,7 @@ def polarity(predicate: str) -> str | None:
     return "dislike" if p in V.DISLIKE_PREDICATES or p.startswith(V.DISLIKE_PREFIXES) else None
 
 
+@lru_cache(65536)
 def content_words(obj: str) -> frozenset:
     return frozenset(w for w in re.findall("[a-z0-9]+", obj.lower()) if len(w) > 2 and w not in V.OBJECT_STOP)
 
@@ -67,11 +76,15 @@ class Shelf:
         self.open.pop(no, None)
         if (end := _end(f)) == math.inf:
             self.open[no] = f
+        elif not self.ended or self.ended[-1][:2] <= (end, no):
+            self.ended.append((end, no, f))
         else:
             bisect.insort(self.ended, (end, no, f), key=lambda e: e[:2])
 
     def live(self, t: float) -> list[tuple[int, dict]]:
         """(number, fact) of those live at t, in the order of arrival."""
+        if not self.ended or self.ended[-1][0] <= t:
+            return sorted((no, f) for no, f in self.open.items() if f["valid_at"] <= t)
         late = self.ended[bisect.bisect_right(self.ended, t, key=lambda e: e[0]) :]
         found = {no: f for end, no, f in late if _end(f) == end} | self.open  # a fact may have been ended again
         return sorted((no, f) for no, f in found.items() if f["valid_at"] <= t)
@@ -185,17 +198,33 @@ def reconcile(facts: DataFrame, similar: float | None = None, judge=None) -> Dat
     """The facts that stay, with their intervals; duplicates are dropped.
 
     ``facts`` come in the order of (valid_at, created_at, seq). With ``similar`` they have
-    an ``embedding``. The key is (user, subject): one busy user spreads over subjects.
+    an ``embedding``. The key is (user, subject): one busy user spreads over subjects. A task
+    has its keys one after the other, as a sorted stream, and holds one at a time.
     """
     names = [c.split()[0] for c in FACT.split(", ")]
     extra = ["embedding"] if similar is not None else []
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state = Fold(similar, judge)
-        for r in rows.sort_values(["valid_at", "created_at", "seq"], kind="stable").to_dict("records"):
-            f = {k: None if isinstance(v, float) and math.isnan(v) else v for k, v in r.items() if k in names or k in extra}
-            state.take(f)
-        return pd.DataFrame([{k: f.get(k) for k in names} for f in state.facts], columns=names)
-
-    src = facts.select(*names, *extra)
-    return src.groupBy("user_id", F.lower(F.trim("subject")).alias("_key")).applyInPandas(lambda _, pdf: fold(pdf), FACT)
+    kind = to_arrow_schema(StructType.fromDDL(FACT))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield {k: None if isinstance(v, float) and math.isnan(v) else v for k, v in r.items()}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for _, same in groupby(rows(batches), key=lambda r: (r["user_id"], r["_key"])):
+            state = Fold(similar, judge)
+            for f in same:
+                del f["_key"]
+                state.take(f)
+            out += [{k: f[k] for k in names} for f in state.by_no.values()]
+            while len(out) >= OUT:
+                yield pa.RecordBatch.from_pylist(out[:OUT], kind)
+                out = out[OUT:]
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    key = ["user_id", "_key"]
+    src = facts.select(*names, *extra, F.lower(F.trim("subject")).alias("_key")).repartition(*key)
+    order = [F.asc_nulls_last(c) for c in ("valid_at", "created_at", "seq")]
+    return src.sortWithinPartitions(*key, *order).mapInArrow(fold, FACT)

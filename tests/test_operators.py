@@ -320,3 +320,12 @@ def test_questions_share_their_ranked_lists(spark, tmp_path):
         grid = spark.createDataFrame([(0, "x", w[0]), (0, "y", w[1])], "grid_id int, signal string, weight double")
         near = ranked.where(F.col("rank") <= Ev.head_depth(list(w), 10)).select("id").distinct()
         assert Ev.fused_heads(ranked.join(near, "id"), grid, 10).exceptAll(Ev.fused_heads(ranked, grid, 10)).isEmpty()
+
+
+def test_folds_of_keys_are_a_stream(spark):
+    """Keys follow each other through a task, in the order of time whatever the order of rows, and none is a group of pandas."""
+    rows = [(f"f{u}-{i}", f"u{u}", "User" if i % 2 else "user", "lives_in", f"city{i}", float(i), float(i), None, None, None, "extracted", 1.0, [f"e{i}"], i) for u in range(300) for i in (2, 0, 1)]
+    got = reconcile(spark.createDataFrame(rows, FACT))
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    assert {(r["fact_id"].split("-")[1], r["supersedes"] and r["supersedes"].split("-")[1], r["invalid_at"]) for r in got.collect()} == {("0", None, 1.0), ("1", "0", 2.0), ("2", "1", None)}
+    assert got.count() == 900
