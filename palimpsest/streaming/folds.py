@@ -2,7 +2,7 @@
 
 State belongs to (user, subject) and lies under the headings of the fold: a new fact reads the
 live facts of its slot and object, of its words and of the other side of a preference, and no
-others. What has ended leaves the state; the rows that a batch changes go out, and the newest
+others. The live facts of a key that has few are one value, read and written once a batch. What has ended leaves the state; the rows that a batch changes go out, and the newest
 row of a fact counts.
 """
 
@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,18 +18,26 @@ from palimpsest.operators.reconcile import FACT, Fold, Shelf, _end
 from palimpsest.session import ROCKS
 from palimpsest.sources.store import _fs
 
+FEW = 64  # live facts of a key that are one value in the state
 NAMES = [c.split()[0] for c in FACT.split(", ")]
 
 
 class StateFold(Fold):
-    """A fold whose shelves are read from the state when a rule first looks at them."""
+    """A fold on kept facts: a few that are all there from the start (``few``), or many, whose shelves are read from the
+    state when a rule first looks at them."""
 
-    def __init__(self, facts, shelves, first: int, **rules):
+    def __init__(self, facts, shelves, first: int, few: list | None = None, **rules):
         super().__init__(**rules)
         self.held, self.lists, self.next = facts, shelves, first
         self.known: dict[int, str] = {}
+        self.few = few is not None
+        for no, f in few or []:
+            self.known[no] = json.dumps(f)
+            self._file(no, f)
 
     def _shelf(self, heading: tuple) -> Shelf:
+        if self.few:
+            return super()._shelf(heading)
         if heading not in self.shelves:
             self.shelves[heading] = Shelf()
             name = (json.dumps(heading),)
@@ -42,9 +49,16 @@ class StateFold(Fold):
                 self.shelves[heading].put(no, self.by_no[no])
         return self.shelves[heading]
 
-    def settle(self) -> list[dict]:
-        """Writes what has changed back to the state, without what has ended; those rows."""
-        changed = {no: f for no, f in self.by_no.items() if self.known.get(no) != json.dumps(f)}
+    def changed(self) -> dict[int, dict]:
+        return {no: f for no, f in self.by_no.items() if self.known.get(no) != json.dumps(f)}
+
+    def live(self) -> list:
+        """What is in memory and has not ended."""
+        return [[no, f] for no, f in self.by_no.items() if _end(f) == float("inf")]
+
+    def settle(self) -> None:
+        """Writes what has changed to the maps, without what has ended; facts that were few until now all go there."""
+        changed = dict(self.live()) if self.few else self.changed()
         touched = {h for no in changed for h in self.headings[no]}
         for no, f in changed.items():
             if _end(f) == float("inf"):
@@ -57,7 +71,6 @@ class StateFold(Fold):
                 self.lists.updateValue((json.dumps(h),), (live,))
             elif self.lists.containsKey((json.dumps(h),)):
                 self.lists.removeKey((json.dumps(h),))
-        return list(changed.values())
 
 
 class _Keep(StatefulProcessor):
@@ -65,18 +78,23 @@ class _Keep(StatefulProcessor):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.few = handle.getValueState("few", "no long, facts string")  # facts is null once they lie in the maps
         self.facts = handle.getMapState("facts", "no long", "fact string")
         self.lists = handle.getMapState("headings", "heading string", "numbers array<long>")
-        self.next = handle.getValueState("next", "no long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the names that Spark calls
-        new = pd.concat(list(rows)).sort_values(["valid_at", "created_at", "seq"], kind="stable")
-        fold = StateFold(self.facts, self.lists, self.next.get()[0] if self.next.exists() else 0, **self.rules)
-        for r in json.loads(new[NAMES].to_json(orient="records", double_precision=15)):
+        late = lambda x: (x is None, x)
+        new = [{c: None if r[c] != r[c] else r[c] for c in NAMES} for r in rows]
+        first, few = self.few.get() or (0, "[]")
+        fold = StateFold(self.facts, self.lists, first, None if few is None else json.loads(few), **self.rules)
+        for r in sorted(new, key=lambda f: [late(f[c]) for c in ("valid_at", "created_at", "seq")]):
             fold.take(r)
-        self.next.update((fold.next,))
-        out = fold.settle()
-        yield pd.DataFrame([[f.get(c) for c in NAMES] for f in out], columns=NAMES)
+        kept = fold.live() if fold.few else None
+        if kept is None or len(kept) > FEW:
+            kept = fold.settle()
+        self.few.update((fold.next, None if kept is None else json.dumps(kept)))
+        for f in fold.changed().values():
+            yield Row(**{c: f[c] for c in NAMES})
 
     def close(self) -> None:
         pass
@@ -86,7 +104,7 @@ def fold_stream(facts: DataFrame, **rules) -> DataFrame:
     """A stream of new FACT rows as a stream of changed ones: kept facts, and known ones that they end. Batches come in
     the order of created_at; within one, facts are taken by valid time. The session needs the RocksDB state store."""
     keyed = facts.select(*NAMES).withColumn("_key", F.lower(F.trim("subject")))
-    return keyed.groupBy("user_id", "_key").transformWithStateInPandas(_Keep(rules), FACT, "Update", "None")
+    return keyed.groupBy("user_id", "_key").transformWithState(_Keep(rules), FACT, "Update", "None")
 
 
 class FoldedFacts:

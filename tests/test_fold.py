@@ -69,3 +69,38 @@ def test_stream_equals_batch_fold(spark, tmp_path):
     again.add(every.limit(0))
     again.add(every.where("valid_at > 38"))  # known already: nothing is new
     assert again.facts().count() == len(want)
+
+
+def test_few_facts_are_one_value_of_the_state():
+    """A key of few live facts is read and written once a batch; one that has grown keeps the same facts in maps."""
+    from palimpsest.streaming import folds
+
+    class Map(dict):
+        calls = 0
+
+        def _count(self, x):
+            Map.calls += 1
+            return x
+
+        getValue = lambda self, k: self._count(self[k])  # noqa: E731, N815
+        containsKey = lambda self, k: self._count(k in self)  # noqa: E731, N815
+        updateValue = lambda self, k, v: self._count(self.__setitem__(k, v))  # noqa: E731, N815
+        removeKey = lambda self, k: self._count(self.pop(k))  # noqa: E731, N815
+
+    class Value:
+        held = None
+        get = lambda self: self.held
+        update = lambda self, v: setattr(self, "held", v)
+
+    rows = [{c: f[c] for c in folds.NAMES} | {"invalid_at": None, "object": f"{f['object']} {f['seq'] % 41}"} for f in facts(5, 400, True)]
+    for few, quiet in ((10_000, True), (folds.FEW, False), (3, False)):
+        folds.FEW, keep, was = few, folds._Keep({}), folds.FEW
+        keep.few, keep.facts, keep.lists, Map.calls, newest = Value(), Map(), Map(), 0, {}
+        for lo in range(0, 40, 5):
+            part = [copy.deepcopy(f) for f in rows if lo <= f["valid_at"] < lo + 5]
+            newest |= {r["fact_id"]: r.asDict() for r in keep.handleInputRows(("u",), iter(part), None)}
+        folds.FEW = was
+        plain = Fold()
+        for f in copy.deepcopy(rows):
+            plain.take(f)
+        assert newest == {f["fact_id"]: f for f in plain.facts} and (Map.calls == 0) == quiet
