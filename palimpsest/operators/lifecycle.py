@@ -111,17 +111,17 @@ def conflict_pairs(facts: DataFrame, lo: float = 0.62, hi: float = 0.94, seen: D
     """Pairs of one user and subject that may contradict: near vectors, or one object under two predicates.
     ``seen`` has judged pairs (a, b), the smaller id first.
 
-    One object is an equality, so those pairs are a join of their own. Near vectors meet as matrices, in parts of a
-    subject of bounded size; no pair that is not near leaves them.
+    One object is an equality, so those pairs are a join of their own. Near vectors of other objects meet as matrices,
+    in parts of a subject of bounded size; no pair that is not near leaves them, and none comes twice, so that pairs
+    are neither joined nor sorted. A fact_id names one fact.
     """
     subject = F.concat_ws("\x1f", F.coalesce("user_id", F.lit("")), F.lower("subject"))
     f = facts.select("fact_id", subject.alias("key"), F.lower(F.trim("object")).alias("o"), F.col("predicate").alias("p"), "embedding")
     said = f.select("fact_id", "key", "o", "p")
     one = said.toDF("a", "key", "o", "pa").join(said.toDF("b", "key", "o", "pb"), ["key", "o"]).where("a < b AND pa <> pb").select("a", "b")
-    near = near_pairs(f, "key", "fact_id", "embedding", lo, hi).select("a", "b")
-    what = said.select("fact_id", F.struct("o", "p").alias("said"))
-    near = near.join(what.toDF("a", "sa"), "a").join(what.toDF("b", "sb"), "b").where("sa <> sb").select("a", "b")
-    pairs = one.unionByName(near).distinct()
+    what = F.coalesce(F.concat(F.lit("o"), "o"), F.concat(F.lit("p"), "p"), F.lit(""))  # no object: facts differ by predicate
+    near = near_pairs(f, "key", "fact_id", "embedding", lo, hi, what).select("a", "b")
+    pairs = one.unionByName(near)
     return pairs.join(seen, ["a", "b"], "left_anti") if seen is not None else pairs
 
 

@@ -101,24 +101,28 @@ def candidate_pool(rows: DataFrame, query: list[float], linked: DataFrame, pool:
     return near.unionByName(without(linked.select(id_col).distinct(), near, id_col).withColumn("origin", F.lit("graph")))
 
 
-def near_pairs(rows: DataFrame, by: str, id_col: str, vec_col: str, lo: float, hi: float) -> DataFrame:
-    """Pairs of one group whose cosine lies within [lo, hi]; each pair once, smaller id first.
+def near_pairs(rows: DataFrame, by: str, id_col: str, vec_col: str, lo: float, hi: float, unlike: Column | None = None) -> DataFrame:
+    """Pairs of one group whose cosine lies within [lo, hi]; each pair once, smaller id first. Rows that are
+    equal in ``unlike``, a string, make none.
 
     A group is dealt into parts of about BLOCK vectors, and every two of its parts meet in one task
     of bounded size, as matrices: a large group spreads over tasks, and only what lies within the
     bounds leaves them. The work stays the square of a group.
     """
-    base = rows.select(F.col(by).alias("g"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    base = rows.select(F.col(by).alias("g"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.lit(None).cast("string").alias("u") if unlike is None else unlike.alias("u"))
     base = base.where("g IS NOT NULL AND id IS NOT NULL AND v IS NOT NULL")
     parts = base.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     dealt = base.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    meet = dealt.select("g", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"), (F.col("part") > F.col("o")).alias("side"), "id", "v")
+    meet = dealt.select("g", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"), (F.col("part") > F.col("o")).alias("side"), "id", "v", "u")
     base_id = base.schema["id"].dataType
     kind, of_id, to_id = base.schema["g"].dataType.simpleString(), base_id.simpleString(), to_arrow_type(base_id)
 
+    tell_apart = unlike is not None
+
     def within(t: pa.Table) -> pa.Table:
         side, ids = t["side"].to_numpy(), t["id"].to_numpy(zero_copy_only=False)
+        said = t["u"].to_numpy(zero_copy_only=False)
         width = pc.list_value_length(t["v"]).to_numpy()
         out = []
         for d in np.unique(width[width > 0]).tolist():
@@ -131,6 +135,8 @@ def near_pairs(rows: DataFrame, by: str, id_col: str, vec_col: str, lo: float, h
             i, j = np.nonzero((near >= lo) & (near <= hi))
             a, b = ids[at[left[i]]], ids[at[right[j]]]
             ok = a < b if not side.any() else a != b
+            if tell_apart:
+                ok &= said[at[left[i]]] != said[at[right[j]]]
             out.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], near[i, j][ok]))
         a, b, s = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, (ids.dtype, ids.dtype, float)[k]) for k in range(3))
         return pa.table({"g": pa.array([t["g"][0].as_py()] * len(a), t["g"].type), "a": pa.array(a, to_id), "b": pa.array(b, to_id), "similarity": s})

@@ -329,3 +329,20 @@ def test_folds_of_keys_are_a_stream(spark):
     assert "InPandas" not in got._jdf.queryExecution().toString()
     assert {(r["fact_id"].split("-")[1], r["supersedes"] and r["supersedes"].split("-")[1], r["invalid_at"]) for r in got.collect()} == {("0", None, 1.0), ("1", "0", 2.0), ("2", "1", None)}
     assert got.count() == 900
+
+
+def test_conflict_pairs_come_once_without_a_second_shuffle(spark):
+    rows = [("u", f"f{i:02}", "s", f"p{i % 2}" if i != 7 else None, None if i % 5 == 0 else f"o{i % 3}", [1.0, 0.1 * i]) for i in range(30)]
+    facts = spark.createDataFrame(rows, "user_id string, fact_id string, subject string, predicate string, object string, embedding array<double>")
+    got = Life.conflict_pairs(facts, 0.5, 0.99)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [a" not in plan and "Aggregate [fact_id" not in plan
+    cos = lambda v, w: round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 9)
+    want = set()
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            one = x[4] is not None and x[4] == y[4] and None not in (x[3], y[3]) and x[3] != y[3]
+            if one or (0.5 <= cos(x[5], y[5]) <= 0.99 and (x[4] != y[4] or (x[4] is None and x[3] != y[3]))):
+                want.add((x[1], y[1]))
+    pairs = [(r["a"], r["b"]) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
