@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 SAMPLE = 65_536  # rows that centroids are fitted on, at most
 LISTS = 1024  # centroids, at most: the table of them stays small
 CHUNK = 8192  # rows of a list that one task compares at once
+FILED = 16_384  # rows with their vectors that leave a task at once
 ROUNDS = 12
 
 
@@ -61,18 +62,19 @@ def fit_centroids(vectors: DataFrame, lists: int | None = None, sample: int = SA
 
 def _nearest(rows: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
     """rows(id, v) with ``list`` and its ``place`` from 0, once for each of the ``n`` nearest centroids."""
-    shared = rows.sparkSession.sparkContext.broadcast(centroids)  # LISTS vectors at most
+    shared, most = rows.sparkSession.sparkContext.broadcast(centroids), FILED  # LISTS vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = shared.value
-            if not b.num_rows or not len(c):
-                continue
-            score = _unit(_matrix(b.column(1), c.shape[1])) @ c.T
-            best = np.argsort(-score, axis=1, kind="stable")[:, : min(n, len(c))]
-            at = pa.array(np.repeat(np.arange(b.num_rows), best.shape[1]))
-            place = pa.array(np.tile(np.arange(best.shape[1], dtype=np.int32), b.num_rows))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(best.ravel().astype(np.int32)), place], ["id", "v", "list", "place"])
+        c = shared.value
+        step = max(1, most // max(1, min(n, len(c))))  # a row goes out once for each of its lists
+        for whole in batches:
+            for lo in range(0, whole.num_rows if len(c) else 0, step):
+                b = whole.slice(lo, step)
+                score = _unit(_matrix(b.column(1), c.shape[1])) @ c.T
+                best = np.argsort(-score, axis=1, kind="stable")[:, : min(n, len(c))]
+                at = pa.array(np.repeat(np.arange(b.num_rows), best.shape[1]))
+                place = pa.array(np.tile(np.arange(best.shape[1], dtype=np.int32), b.num_rows))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(best.ravel().astype(np.int32)), place], ["id", "v", "list", "place"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, v array<double>, list int, place int")

@@ -67,3 +67,21 @@ def test_odd_vectors(spark, tmp_path):
         V.VectorIndex.build(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, embedding array<double>"), f"file://{tmp_path}/wide")
     none = V.VectorIndex.build(df.limit(0), f"file://{tmp_path}/none")
     assert none.rows().count() == 0 and none.search(df, 3, 2).count() == 0
+
+
+def test_rows_leave_in_bounded_batches(spark):
+    """A row goes out once for each list: batches are cut by that, whatever came in at once, and hold the same rows."""
+    from pyspark.sql import functions as F
+
+    from palimpsest.operators import vector_index
+
+    rows = spark.range(0, 500, 1, 1).select("id", F.array(*[F.sin(F.col("id") * k + k) for k in (1.0, 2.0, 3.0)]).alias("v"))
+    centroids = vector_index._unit(np.random.default_rng(1).normal(size=(20, 3)))
+    want = vector_index._nearest(rows, centroids, 10).collect()
+    was, vector_index.FILED = vector_index.FILED, 64
+    try:
+        got = vector_index._nearest(rows, centroids, 10).collect()
+    finally:
+        vector_index.FILED = was
+    assert got == want and len(got) == 5000
+    assert {r["list"] for r in got if r["id"] == 7 and r["place"] == 0} == {int((centroids @ np.array([np.sin(7 * k + k) for k in (1.0, 2.0, 3.0)])).argmax())}
