@@ -1,5 +1,7 @@
 """Operators where a query cannot show the whole behaviour."""
 
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -272,6 +274,57 @@ def test_question_contexts_equal_one_by_one(spark):
         assert got[qid] == Context.pack(blocks, 400, Context.plan_evidence(query)), qid
 
 
+def _counted(spark, facts, column="text"):
+    """facts whose texts are computed by a function that counts its calls."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        calls.add(1)
+        return text
+
+    return facts.withColumn(column, told(column)), calls
+
+
+def test_question_facts_read_texts_once_and_lose_none(spark):
+    rng = np.random.default_rng(5)
+    vocab = ["tea", "teas", "city", "cities", "rome", "wei", "bo", "jazz", "x"]
+    said = [("u", i, None if i % 97 == 5 else " ".join(rng.choice(vocab, rng.integers(0, 12))), float(rng.integers(0, 300)), int(rng.integers(0, 50))) for i in range(700)]
+    said += [("v", 1000 + i, "tea", float(i), 1) for i in range(2)]
+    asked = [(1, "u", "teas in the city"), (2, "u", "Wei"), (3, "u", "nothing known"), (4, "v", "tea tea"), (5, "w", "tea"), (6, "u", None)]
+    q = spark.createDataFrame(asked, "qid long, user_id string, query string")
+    facts = spark.createDataFrame(said, "user_id string, fact_id long, text string, valid_at double, salience long")
+    for weights in ((0.6, 0.3, 0.25), (2.0, 0.1, 0.3), (0.6, 0.0, 0.0)):
+        f, calls = _counted(spark, facts)
+        got = {}
+        for r in Context.question_facts(q, f, 3, weights).orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append(r["fact_id"])
+        assert calls.value == len(said)
+        for qid, user, query in asked:
+            own = [r for r in said if r[0] == user]
+            if not own:
+                assert qid not in got
+                continue
+            toks = {r[1]: T.py_stems(r[2] or "") for r in own}
+            avg = max(1.0, sum(len(toks[r[1]]) for r in own if r[2] is not None) / sum(r[2] is not None for r in own))
+            score = {}
+            for term in set(T.py_stems(query or "")):
+                have = [i for i in toks if term in toks[i]]
+                for i in have:
+                    n = toks[i].count(term)
+                    idf = math.log(1 + (len(own) - len(have) + 0.5) / (len(have) + 0.5))
+                    score[i] = score.get(i, 0) + idf * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(toks[i]) / avg))
+            fused = dict.fromkeys(toks, 0.0)
+            for w, ids in (
+                (weights[0], sorted(score, key=lambda i: (-round(score[i], 9), i))),
+                (weights[1], [r[1] for r in sorted(own, key=lambda r: (-r[3], r[1]))]),
+                (weights[2], [r[1] for r in sorted(own, key=lambda r: (-r[4], r[1]))]),
+            ):
+                for n, i in enumerate(ids, 1):
+                    fused[i] += w / (60 + n)
+            assert got[qid] == sorted(fused, key=lambda i: (-round(fused[i], 12), i))[:3], (weights, qid)
+
+
 def test_model_candidates(spark):
     said = [(1.0, "user: I bought a red bike", 2), (2.0, "the weather is  fine", 1), (3.0, "I sold my bike", 2)]
     s = Agg.evidence_snippets(spark.createDataFrame(said, "date double, text string, bonus int"), "How many bikes did I buy? bike", 2)
