@@ -325,6 +325,18 @@ def test_question_facts_read_texts_once_and_lose_none(spark):
             assert got[qid] == sorted(fused, key=lambda i: (-round(fused[i], 12), i))[:3], (weights, qid)
 
 
+def test_question_contexts_leave_texts_where_they_are(spark, capsys):
+    """The few chosen rows meet the episodes as a broadcast; the contents of all episodes are not dealt out by key."""
+    q = spark.createDataFrame([(1, "u", "who likes tea")], "qid long, user_id string, query string")
+    facts = spark.createDataFrame([("u", 1, "Bo likes tea", 1.0, 1, ["7"])], "user_id string, fact_id long, text string, valid_at double, salience long, provenance array<string>")
+    episodes = spark.range(1_000_000).select(F.col("id").cast("string").alias("episode_id"), F.concat(F.lit("no. Bo likes tea "), "id").alias("content"))
+    got = Context.question_contexts(q, facts, episodes, 400, 3, 2)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin [episode_id" not in plan and "BroadcastHashJoin [episode_id" in plan
+    assert "- Bo likes tea 7" in got.collect()[0]["context"]
+
+
 def test_model_candidates(spark):
     said = [(1.0, "user: I bought a red bike", 2), (2.0, "the weather is  fine", 1), (3.0, "I sold my bike", 2)]
     s = Agg.evidence_snippets(spark.createDataFrame(said, "date double, text string, bonus int"), "How many bikes did I buy? bike", 2)
