@@ -371,7 +371,7 @@ def read_any_format(spark, sf_dir):
         F.to_json(F.struct(F.concat(F.lit("c"), "conv_id").alias("conversation_id"), F.map_from_arrays(ids, F.transform("ts", node)).alias("mapping"), F.element_at(ids, -1).alias("current_node"))),
         F.array_join(F.transform("ts", logged), "\n"),
     ]
-    shape = F.element_at(F.array(*shapes), (F.col("conv_id") % len(shapes) + 1).cast("int"))
+    shape = F.coalesce(*[F.when(F.col("conv_id") % len(shapes) == i, s) for i, s in enumerate(shapes)])
     end = F.when(F.floor(F.col("conv_id") / len(shapes)) % 2 == 0, "\n").otherwise("")
     f = files.select(F.col("conv_id").cast("string").alias("id"), F.concat(shape, end).alias("text"))
     return Conv.read_any(f).select("session_id", "speaker", "content")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators.ordering import spread_rank
+from palimpsest.session import written
 
 COLUMNS = ["session_id", "title", "pos", "speaker", "content", "event_time", "source"]
 
@@ -30,6 +31,12 @@ SPEAKER = r"^\s*([A-Za-z][\w .'-]{0,30}?)\s*[:：]\s+(.*\S.*)$"
 MAP = "map<string,string>"
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """``rows``, each column computed once. A filter on computed columns is otherwise moved below them and parses the same
+    JSON again for each mention of a column."""
+    return rows.select(F.inline_outer(F.array(F.struct(*rows.columns))))
+
+
 def first_key(record: Column, keys: tuple[str, ...]) -> Column:
     """The first of the keys with a value that is not empty; ``record`` maps names to raw JSON."""
     return F.coalesce(*[F.when(F.coalesce(record[k], F.lit("")) != "", record[k]) for k in keys])
@@ -62,42 +69,47 @@ def chat_array(files: DataFrame, session_id: str = "imported") -> DataFrame:
     """files(id, json): {role, content} arrays, {messages} wrappers, or lists of such conversations."""
     body = F.coalesce(F.from_json("json", MAP)["messages"], F.col("json"))
     rows = files.select("id", F.posexplode(F.from_json(body, "array<string>")).alias("i", "item"))
-    inner = F.coalesce(F.from_json("item", MAP)["messages"], F.when(F.startswith("item", F.lit("[")), F.col("item")))
-    many = rows.where(inner.isNotNull()).select("id", F.concat(F.lit(session_id + "_"), F.col("i")).alias("session_id"), F.posexplode(F.from_json(inner, "array<string>")).alias("pos", "m"))
-    flat = rows.where(inner.isNull()).select("id", F.lit(session_id).alias("session_id"), F.col("i").alias("pos"), F.col("item").alias("m"))
-    return _messages(many.unionByName(flat), "messages")
+    rows = _once(rows.withColumn("inner", F.coalesce(F.from_json("item", MAP)["messages"], F.when(F.startswith("item", F.lit("[")), F.col("item")))))
+    many = F.col("inner").isNotNull()
+    rows = rows.select("id", "i", many.alias("many"), F.posexplode_outer(F.when(many, F.from_json("inner", "array<string>")).otherwise(F.array("item"))).alias("p", "m"))
+    name = F.when(F.col("many"), F.concat(F.lit(session_id + "_"), F.col("i"))).otherwise(session_id)
+    return _messages(rows.select("id", name.alias("session_id"), F.when(F.col("many"), F.col("p")).otherwise(F.col("i")).alias("pos"), F.from_json("m", MAP).alias("r")), "messages")
 
 
 def _messages(rows: DataFrame, source: str) -> DataFrame:
-    r = rows.withColumn("r", F.from_json("m", MAP)).where("r IS NOT NULL")
+    """Rows with r, a message's fields as raw JSON; those without content are left out, and so are malformed ones."""
+    ids = [c for c in ("id",) if c in rows.columns]
+    raw = [first_key(F.col("r"), keys).alias(name) for name, keys in (("_role", ROLE_KEYS), ("_content", CONTENT_KEYS), ("_time", TIME_KEYS))]
+    r = _once(rows.select(*ids, "session_id", "pos", *raw))
     out = r.select(
-        *[c for c in ("id",) if c in rows.columns], "session_id", F.lit("").alias("title"), "pos", _speaker(first_key(F.col("r"), ROLE_KEYS)).alias("speaker"),
-        F.trim(content_text(first_key(F.col("r"), CONTENT_KEYS))).alias("content"), T.to_epoch(first_key(F.col("r"), TIME_KEYS)).alias("event_time"),
+        *ids, "session_id", F.lit("").alias("title"), "pos", _speaker(F.col("_role")).alias("speaker"),
+        F.trim(content_text(F.col("_content"))).alias("content"), T.to_epoch(F.col("_time")).alias("event_time"),
         F.lit(source).alias("source"),
     )
-    return out.where("content <> ''")
+    return _once(out).where("content <> ''")
 
 
 def records(lines: DataFrame, session_id: str = "imported") -> DataFrame:
     """lines(seq, json): one record a row, in sessions by their own session key; malformed rows are skipped."""
-    r = lines.withColumn("r", F.from_json("json", MAP)).where("r IS NOT NULL")
-    named = r.select(*[c for c in ("id",) if c in lines.columns], F.coalesce(first_key(F.col("r"), SESSION_KEYS), F.lit(session_id)).alias("session_id"), F.col("seq").alias("pos"), F.col("json").alias("m"))
-    return _messages(named, "records")
+    ids = [c for c in ("id",) if c in lines.columns]
+    r = _once(lines.select(*ids, "seq", F.from_json("json", MAP).alias("r")))
+    return _messages(r.select(*ids, F.coalesce(first_key(F.col("r"), SESSION_KEYS), F.lit(session_id)).alias("session_id"), F.col("seq").alias("pos"), "r"), "records")
 
 
 def _thread(nodes: Column, parents: Column, head: Column) -> Column:
-    """The nodes from a head up to its root; a node that comes again ends the walk."""
-
-    def walk(up: dict, x: str | None) -> list[str]:
-        path: dict[str, None] = {}
-        while x in up and x not in path:
-            path[x] = None
-            x = up[x]
+    """Where the nodes from a head up to its root stand; a node that comes again ends the walk."""
+
+    def walk(names, parents, x: str | None) -> list[int]:
+        at = {n: i for i, n in enumerate(names)}
+        path: dict[int, None] = {}
+        while (i := at.get(x)) is not None and i not in path:
+            path[i] = None
+            x = parents[i]
         return list(path)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<int>")
     def thread(n: pd.Series, p: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([[] if a is None else walk(dict(zip(a, b, strict=True)), c) for a, b, c in zip(n, p, h, strict=True)])
+        return pd.Series([[] if a is None else walk(a, b, c) for a, b, c in zip(n, p, h, strict=True)])
 
     return thread(nodes, parents, head)
 
@@ -106,26 +118,28 @@ def chat_export(conversations: DataFrame) -> DataFrame:
     """conversations(i, json) of message trees: the path from the current node up to the root, oldest
     first; every message by time where there is none. Hidden, system and blank messages go.
 
-    A conversation is one row, and so is its walk, however long.
+    A conversation is one row, and so are its walk and its messages in order, however long.
     """
-    conv = conversations.select("i", F.from_json("json", MAP).alias("c"))
-    conv = conv.select("i", "c", F.coalesce(F.col("c.conversation_id"), F.col("c.id"), F.concat(F.lit("chatgpt_"), F.col("i"))).alias("session_id"))
-    tree = conv.select("i", F.from_json("c.mapping", MAP).alias("t"), F.col("c.current_node").alias("head"))
-    parents = F.transform(F.map_values("t"), lambda b: F.from_json(b, MAP)["parent"])
-    path = tree.select("i", F.posexplode(_thread(F.map_keys("t"), parents, F.col("head"))).alias("depth", "node"))
-    nodes = tree.select("i", F.explode("t").alias("node", "body")).select("i", "node", F.from_json(F.from_json("body", MAP)["message"], MAP).alias("m"))
-    walked = path.select("i").distinct()
-    chosen = nodes.join(path, ["i", "node"]).select("i", "m", (-F.col("depth")).cast("double").alias("o"))
-    loose = nodes.join(walked, "i", "left_anti").select("i", "m", F.coalesce(F.col("m.create_time").try_cast("double"), F.lit(0.0)).alias("o"))
-    msg = chosen.unionByName(loose).where("m IS NOT NULL").join(conv.select("i", "session_id", "c"), "i")
+    conv = _once(conversations.select("i", F.from_json("json", MAP).alias("c")))
+    tree = conv.select(
+        "i", F.coalesce(F.col("c.conversation_id"), F.col("c.id"), F.concat(F.lit("chatgpt_"), F.col("i"))).alias("session_id"),
+        F.coalesce(F.col("c.title"), F.concat(F.lit("conversation "), F.col("i") + 1)).alias("title"), F.from_json("c.mapping", MAP).alias("t"), F.col("c.current_node").alias("head"),
+    )
+    tree = _once(tree.select("i", "session_id", "title", F.map_keys("t").alias("names"), F.transform(F.map_values("t"), lambda b: F.from_json(b, "parent string, message string")).alias("nodes"), "head"))
+    tree = tree.withColumn("path", _thread(F.col("names"), F.col("nodes.parent"), F.col("head"))).drop("names")
+    chosen = F.transform(F.reverse("path"), lambda j: F.get(F.col("nodes"), j)["message"])
+    time = lambda n: F.coalesce(F.from_json(n["message"], MAP)["create_time"].try_cast("double"), F.lit(0.0))
+    loose = F.transform(F.array_sort(F.transform("nodes", lambda n, j: F.struct(time(n).alias("o"), j.alias("j"), n["message"].alias("m")))), lambda x: x["m"])
+    told = tree.select("i", "session_id", "title", F.when(F.size("path") > 0, chosen).otherwise(loose).alias("ms"))
+    msg = told.select("i", "session_id", "title", F.posexplode_outer("ms").alias("o", "m")).select("i", "session_id", "title", "o", F.from_json("m", MAP).alias("m"))
     role = F.coalesce(F.from_json("m.author", MAP)["role"], F.lit("user"))
     hidden = F.coalesce(F.from_json("m.metadata", MAP)["is_visually_hidden_from_conversation"] == "true", F.lit(False))
-    out = msg.where(~hidden & (role != "system")).select(
-        "session_id", F.coalesce(F.col("c.title"), F.concat(F.lit("conversation "), F.col("i") + 1)).alias("title"),
-        (F.row_number().over(W.partitionBy("i").orderBy("o")) - 1).alias("pos"), role.alias("speaker"),
+    msg = _once(msg.withColumn("role", role).withColumn("hidden", hidden)).where(F.col("m").isNotNull() & ~F.col("hidden") & (F.col("role") != "system"))
+    out = msg.select(
+        "session_id", "title", (F.row_number().over(W.partitionBy("i").orderBy("o")) - 1).alias("pos"), F.col("role").alias("speaker"),
         F.trim(content_text(F.col("m.content"))).alias("content"), T.to_epoch(F.col("m.create_time")).alias("event_time"), F.lit("chatgpt").alias("source"),
     )
-    return out.where("content <> ''")
+    return _once(out).where("content <> ''")
 
 
 def transcript(lines: DataFrame, session_id: str = "imported") -> DataFrame:
@@ -147,21 +161,22 @@ def transcript(lines: DataFrame, session_id: str = "imported") -> DataFrame:
 
 def agent_log(lines: DataFrame, sidechains: bool = False, min_chars: int = 12) -> DataFrame:
     """lines(session_id, line_no, line) of an agent's session log: what user and assistant said, secrets masked."""
-    r = lines.where(F.startswith(F.trim("line"), F.lit("{"))).withColumn("r", F.from_json("line", MAP)).where("r IS NOT NULL")
+    r = _once(lines.where(F.startswith(F.trim("line"), F.lit("{"))).select("session_id", "line_no", F.from_json("line", MAP).alias("r"))).where("r IS NOT NULL")
     r = r.where(~F.coalesce(F.col("r.type").isin(*SKIP_ROWS), F.lit(False)))
     if not sidechains:
         r = r.where(F.coalesce(F.col("r.isSidechain"), F.lit("false")) != "true")
-    pay = F.from_json("r.payload", MAP)
-    m = F.coalesce(F.from_json("r.message", MAP), F.when(pay["type"] == "message", pay))
-    r = r.withColumn("m", m).where("m IS NOT NULL").withColumn("role", F.coalesce(F.col("m.role"), F.col("r.type"))).where(F.col("role").isin("user", "assistant"))
+    r = r.select("session_id", "line_no", "r", F.from_json("r.payload", MAP).alias("pay"))
+    m = F.coalesce(F.from_json("r.message", MAP), F.when(F.col("pay.type") == "message", F.col("pay")))
+    r = _once(r.select("session_id", "line_no", F.col("r.type").alias("type"), F.col("r.timestamp").alias("time"), m.alias("m")))
+    r = r.where("m IS NOT NULL").withColumn("role", F.coalesce(F.col("m.role"), F.col("type"))).where(F.col("role").isin("user", "assistant"))
     blocks = F.from_json("m.content", f"array<{MAP}>")
     kept = F.filter(blocks, lambda b: ~F.coalesce(b["type"].isin(*SKIP_BLOCKS), F.lit(False)))
     texts = F.transform(kept, lambda b: F.trim(F.coalesce(b["text"], b["content"], F.lit(""))))
     body = F.when(F.startswith(F.ltrim("m.content"), F.lit("[")), F.array_join(F.filter(texts, lambda t: t != ""), "\n")).otherwise(F.trim("m.content"))
-    r = r.withColumn("content", body).where((F.length("content") >= min_chars) & ~T.starts_with_any(F.col("content"), ECHOES))
+    r = _once(r.select("session_id", "line_no", "role", "time", body.alias("content"))).where((F.length("content") >= min_chars) & ~T.starts_with_any(F.col("content"), ECHOES))
     return r.select(
         "session_id", F.lit("").alias("title"), F.col("line_no").alias("pos"), F.col("role").alias("speaker"), T.redact_secrets(F.col("content")).alias("content"),
-        T.to_epoch(F.col("r.timestamp")).alias("event_time"), F.lit("agent_session").alias("source"),
+        T.to_epoch(F.col("time")).alias("event_time"), F.lit("agent_session").alias("source"),
     )
 
 
@@ -176,17 +191,19 @@ def sniff(files: DataFrame) -> DataFrame:
     Lines that all begin an object are a log or records; blank lines, and so a last newline, do not count. One
     object, or the first object of a list, tells by its fields. What is no JSON is a transcript.
     """
-    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    f = _once(files.withColumn("_t", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")))
+    t, listed, braced = F.col("_t"), F.startswith("_t", F.lit("[")), F.startswith("_t", F.lit("{"))
     lines = F.filter(F.transform(F.split(t, r"\r?\n|\r"), lambda x: F.regexp_replace(x, r"^\s+", "")), lambda x: x != "")
-    each = (F.size(lines) > 1) & F.forall(lines, lambda x: F.startswith(x, F.lit("{")))
+    f = f.withColumn("_lines", F.when(braced, lines)).withColumn("_list", F.from_json(F.when(listed, t), "array<string>"))
+    lines, each = F.col("_lines"), (F.size("_lines") > 1) & F.forall("_lines", lambda x: F.startswith(x, F.lit("{")))
     log = F.array_join(F.slice(lines, 1, 60), "\n").rlike(r'"isSidechain"|"type": ?"response_item"')
-    listed = F.startswith(t, F.lit("["))
-    items = F.filter(F.from_json(F.when(listed, t), "array<string>"), lambda x: F.startswith(F.ltrim(x), F.lit("{")))
-    one = F.coalesce(F.from_json(F.when(listed, F.get(items, F.lit(0))).otherwise(t), MAP), F.from_json(F.lit("{}"), MAP))
+    items = F.filter("_list", lambda x: F.startswith(F.ltrim(x), F.lit("{")))
+    f = _once(f.select(*files.columns, "_t", F.coalesce(each, F.lit(False)).alias("_each"), F.when(each, log).alias("_log"), F.col("_list").isNotNull().alias("_listed"), F.from_json(F.when(listed, F.get(items, F.lit(0))).when(braced, t), MAP).alias("_one")))
+    each, log, one = F.col("_each"), F.col("_log"), F.coalesce("_one", F.from_json(F.lit("{}"), MAP))
     said = _named(one, "role", "speaker", "author", "from") & _named(one, "content", "text", "message", "body")
     tree = _named(one, "mapping") | (~listed & _named(one, "conversations"))
     flat = ~said | _named(one, "session_id", "conversation_id", "thread_id") | ~listed
-    whole = F.when(listed, F.from_json(t, "array<string>").isNotNull()).otherwise(F.from_json(t, MAP).isNotNull())
+    whole = F.when(listed, F.col("_listed")).otherwise(F.col("_one").isNotNull())
     kind = (
         F.when(~F.coalesce(t.rlike(r"^[\[{]"), F.lit(False)), "transcript")
         .when(each, F.when(log, "agent_session").otherwise("jsonl"))
@@ -196,7 +213,7 @@ def sniff(files: DataFrame) -> DataFrame:
         .when(flat, "records")
         .otherwise("messages")
     )
-    return files.withColumn("format", kind)
+    return _once(f.select(*files.columns, kind.alias("format")))
 
 
 def render(messages: DataFrame, roles: bool = True) -> DataFrame:
@@ -239,7 +256,7 @@ def parse(data: DataFrame, format: str, **kw) -> DataFrame:
 def read_any(files: DataFrame, session_id: str = "imported") -> DataFrame:
     """files(id, text) of any known format, each read by what it looks like; sessions without a name are told apart by
     the file they came from."""
-    f = sniff(files)
+    f = written(sniff(files))  # told apart once, not once for each reader
     of = lambda *kinds: f.where(F.col("format").isin(*kinds))
     name = F.concat(F.lit(f"{session_id}_"), F.col("id"))
     lines = lambda df: df.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))

@@ -91,3 +91,32 @@ def test_no_file_is_lost(spark, end):
     assert found == {str(i): kind for i, (kind, _) in enumerate(SHAPES.values())}
     assert Conv.read_any(files).count() == sum(n for _, n in SHAPES.values())
     assert {r[0] for r in Conv.read_any(files.where("id = '2'")).select("session_id").collect()} == {"s1", "s2"}
+
+
+def test_texts_of_files_are_made_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        calls.add(1)
+        return text
+
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(SHAPES)], "id string, text string")
+    made = Conv.read_any(files.withColumn("text", told("text")))
+    want = sorted((r["session_id"], r["pos"], r["speaker"], r["content"]) for r in Conv.read_any(files).collect())
+    assert sorted((r["session_id"], r["pos"], r["speaker"], r["content"]) for r in made.collect()) == want
+    assert calls.value == len(SHAPES)
+
+
+def test_export_orders_and_hides(spark):
+    def node(parent, text, role="user", at=None, **more):
+        return {"parent": parent, "message": {"author": {"role": role}, "content": {"parts": [text]}, "create_time": at, **more}}
+
+    tree = {"c": node("b", "third"), "a": node(None, "first"), "x": node("a", "not on the way"), "b": node("a", "second", "assistant"), "n": {"parent": "c", "message": None}}
+    loose = {"a": node(None, "late", at=9.5), "b": node(None, "hidden", at=1, metadata={"is_visually_hidden_from_conversation": True}), "c": node(None, "sys", "system", 2), "d": node(None, "early", at=3), "e": node(None, " ", at=4)}
+    rows = [(0, json.dumps({"title": "t", "conversation_id": "k", "mapping": tree, "current_node": "n"})), (1, json.dumps({"mapping": loose})), (2, "{}"), (3, "no"), (4, json.dumps({"mapping": loose, "current_node": "gone"}))]
+    got = [tuple(r) for r in Conv.chat_export(spark.createDataFrame(rows, "i int, json string")).select("session_id", "title", "pos", "speaker", "content").orderBy("session_id", "pos").collect()]
+    assert got == [
+        *[(f"chatgpt_{i}", f"conversation {i + 1}", p, "user", c) for i in (1, 4) for p, c in ((0, "early"), (2, "late"))],
+        ("k", "t", 0, "user", "first"), ("k", "t", 1, "assistant", "second"), ("k", "t", 2, "user", "third"),
+    ]
